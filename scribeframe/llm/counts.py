@@ -12,92 +12,46 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernel import table, text_udf
-from .pieces import MODEL, Splitter, Vocabulary, load, padded, remembered
+from .pieces import MODEL, Splitter, Vocabulary, load, memo, padded
+from .unigram import DoubleArray
 
 
 class Automaton:
-    """Aho-Corasick as arrays: goto transitions in a hash table, failure links, and links to the next shorter match."""
+    """Aho-Corasick: goto transitions in a double array, failure links, and links to the next shorter match."""
 
     def __init__(self, words: list[tuple[str, int]]):
-        alphabet = sorted({c for w, _ in words for c in w})
-        self.code = np.zeros(0x110000, dtype=np.int32)
-        self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        self.width = len(alphabet) + 1
-        children: list[dict[int, int]] = [{}]
-        piece, size = [-1], [0]
-        for word, value in words:
-            node = 0
-            for c in word:
-                k = int(self.code[ord(c)])
-                if k not in children[node]:
-                    children[node][k] = len(children)
-                    children.append({})
-                    piece.append(-1)
-                    size.append(size[node] + 1)
-                node = children[node][k]
-            piece[node] = value
-        n = len(children)
-        fail, shorter = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        self.trie = DoubleArray(words)
+        self.code, self.piece = self.trie.code, self.trie.value
+        n = len(self.trie.base)
+        base, check = self.trie.base.tolist(), self.trie.check.tolist()
+        below: dict[int, list[int]] = {}
+        for state in np.flatnonzero(self.trie.check >= 0).tolist():
+            below.setdefault(check[state], []).append(state)
+        fail, shorter, size, ends = [0] * n, [0] * n, [0] * n, (self.piece >= 0).tolist()
         queue = [0]
-        for node in queue:
-            for k, child in children[node].items():
+        for node in queue:  # by depth
+            for child in below.get(node, ()):
                 queue.append(child)
-                if node:
-                    f = int(fail[node])
-                    while f and k not in children[f]:
-                        f = int(fail[f])
-                    fail[child] = children[f].get(k, 0)
-                f = int(fail[child])
-                shorter[child] = f if piece[f] >= 0 else shorter[f]
-        self.fail, self.shorter = fail, shorter
-        self.piece, self.size = np.array(piece, dtype=np.int32), np.array(size, dtype=np.int32)
-        edges = np.array([(node * self.width + k, child) for node in range(n) for k, child in children[node].items()], dtype=np.int64).reshape(-1, 2)
-        edges = edges[np.argsort(edges[:, 0])]
-        self.edge, self.target = edges[:, 0].copy(), edges[:, 1].astype(np.int32)
-        self.bits = max(1, int(np.ceil(np.log2(max(len(self.edge), 1) * 2))))
-        self._hash()
-
-    def _hash(self) -> None:
-        """Open addressing, filled round by round; at most ``probes`` looks a transition."""
-        room = 1 << self.bits
-        self.slot_key, self.slot_to = np.full(room, -1, dtype=np.int64), np.zeros(room, dtype=np.int32)
-        left, self.probes = np.arange(len(self.edge)), 0
-        while len(left):
-            at = self.place(self.edge[left], self.probes)
-            free = self.slot_key[at] < 0
-            _, first = np.unique(at, return_index=True)
-            take = np.zeros(len(left), dtype=bool)
-            take[first] = True
-            take &= free
-            self.slot_key[at[take]], self.slot_to[at[take]] = self.edge[left[take]], self.target[left[take]]
-            left = left[~take]
-            self.probes += 1
-
-    def place(self, key: np.ndarray, probe: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
-        return ((h.astype(np.int64) + probe) & ((1 << self.bits) - 1)).astype(np.int64)
-
-    def goto(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Next states without failure links, -1 where there is none."""
-        key = state.astype(np.int64) * self.width + code
-        out = np.full(len(key), -1, dtype=np.int32)
-        left = np.arange(len(key))
-        for probe in range(self.probes):
-            at = self.place(key[left], probe)
-            found = self.slot_key[at]
-            hit = found == key[left]
-            out[left[hit]] = self.slot_to[at[hit]]
-            left = left[~hit & (found >= 0)]
-            if not len(left):
-                break
-        return out
+                size[child] = size[node] + 1
+                code, f = child - base[node], fail[node]
+                while node:
+                    to = base[f] + code
+                    if to < n and check[to] == f:
+                        fail[child] = to
+                        break
+                    if not f:
+                        break
+                    f = fail[f]
+                f = fail[child]
+                shorter[child] = f if ends[f] else shorter[f]
+        self.fail, self.shorter, self.size = (np.array(x, dtype=np.int32) for x in (fail, shorter, size))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         out = np.zeros_like(state)
-        left, s = np.flatnonzero(code > 0), state[code > 0]
+        left = np.flatnonzero(code > 0)
+        s = state[left]
         while len(left):
-            to = self.goto(s, code[left])
+            to = self.trie.step(s, code[left])
             done = (to >= 0) | (s == 0)
             out[left[done]] = np.maximum(to[done], 0)
             left, s = left[~done], self.fail[s[~done]]
@@ -119,7 +73,6 @@ class Counter:
             state = np.zeros(n, dtype=np.int32)
             order = np.argsort(-length, kind="stable")
             running = np.searchsorted(-length[order], -np.arange(width), side="left")
-            plain = None
             for t in range(width):
                 which = order[: running[t]]
                 state[which] = a.step(state[which], codes[which, t])
@@ -148,11 +101,21 @@ class Counter:
             out[rows] = count[np.arange(n), length]
         return out
 
+    def solved(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.units(units), np.ones(len(units), dtype=np.int64)
+
     def counts(self, texts: list[str | None]) -> dict[str, object]:
-        number, different, sizes = self.splitter.units(texts)
-        n = np.array(remembered(self.key, different, lambda new: self.units(new).tolist()), dtype=np.int64)
+        names: list[str] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for i, x in enumerate(texts):
+            if x:
+                own = self.splitter.split(x)
+                sizes[i] = len(own)
+                names += own
+        known = memo(self.key)
+        number = known.of(names, self.solved)
         text = np.repeat(np.arange(len(texts)), sizes)
-        return {"n_tokens": np.bincount(text, weights=n[number] if len(number) else None, minlength=len(texts)).astype(np.int64)}
+        return {"n_tokens": np.bincount(text, weights=known.flat[number], minlength=len(texts)).astype(np.int64)}
 
 
 def count(docs: DataFrame, counter: Counter) -> DataFrame:

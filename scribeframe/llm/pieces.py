@@ -16,7 +16,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -93,48 +92,89 @@ def load(path: str = MODEL, scores: str = "rank") -> Vocabulary:
     return Vocabulary(pieces, score, kind, int(score[normal].min()) - 10 * QUANTUM)
 
 
+#: parts longer than this are cut at characters outside the alphabet
+LONG = 64
+#: numbers that a worker process remembers for units, by vocabulary and operator, before it starts anew
+KNOWN = 600_000
+BARE = "\0"  # stands before a unit without a marker
+
+
 class Splitter:
-    """Cuts texts into units and numbers the different units of a slice."""
+    """Cuts texts into units. A unit is named by its characters after its first marker, or by BARE and all of them."""
 
     def __init__(self, vocabulary: Vocabulary):
         alphabet = {c for p, _ in vocabulary.searchable() for c in p}
-        # markers stand as spaces here: a text's own markers and its spaces are the same after escaping
         inner = "".join(re.escape(c) for c in sorted(alphabet - {MARK}))
-        self.pattern = f"[ {MARK}]+[{inner}]*|[{inner}]+|."
+        self.pattern = f"{MARK}+[{inner}]*|[{inner}]+|."
         self._find = None
 
-    def units(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Numbers of the units, text after text; the different units (with markers); how many units each text has."""
+    def split(self, text: str) -> list[str]:
+        parts = text.replace(MARK, " ").split(" ")
+        if "" in parts:  # a run of markers belongs to the word after it
+            merged, run = [], 0
+            for x in parts:
+                if x:
+                    merged.append(" " * run + x)
+                    run = 0
+                else:
+                    run += 1
+            parts = [*merged, " " * (run - 1)] if run else merged
+        if len(max(parts, key=len)) > LONG or BARE in text:
+            parts = [y for x in parts for y in (self._cut(x) if len(x) > LONG or x.startswith(BARE) else (x,))]
+        return parts
+
+    def _cut(self, part: str) -> list[str]:
         if self._find is None:
             self._find = re.compile(self.pattern, re.DOTALL)
-        flat: list[str] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for i, x in enumerate(texts):
-            if x:
-                found = self._find.findall(" " + x)
-                sizes[i] = len(found)
-                flat += found
-        number, different = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, dtype=np.int64), [])
-        return number, [x.replace(" ", MARK) for x in different], sizes
+        return [x[1:].replace(MARK, " ") if x[0] == MARK else BARE + x for x in self._find.findall(MARK + part.replace(" ", MARK))]
 
     def __getstate__(self):
         return {"pattern": self.pattern, "_find": None}
 
 
-#: by vocabulary and operator: what a worker process has found for units so far; cleared when it has KNOWN entries
-KNOWN = 400_000
-_known: dict[str, dict] = {}
+def spelled(name: str) -> str:
+    """The characters of a named unit, with markers."""
+    return name[1:] if name.startswith(BARE) else MARK + name.replace(" ", MARK)
+
+
+class Memo:
+    """Numbers units and remembers the rows that ``solve`` found for them."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), np.zeros(8192, dtype=np.int32)
+        self.used = 0
+
+    def of(self, names: list[str], solve) -> np.ndarray:
+        """The numbers of units; solve(their characters) gives all values, one unit after the other, and how many each has."""
+        if len(self.number) > KNOWN:
+            self.__init__()
+        found = list(map(self.number.get, names))
+        if None in found:
+            new = list({x: None for x, n in zip(names, found, strict=True) if n is None})
+            values, size = solve([spelled(x) for x in new])
+            at = len(self.number)
+            self.number.update(zip(new, range(at, at + len(new)), strict=True))
+            self.begin, self.size = room(self.begin, at + len(new)), room(self.size, at + len(new))
+            self.flat = room(self.flat, self.used + len(values))
+            self.size[at : at + len(new)] = size
+            self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
+            self.flat[self.used : self.used + len(values)] = values
+            self.used += len(values)
+            found = list(map(self.number.__getitem__, names))
+        return np.array(found, dtype=np.int64)
+
+
+def room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), dtype=x.dtype)])
+
+
+_memos: dict[str, Memo] = {}
 
 
-def remembered(key: str, units: list[str], solve) -> list:
-    """solve(new units) for those not yet known to this process, the remembered values for all."""
-    known = _known.setdefault(key, {})
-    if len(known) > KNOWN:
-        known.clear()
-    new = [u for u in units if u not in known]
-    if new:
-        known.update(zip(new, solve(new), strict=True))
-    return [known[u] for u in units]
+def memo(key: str) -> Memo:
+    """This process's memo for a vocabulary and an operator."""
+    return _memos.setdefault(key, Memo())
 
 
 def padded(units: list[str], code: np.ndarray, at_most: int = 48):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import table, text_udf
-from .pieces import MARK, MODEL, Splitter, Vocabulary, load, padded, remembered
+from .pieces import MARK, MODEL, Splitter, Vocabulary, load, memo, padded
 
 
 class DoubleArray:
@@ -155,23 +155,21 @@ class Encoder:
         order = np.lexsort((-depth, unit))
         return piece[order], np.bincount(unit, minlength=len(units))
 
-    def solved(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, as 32-bit little-endian integers."""
-        ids, n = self.units(units)
-        raw, cut = ids.astype("<i4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        number, different, sizes = self.splitter.units(texts)
-        raw = remembered(self.key, different, self.solved)
-        n = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-        ids = np.frombuffer(b"".join(raw), dtype="<i4")
-        begin = np.cumsum(n) - n
-        many = n[number] if len(number) else np.zeros(0, dtype=np.int64)
+        names: list[str] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for i, x in enumerate(texts):
+            if x:
+                own = self.splitter.split(x)
+                sizes[i] = len(own)
+                names += own
+        known = memo(self.key)
+        number = known.of(names, self.units)
+        many = known.size[number]
+        at = np.repeat(known.begin[number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         text = np.repeat(np.arange(len(texts)), sizes)
-        at = np.repeat(begin[number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())) if len(number) else np.zeros(0, dtype=np.int64)
-        return ids[at], np.bincount(text, weights=many, minlength=len(texts)).astype(np.int64)
+        return known.flat[at], np.bincount(text, weights=many, minlength=len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
         """The texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
