@@ -20,6 +20,8 @@ MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 #: bytes 0x20 and 0x09-0x0D: what ends a word in all contracts on words
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: every ASCII byte that is neither a letter nor a digit
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def slices(texts: list[str | None], size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -61,12 +63,12 @@ class Words:
     feeds has n + 1 lines. ``hash`` is a 64-bit hash of each word's bytes.
     """
 
-    def __init__(self, texts: list[str | None], lower: Callable[[str], str] | None = None):
-        encoded = [((lower(x) if lower else x) if x else "").encode() for x in texts]
+    def __init__(self, texts: list[str | None], lower: bool = False, space: np.ndarray = SPACE):
+        encoded = [((x.lower() if lower else x) if x else "").encode() for x in texts]
         self.bytes = np.frombuffer(b"\n".join(encoded) + b"\n", dtype=np.uint8)
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        inside = ~SPACE[self.bytes]
+        inside = ~space[self.bytes]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
             edge = np.concatenate([[0], edge])

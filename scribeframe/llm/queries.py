@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import counts, language, quality, rules, simhash, unigram, urls
+from . import counts, language, quality, rules, simhash, tiling, unigram, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_quality": quality.op2_quality,
     "op3_sentencepiece": unigram.op3_sentencepiece,
     "op4_token_counts": counts.op4_token_counts,
+    "op5_decontamination": tiling.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
