@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scribeframe.llm import quality, unigram
+from scribeframe.llm import lines, quality, simhash, tiling, unigram
 from scribeframe.llm.kernel import table, written
 from scribeframe.llm.pieces import MODEL, load
 
@@ -14,19 +14,44 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept(docs, quality.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    found = lines.deduplicated(docs)
+    return found.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("removed_lines")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return simhash.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, their number, and the text that decoding gives back."""
     found = unigram.encode(docs.select("doc_id", "text"), unigram.Encoder(load(MODEL)))
     return found.select("doc_id", "encoded.ids", "encoded.n_pieces", "encoded.decoded")
 
 
-STAGES = [("quality classifier", quality_classifier), ("SentencePiece encoding", sentencepiece_encoding)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", sentencepiece_encoding),
+]
 
 #: stages with trained models can't be written in SQL; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
