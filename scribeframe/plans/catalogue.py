@@ -1,6 +1,292 @@
-"""Queries by name and their SQL."""
+"""Queries by name and their SQL: each operator over whole driver tables, in both dialects.
+
+``conversations`` are read as transcripts (see sources.conversations); all times are integer milliseconds.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scribeframe.functions import text as T
+from scribeframe.operators import builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
+from scribeframe.plans.oracle import SQL  # noqa: F401
+from scribeframe.sources import conversations as C
+from scribeframe.streaming import follow
+
+PHRASE = "then th"
+FUZZY = "thention"
+
+
+def _words(spark, d) -> DataFrame:
+    return C.words(C.load(spark, d))
+
+
+def _units(spark, d) -> DataFrame:
+    return _words(spark, d).withColumn("timed", F.lit(True))
+
+
+def _segments(spark, d) -> DataFrame:
+    return C.segments(_words(spark, d))
+
+
+def _duration(units: DataFrame) -> DataFrame:
+    return units.groupBy("doc").agg((F.max("e") + 2000).alias("duration"))
+
+
+def words_index(spark, d):
+    return _words(spark, d).select("doc", "seg", "pos", "idx", "text", "s", "e")
+
+
+def segments_view(spark, d):
+    return _segments(spark, d).select("doc", "seg", "role", "s", "e", "words", F.length("text").alias("chars"))
+
+
+def normalize(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("hash"))
+
+
+def fold_text(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(T.fold_plain(F.col("text"))).alias("chars"), F.md5(T.fold_plain(F.col("text"))).alias("hash"))
+
+
+def fold_full(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.fold_full("text")).alias("hash"))
+
+
+def find_exact(spark: SparkSession, d: str) -> DataFrame:
+    return find.find(_units(spark, d), PHRASE).select("doc", "hit", "start", "end", "match", "timing", "first_word", "last_word", "seg", "last_seg", "speaker", "text")
+
+
+def find_summary(spark, d):
+    units = _units(spark, d)
+    return find.summary(units, find.find(units, PHRASE))
+
+
+def find_context(spark, d):
+    return find.with_context(find.find(_units(spark, d), PHRASE), _segments(spark, d), 1)
+
+
+def find_fuzzy(spark, d):
+    return find.find_fuzzy(_units(spark, d), FUZZY, 0.85)
+
+
+def speech_events(spark, d, gap=0):
+    return intervals.speech_events(_segments(spark, d), gap)
+
+
+def speech_events_gap(spark, d):
+    return speech_events(spark, d, 800)
+
+
+def _busy(spark, d) -> DataFrame:
+    ms = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
+    return spark.read.parquet(f"{d}/events.parquet").select("user_id", ms.alias("s"), (ms + 60_000 * (1 + F.col("event_id") % 90)).alias("e"))
+
+
+def interval_union(spark, d):
+    return intervals.union(_busy(spark, d), ["user_id"])
+
+
+def event_gaps(spark, d):
+    out = intervals.gap_groups(_busy(spark, d).withColumn("k", F.col("e")), ["user_id"], ["s", "k"], 3_600_000)
+    return out.groupBy("user_id", "g").agg(F.min("s").alias("start"), F.count("*").alias("n"))
+
+
+def speaker_words(spark, d):
+    return speakers.of_words(_words(spark, d), C.turns(_segments(spark, d))).select("doc", "idx", "speaker")
+
+
+def _attributed(spark, d):
+    segments = _segments(spark, d)
+    return speakers.merge(_words(spark, d), segments, C.turns(segments))
+
+
+def speaker_segments(spark, d):
+    return _attributed(spark, d)[1].select("doc", "seg", "speaker")
+
+
+def speaker_counts(spark, d):
+    words, segments = _attributed(spark, d)
+    return speakers.counts(segments, words)
+
+
+def speaker_totals(spark, d):
+    return speakers.per_speaker(_attributed(spark, d)[1])
+
+
+def overlap_semi(spark, d):
+    segments = _segments(spark, d)
+    regions = segments.where("seg % 4 = 1").select("doc", (F.col("e") - 100).alias("s"), (F.col("e") + 900).alias("e"))
+    return speakers.in_overlap(segments, regions).select("doc", "seg")
+
+
+def _remove(spark, d, mode):
+    units = _units(spark, d)
+    top = units.groupBy("doc").agg(F.max("idx").alias("m"))
+    ranges = top.where("m >= 12").select("doc", F.lit(3).cast("long").alias("first"), F.lit(7).cast("long").alias("last")).union(top.where("m >= 12").select("doc", F.lit(10).cast("long"), F.col("m") - 1))
+    own = units.join(top.where("m >= 12").select("doc"), "doc", "left_semi")
+    return select.select(own, _duration(own), mode, ranges=ranges)
+
+
+SPAN = ("doc", "id", "start", "end", "lo", "hi", "after_kept", "before_kept", "speech", "units", "first", "last", "most")
+
+
+def select_remove_words(spark, d):
+    return _remove(spark, d, "remove")["spans"].select(*SPAN)
+
+
+def select_sentences(spark, d):
+    return _remove(spark, d, "remove")["sentences"]
+
+
+def select_index_runs(spark, d):
+    return _remove(spark, d, "keep")["ranges"]
+
+
+def select_keep_segments(spark, d):
+    units = _units(spark, d)
+    chosen = units.where("seg % 3 = 1").select("doc", "seg").distinct()
+    own = units.join(chosen.select("doc").distinct(), "doc", "left_semi")
+    return select.select(own, _duration(own), "keep", segments=chosen)["spans"].select(*SPAN)
+
+
+def _flawed(spark, d) -> DataFrame:
+    """Segments of which some have been spoilt: shifted back, turned around, or given another's id."""
+    base = _segments(spark, d)
+    s = F.when(F.col("seg") % 5 == 3, F.col("s") - 4000).otherwise(F.col("s"))
+    e = F.when(F.col("seg") % 7 == 4, F.col("s") - 10).otherwise(F.col("e"))
+    n = F.when(F.col("seg") % 6 == 5, F.col("seg") - 1).otherwise(F.col("seg"))
+    return base.select("doc", "seg", F.format_string("seg_%04d", n).alias("id"), s.alias("s"), e.alias("e"), "text", F.lit(60_000).cast("long").alias("duration"))
+
+
+def validate_segments(spark, d):
+    return validate.segment_rules(_flawed(spark, d), 1000)
+
+
+def validate_words(spark, d):
+    return validate.word_rules(_words(spark, d), _flawed(spark, d), 1000)
+
+
+def leakage_scan(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.lit("note").alias("key"), F.col("text").alias("value"))
+    return validate.leaks(docs).select("doc", "reason")
+
+
+def _export(form):
+    def query(spark, d):
+        return export.render(_segments(spark, d), form).select("doc", F.md5("content").alias("hash"), F.length("content").alias("chars"))
+
+    return query
+
+
+def term_counts(spark, d):
+    return vocabulary.term_counts(vocabulary.tokens(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc"), "text")))
+
+
+def terms(spark, d):
+    return vocabulary.terms(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"))
+
+
+def prompts(spark, d):
+    return vocabulary.prompts(terms(spark, d))
+
+
+RULES = [("the", "le", "word"), ("tion", "ción", "substring"), ("and the", "et le", "word")]
+
+
+def corrections(spark, d):
+    found = vocabulary.corrected(_segments(spark, d).select("doc", "seg", "text"), RULES)
+    return found.select("doc", "seg", F.size("applied").alias("n"), F.md5("corrected").alias("hash"))
+
+
+def corrections_substring(spark, d):
+    found = vocabulary.corrected(_segments(spark, d).select("doc", "seg", "text"), RULES[1:2])
+    return found.select("doc", "seg", F.size("applied").alias("n"), F.md5("corrected").alias("hash"))
+
+
+def segment_builder(spark, d):
+    out = builder.build_segments(_words(spark, d), 90)
+    return out.groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("words"))
+
+
+def clamp_clean(spark, d):
+    raw = _segments(spark, d).select("doc", F.col("seg").alias("n"), (F.col("s") / 1000).alias("s"), F.when(F.col("seg") % 4 == 2, F.col("s") / 1000).otherwise(F.col("e") / 1000).alias("e"), F.concat(F.lit("  "), "text", F.lit(" \t")).alias("text"), F.lit(15.0).alias("duration"))
+    out = builder.clean_segments(raw)
+    return out.select("doc", "n", "id", F.bround(F.col("s") * 1000, 0).cast("long").alias("s"), F.bround(F.col("e") * 1000, 0).cast("long").alias("e"), F.length("text").alias("chars"))
+
+
+def language_decision(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    language, source = builder.language_decision(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 5 != 0, F.col("lang")), (F.col("doc_id") % 10) / 10)
+    return docs.select("doc_id", language.alias("language"), source.alias("source"))
+
+
+def _requirements(spark, d) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("req"), F.when(F.col("doc_id") % 7 == 0, "fast-local").alias("engine"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("language"), (F.col("doc_id") % 2 == 0).alias("offline"), (F.col("doc_id") % 3 == 0).alias("needs_words"), (F.col("doc_id") % 5 == 0).alias("needs_vocabulary"))
+
+
+def engine_filter(spark, d):
+    return engines.rejected(_requirements(spark, d), engines.engines(spark))
+
+
+def _chunks(spark, d) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("chunk"), (F.col("o_orderkey") * 30_000).alias("s"), (F.col("o_orderkey") * 30_000 + 30_000).alias("e"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("key"))
+
+
+def cache_antijoin(spark, d):
+    done = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R'").select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("key"))
+    return chunking.work_list(_chunks(spark, d), done).select("doc", "chunk")
+
+
+def chunk_join(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").cast("long").alias("n"), (F.col("l_linenumber") * 6000 - 7000).cast("long").alias("s"), (F.col("l_linenumber") * 6000 + F.col("l_suppkey") % 50 * 100).cast("long").alias("e"), F.col("l_shipdate").cast("string").alias("text"))
+    chunks = _chunks(spark, d)
+    return chunking.join_chunks(chunks, items.join(chunks.select("doc", "chunk"), "chunk")).select("doc", "chunk", "n", "s", "e")
+
+
+def quiet_window(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") * 17 % 1009).alias("energy"))
+    framed = rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("k", "energy")).cast("long") - 1).alias("frame"), "energy", F.lit(50).cast("long").alias("target"))
+    return chunking.quietest(framed, ["path"], "target")
+
+
+def cer(spark, d):
+    a = spark.read.parquet(f"{d}/benchmark.parquet")
+    guess = F.regexp_replace(F.col("text"), "tion", "sion")
+    rate = T.character_error_rate(F.col("text"), guess)
+    return a.select("item_id", F.bround(rate * 1_000_000, 0).cast("long").alias("cer"))
+
+
+def wer(spark, d):
+    a = spark.read.parquet(f"{d}/benchmark.parquet")
+    return a.select("item_id", F.bround(T.word_error_rate(F.col("text"), F.regexp_replace("text", "tion", "sion")) * 1_000_000, 0).cast("long").alias("wer"))
+
+
+def batch_outcomes(spark, d):
+    items = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("item"))
+    results = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("item")).agg(F.max(F.when(F.col("l_linenumber") < 6, F.col("l_partkey"))).alias("result"), F.max(F.when(F.col("l_returnflag") == "R", F.lit("TIMEOUT"))).alias("error"))
+    return engines.outcomes(items, results)
+
+
+def follow_replay(spark, d):
+    base = _segments(spark, d)
+    rounds = base.groupBy("doc").agg(F.max("e").alias("end"), F.max("seg").alias("m")).select("doc", "end", "m", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("round"))
+    # round r has heard the first r + 1 segments; the last one ends the recording
+    tail = rounds.join(base.select("doc", "seg", "s", "e", "text"), "doc").where("seg <= round")
+    heard = tail.withColumn("audio_end", F.max("e").over(Window.partitionBy("doc", "round")))
+    return follow.replay(heard.select("doc", "round", "audio_end", "seg", "s", "e", "text", (F.col("round") == F.col("m")).alias("last"))).where("kind = 'final'").select("doc", "n", "s", "e", F.md5("text").alias("hash"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        words_index, segments_view, normalize, fold_text, fold_full, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
+        interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
+        select_index_runs, select_keep_segments, validate_segments, validate_words, leakage_scan, term_counts, terms, prompts, corrections,
+        corrections_substring, segment_builder, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
+        batch_outcomes, follow_replay,
+    )
+} | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

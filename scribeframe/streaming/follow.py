@@ -1,0 +1,81 @@
+"""Following growing recordings: hypotheses become final segments that never change, and a partial rest.
+
+Input rows are hypotheses of a recording's tail: (doc, round, audio_end, seg, s, e, text, last), times in milliseconds on
+the recording's timeline. State, by recording: the commit point, the number of finals and the last partial text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# Fixed values in milliseconds: hold-back before the audio's end, longest tail without a final.
+HOLD, TAIL = 1500, 25_000
+OUT = "doc long, kind string, n long, s long, e long, text string, committed long"
+STATE = "committed long, finals long, partial string, round long"
+
+
+def step(rows: list[tuple[int, int, str]], audio_end: int, committed: int, finals: int, partial: str, last: bool):
+    """One round: (events, committed, finals, partial). ``rows``: (s, e, text) of the tail."""
+    rows = sorted((max(s, committed), e, t) for s, e, t in rows if t.strip() and e > max(s, committed))
+    if last:
+        n = len(rows)
+    else:
+        n = 0
+        while n < len(rows) and rows[n][1] <= audio_end - HOLD:
+            n += 1
+        if n == 0 and rows and audio_end - committed > TAIL:
+            n = max(1, len(rows) - 1) if len(rows) > 1 else 0
+    cut = committed
+    if n:
+        ahead = rows[n][0] if n < len(rows) else max(audio_end - HOLD, rows[n - 1][1]) if not last else audio_end
+        cut = max(rows[n - 1][1], min(ahead, rows[n - 1][1])) if n < len(rows) else rows[n - 1][1]
+    elif not rows and audio_end - committed > TAIL:
+        cut = audio_end - HOLD
+    events = []
+    for s, e, t in rows[:n]:
+        finals += 1
+        events.append(("final", finals, s, min(e, max(cut, s + 1)) if not last else e, t, cut))
+    rest = " ".join(t for _, _, t in rows[n:])
+    if rest and rest != partial:
+        events.append(("partial", finals + 1, rows[n][0], rows[-1][1], rest, cut))
+    if last:
+        events.append(("end", finals, committed, audio_end, "", cut))
+    return events, cut, finals, rest
+
+
+def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    committed, finals, partial, done = state.get if state.exists else (0, 0, "", -1)
+    rows = pd.concat(list(batches), ignore_index=True)
+    out = []
+    for number, part in rows.groupby("round", sort=True):
+        if number <= done:  # late: this round's audio has been decided on
+            continue
+        own = [(int(s), int(e), t or "") for s, e, t in zip(part["s"], part["e"], part["text"], strict=True)]
+        events, committed, finals, partial = step(own, int(part["audio_end"].max()), committed, finals, partial, bool(part["last"].any()))
+        out += [(key[0], *e) for e in events]
+        done = int(number)
+    state.update((committed, finals, partial, done))
+    yield pd.DataFrame(out, columns=["doc", "kind", "n", "s", "e", "text", "committed"])
+
+
+def follow(hypotheses: DataFrame) -> DataFrame:
+    """A stream of events (final, partial, end); finals are append-only and numbered in order."""
+    return hypotheses.groupBy("doc").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(hypotheses: DataFrame) -> DataFrame:
+    """The same events from a table of all rounds, one recording after the other."""
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        committed, finals, partial, out = 0, 0, "", []
+        for _, rows in part.groupby("round", sort=True):
+            own = [(int(s), int(e), t or "") for s, e, t in zip(rows["s"], rows["e"], rows["text"], strict=True)]
+            events, committed, finals, partial = step(own, int(rows["audio_end"].max()), committed, finals, partial, bool(rows["last"].any()))
+            out += [(key[0], *e) for e in events]
+        return pd.DataFrame(out, columns=["doc", "kind", "n", "s", "e", "text", "committed"])
+
+    return hypotheses.groupBy("doc").applyInPandas(run, OUT)
