@@ -14,7 +14,7 @@ FINGERPRINT = r"^sha256:[0-9a-f]{64}$"
 HASH = r"^[0-9a-f]{64}$"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 FORBIDDEN_KEYS = ("password", "secret", "token", "api_key", "authorization", "cookie", "command", "argv")
-SECRETS = (r"sk-[A-Za-z0-9]{16,}", r"ghp_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)bearer [a-z0-9._-]{16,}", r"(?i)(password|passwd|secret|api_key)\s*[=:]\s*\S+")
+SECRETS = (r"sk-[A-Za-z0-9]{16,}", r"ghp_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)bearer [a-z0-9._-]{16,}", r"(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+")
 PATHS = (r"(^|\s)/(home|Users|root|etc|var)/\S+", r"[A-Za-z]:\\\\\S+")
 
 

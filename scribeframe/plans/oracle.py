@@ -127,7 +127,7 @@ SQL = {
       select doc, seg, pos, 'outside' as rule from x where s < ss - 10 or e > se + 10 union all select doc, seg, pos, 'overlap' from x where s < pe - 10 union all select doc, seg, pos, 'times' from x where not (s >= 0 and e > s)""",
     "leakage_scan": r"""select doc_id as doc, reason from (select doc_id, case
       when regexp_matches(text, 'sk-[A-Za-z0-9]{16,}') or regexp_matches(text, 'ghp_[A-Za-z0-9]{20,}') or regexp_matches(text, 'AKIA[0-9A-Z]{16}') or regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
-        or regexp_matches(text, '(?i)bearer [a-z0-9._-]{16,}') or regexp_matches(text, '(?i)(password|passwd|secret|api_key)\s*[=:]\s*\S+') then 'secret'
+        or regexp_matches(text, '(?i)bearer [a-z0-9._-]{16,}') or regexp_matches(text, '(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+') then 'secret'
       when regexp_matches(text, '(^|\s)/(home|Users|root|etc|var)/\S+') or regexp_matches(text, '[A-Za-z]:\\\\\S+') then 'path' end as reason from documents) where reason is not null""",
     "corrections_substring": f"""with {SEGMENTS} select doc, seg, ((length(text) - length(replace(lower(text), 'tion', ''))) // 4)::int as n, md5(regexp_replace(text, '(?i)tion', 'ción', 'g')) as hash from segments""",
     "segment_builder": f"""with {WORDS}, b as (select *, lag(e) over w as pe, lag(text) over w as pt from words window w as (partition by doc order by idx)),
