@@ -10,7 +10,8 @@ removed if any line before it, by (doc_id, text, line number), matches. Lines of
 3. Within a list, pairs pass the length filter, the positional filter and the bitmap's bound on the symmetric
    difference, none of which loses a match.
 4. Jaccard is verified on the whole sets of 64-bit word hashes. One earlier match removes a line, so every list first
-   offers a line's closest few partners; the lines that had more of them and weren't removed get all, in a second turn.
+   offers a line's closest few partners. Lists with lines that had more are kept, and the lines among them that weren't
+   removed get all their partners in a second turn over those lists alone.
 
 Equal sets need no verification. Cases: null and empty texts have no lines to remove; a null id counts as the least;
 rows with equal id and text are one document, so their lines aren't removed for each other; a word repeated in a line
@@ -36,8 +37,8 @@ SLOTS, SHEET = 1 << 22, 1 << 16
 #: postings that a bucket of lists holds on average; those a task holds before it sends them
 BUCKET, HELD = 400_000, 400_000
 #: partners that a list offers for a line in the first turn; lists that are first compared with their earliest lines
-OFFERS, LONG_LIST, PIVOTS = 4, 2048, 16
-PAIRS = 2_000_000
+OFFERS, LONG_LIST, PIVOTS = 4, 256, 16
+PAIRS = 400_000
 FILTER_BITS = 22
 POSTING = np.dtype([("tok", "<u8"), ("key", "<u8"), ("b0", "<u8"), ("b1", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4"), ("n", "<i4"), ("i", "<i4")])
 PLACE = np.dtype([("key", "<u8"), ("b0", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
@@ -112,6 +113,21 @@ def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32), lines
 
 
+def ordered(line: np.ndarray, seen: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by line, count and hash: one sort of what fits 64 bits, then the few ties by the whole hash."""
+    if not len(h) or int(line[-1]) >= 1 << 20:
+        return np.lexsort((h, seen, line))
+    short = line.astype(U64) << U64(44) | np.minimum(seen, (1 << 24) - 1).astype(U64) << U64(20) | h >> U64(44)
+    order = np.argsort(short)
+    short = short[order]
+    alike = short[1:] == short[:-1]
+    tied = np.flatnonzero(np.concatenate([[False], alike]) | np.concatenate([alike, [False]]))
+    if len(tied):
+        own = order[tied]
+        order[tied] = own[np.lexsort((h[own], seen[own], short[tied]))]
+    return order
+
+
 class Sets:
     """The lines of some texts as ordered sets of word hashes: ``tok`` line after line, rarest first."""
 
@@ -119,7 +135,7 @@ class Sets:
         w = Words(texts, lower=True)
         h = w.hash
         seen = counts[slot(h)] if counts is not None else np.zeros(len(h), dtype=np.uint32)
-        order = np.lexsort((h, seen, w.line))
+        order = ordered(w.line, seen, h)
         line, h, seen = w.line[order], h[order], seen[order]
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, dtype=bool)
         line, h, seen = line[new], h[new], seen[new]
@@ -199,122 +215,172 @@ def near(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
     return ok[good], bits[good]
 
 
-def partners(x: np.ndarray, targets: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidate pairs (earlier, later, whether the later has more partners than are offered) of one bucket's lists.
-
-    ``targets``: a table of bits of the keys whose partners are all wanted; None in the first turn.
-    """
+def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings by list and length, each set once and at its earliest place; their rank by place."""
     x = x[np.lexsort((x["pos"], x["tag"], x["doc"], x["b0"], x["key"], x["tok"]))]
     x = x[np.concatenate([[True], (x["tok"][1:] != x["tok"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["b0"][1:] != x["b0"][:-1])])]
     time = np.empty(len(x), dtype=np.int64)
     time[np.lexsort((x["pos"], x["tag"], x["doc"]))] = np.arange(len(x))
     order = np.lexsort((time, x["n"], x["tok"]))
-    x, time = x[order], time[order]
+    return x[order], time[order]
+
+
+def partners(x: np.ndarray):
+    """The first turn over one bucket's lists: (earlier, later) of the pairs it offers, and postings of the lists in
+    which a later line has more partners than those."""
+    x, time = in_order(x)
     new = np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]])
     list_of = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
     size = np.diff(np.concatenate([begin, [len(x)]]))
-    wanted = targets[(x["key"] >> U64(64 - FILTER_BITS)).astype(np.int64)] if targets is not None else np.ones(len(x), dtype=bool)
-    # the lists of common size: every posting with those after it whose length is near enough
+    over = np.zeros(len(begin), dtype=bool)
+    # lists of common size: every posting with those after it whose length is near enough, some whole lists at a time
     level = list_of.astype(np.int64) << 32
     high = np.searchsorted(level | x["n"], level | (x["n"].astype(np.int64) * 5 // 4), side="right")
     many = np.where(size[list_of] > LONG_LIST, 0, high - np.arange(len(x)) - 1)
     cut = np.concatenate([[0], np.cumsum(many)])
-    found, at = [], 0
-    while at < len(x):
-        to = max(at + 1, int(np.searchsorted(cut, cut[at] + PAIRS, side="right")) - 1)
-        a = np.repeat(np.arange(at, to), many[at:to])
-        b = a + 1 + np.arange(len(a)) - np.repeat(cut[at:to] - cut[at], many[at:to])
-        ok, bits = near(x, a, b)
-        found.append((a[ok], b[ok], bits))
+    at, ends = 0, np.concatenate([begin, [len(x)]])
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(cut[ends], cut[ends[at]] + PAIRS, side="right")) - 1)
+        lo, hi = ends[at], ends[to]
+        if cut[hi] > cut[lo]:
+            a = np.repeat(np.arange(lo, hi), many[lo:hi])
+            b = a + 1 + np.arange(len(a)) - np.repeat(cut[lo:hi] - cut[lo], many[lo:hi])
+            ok, bits = near(x, a, b)
+            early, late, more = closest(time, a[ok], b[ok], bits)
+            over[list_of[more]] = True
+            yield x[early], x[late], None
         at = to
-    if found:
-        yield from offered(x, time, wanted, targets is None, *(np.concatenate(c) for c in zip(*found, strict=True)))
     for k in np.flatnonzero(size > LONG_LIST).tolist():
+        # lines like one of the earliest are offered those; the others are compared with all
         own = begin[k] + np.argsort(time[begin[k] : begin[k] + size[k]], kind="stable")
-        done = ~wanted[own]
-        if targets is None:  # lines like one of the earliest are offered those, and all others later if that fails
-            a, b = np.repeat(own[:PIVOTS], len(own)), np.tile(own, PIVOTS)
-            late = time[a] < time[b]
-            a, b = a[late], b[late]
-            ok, bits = near(x, a, b)
-            done |= np.isin(own, b[ok])
-            yield from offered(x, time, wanted, True, a[ok], b[ok], bits, more=True)
-        for y in np.flatnonzero(~done).tolist():
-            for lo in range(0, y, PAIRS):
-                a = own[lo : min(y, lo + PAIRS)]
-                ok, bits = near(x, a, np.full(len(a), own[y]))
-                yield from offered(x, time, wanted, False, a[ok], np.full(len(ok), own[y]), bits)
-
-
-def offered(x, time, wanted, first_turn: bool, a, b, bits, more: bool = False):
-    early, late = np.where(time[a] < time[b], a, b), np.where(time[a] < time[b], b, a)
-    keep = wanted[late]
-    early, late, bits = early[keep], late[keep], bits[keep]
-    over = np.full(len(late), more)
-    if first_turn and len(late):
-        order = np.lexsort((time[early], bits, late))
-        early, late = early[order], late[order]
-        start = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]]))
-        count = np.diff(np.concatenate([start, [len(late)]]))
-        nth = np.arange(len(late)) - np.repeat(start, count)
-        over = np.repeat((count > OFFERS) | more, count)[nth < OFFERS]
-        early, late = early[nth < OFFERS], late[nth < OFFERS]
-    yield x[early], x[late], over
-
-
-RESULT = "kind int, key long, b0 long, doc long, tag long, pos int, other long, more boolean"
-ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("b0", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("other", pa.int64()), ("more", pa.bool_())])
-
-
-def batch_of(kind: int, rows: np.ndarray, other: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(rows)
-    columns = [np.full(n, kind, dtype=np.int32), rows["key"].view(np.int64) if rows["key"].flags.c_contiguous else rows["key"].copy().view(np.int64), rows["b0"].copy().view(np.int64), rows["doc"].copy(), rows["tag"].astype(np.int64), rows["pos"].copy()]
-    columns += [np.zeros(n, dtype=np.int64) if other is None else other.copy().view(np.int64), np.zeros(n, dtype=bool) if more is None else more]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
-
-
-def joined(targets: np.ndarray | None):
-    """Candidate pairs (kind 0) of the buckets' lists and the places of lines (kind 1), bucket after bucket."""
-
-    def solve(raw: list[bytes]):
-        x = np.frombuffer(b"".join(raw), dtype=POSTING)
-        for early, late, over in partners(x, targets) if len(x) else ():
-            if len(early):
-                both = np.unique(np.stack([late["key"], early["key"]], axis=1), axis=0, return_index=True)[1]
-                yield batch_of(0, late[both], early["key"][both], over[both])
+        a, b = np.repeat(own[:PIVOTS], len(own)), np.tile(own, min(PIVOTS, len(own)))
+        late = time[a] < time[b]
+        a, b = a[late], b[late]
+        ok, bits = near(x, a, b)
+        done = np.isin(own, b[ok])
+        over[k] |= done.any()
+        early, late, _ = closest(time, a[ok], b[ok], bits)
+        yield x[early], x[late], None
+        for early, late, bits in against_all(x, own, np.flatnonzero(~done)):
+            early, late, more = closest(time, early, late, bits)
+            over[k] |= len(more) > 0
+            yield x[early], x[late], None
+    kept = over[list_of]
+    if kept.any():
+        yield x[:0], x[:0], x[kept]
+
+
+def against_all(x: np.ndarray, own: np.ndarray, which: np.ndarray):
+    """For some lines of a list in order of place, by their numbers: all pairs with earlier lines that pass the filters."""
+    at = 0
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(which[at:]), PAIRS, side="right")) + at)
+        b = np.repeat(which[at:to], which[at:to])
+        a = np.arange(len(b)) - np.repeat(np.cumsum(which[at:to]) - which[at:to], which[at:to])
+        a, b = own[a], own[b]
+        ok, bits = near(x, a, b)
+        yield a[ok], b[ok], bits
+        at = to
+
+
+def closest(time: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray):
+    """The OFFERS closest earlier partners of each later line; the later lines that have more."""
+    swap = time[a] > time[b]
+    early, late = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((time[early], bits, late))
+    early, late = early[order], late[order]
+    start = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.concatenate([start, [len(late)]])) if len(late) else start
+    nth = np.arange(len(late)) - np.repeat(start, count)
+    return early[nth < OFFERS], late[nth < OFFERS], late[start[count > OFFERS]]
+
+
+def all_partners(x: np.ndarray, targets: np.ndarray):
+    """The second turn over kept lists: (earlier, later) of all pairs whose later line is a target."""
+    x, time = in_order(x)
+    begin = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]]))
+    wanted = targets[top_bits(x["key"])]
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(x)], strict=True):
+        if wanted[lo:hi].any():
+            own = lo + np.argsort(time[lo:hi], kind="stable")
+            for early, late, _ in against_all(x, own, np.flatnonzero(wanted[own])):
+                yield x[early], x[late], None
+
+
+def top_bits(x: np.ndarray) -> np.ndarray:
+    return (x >> U64(64 - FILTER_BITS)).astype(np.int64)
 
+
+def place_hash(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(doc.astype(np.int64).view(U64) * MIX_A + tag.astype(U64)) + pos.astype(U64) + U64(1))
+
+
+NAMES = {"kind": pa.int32(), "key": pa.int64(), "b0": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "other": pa.int64(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary()}
+ARROW = pa.schema(list(NAMES.items()))
+RESULT = "kind int, key long, b0 long, doc long, tag long, pos int, other long, place long, other_place long, raw binary"
+
+
+def result(kind: int, n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
+    """A batch of RESULT; columns that aren't given are null."""
+    signed = lambda c: c.copy().view(np.int64) if isinstance(c, np.ndarray) and c.dtype == U64 else c
+    full = {"kind": np.full(n, kind, dtype=np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(signed(full[k]), t) if k in full else pa.nulls(n, t) for k, t in NAMES.items()], schema=ARROW)
+
+
+def pairs_of(found) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 for pairs, of kind 2 for kept lists."""
+    for early, late, kept in found:
+        if len(early):
+            own = np.unique(np.stack([late["key"], early["key"]], axis=1), axis=0, return_index=True)[1]
+            early, late = early[own], late[own]
+            yield result(0, len(own), key=late["key"], other=early["key"], place=place_hash(late["doc"], late["tag"], late["pos"]), other_place=place_hash(early["doc"], early["tag"], early["pos"]))
+        if kept is not None:
+            cut = np.flatnonzero(np.concatenate([[True], kept["tok"][1:] != kept["tok"][:-1]])).tolist()
+            for lo, hi in zip(cut, [*cut[1:], len(kept)], strict=True):
+                yield result(2, 1, raw=[kept[lo:hi].tobytes()])
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First turn, bucket after bucket: pairs (kind 0), places of lines (kind 1), lists for the second turn (kind 2)."""
+    held: list[bytes] = []
+    bucket = None
+    for batch in batches:
+        for kind, b, raw in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            if kind == 1:
+                x = np.frombuffer(raw, dtype=PLACE)
+                yield result(1, len(x), key=x["key"], b0=x["b0"], doc=x["doc"].copy(), tag=x["tag"].astype(np.int64), pos=x["pos"].copy())
+                continue
+            if b != bucket and held:
+                yield from pairs_of(partners(np.frombuffer(b"".join(held), dtype=POSTING)))
+                held = []
+            bucket = b
+            held.append(raw)
+    if held:
+        yield from pairs_of(partners(np.frombuffer(b"".join(held), dtype=POSTING)))
+
+
+def rejoined(targets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        bucket = None
         for batch in batches:
-            for kind, b, raw in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                if kind == 1:
-                    if targets is None:
-                        yield batch_of(1, np.frombuffer(raw, dtype=PLACE))
-                    continue
-                if b != bucket:
-                    yield from solve(held)
-                    held, bucket = [], b
-                held.append(raw)
-        yield from solve(held)
+            for raw in batch.column("raw").to_pylist():
+                yield from pairs_of(all_partners(np.frombuffer(raw, dtype=POSTING), targets))
 
     return run
 
 
-def turn(rows: DataFrame, counts: np.ndarray, lines: int, targets: np.ndarray | None) -> DataFrame:
+def first_turn(rows: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
     buckets = max(8, -(-lines * 9 // BUCKET))
     posts = rows.mapInArrow(posted(counts, buckets), "kind int, bucket int, raw binary")
-    if targets is not None:
-        posts = posts.where("kind = 0")
     dealt = posts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return written(dealt.mapInArrow(joined(targets), RESULT), "pairs")
+    return written(dealt.mapInArrow(joined, RESULT), "pairs")
 
 
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """Which values the first bits of the keys take: a table of fixed size."""
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Which values the first bits of the column ``v`` take: a table of fixed size."""
     out = np.zeros(1 << FILTER_BITS, dtype=bool)
-    top = keys.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("t")).distinct()
+    top = values.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t")).distinct()
     words = top.groupBy(F.expr("t div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, t % 32)")).alias("x"))
     for w, x in words.toLocalIterator():
         out[w * 32 : w * 32 + 32] = (x >> np.arange(32)) & 1
@@ -322,29 +388,41 @@ def bit_table(keys: DataFrame) -> np.ndarray:
 
 
 def sets_of(involved: np.ndarray):
-    """The word sets of the lines whose key may be involved in a pair, once a slice."""
+    """The word sets of the lines whose place may be involved in a pair; other lines aren't taken apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 1_200_000):
-                s = Sets(texts[a:b], None)
-                hit = np.flatnonzero(involved[(s.key >> U64(64 - FILTER_BITS)).astype(np.int64)])
-                hit = hit[np.unique(s.key[hit], return_index=True)[1]]
-                size = s.n[hit]
-                at = np.repeat(s.first[hit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s.tok[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.key[hit].view(np.int64)), lists], names=["id", "words"])
+            many = np.fromiter((x.count("\n") + 1 if x else 0 for x in texts), dtype=np.int64, count=len(texts))
+            text = np.repeat(np.arange(len(texts)), many)
+            pos = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+            place = place_hash(batch.column("doc").to_numpy()[text], batch.column("tag").to_numpy()[text], pos)
+            hit = np.flatnonzero(involved[top_bits(place)])
+            lines: list[str] = []
+            for t, own in zip(*_grouped(text[hit], pos[hit]), strict=True):
+                parts = texts[t].split("\n")
+                lines += [parts[p] for p in own]
+            for a, b in slices(lines, 1_200_000):
+                s = Sets(lines[a:b], None)
+                size = np.concatenate([[0], np.cumsum(s.n)])
+                yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["id", "words"])
 
     return run
 
 
+def _grouped(text: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[list[int]]]:
+    if not len(text):
+        return [], []
+    cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    return text[cut].tolist(), [x.tolist() for x in np.split(pos, cut[1:])]
+
+
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The keys with an earlier line of Jaccard similarity 0.8 or more among their candidate pairs."""
+    places = pairs.select(F.explode(F.array("place", "other_place")).alias("v"))
+    sets = rows.mapInArrow(sets_of(bit_table(places)), "id long, words array<long>")
+    sets = written(sets.groupBy("id").agg(F.any_value("words").alias("words")), "sets")
     pairs = pairs.select("key", "other").distinct()
-    ends = pairs.select("key").union(pairs.select(F.col("other").alias("key"))).distinct()
-    sets = rows.mapInArrow(sets_of(bit_table(ends)), "id long, words array<long>")
-    sets = written(sets.join(ends, F.col("id") == F.col("key"), "left_semi").groupBy("id").agg(F.any_value("words").alias("words")), "sets")
     left = pairs.join(sets.select(F.col("id").alias("key"), F.col("words").alias("x")), "key")
     both = left.join(sets.select(F.col("id").alias("other"), F.col("words").alias("y")), "other")
     enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
@@ -354,13 +432,16 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def removals(rows: DataFrame) -> DataFrame:
     """(doc, tag, removed): the numbers of the lines that go, for documents that lose any; ``rows`` as from tagged()."""
     counts, lines = rarity(rows)
-    result = turn(rows, counts, lines, None)
-    pairs, places = result.where("kind = 0"), result.where("kind = 1")
+    found = first_turn(rows, counts, lines)
+    pairs, places, lists = (found.where(F.col("kind") == k) for k in range(3))
     gone = written(verified(rows, pairs), "gone")
-    left = written(pairs.where("more").select("key").distinct().join(gone, "key", "left_anti"), "left")
-    if not left.isEmpty():
-        again = turn(rows, counts, lines, bit_table(left))
-        gone = gone.union(verified(rows, again.join(left, "key", "left_semi")))
+    # lines of kept lists that are still there, once their few partners have failed
+    left = written(pairs.select("key").distinct().join(gone, "key", "left_anti"), "left")
+    if not lists.isEmpty() and not left.isEmpty():
+        rest = lists.select("raw").repartition(F.xxhash64("raw")).mapInArrow(rejoined(bit_table(left.select(F.col("key").alias("v")))), RESULT)
+        rest = written(rest.join(left, "key", "left_semi").join(pairs.select("key", "other"), ["key", "other"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            gone = gone.union(verified(rows, rest))
     earliest = places.groupBy("key", "b0").agg(F.min(F.struct("doc", "tag", "pos")).alias("first"), F.max(F.struct("doc", "tag", "pos")).alias("last"))
     marked = earliest.join(gone.withColumn("similar", F.lit(True)), "key", "left").where("similar or first < last")
     hit = places.select("key", "b0", "doc", "tag", "pos").join(marked, ["key", "b0"]).where(F.coalesce("similar", F.lit(False)) | (F.struct("doc", "tag", "pos") > F.col("first")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, language, lines, quality, rules, simhash, tiling, unigram, urls
+from . import counts, language, licenses, lines, quality, rules, simhash, tiling, unigram, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": counts.op4_token_counts,
     "op5_decontamination": tiling.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_line_dedup": lines.op10_line_dedup,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
