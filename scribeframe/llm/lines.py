@@ -69,7 +69,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines += len(np.unique(w.line))
             held.append(slot(w.hash))
             n += len(held[-1])
-            if n > 4 * SLOTS:
+            if n > SLOTS:
                 total += np.bincount(np.concatenate(held), minlength=SLOTS)
                 held, n = [], 0
     if held:

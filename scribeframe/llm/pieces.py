@@ -95,7 +95,7 @@ def load(path: str = MODEL, scores: str = "rank") -> Vocabulary:
 #: parts longer than this are cut at characters outside the alphabet
 LONG = 64
 #: numbers that a worker process remembers for units, by vocabulary and operator, before it starts anew
-KNOWN = 600_000
+KNOWN = 300_000
 BARE = "\0"  # stands before a unit without a marker
 
 

@@ -159,11 +159,13 @@ def train(rows: list[tuple[str, int]], epochs: int = 40, rate: float = 0.1, seed
 
 
 def sample(docs: DataFrame, labels: DataFrame, value: str = "quality") -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows: the least hash in each of SAMPLE_ROWS slots a label, SAMPLE_CHARS characters each."""
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col(value).alias("y")).where("y in (0, 1) and _id is not null")
-    both = docs.select(F.col("doc_id").alias("_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h")).where("text is not null").join(marked, "_id")
-    small = both.groupBy("y", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x"))
-    return [(r["text"], int(r["y"])) for r in small.select("y", "x.text").orderBy("y", "text").collect()]
+    """A bounded sample of labelled rows: the id with the least hash in each of SAMPLE_ROWS slots a label, SAMPLE_CHARS
+    characters each. Ids are chosen without the texts; the chosen ones, 2 * SAMPLE_ROWS at most, fetch theirs."""
+    marked = labels.select(F.col("doc_id").alias("id"), F.col(value).alias("y")).where("y in (0, 1) and id is not null")
+    there = docs.select(F.col("doc_id").alias("id")).join(marked, "id").withColumn("h", F.xxhash64("id"))
+    chosen = there.groupBy("y", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("x")).select("y", "x.id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
+    return [(r["text"], int(r["y"])) for r in texts.join(F.broadcast(chosen), "id").select("y", "text").orderBy("y", "text").limit(4 * SAMPLE_ROWS).collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

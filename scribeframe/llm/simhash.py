@@ -216,7 +216,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     while mark in docs.columns:
         mark += "_"
     kept = components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
