@@ -95,9 +95,10 @@ def listed(pages: DataFrame, listing: DataFrame, key: str = "_key") -> DataFrame
         return pages.join(exact, F.col(key) == F.col("_entry"), "left").withColumn("_listed", F.col("_entry").isNotNull()).drop("_entry")
     block, places = bit_places(F.col(key), found[0])
     probed = pages.withColumn("_maybe", maybe(*found)(block, places))
-    # one plan for both kinds: where the filter says no, the join's key is null and matches nothing
-    joined = probed.withColumn("_probe", F.when(F.col("_maybe"), F.col(key))).join(exact, F.col("_probe") == F.col("_entry"), "left")
-    return joined.withColumn("_listed", F.col("_entry").isNotNull()).drop("_entry", "_probe", "_maybe")
+    # where the filter says no, the join's key is spread over hashes, since null keys would all meet in one task
+    spread = F.concat(F.lit("\0"), F.hex(F.xxhash64(key)))
+    joined = probed.withColumn("_probe", F.when(F.col("_maybe"), F.col(key)).otherwise(spread)).join(exact, F.col("_probe") == F.col("_entry"), "left")
+    return joined.withColumn("_listed", F.col("_maybe") & F.col("_entry").isNotNull()).drop("_entry", "_probe", "_maybe")
 
 
 def judge(pages: DataFrame, listing: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
