@@ -84,3 +84,17 @@ def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests (key, fingerprint) with ``status``: hit, miss, or invalid where the entry is of another recording."""
     c = cache.where(F.col("key").rlike("^[0-9a-f]{64}$")).groupBy("key").agg(F.max("fingerprint").alias("_f"))
     return requests.join(c, "key", "left").withColumn("status", F.when(F.col("_f").isNull(), "miss").when(F.col("_f") == F.col("fingerprint"), "hit").otherwise("invalid")).drop("_f")
+
+
+def health(specs: DataFrame, tools: dict[str, str | None], offline: bool = False) -> DataFrame:
+    """(check, status, detail) of a deployment: the programs by name and version (None: not there), and every engine."""
+    programs = specs.sparkSession.createDataFrame([(k, "AVAILABLE" if v else "MISSING", v or "not found") for k, v in sorted(tools.items())], "check string, status string, detail string")
+    detail = F.when(F.col("available"), F.concat(F.col("mode"), F.when(F.col("network"), F.lit(", needs a network")).otherwise(F.lit("")))).otherwise("not installed")
+    usable = F.col("available") & ~(F.lit(offline) & F.col("network"))
+    return programs.union(specs.select(F.concat(F.lit("engine:"), "id"), F.when(usable, "AVAILABLE").otherwise("MISSING"), detail))
+
+
+def ready(specs: DataFrame, tools: dict[str, str | None], default: str, offline: bool = False, local_models: tuple[str, ...] | list[str] = ()) -> bool:
+    """Whether work can begin: both media programs and the default engine, and offline one of its models on this host."""
+    models = F.lit(not offline) | F.arrays_overlap("models", F.array(*[F.lit(x) for x in local_models]).cast("array<string>"))
+    return all(tools.get(x) for x in ("ffmpeg", "ffprobe")) and not specs.where(F.col("id") == default).where("available").where(models).isEmpty()
