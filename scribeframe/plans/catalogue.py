@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators import builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
+from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
 from scribeframe.plans.oracle import SQL  # noqa: F401
 from scribeframe.sources import conversations as C
 from scribeframe.streaming import follow
@@ -210,6 +210,22 @@ def segment_builder(spark, d):
     return out.groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("words"))
 
 
+def token_groups(spark, d):
+    """Words as tokens, of which half have no duration and some are commas."""
+    zero, comma = F.col("idx") % 4, F.col("idx") % 11
+    rows = _words(spark, d).select("doc", F.col("idx").alias("n"), "s", F.when(zero.isin(1, 2), F.col("s")).otherwise(F.col("e")).alias("e"), F.when((zero == 2) | (comma == 1), F.lit(",")).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("piece"))
+    return alignment.token_groups(rows, ("doc",), 80).withColumns({"s": F.col("s").cast("long"), "e": F.col("e").cast("long")})
+
+
+def aligned_words(spark, d):
+    """Segments as chunks, their words as an aligner's items of which every fifth time was repaired."""
+    words = _words(spark, d).withColumn("t", F.regexp_replace("text", r"[^\p{L}\p{N}']", "")).where("t <> ''")
+    item = F.struct("pos", F.col("t").alias("text"), ((F.col("s") - F.col("seg") * 1000) / 1000).alias("s"), ((F.col("e") - F.col("seg") * 1000) / 1000).alias("e"), (F.col("idx") % 5 != 0).alias("own_s"), (F.col("idx") % 5 != 3).alias("own_e"))
+    items = words.groupBy("doc", "seg").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    chunks = _segments(spark, d).join(items, ["doc", "seg"]).select("doc", F.col("seg").cast("long").alias("chunk"), "text", F.lit(86_400.0).alias("duration"), "items")
+    return alignment.aligned_words(chunks)
+
+
 def clamp_clean(spark, d):
     raw = _segments(spark, d).select("doc", F.col("seg").alias("n"), (F.col("s") / 1000).alias("s"), F.when(F.col("seg") % 4 == 2, F.col("s") / 1000).otherwise(F.col("e") / 1000).alias("e"), F.concat(F.lit("  "), "text", F.lit(" \t")).alias("text"), F.lit(15.0).alias("duration"))
     out = builder.clean_segments(raw)
@@ -286,7 +302,7 @@ QUERIES = {
         words_index, segments_view, normalize, fold_text, fold_full, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
         interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
         select_index_runs, select_keep_segments, validate_segments, validate_words, leakage_scan, term_counts, terms, prompts, corrections,
-        corrections_substring, segment_builder, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
+        corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay,
     )
 } | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

@@ -164,3 +164,23 @@ _EVENTS = """with {segments}, b as (select *, lag(e) over (partition by doc orde
   select doc, doc || '_spev_' || printf('%04d', g::bigint) as event, min(s)::bigint as start, arg_max(e, seg)::bigint as "end", count(*)::bigint as segments, string_agg(text, ' ' order by seg) as text from g group by doc, g"""
 SQL["speech_events"] = _EVENTS.format(segments=SEGMENTS, gap=0)
 SQL["speech_events_gap"] = _EVENTS.format(segments=SEGMENTS, gap=800)
+
+SQL["token_groups"] = (
+    "with "
+    + WORDS.lstrip()
+    + r""",
+tokens as (select doc, idx as n, s, case when idx % 4 in (1, 2) then s else e end as e, case when idx % 4 = 2 or idx % 11 = 1 then ',' else text end as text from words),
+kinds as (select *, e > s as closes, e <= s and not regexp_matches(text, '[\p{L}\p{N}]') as mark from tokens),
+near as (select *, max(case when closes then n end) over (partition by doc order by n rows between unbounded preceding and current row) as before,
+  min(case when closes then n end) over (partition by doc order by n rows between current row and unbounded following) as after,
+  max(case when not closes and not mark then n end) over (partition by doc order by n rows between unbounded preceding and current row) as held from kinds),
+kept as (select *, mark and before is not null and (held is null or held < before) as attached from near),
+anchored as (select *, case when closes then n when attached then before else after end as anchor from kept),
+tails as (select doc, max(e) > min(s) as spans from anchored where anchor is null group by doc),
+joined as (select a.*, a.anchor is null and not t.spans and a.before is not null as joins from anchored a left join tails t on a.doc = t.doc),
+ranked as (select *, dense_rank() over (partition by doc order by coalesce(case when joins then before else anchor end, 9223372036854775807))::bigint as g from joined)
+select doc, g, min(case when not attached and not joins then s end)::bigint as s,
+  case when max(case when not attached and not joins then e end) > min(case when not attached and not joins then s end) then max(case when not attached and not joins then e end) else min(case when not attached and not joins then s end) + 80 end::bigint as e,
+  string_agg(text, '' order by n) as text, count(*)::bigint as tokens
+from ranked group by doc, g"""
+)
