@@ -36,6 +36,8 @@ MIN_WORDS = 5
 SLOTS, SHEET = 1 << 22, 1 << 16
 #: postings that a bucket of lists holds on average; those a task holds before it sends them
 BUCKET, HELD = 400_000, 400_000
+#: partitions of a table of fixed size on its way to the driver, which runs a job for each
+FEW = 8
 #: partners that a list offers for a line in the first turn; lists that are first compared with their earliest lines
 OFFERS, LONG_LIST, PIVOTS = 4, 256, 16
 PAIRS = 400_000
@@ -105,7 +107,7 @@ def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
     part = rows.select("text").mapInArrow(counted, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     half = part.repartition("sheet", "salt").select("sheet", "raw").mapInArrow(added, schema)
     total, lines = np.zeros(SLOTS, dtype=np.int64), 0
-    for k, raw in half.repartition("sheet").mapInArrow(added, schema).toLocalIterator():
+    for k, raw in half.repartition(FEW, "sheet").mapInArrow(added, schema).toLocalIterator():
         if k < 0:
             lines += int(np.frombuffer(raw, dtype="<i8")[0])
         else:
@@ -380,9 +382,9 @@ def first_turn(rows: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
 def bit_table(values: DataFrame) -> np.ndarray:
     """Which values the first bits of the column ``v`` take: a table of fixed size."""
     out = np.zeros(1 << FILTER_BITS, dtype=bool)
-    top = values.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t")).distinct()
+    top = values.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t"))
     words = top.groupBy(F.expr("t div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, t % 32)")).alias("x"))
-    for w, x in words.toLocalIterator():
+    for w, x in words.repartition(FEW).toLocalIterator():
         out[w * 32 : w * 32 + 32] = (x >> np.arange(32)) & 1
     return out
 
