@@ -55,22 +55,22 @@ def rejected(requirements: DataFrame, specs: DataFrame) -> DataFrame:
     c = F.col
     reasons = F.array_compact(
         F.array(
-            F.when(c("offline") & c("network"), "requires_network"),
-            F.when(c("language").isNotNull() & (F.size("languages") > 0) & ~F.array_contains("languages", F.coalesce("language", F.lit(""))), "language"),
-            F.when(c("language").isNull() & ~c("detection"), "no_detection"),
-            F.when(c("needs_words") & ~c("words"), "no_words"),
-            F.when(c("needs_vocabulary") & ~c("vocabulary"), "no_vocabulary"),
+            F.when(c("offline") & c("network"), "network_required"),
+            F.when(c("language").isNotNull() & (F.size("languages") > 0) & ~F.array_contains("languages", F.coalesce("language", F.lit(""))), "language_unsupported"),
+            F.when(c("language").isNull() & ~c("detection"), "language_detection_unsupported"),
+            F.when(c("needs_words") & ~c("words"), "word_timestamps_unsupported"),
+            F.when(c("needs_vocabulary") & ~c("vocabulary"), "custom_vocabulary_unsupported"),
         )
     )
     only = lambda x: F.array(F.lit(x))
-    found = F.when(c("engine").isNotNull() & (c("engine") != c("id")), only("other_engine")).when(~c("available"), only("not_installed")).otherwise(reasons)
+    found = F.when(c("engine").isNotNull() & (c("engine") != c("id")), only("engine_id_mismatch")).when(~c("available"), F.array_compact(F.array(F.when(c("offline") & c("network"), "network_required"), F.lit("engine_not_installed")))).otherwise(reasons)
     return both.select("req", "id", F.array_join(found, ",").alias("reasons"))
 
 
 def first_error(requests: DataFrame) -> DataFrame:
     """The gate's first error of requests (offline, network, installed, language_ok, words_ok, detection_ok, vocabulary_ok)."""
     c = F.col
-    code = F.when(c("offline") & c("network"), "NETWORK_REQUIRED").when(~c("installed"), "ENGINE_UNAVAILABLE").when(~c("language_ok"), "LANGUAGE_UNSUPPORTED").when(~c("words_ok"), "INVALID_INPUT").when(~c("detection_ok"), "LANGUAGE_UNSUPPORTED").when(~c("vocabulary_ok"), "INVALID_INPUT")
+    code = F.when(c("offline") & c("network"), "ENGINE_UNAVAILABLE").when(~c("installed"), "ENGINE_UNAVAILABLE").when(~c("language_ok"), "INVALID_INPUT").when(~c("words_ok"), "INVALID_INPUT").when(~c("detection_ok"), "INVALID_INPUT").when(~c("vocabulary_ok"), "INVALID_INPUT")
     return requests.withColumn("error", code)
 
 

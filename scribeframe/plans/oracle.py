@@ -141,9 +141,9 @@ SQL = {
         ('cloud-large', true, true, true, true, true, []), ('fast-local', true, false, true, true, true, []), ('ja-local', true, false, false, false, false, ['ja']),
         ('aligner', false, false, false, true, false, ['en', 'ja', 'zh']), ('program', true, false, false, true, false, ['en', 'fr', 'de'])),
       r as (select doc_id as req, case when doc_id % 7 = 0 then 'fast-local' end as engine, case when doc_id % 4 <> 0 then lang end as language, doc_id % 2 = 0 as offline, doc_id % 3 = 0 as needs_words, doc_id % 5 = 0 as needs_vocabulary from documents)
-      select req, id, case when engine is not null and engine <> id then 'other_engine' when not available then 'not_installed' else
-        concat_ws(',', case when offline and network then 'requires_network' end, case when language is not null and len(languages) > 0 and not list_contains(languages, language) then 'language' end,
-          case when language is null and not detection then 'no_detection' end, case when needs_words and not words then 'no_words' end, case when needs_vocabulary and not vocabulary then 'no_vocabulary' end) end as reasons from r, e""",
+      select req, id, case when engine is not null and engine <> id then 'engine_id_mismatch' when not available then concat_ws(',', case when offline and network then 'network_required' end, 'engine_not_installed') else
+        concat_ws(',', case when offline and network then 'network_required' end, case when language is not null and len(languages) > 0 and not list_contains(languages, language) then 'language_unsupported' end,
+          case when language is null and not detection then 'language_detection_unsupported' end, case when needs_words and not words then 'word_timestamps_unsupported' end, case when needs_vocabulary and not vocabulary then 'custom_vocabulary_unsupported' end) end as reasons from r, e""",
     "cache_antijoin": "select o_custkey as doc, o_orderkey as chunk from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')",
     "chunk_join": """with r as (select o.o_custkey as doc, l_orderkey as chunk, l_linenumber::bigint as n, l_linenumber * 6000 - 7000 as s, l_linenumber * 6000 + l_suppkey % 50 * 100 as e, o_orderkey * 30000 as off from lineitem l join orders o on l_orderkey = o_orderkey)
       select doc, chunk, n, (off + greatest(s, 0))::bigint as s, (off + least(e, 30000))::bigint as e from r where s < 30000 and off + least(e, 30000) > off + greatest(s, 0)""",

@@ -137,7 +137,7 @@ def test_chunk_plan():
 def test_engines(spark):
     req = spark.createDataFrame([(1, None, "fr", True, True, False), (2, "aligner", "en", False, False, False)], "req long, engine string, language string, offline boolean, needs_words boolean, needs_vocabulary boolean")
     got = {(r.req, r.id): r.reasons for r in engines.rejected(req, engines.engines(spark)).collect()}
-    assert got[1, "cloud-large"] == "requires_network" and got[1, "program"] == "" and got[1, "ja-local"] == "language,no_words" and got[2, "aligner"] == "not_installed" and got[2, "program"] == "other_engine"
+    assert got[1, "cloud-large"] == "network_required" and got[1, "program"] == "" and got[1, "ja-local"] == "language_unsupported,word_timestamps_unsupported" and got[2, "aligner"] == "engine_not_installed" and got[2, "program"] == "engine_id_mismatch"
     with pytest.raises(ValueError):
         engines.Registry([engines.ENGINES[0], engines.ENGINES[0]])
 
