@@ -1,10 +1,13 @@
 """Operator 9, licence scans: logistic regression on hashed word n-grams names the licence family of a paragraph.
 
-A paragraph is a line with one of the CUES; its words' 1- and 2-grams, hashed into BUCKETS, carry the weights. The
-scores of the families and of the class ``unknown`` go through a softmax with a fitted temperature; below FLOOR the
+A paragraph is a line with one of the CUES or NAMES; its words' 1- and 2-grams, hashed into BUCKETS, carry the weights.
+The scores of the families and of the class ``unknown`` go through a softmax with a fitted temperature; below FLOOR the
 answer is ``unknown``. A family counts once a template of its own confirms it: enough of the template's words stand in
-the paragraph. Scanning uses Spark's functions only; weights travel as one folded literal. Training, on the driver,
-sees templates with words dropped or added, and a bounded sample of the corpus's lines without cues.
+the paragraph. A line that no template confirms is joined with its neighbours up to a blank line, as many words on
+either side as the longest template has; every stretch of a template's length that holds enough of its words is scored
+like a line, so a notice is found at any line wrapping. Scanning uses Spark's functions only; weights and templates
+travel as folded literals. Training, on the driver, sees templates with words dropped or added, and a bounded sample of
+the corpus's lines without cues.
 
 Cases: null and empty texts and texts without a cue have no paragraph: null family, confidence 0; ties go to the first
 family by name; repeated rows get equal answers; other columns are neither read nor returned; an empty table gives none.
@@ -26,13 +29,17 @@ BUCKETS, FLOOR, CONFIRM = 4096, 0.6, 0.7
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 1500
 # Words of licence notices, and notices by family.
 CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "free software", "creative commons", "public domain", "rights reserved")
+#: names of licences that are cues by themselves; MIT in capitals only, as "mit" is a word
+NAMES = r"(?i:\b(?:[al]?gpl(?:v?[0-9.]+)?|mpl|bsd|apache|mozilla|cc0|cc[ -]by|by-(?:sa|nc|nd))\b)|\bMIT\b"
+#: what ends a run of neighbouring lines
+BLANK = r"\n[ \t\x0B\f\r]*(?=\n)"
 TEMPLATES = {
-    "apache": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    "cc": ("Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU GPL, version 2 or later."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "Apache License 2.0", "Apache-2.0"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "BSD License", "BSD-3-Clause", "BSD-2-Clause"),
+    "cc": ("Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY 4.0"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU GPL, version 2 or later.", "GPLv3", "GPLv2", "GNU GPL", "GPL-3.0", "GPL-2.0"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License"),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "Mozilla Public License", "MPL 2.0"),
 }
 STRANGERS = ("All rights reserved.", "Copyright by the authors.", "He lost his driving licence last year.", "A fishing licence is required here.", "Licence number on request.", "With the kind permission of the museum.", "The warranty ends after two years.", "Licensed to sell alcohol on these premises.", "Ask for permission before entering.", "This text is in the public domain.", "The licence fee was raised again.")
 WORD = r"[^a-z0-9.]+"
@@ -68,7 +75,7 @@ def examples(lines: list[str], rng: np.random.Generator, copies: int = 40) -> li
     for k, family in enumerate(sorted(TEMPLATES), 1):
         for text in TEMPLATES[family]:
             for i in range(copies):
-                w = [x for x in text.split() if i == 0 or rng.random() > 0.08]
+                w = [x for x in text.split() if i == 0 or rng.random() > 0.08] or text.split()
                 if i % 3 == 1:
                     w = [*rng.choice(extra, 4).tolist(), *w]
                 if i % 3 == 2:
@@ -115,12 +122,12 @@ def sample(docs: DataFrame) -> list[str]:
     """Lines without cues from the least hash in each of SAMPLE_ROWS slots."""
     cut = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
     small = cut.groupBy(F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x")).select("x.text").orderBy("text")
-    return [x for r in small.collect() for x in r.text.split("\n") if x.strip() and not any(c in x.lower() for c in CUES)][: 4 * SAMPLE_ROWS]
+    return [x for r in small.collect() for x in r.text.split("\n") if x.strip() and not any(c in x.lower() for c in CUES) and not re.search(NAMES, x)][: 4 * SAMPLE_ROWS]
 
 
 def has_cue(x: Column) -> Column:
     low = F.lower(x)
-    found = F.lit(False)
+    found = x.rlike(NAMES)
     for c in CUES:
         found = found | low.contains(c)
     return found
@@ -155,16 +162,50 @@ def paragraphs(model: Model, text: Column) -> Column:
         name = F.when(p >= FLOOR, F.element_at(names, F.array_position(x["e"], top).cast("int"))).otherwise("unknown")
         return F.struct(name.alias("family"), p.alias("confidence"), x["w"].alias("w"))
 
+    own = [(family, list(dict.fromkeys(words(t))), len(words(t))) for family, texts in sorted(TEMPLATES.items()) for t in texts]
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(x) for x in w]).alias("words"), F.lit(n).alias("span")) for f, w, n in own])
+    reach = max(n for _, _, n in own)
+
+    def holds(w, t):
+        return F.size(F.array_intersect(w, t["words"])) >= CONFIRM * F.size(t["words"])
+
+    def cued(units):
+        """The words of a run's lines with a cue, and those words with their neighbours."""
+        ahead = lambda i: F.slice(F.reverse(F.flatten(F.transform(F.slice(units, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach))), lambda u: u["w"]))), 1, reach)
+        behind = lambda i: F.slice(F.flatten(F.transform(F.slice(units, i + 1, reach), lambda u: u["w"])), 1, reach)
+        at = F.filter(F.transform(units, lambda u, i: F.when(u["cue"], i + 1)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(F.element_at(units, i)["w"].alias("w"), F.concat(F.reverse(ahead(i)), F.element_at(units, i)["w"], behind(i)).alias("near")))
+
+    def alone(x):
+        return F.struct(answer(judged(x["w"])).alias("a"), x["near"].alias("near"))
+
     def confirmed(x):
-        fits = F.lit(False)
-        for family, texts in sorted(TEMPLATES.items()):
-            for t in texts:
-                own = list(dict.fromkeys(words(t)))
-                fits = fits | ((x["family"] == family) & (F.size(F.array_intersect(x["w"], F.array(*[F.lit(w) for w in own]))) >= CONFIRM * len(own)))
-        return F.struct(x["family"].alias("family"), x["confidence"].alias("confidence"), fits.alias("confirmed"))
-
-    lines = F.filter(F.split(text, "\n", -1), lambda x: has_cue(x))
-    found = F.transform(F.transform(F.transform(F.transform(lines, tokens), judged), answer), confirmed)
+        fits = F.exists(templates, lambda t: (t["family"] == x["a"]["family"]) & holds(x["a"]["w"], t))
+        return F.struct(x["a"]["family"].alias("family"), x["a"]["confidence"].alias("confidence"), fits.alias("confirmed"), F.when(~fits & (F.size(x["near"]) > F.size(x["a"]["w"])), x["near"]).alias("near"))
+
+    def stretches(near):
+        """For each template whose words are near, the stretch of its length that holds most of them."""
+        hits = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - t["span"] + 1, F.lit(1))), lambda p: F.struct(F.size(F.array_intersect(F.slice(near, p, t["span"]), t["words"])).alias("hit"), (-p).alias("p")))
+        best = F.transform(F.filter(templates, lambda t: holds(near, t)), lambda t: F.struct(t.alias("t"), F.array_max(hits(t)).alias("best")))
+        return F.transform(best, lambda x: F.struct(x["t"].alias("t"), F.slice(near, -x["best"]["p"], x["t"]["span"]).alias("w")))
+
+    def joined(x):
+        """The surest family that a stretch around the line confirms, else the line's own answer."""
+        held = F.filter(stretches(x["near"]), lambda s: holds(s["w"], s["t"]))
+        scored = F.transform(F.transform(held, lambda s: F.struct(s["t"]["family"].alias("own"), judged(s["w"]).alias("j"))), lambda s: F.struct(s["own"].alias("own"), answer(s["j"]).alias("a")))
+        sure = F.transform(F.filter(scored, lambda s: s["a"]["family"] == s["own"]), lambda s: F.struct(s["a"]["confidence"].alias("confidence"), s["own"].alias("family")))
+        top = F.when(x["near"].isNotNull(), F.array_max(sure))
+        return F.struct(x["family"].alias("family"), x["confidence"].alias("confidence"), x["confirmed"].alias("confirmed"), top.alias("top"))
+
+    def settled(x):
+        got = x["top"].isNotNull()
+        return F.struct(F.when(got, x["top"]["family"]).otherwise(x["family"]).alias("family"), F.when(got, x["top"]["confidence"]).otherwise(x["confidence"]).alias("confidence"), (got | x["confirmed"]).alias("confirmed"))
+
+    runs = F.filter(F.split(text, BLANK, -1), lambda x: has_cue(x))
+    lines = F.transform(runs, lambda x: F.filter(F.transform(F.split(x, "\n", -1), lambda y: F.struct(tokens(y).alias("w"), has_cue(y).alias("cue"))), lambda u: F.size(u["w"]) > 0))
+    found = F.flatten(F.transform(lines, cued))
+    for step in (alone, confirmed, joined, settled):
+        found = F.transform(found, step)
     return F.when(has_cue(F.coalesce(text, F.lit(""))), found)
 
 

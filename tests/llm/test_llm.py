@@ -223,6 +223,24 @@ def test_licences(spark, docs):
     assert licenses.scan(empty(docs), model).count() == 0
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "mpl": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_licences_of_wrapped_notices_and_names(spark):
+    model = licenses.train([prose(i, 10) for i in range(60)])
+    narrow = {f: "\n".join(re.sub(r"[*#/\s]+", " ", t).split()) for f, t in NOTICES.items()}
+    cases = [(f, f"{prose(70)}\n{t}\n{prose(71)}") for f, t in NOTICES.items()] + [(f, f"{prose(72)}\n\n{t}") for f, t in narrow.items()]
+    cases += [("gpl", "Released under GPLv3."), ("cc", "CC BY-SA 4.0"), (None, "for example a simple word\nkommt mit"), ("unknown", NOTICES["mit"].replace("\n", "\n\n").replace("of this software", "x"))]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    rows = sorted(licenses.scan(table, model).collect(), key=lambda r: r.doc_id)
+    assert [r.family for r in rows] == [f for f, _ in cases]
+
+
 def brute_removed(rows):
     own = [(d, p, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x.lower()))) for d, t in rows for p, x in enumerate((t or "").split("\n"))]
     own = [x for x in own if len(x[2]) >= 5]
