@@ -18,7 +18,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    found = lines.deduplicated(docs)
+    found = lines.deduplicated(docs, least=1)
     return found.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("removed_lines")
 
 

@@ -1,12 +1,14 @@
 """Operator 10, line dedup: an exact set-similarity join of lines; the later of two matching lines goes.
 
 A line is the set of its lower-cased words. Two lines match if their sets' Jaccard similarity is 0.8 or more; a line is
-removed if any line before it, by (doc_id, text, line number), matches. Lines of fewer than five different words stay.
+removed if any line before it, by (doc_id, text, line number), matches. Lines of fewer than ``least`` different words
+stay: ``least`` is 1 in op10 and the pipeline, where only lines without a word stay, and MIN_WORDS unless given.
 
 1. Words are counted over all documents in a table of fixed size; a word's rarity is its slot's count, ties by hash.
    Any total order of words gives an exact join; the counts only make it fast.
 2. Every line puts its rarest words, as many as the prefix filter asks for, into the posting lists of those words, with
-   its length, the word's position and a parity bitmap of its set. A word seen once in the corpus needs no list.
+   its length, the word's position and a parity bitmap of its set. A word seen once in the corpus needs no list, nor
+   does a line of under UNEQUAL words, which matches equal sets only.
 3. Within a list, pairs pass the length filter, the positional filter and the bitmap's bound on the symmetric
    difference, none of which loses a match.
 4. Jaccard is verified on the whole sets of 64-bit word hashes. One earlier match removes a line, so every list first
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .kernel import MIX_A, U64, Words, mix, slices, table, written
 
 MIN_WORDS = 5
+#: words of the smallest set that an unequal set can match: 4 of 5
+UNEQUAL = 4
 #: slots of the count table, and how many travel together
 SLOTS, SHEET = 1 << 22, 1 << 16
 #: postings that a bucket of lists holds on average; those a task holds before it sends them
@@ -133,7 +137,7 @@ def ordered(line: np.ndarray, seen: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Sets:
     """The lines of some texts as ordered sets of word hashes: ``tok`` line after line, rarest first."""
 
-    def __init__(self, texts: list[str | None], counts: np.ndarray | None):
+    def __init__(self, texts: list[str | None], counts: np.ndarray | None, least: int = MIN_WORDS):
         w = Words(texts, lower=True)
         h = w.hash
         seen = counts[slot(h)] if counts is not None else np.zeros(len(h), dtype=np.uint32)
@@ -142,9 +146,9 @@ class Sets:
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, dtype=bool)
         line, h, seen = line[new], h[new], seen[new]
         n = np.bincount(line, minlength=len(w.line_start))
-        full = n[line] >= MIN_WORDS if len(line) else np.zeros(0, dtype=bool)
+        full = n[line] >= max(least, 1) if len(line) else np.zeros(0, dtype=bool)
         line, self.tok, self.seen = line[full], h[full], seen[full]
-        own = np.flatnonzero(n >= MIN_WORDS)
+        own = np.flatnonzero(n >= max(least, 1))
         self.n = n[own].astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
         self.text, self.pos = w.line_text[own], w.line_number()[own]
@@ -157,7 +161,7 @@ class Sets:
             self.bits = (odd.astype(U64) << np.arange(64, dtype=U64)).sum(axis=2, dtype=U64)
 
 
-def posted(counts: np.ndarray, buckets: int):
+def posted(counts: np.ndarray, buckets: int, least: int):
     """For each partition the postings and the places of its lines, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +170,12 @@ def posted(counts: np.ndarray, buckets: int):
             texts = batch.column("text").to_pylist()
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for a, b in slices(texts, 1_200_000):
-                s = Sets(texts[a:b], counts)
+                s = Sets(texts[a:b], counts, least)
                 where = np.zeros(len(s.n), dtype=PLACE)
                 where["key"], where["b0"], where["doc"], where["tag"], where["pos"] = s.key, s.bits[:, 0], doc[a:b][s.text], tag[a:b][s.text], s.pos
                 places.append(where)
                 prefix = s.n - (4 * s.n + 4) // 5 + 1
-                keep = (s.place < np.repeat(prefix, s.n)) & (s.seen > 1)
+                keep = (s.place < np.repeat(prefix, s.n)) & (s.seen > 1) & (s.n >= UNEQUAL)[s.row]
                 r = s.row[keep]
                 post = np.zeros(len(r), dtype=POSTING)
                 post["tok"], post["i"], post["n"], post["b1"] = s.tok[keep], s.place[keep], s.n[r], s.bits[r, 1]
@@ -372,9 +376,9 @@ def rejoined(targets: np.ndarray):
     return run
 
 
-def first_turn(rows: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
+def first_turn(rows: DataFrame, counts: np.ndarray, lines: int, least: int) -> DataFrame:
     buckets = max(8, -(-lines * 9 // BUCKET))
-    posts = rows.mapInArrow(posted(counts, buckets), "kind int, bucket int, raw binary")
+    posts = rows.mapInArrow(posted(counts, buckets, least), "kind int, bucket int, raw binary")
     dealt = posts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     return written(dealt.mapInArrow(joined, RESULT), "pairs")
 
@@ -405,7 +409,7 @@ def sets_of(involved: np.ndarray):
                 parts = texts[t].split("\n")
                 lines += [parts[p] for p in own]
             for a, b in slices(lines, 1_200_000):
-                s = Sets(lines[a:b], None)
+                s = Sets(lines[a:b], None, UNEQUAL)
                 size = np.concatenate([[0], np.cumsum(s.n)])
                 yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["id", "words"])
 
@@ -431,10 +435,10 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(enough).select("key").distinct()
 
 
-def removals(rows: DataFrame) -> DataFrame:
+def removals(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc, tag, removed): the numbers of the lines that go, for documents that lose any; ``rows`` as from tagged()."""
     counts, lines = rarity(rows)
-    found = first_turn(rows, counts, lines)
+    found = first_turn(rows, counts, lines, least)
     pairs, places, lists = (found.where(F.col("kind") == k) for k in range(3))
     gone = written(verified(rows, pairs), "gone")
     # lines of kept lists that are still there, once their few partners have failed
@@ -450,9 +454,9 @@ def removals(rows: DataFrame) -> DataFrame:
     return hit.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_lines", id_col: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_lines", id_col: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that go; ``removed``: their numbers, from 0. All other columns stay as they are."""
-    lost = written(removals(tagged(docs, id_col, text)), "removals")
+    lost = written(removals(tagged(docs, id_col, text), least), "removals")
     names = docs.columns
     own = [f"_{c}" for c in ("doc", "tag")]
     while set(own) & set(names):
@@ -474,5 +478,5 @@ def without(text: Column, gone: Column) -> Column:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    found = deduplicated(docs.withColumn("n_lines", n_lines.cast("int")))
+    found = deduplicated(docs.withColumn("n_lines", n_lines.cast("int")), least=1)
     return found.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed"))

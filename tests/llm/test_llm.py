@@ -274,6 +274,17 @@ def test_line_dedup(spark, monkeypatch, long_list):
     assert all(r.removed_lines == [] for r in lines.deduplicated(twice).collect())
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    pool = ["Of.", "of, ed", "x y z", "a b c d", "a b c d e", "a b c d f", "d c b a", "長い行には空白がない", "", "  ", "p q r s", "p q r s t u", "q r s t u", "Of. of."]
+    rows = [(d, "\n".join(rng.choice(pool, 3).tolist() + [f"own{d}"])) for d in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    own = [(d, p, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x.lower()))) for d, t in rows for p, x in enumerate(t.split("\n"))]
+    want = {(d, p) for k, (d, p, s) in enumerate(own) if s and any(9 * len(s & o) >= 4 * (len(s) + len(o)) for _, _, o in own[:k])}
+    got = lines.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, int(p)) for r in got for p in r.removed.split(",") if p} == want
+
+
 def test_pipeline_stages_on_the_smallest_table(spark):
     import corpus_pipeline
 
