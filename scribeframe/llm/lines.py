@@ -46,8 +46,8 @@ FEW = 8
 OFFERS, LONG_LIST, PIVOTS = 4, 256, 16
 PAIRS = 400_000
 FILTER_BITS = 22
-POSTING = np.dtype([("tok", "<u8"), ("key", "<u8"), ("b0", "<u8"), ("b1", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4"), ("n", "<i4"), ("i", "<i4")])
-PLACE = np.dtype([("key", "<u8"), ("b0", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
+POSTING = np.dtype([("tok", "<u8"), ("key", "<u8"), ("b0", "<u8"), ("b1", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("i", "<i4")])
+PLACE = np.dtype([("key", "<u8"), ("b0", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4")])
 LOWEST = -(1 << 63)
 
 
@@ -61,7 +61,7 @@ def slot(words: np.ndarray) -> np.ndarray:
 
 
 def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
 
 
@@ -320,7 +320,7 @@ def top_bits(x: np.ndarray) -> np.ndarray:
 
 def place_hash(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(mix(doc.astype(np.int64).view(U64) * MIX_A + tag.astype(U64)) + pos.astype(U64) + U64(1))
+        return mix(mix(doc.astype(np.int64).view(U64) * MIX_A + tag.astype(np.int64).view(U64)) + pos.astype(U64) + U64(1))
 
 
 NAMES = {"kind": pa.int32(), "key": pa.int64(), "b0": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "other": pa.int64(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary()}
@@ -356,7 +356,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, b, raw in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
             if kind == 1:
                 x = np.frombuffer(raw, dtype=PLACE)
-                yield result(1, len(x), key=x["key"], b0=x["b0"], doc=x["doc"].copy(), tag=x["tag"].astype(np.int64), pos=x["pos"].copy())
+                yield result(1, len(x), key=x["key"], b0=x["b0"], doc=x["doc"].copy(), tag=x["tag"].copy(), pos=x["pos"].copy())
                 continue
             if b != bucket and held:
                 yield from pairs_of(partners(np.frombuffer(b"".join(held), dtype=POSTING)))
@@ -461,7 +461,7 @@ def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_li
     own = [f"_{c}" for c in ("doc", "tag")]
     while set(own) & set(names):
         own = [f"_{c}" for c in own]
-    tag = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.withColumns({own[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), own[1]: tag})
     lost = lost.select(F.col("doc").alias(own[0]), F.col("tag").alias(own[1]), F.col("removed").alias(f"{own[0]}_r"))
     found = keyed.join(lost.hint("shuffle_hash"), own, "left")

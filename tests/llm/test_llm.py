@@ -285,6 +285,16 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert {(r.doc_id, int(p)) for r in got for p in r.removed.split(",") if p} == want
 
 
+def test_line_dedup_of_texts_alike_in_32_bits(spark):
+    low = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFFFFFF
+    shared = "some line of six words here"
+    first = {low(x): x for x in (f"own{i}\n{shared}" for i in range(200_000))}
+    other = next(x for x in (f"k{i}\nl{i} m{i} n{i} o{i} p{i}" for i in itertools.count()) if low(x) in first)
+    rows = [(1, shared), (7, first[low(other)]), (7, other)]
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted([shared, first[low(other)].split("\n")[0], other])
+
+
 def test_pipeline_stages_on_the_smallest_table(spark):
     import corpus_pipeline
 
