@@ -36,6 +36,8 @@ from .kernel import MIX_A, U64, Words, mix, slices, table, written
 MIN_WORDS = 5
 #: words of the smallest set that an unequal set can match: 4 of 5
 UNEQUAL = 4
+#: the highest count that orders words, of the 24 bits that a sort key has for it
+MOST_SEEN = (1 << 24) - 1
 #: slots of the count table, and how many travel together
 SLOTS, SHEET = 1 << 22, 1 << 16
 #: postings that a bucket of lists holds on average; those a task holds before it sends them
@@ -120,10 +122,12 @@ def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def ordered(line: np.ndarray, seen: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The order by line, count and hash: one sort of what fits 64 bits, then the few ties by the whole hash."""
+    """The order by line, count and hash: one sort of what fits 64 bits, then the few ties by the whole hash.
+    Counts over MOST_SEEN are equal in every slice, so all slices keep one order of words."""
+    seen = np.minimum(seen, MOST_SEEN)
     if not len(h) or int(line[-1]) >= 1 << 20:
         return np.lexsort((h, seen, line))
-    short = line.astype(U64) << U64(44) | np.minimum(seen, (1 << 24) - 1).astype(U64) << U64(20) | h >> U64(44)
+    short = line.astype(U64) << U64(44) | seen.astype(U64) << U64(20) | h >> U64(44)
     order = np.argsort(short)
     short = short[order]
     alike = short[1:] == short[:-1]

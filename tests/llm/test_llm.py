@@ -295,6 +295,13 @@ def test_line_dedup_of_texts_alike_in_32_bits(spark):
     assert sorted(r.text for r in got) == sorted([shared, first[low(other)].split("\n")[0], other])
 
 
+def test_words_seen_very_often_have_one_order():
+    rng = np.random.default_rng(3)
+    h, seen = rng.integers(0, 1 << 63, 200, dtype=np.uint64), rng.integers(1 << 24, 1 << 32, 200).astype(np.uint32)
+    line = np.zeros(200, dtype=np.int64)
+    assert h[lines.ordered(line, seen, h)].tolist() == h[lines.ordered(line + (1 << 20), seen, h)].tolist()
+
+
 def test_pipeline_stages_on_the_smallest_table(spark):
     import corpus_pipeline
 
