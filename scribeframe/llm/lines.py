@@ -36,6 +36,8 @@ from .kernel import MIX_A, U64, Words, mix, slices, table, written
 MIN_WORDS = 5
 #: words of the smallest set that an unequal set can match: 4 of 5
 UNEQUAL = 4
+#: words of a run where whole texts are compared; runs that have about as many postings as a line
+SHINGLE, LINE = 5, 15
 #: the highest count that orders words, of the 24 bits that a sort key has for it
 MOST_SEEN = (1 << 24) - 1
 #: slots of the count table, and how many travel together
@@ -67,22 +69,46 @@ def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a partition in compressed sheets; sheet -1 holds the number of lines."""
-    total, lines, held, n = np.zeros(SLOTS, dtype=np.int64), 0, [], 0
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts, 1_200_000):
-            w = Words(texts[a:b], lower=True)
-            lines += len(np.unique(w.line))
-            held.append(slot(w.hash))
-            n += len(held[-1])
-            if n > SLOTS:
-                total += np.bincount(np.concatenate(held), minlength=SLOTS)
-                held, n = [], 0
-    if held:
-        total += np.bincount(np.concatenate(held), minlength=SLOTS)
-    yield sheets(total, lines)
+class Shingles:
+    """Texts as Words gives them, but each text is one line and its words are all runs of SHINGLE words; a shorter text
+    is one run."""
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        w = Words(texts, lower=lower)
+        h, n = w.hash, np.bincount(w.text, minlength=len(texts))
+        end, at = np.cumsum(n)[w.text], np.arange(len(w.text))
+        value = np.zeros(len(h), dtype=U64)
+        with np.errstate(over="ignore"):
+            for k in range(SHINGLE):
+                inside = at + k < end
+                value[inside] = mix(value[inside] * MIX_A + h[at[inside] + k])
+        own = (at + SHINGLE <= end) | (at == end - n[w.text])
+        self.hash, self.line = value[own], w.text[own]
+        self.line_start, self.line_text = np.zeros(len(texts), dtype=np.int64), np.arange(len(texts))
+
+    def line_number(self) -> np.ndarray:
+        return np.zeros(len(self.line_text), dtype=np.int64)
+
+
+def counted(reader: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Word counts of a partition in compressed sheets; sheet -1 holds the number of lines, or what counts as it."""
+        total, lines, held, n = np.zeros(SLOTS, dtype=np.int64), 0, [], 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts, 1_200_000):
+                w = reader(texts[a:b], lower=True)
+                lines += len(np.unique(w.line)) if reader is Words else -(-len(w.line) // LINE)
+                held.append(slot(w.hash))
+                n += len(held[-1])
+                if n > SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=SLOTS)
+        yield sheets(total, lines)
+
+    return run
 
 
 def sheets(total: np.ndarray, lines: int) -> pa.RecordBatch:
@@ -106,11 +132,11 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(out, pa.binary())], names=["sheet", "raw"])
 
 
-def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+def rarity(rows: DataFrame, reader: type) -> tuple[np.ndarray, int]:
     """The count table and the number of lines of a corpus; SLOTS bounds what the driver gets."""
     schema = "sheet int, raw binary"
     salts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    part = rows.select("text").mapInArrow(counted, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    part = rows.select("text").mapInArrow(counted(reader), schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     half = part.repartition("sheet", "salt").select("sheet", "raw").mapInArrow(added, schema)
     total, lines = np.zeros(SLOTS, dtype=np.int64), 0
     for k, raw in half.repartition(FEW, "sheet").mapInArrow(added, schema).toLocalIterator():
@@ -141,8 +167,8 @@ def ordered(line: np.ndarray, seen: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Sets:
     """The lines of some texts as ordered sets of word hashes: ``tok`` line after line, rarest first."""
 
-    def __init__(self, texts: list[str | None], counts: np.ndarray | None, least: int = MIN_WORDS):
-        w = Words(texts, lower=True)
+    def __init__(self, texts: list[str | None], counts: np.ndarray | None, least: int = MIN_WORDS, reader: type = Words):
+        w = reader(texts, lower=True)
         h = w.hash
         seen = counts[slot(h)] if counts is not None else np.zeros(len(h), dtype=np.uint32)
         order = ordered(w.line, seen, h)
@@ -165,7 +191,7 @@ class Sets:
             self.bits = (odd.astype(U64) << np.arange(64, dtype=U64)).sum(axis=2, dtype=U64)
 
 
-def posted(counts: np.ndarray, buckets: int, least: int):
+def posted(counts: np.ndarray, buckets: int, least: int, reader: type):
     """For each partition the postings and the places of its lines, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +200,7 @@ def posted(counts: np.ndarray, buckets: int, least: int):
             texts = batch.column("text").to_pylist()
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for a, b in slices(texts, 1_200_000):
-                s = Sets(texts[a:b], counts, least)
+                s = Sets(texts[a:b], counts, least, reader)
                 where = np.zeros(len(s.n), dtype=PLACE)
                 where["key"], where["b0"], where["doc"], where["tag"], where["pos"] = s.key, s.bits[:, 0], doc[a:b][s.text], tag[a:b][s.text], s.pos
                 places.append(where)
@@ -380,9 +406,9 @@ def rejoined(targets: np.ndarray):
     return run
 
 
-def first_turn(rows: DataFrame, counts: np.ndarray, lines: int, least: int) -> DataFrame:
+def first_turn(rows: DataFrame, counts: np.ndarray, lines: int, least: int, reader: type) -> DataFrame:
     buckets = max(8, -(-lines * 9 // BUCKET))
-    posts = rows.mapInArrow(posted(counts, buckets, least), "kind int, bucket int, raw binary")
+    posts = rows.mapInArrow(posted(counts, buckets, least, reader), "kind int, bucket int, raw binary")
     dealt = posts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     return written(dealt.mapInArrow(joined, RESULT), "pairs")
 
@@ -397,23 +423,23 @@ def bit_table(values: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(involved: np.ndarray):
+def sets_of(involved: np.ndarray, reader: type):
     """The word sets of the lines whose place may be involved in a pair; other lines aren't taken apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            many = np.fromiter((x.count("\n") + 1 if x else 0 for x in texts), dtype=np.int64, count=len(texts))
+            many = np.fromiter(((x.count("\n") + 1 if reader is Words else 1) if x else 0 for x in texts), dtype=np.int64, count=len(texts))
             text = np.repeat(np.arange(len(texts)), many)
             pos = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
             place = place_hash(batch.column("doc").to_numpy()[text], batch.column("tag").to_numpy()[text], pos)
             hit = np.flatnonzero(involved[top_bits(place)])
             lines: list[str] = []
             for t, own in zip(*_grouped(text[hit], pos[hit]), strict=True):
-                parts = texts[t].split("\n")
+                parts = texts[t].split("\n") if reader is Words else [texts[t]]
                 lines += [parts[p] for p in own]
             for a, b in slices(lines, 1_200_000):
-                s = Sets(lines[a:b], None, UNEQUAL)
+                s = Sets(lines[a:b], None, UNEQUAL, reader)
                 size = np.concatenate([[0], np.cumsum(s.n)])
                 yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["id", "words"])
 
@@ -427,10 +453,10 @@ def _grouped(text: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[list[in
     return text[cut].tolist(), [x.tolist() for x in np.split(pos, cut[1:])]
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(rows: DataFrame, pairs: DataFrame, reader: type) -> DataFrame:
     """The keys with an earlier line of Jaccard similarity 0.8 or more among their candidate pairs."""
     places = pairs.select(F.explode(F.array("place", "other_place")).alias("v"))
-    sets = rows.mapInArrow(sets_of(bit_table(places)), "id long, words array<long>")
+    sets = rows.mapInArrow(sets_of(bit_table(places), reader), "id long, words array<long>")
     sets = written(sets.groupBy("id").agg(F.any_value("words").alias("words")), "sets")
     pairs = pairs.select("key", "other").distinct()
     left = pairs.join(sets.select(F.col("id").alias("key"), F.col("words").alias("x")), "key")
@@ -439,19 +465,19 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(enough).select("key").distinct()
 
 
-def removals(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def removals(rows: DataFrame, least: int = MIN_WORDS, reader: type = Words) -> DataFrame:
     """(doc, tag, removed): the numbers of the lines that go, for documents that lose any; ``rows`` as from tagged()."""
-    counts, lines = rarity(rows)
-    found = first_turn(rows, counts, lines, least)
+    counts, lines = rarity(rows, reader)
+    found = first_turn(rows, counts, lines, least, reader)
     pairs, places, lists = (found.where(F.col("kind") == k) for k in range(3))
-    gone = written(verified(rows, pairs), "gone")
+    gone = written(verified(rows, pairs, reader), "gone")
     # lines of kept lists that are still there, once their few partners have failed
     left = written(pairs.select("key").distinct().join(gone, "key", "left_anti"), "left")
     if not lists.isEmpty() and not left.isEmpty():
         rest = lists.select("raw").repartition(F.xxhash64("raw")).mapInArrow(rejoined(bit_table(left.select(F.col("key").alias("v")))), RESULT)
         rest = written(rest.join(left, "key", "left_semi").join(pairs.select("key", "other"), ["key", "other"], "left_anti"), "pairs")
         if not rest.isEmpty():
-            gone = gone.union(verified(rows, rest))
+            gone = gone.union(verified(rows, rest, reader))
     earliest = places.groupBy("key", "b0").agg(F.min(F.struct("doc", "tag", "pos")).alias("first"), F.max(F.struct("doc", "tag", "pos")).alias("last"))
     marked = earliest.join(gone.withColumn("similar", F.lit(True)), "key", "left").where("similar or first < last")
     hit = places.select("key", "b0", "doc", "tag", "pos").join(marked, ["key", "b0"]).where(F.coalesce("similar", F.lit(False)) | (F.struct("doc", "tag", "pos") > F.col("first")))
@@ -473,6 +499,13 @@ def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_li
     return found.select(*[without(F.col(text), gone).alias(text) if c == text else F.col(c) for c in names], gone.alias(removed))
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose text has no near copy before it by (doc_id, text): a Jaccard similarity of 0.8
+    or more of the sets of runs of SHINGLE words, by the same exact join. Rows without an id stay."""
+    gone = removals(tagged(docs.where("doc_id is not null")), 1, Shingles).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"))
+    return docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left_anti")
+
+
 def without(text: Column, gone: Column) -> Column:
     """The text less some of its lines."""
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")

@@ -302,6 +302,39 @@ def test_words_seen_very_often_have_one_order():
     assert h[lines.ordered(line, seen, h)].tolist() == h[lines.ordered(line + (1 << 20), seen, h)].tolist()
 
 
+@pytest.mark.parametrize("long_list", [256, 3])
+def test_near_copies_by_five_words(spark, monkeypatch, long_list):
+    import corpus_pipeline
+
+    def shingles(x):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def left(table):
+        return {i for i, s in table if not any(9 * len(s & o) >= 4 * (len(s) + len(o)) and s for j, o in table if j < i)}
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+        for _ in range(6):
+            w = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(1, 5))):
+                w[at] = f"new{rng.integers(0, 1000)}"
+            rows.append((len(rows), "\n".join([" ".join(w[:50]), " ".join(w[50:])])))
+    rows += [(len(rows), "one two"), (len(rows) + 1, "One\ntwo"), (len(rows) + 2, ""), (len(rows) + 3, "one two three")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, tag string").repartition(3)
+    monkeypatch.setattr(lines, "LONG_LIST", long_list)
+    own = {i: shingles(t) for i, t in rows}
+    got = lines.first_copies(docs)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == left(list(own.items()))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    first = sorted(r.doc_id for r in simhash.first_of_each(docs).collect())
+    assert set(kept) == left([(i, own[i]) for i in first]) and len(kept) < len(first)
+    assert lines.first_copies(docs.where("false")).count() == 0
+    assert lines.first_copies(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], "doc_id long, text string")).count() == 3
+
+
 def test_pipeline_stages_on_the_smallest_table(spark):
     import corpus_pipeline
 
