@@ -20,11 +20,12 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("m", "a").alias("m"))
 
 
-def labels(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label) for all nodes of ``links`` (columns a, b: a > b); nulls and loops are left out by the caller."""
+def labels(links: DataFrame) -> DataFrame:
+    """(node, label) for all nodes of ``links`` (columns a, b: a > b); nulls and loops are left out by the caller. Runs
+    until the links repeat, which they do once every node is linked to its component's least node alone."""
     links = written(links.distinct(), "links")
     seen = _state(links)
-    for _ in range(most):
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = _least(both)
         large = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

@@ -1,8 +1,8 @@
 """Operator 1, language identification: a linear-chain CRF labels words of code-switched text.
 
 Features of a word are its character n-grams, its affixes and the languages in whose lexicon it stands; transitions are
-learned. Labels of words come from forward-backward; a text's language is the one with most expected letters. Cases:
-null texts and texts without a letter give ``und`` with score 0; ties go to the first language in code-point order;
+learned. A line is one chain, however long. Labels of words come from forward-backward; a text's language is the one with
+most expected letters. Cases: very long texts and lines are read whole (memory grows with the longest text); null texts and texts without a letter give ``und`` with score 0; ties go to the first language in code-point order;
 other input columns are not looked at and not returned, so they can't clash; an empty table gives an empty result.
 """
 
@@ -17,14 +17,11 @@ from pyspark.sql import functions as F
 from .kernel import U64, chain_marginals, fold, mix, powers, slices, table, text_udf
 
 BUCKETS = 1 << 16
-#: a line of more words is several chains
-CHAIN = 256
-#: bounds of the sample of labelled rows that training reads: rows a language, characters of a row
-SAMPLE_ROWS, SAMPLE_CHARS = 120, 2000
+#: bound of the sample of labelled rows that training reads: rows a language, whole texts
+SAMPLE_ROWS = 120
 LEXICON_MIN = 3
 AFFIX = (1, 2, 3)
 GRAMS = (1, 2, 3)
-LEXICON = 1 << 18
 
 _letters: list[np.ndarray] = []
 
@@ -37,7 +34,7 @@ def letter_table() -> np.ndarray:
 
 
 class Spans:
-    """Words (runs of letters) of lower-cased texts as places in an array of code points, and their chains."""
+    """Words (runs of letters) of lower-cased texts as places in an array of code points; a line's words are a chain."""
 
     def __init__(self, texts: list[str | None]):
         lowered = [x.lower() if x else "" for x in texts]
@@ -52,12 +49,8 @@ class Spans:
         line = np.searchsorted(np.flatnonzero(self.code == 10), self.start)
         self.text = np.searchsorted(begin, self.start, side="right") - 1
         n = len(self.start)
-        new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if n else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.concatenate([new, [n]])) if n else new
-        pieces = -(-size // CHAIN)
-        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces) if n else new
-        self.first = np.repeat(new, pieces) + nth * CHAIN
-        self.length = np.minimum(np.repeat(new + size, pieces) - self.first, CHAIN)
+        self.first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if n else np.zeros(0, dtype=np.int64)
+        self.length = np.diff(np.concatenate([self.first, [n]])) if n else self.first
 
     def words(self) -> np.ndarray:
         """A 64-bit hash of each word."""
@@ -101,11 +94,12 @@ class Model:
         self.weights = np.zeros((BUCKETS + 1, k), dtype=np.float32)
         self.lexicon_weights = np.zeros((k, k), dtype=np.float32)
         self.transition = np.zeros((k, k), dtype=np.float32)
-        self.lexicon_key = np.zeros(LEXICON, dtype=U64)
-        self.lexicon_bits = np.zeros((LEXICON, k), dtype=np.float32)
+        self.lexicon_key = np.zeros(1, dtype=U64)  # sorted
+        self.lexicon_bits = np.zeros((1, k), dtype=np.float32)
 
     def lexicon(self, word: np.ndarray) -> np.ndarray:
-        at = (word & U64(LEXICON - 1)).astype(np.int64)
+        """Which languages know each word."""
+        at = np.minimum(np.searchsorted(self.lexicon_key, word), len(self.lexicon_key) - 1)
         return self.lexicon_bits[at] * (self.lexicon_key[at] == word)[:, None]
 
     def emissions(self, spans: Spans) -> np.ndarray:
@@ -133,6 +127,21 @@ class Model:
         return {"lang_pred": [self.labels[b] if f else "und" for b, f in zip(best, known, strict=True)], "score": np.clip(part, 0, 1)}
 
 
+def lexicon(lines: list[tuple[str, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words seen LEXICON_MIN times or more, by hash, and which languages have a fifth or more of a word's uses."""
+    words, spoken = [], []
+    for a, b in slices([x for x, _ in lines]):
+        spans = Spans([x for x, _ in lines[a:b]])
+        words.append(spans.words())
+        spoken.append(np.array([y for _, y in lines[a:b]], dtype=np.int64)[spans.text])
+    key, at = np.unique(np.concatenate([np.zeros(0, dtype=U64), *words]), return_inverse=True)
+    seen = np.bincount(at * k + np.concatenate([np.zeros(0, dtype=np.int64), *spoken]), minlength=len(key) * k).reshape(-1, k)
+    often = seen.sum(axis=1) >= LEXICON_MIN
+    if not often.any():
+        return np.zeros(1, dtype=U64), np.zeros((1, k), dtype=np.float32)
+    return key[often], (seen >= 0.2 * seen.sum(axis=1, keepdims=True))[often].astype(np.float32)
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.25, seed: int = 7) -> Model:
     """From (text, language) rows. Chains for training mix lines of several rows, so that changes of language occur."""
     labels = sorted({x for _, x in rows})
@@ -141,21 +150,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.25, seed
         return model
     rng = np.random.default_rng(seed)
     lines = [(line, labels.index(lang)) for text, lang in rows for line in text.split("\n") if line.strip()]
-    seen: dict[int, np.ndarray] = {}
-    for a, b in slices([x for x, _ in lines]):
-        part = lines[a:b]
-        spans = Spans([x for x, _ in part])
-        if not len(spans.start):
-            continue
-        word = spans.words()
-        for h, t in zip(word.tolist(), spans.text.tolist(), strict=True):
-            seen.setdefault(h, np.zeros(len(labels)))[part[t][1]] += 1
-    for h, c in seen.items():
-        if c.sum() >= LEXICON_MIN:
-            at = h & (LEXICON - 1)
-            if model.lexicon_key[at] == 0:
-                model.lexicon_key[at] = h
-                model.lexicon_bits[at] = c >= 0.2 * c.sum()
+    model.lexicon_key, model.lexicon_bits = lexicon(lines, len(labels))
     squares = np.full_like(model.weights, 1e-6)
     lex_squares, move_squares = np.full_like(model.lexicon_weights, 1e-6), np.full_like(model.transition, 1e-6)
     for _ in range(epochs):
@@ -165,7 +160,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.25, seed
             texts, spoken, at = [], [], 0
             while at < len(picked):  # a third of the chains go on in another row's line
                 take = 1 + int(rng.random() < 0.33)
-                texts.append(" ".join(x[: SAMPLE_CHARS // take] for x, _ in picked[at : at + take]).replace("\n", " "))
+                texts.append(" ".join(x for x, _ in picked[at : at + take]))
                 spoken.append(picked[at : at + take])
                 at += take
             spans = Spans(texts)
@@ -175,11 +170,9 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.25, seed
             per_text = np.bincount(spans.text, minlength=len(texts))
             at = 0
             for parts, n in zip(spoken, per_text.tolist(), strict=True):
-                left = n
-                for j, (x, y) in enumerate(parts):
-                    own = left if j == len(parts) - 1 else min(left, len(Spans([x[: SAMPLE_CHARS // len(parts)]]).start))
-                    gold[at : at + own] = y
-                    at, left = at + own, left - own
+                cut = n if len(parts) == 1 else len(Spans([parts[0][0]]).start)
+                gold[at : at + cut], gold[at + cut : at + n] = parts[0][1], parts[-1][1]
+                at += n
             word = spans.words()
             by_place, _, by_word = spans.features(np.arange(len(word)))
             gamma, expected = chain_marginals(model.emissions(spans), model.transition, spans.first, spans.length, gradient=True)
@@ -209,10 +202,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.25, seed
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS rows a language, by a hash of the text, and SAMPLE_CHARS characters of each: a bounded sample."""
+    """At most SAMPLE_ROWS rows a language, by a hash of the text: a bounded sample of whole texts."""
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    cut = known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
-    # a bounded sample for each language without gathering a language in one task: the k smallest hashes, merged pairwise
+    cut = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    # the least hash in each of SAMPLE_ROWS slots a language: tasks keep one text a slot, so no task gathers a language
     small = cut.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x"))
     return [(r["text"], r["lang"]) for r in small.select("lang", "x.text").orderBy("lang", "text").collect()]
 

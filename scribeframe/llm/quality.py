@@ -1,8 +1,9 @@
 """Operator 2, quality classifier: a linear-chain CRF labels every line good or bad.
 
 A line's features are its own and its neighbouring lines' statistics in bins; transitions between line labels are
-learned. Forward-backward marginals, weighted by the lines' lengths, add up to a text's share of good lines, which a
-logistic curve fitted on the training rows turns into the score. Cases: null and empty texts are one empty line and get
+learned; a text is one chain of lines, however long. Forward-backward marginals, weighted by the lines' lengths, add up to a text's share of good lines, which a
+logistic curve fitted on the training rows turns into the score. Cases: very long texts are read whole (memory grows with
+the longest); null and empty texts are one empty line and get
 that line's score; ties can't occur, since each text is scored alone; other input columns are not inputs of a score;
 an empty table gives an empty result; without labelled rows of both kinds every score is 0.5.
 """
@@ -15,10 +16,8 @@ from pyspark.sql import functions as F
 
 from .kernel import Words, chain_marginals, fold, mix, table, text_udf
 
-#: a text of more lines is several chains
-CHAIN = 512
-#: bound of the sample of labelled rows that training reads: slots a label, characters of a row
-SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
+#: bound of the sample of labelled rows that training reads: rows a label, whole texts
+SAMPLE_ROWS = 1200
 THRESHOLD = 0.3
 
 SHARES = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.7, 0.9])
@@ -69,11 +68,9 @@ def bins(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chains(line_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new = np.flatnonzero(np.concatenate([[True], line_text[1:] != line_text[:-1]])) if len(line_text) else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.concatenate([new, [len(line_text)]])) if len(new) else new
-    pieces = -(-size // CHAIN)
-    first = np.repeat(new, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHAIN
-    return first, np.minimum(np.repeat(new + size, pieces) - first, CHAIN)
+    """First line and number of lines of each text: a text is one chain."""
+    first = np.flatnonzero(np.concatenate([[True], line_text[1:] != line_text[:-1]])) if len(line_text) else np.zeros(0, dtype=np.int64)
+    return first, np.diff(np.concatenate([first, [len(line_text)]])) if len(first) else first
 
 
 def columns(found: np.ndarray, line_text: np.ndarray) -> np.ndarray:
@@ -159,13 +156,15 @@ def train(rows: list[tuple[str, int]], epochs: int = 40, rate: float = 0.1, seed
 
 
 def sample(docs: DataFrame, labels: DataFrame, value: str = "quality") -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows: the id with the least hash in each of SAMPLE_ROWS slots a label, SAMPLE_CHARS
-    characters each. Ids are chosen without the texts; the chosen ones, 2 * SAMPLE_ROWS at most, fetch theirs."""
+    """A bounded sample of labelled rows, whole texts: the id with the least hash in each of SAMPLE_ROWS slots a label.
+    Ids are chosen without the texts; the chosen ones, 2 * SAMPLE_ROWS at most, fetch theirs, the least text of an id
+    that repeats. An id with both labels counts for either."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col(value).alias("y")).where("y in (0, 1) and id is not null")
-    there = docs.select(F.col("doc_id").alias("id")).join(marked, "id").withColumn("h", F.xxhash64("id"))
+    there = docs.where("text is not null").select(F.col("doc_id").alias("id")).join(marked, "id").withColumn("h", F.xxhash64("id"))
     chosen = there.groupBy("y", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("x")).select("y", "x.id")
-    texts = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
-    return [(r["text"], int(r["y"])) for r in texts.join(F.broadcast(chosen), "id").select("y", "text").orderBy("y", "text").limit(4 * SAMPLE_ROWS).collect()]
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("y", "id").agg(F.min("text").alias("text"))
+    return [(r["text"], int(r["y"])) for r in found.select("y", "text").orderBy("y", "text").collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
