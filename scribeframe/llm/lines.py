@@ -1,29 +1,33 @@
 """Operator 10, line dedup: an exact set-similarity join of lines; the later of two matching lines goes.
 
 A line is the set of its lower-cased words. Two lines match if their sets' Jaccard similarity is 0.8 or more; a line is
-removed if any line before it, by (doc_id, text, line number), matches. Lines of fewer than ``least`` different words
-stay: ``least`` is 1 in op10 and the pipeline, where only lines without a word stay, and MIN_WORDS unless given.
+removed if any line before it, by (doc_id, hash of the text, line number), matches. Lines of fewer than ``least``
+different words stay: with the default of 1, only lines without a word.
 
 1. Words are counted over all documents in a table of fixed size; a word's rarity is its slot's count, ties by hash.
    Any total order of words gives an exact join; the counts only make it fast.
-2. Every line puts its rarest words, as many as the prefix filter asks for, into the posting lists of those words, with
-   its length, the word's position and a parity bitmap of its set. A word seen once in the corpus needs no list, nor
-   does a line of under UNEQUAL words, which matches equal sets only.
-3. Within a list, pairs pass the length filter, the positional filter and the bitmap's bound on the symmetric
+2. Equal sets need no join. A task removes the lines whose set it has seen before and hands on each set's earliest
+   place, so a line that stands everywhere is one row a batch; the later of those places go, too.
+3. Every different line puts its rarest words, as many as the prefix filter asks for, into the posting lists of those
+   words, with its length, the word's position and a parity bitmap of its set. A word seen once in the corpus needs no
+   list, nor does a line of under UNEQUAL words, which matches equal sets only. The lists of a word seen more than
+   OFTEN times are split into bands of lengths, and a line goes into its own band and the next: lengths that can match
+   are at most one band apart.
+4. Within a list, pairs pass the length filter, the positional filter and the bitmap's bound on the symmetric
    difference, none of which loses a match.
-4. Jaccard is verified on the whole sets of 64-bit word hashes. One earlier match removes a line, so every list first
+5. Jaccard is verified on the whole sets of 64-bit word hashes. One earlier match removes a line, so every list first
    offers a line's closest few partners. Lists with lines that had more are kept, and the lines among them that weren't
    removed get all their partners in a second turn over those lists alone.
 
-Equal sets need no verification. Cases: null and empty texts have no lines to remove; a null id counts as the least;
-rows with equal id and text are one document, so their lines aren't removed for each other; a word repeated in a line
-counts once; all other columns stay; an empty table gives an empty result.
+Cases: null and empty texts have no lines to remove; a null id counts as the least; rows with equal id and text are one
+document, so their lines aren't removed for each other; a word repeated in a line counts once; very long texts and
+lines are read whole, so that memory grows with the longest text; all other columns stay, whatever their names, but one
+named as ``removed`` is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import MIX_A, U64, Words, mix, slices, table, written
+from .kernel import MIX_A, U64, Words, mix, slices, table, trim, written
 
-MIN_WORDS = 5
 #: words of the smallest set that an unequal set can match: 4 of 5
 UNEQUAL = 4
 #: words of a run where whole texts are compared; runs that have about as many postings as a line
@@ -42,14 +45,17 @@ SHINGLE, LINE = 5, 15
 MOST_SEEN = (1 << 24) - 1
 #: slots of the count table, and how many travel together
 SLOTS, SHEET = 1 << 22, 1 << 16
-#: postings that a bucket of lists holds on average; those a task holds before it sends them
-BUCKET, HELD = 400_000, 400_000
+#: postings that a bucket of lists holds on average; those a task holds before it sends them; places it holds at once
+BUCKET, HELD, PLACES = 250_000, 250_000, 500_000
+#: the count from which a word's lists are split into bands of lengths
+OFTEN = 50_000
 #: partitions of a table of fixed size on its way to the driver, which runs a job for each
 FEW = 8
 #: partners that a list offers for a line in the first turn; lists that are first compared with their earliest lines
 OFFERS, LONG_LIST, PIVOTS = 4, 256, 16
-PAIRS = 400_000
-FILTER_BITS = 22
+#: pairs compared at once; characters of a slice of texts
+PAIRS, SLICE = 200_000, 500_000
+FILTER_BITS = 24
 POSTING = np.dtype([("tok", "<u8"), ("key", "<u8"), ("b0", "<u8"), ("b1", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("i", "<i4")])
 PLACE = np.dtype([("key", "<u8"), ("b0", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4")])
 LOWEST = -(1 << 63)
@@ -60,6 +66,11 @@ def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * (a + b) + 8) // 9
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    """Bands of set sizes: of two sizes of which neither is over 5/4 of the other, the bands are equal or neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001) + 1e-9).astype(np.int64)
+
+
 def slot(words: np.ndarray) -> np.ndarray:
     return (words >> U64(64 - 22)).astype(np.int64)
 
@@ -96,7 +107,7 @@ def counted(reader: type):
         total, lines, held, n = np.zeros(SLOTS, dtype=np.int64), 0, [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 1_200_000):
+            for a, b in slices(texts, SLICE):
                 w = reader(texts[a:b], lower=True)
                 lines += len(np.unique(w.line)) if reader is Words else -(-len(w.line) // LINE)
                 held.append(slot(w.hash))
@@ -107,29 +118,40 @@ def counted(reader: type):
         if held:
             total += np.bincount(np.concatenate(held), minlength=SLOTS)
         yield sheets(total, lines)
+        del total, held
+        trim()
 
     return run
 
 
 def sheets(total: np.ndarray, lines: int) -> pa.RecordBatch:
-    number = [-1, *(k for k in range(SLOTS // SHEET) if total[k * SHEET : (k + 1) * SHEET].any())]
-    raw = [np.int64(lines).tobytes(), *(zlib.compress(total[k * SHEET : (k + 1) * SHEET].astype("<i8").tobytes(), 1) for k in number[1:])]
+    """Rows (sheet, raw): the slots in use and their counts; sheet -1 holds the number of lines."""
+    number, raw = [-1], [np.int64(lines).tobytes()]
+    for k in range(len(total) // SHEET):
+        own = total[k * SHEET : (k + 1) * SHEET]
+        used = np.flatnonzero(own)
+        if len(used):
+            number.append(k)
+            raw.append(used.astype("<u2").tobytes() + own[used].astype("<i8").tobytes())
     return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(raw, pa.binary())], names=["sheet", "raw"])
 
 
+def add(total: np.ndarray, raw: bytes) -> None:
+    """Adds a sheet's counts to its part of a table."""
+    n = len(raw) // 10
+    total[np.frombuffer(raw, dtype="<u2", count=n)] += np.frombuffer(raw, dtype="<i8", offset=2 * n)
+
+
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of equal sheets, one batch after the other."""
-    lines, total = 0, {}
+    """The sums of equal sheets."""
+    lines, total = 0, np.zeros(SLOTS, dtype=np.int64)
     for batch in batches:
         for k, raw in zip(batch.column("sheet").to_pylist(), batch.column("raw").to_pylist(), strict=True):
             if k < 0:
                 lines += int(np.frombuffer(raw, dtype="<i8")[0])
             else:
-                own = np.frombuffer(zlib.decompress(raw), dtype="<i8")
-                total[k] = total[k] + own if k in total else own
-    number = [*([-1] if lines else []), *total]
-    out = [*([np.int64(lines).tobytes()] if lines else []), *(zlib.compress(x.tobytes(), 1) for x in total.values())]
-    yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(out, pa.binary())], names=["sheet", "raw"])
+                add(total[k * SHEET : (k + 1) * SHEET], raw)
+    yield sheets(total, lines)
 
 
 def rarity(rows: DataFrame, reader: type) -> tuple[np.ndarray, int]:
@@ -143,7 +165,7 @@ def rarity(rows: DataFrame, reader: type) -> tuple[np.ndarray, int]:
         if k < 0:
             lines += int(np.frombuffer(raw, dtype="<i8")[0])
         else:
-            total[k * SHEET : (k + 1) * SHEET] += np.frombuffer(zlib.decompress(raw), dtype="<i8")
+            add(total[k * SHEET : (k + 1) * SHEET], raw)
     return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32), lines
 
 
@@ -167,7 +189,7 @@ def ordered(line: np.ndarray, seen: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Sets:
     """The lines of some texts as ordered sets of word hashes: ``tok`` line after line, rarest first."""
 
-    def __init__(self, texts: list[str | None], counts: np.ndarray | None, least: int = MIN_WORDS, reader: type = Words):
+    def __init__(self, texts: list[str | None], counts: np.ndarray | None, least: int = 1, reader: type = Words):
         w = reader(texts, lower=True)
         h = w.hash
         seen = counts[slot(h)] if counts is not None else np.zeros(len(h), dtype=np.uint32)
@@ -187,127 +209,181 @@ class Sets:
         with np.errstate(over="ignore"):
             m = mix(self.tok * MIX_A + U64(1))
             self.key = mix(np.add.reduceat(m, self.first) + self.n.astype(U64)) if len(own) else np.zeros(0, dtype=U64)
-            odd = np.bincount(self.row * 128 + (m >> U64(57)).astype(np.int64), minlength=len(own) * 128).reshape(-1, 2, 64) & 1
-            self.bits = (odd.astype(U64) << np.arange(64, dtype=U64)).sum(axis=2, dtype=U64)
+            bit, half = U64(1) << (m >> U64(58)), (m >> U64(57)) & U64(1)
+            both = (bit * (U64(1) - half), bit * half)
+            self.bits = np.stack([np.bitwise_xor.reduceat(x, self.first) for x in both], axis=1) if len(own) else np.zeros((0, 2), dtype=U64)
 
 
 def posted(counts: np.ndarray, buckets: int, least: int, reader: type):
-    """For each partition the postings and the places of its lines, packed by bucket."""
+    """For each partition the postings and places of its different lines, packed by bucket, and the lines that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts, places, n = [], [], 0
+        posts, places, row, n, lines = [], [], [], 0, 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for a, b in slices(texts, 1_200_000):
+            for a, b in slices(texts, SLICE):
                 s = Sets(texts[a:b], counts, least, reader)
                 where = np.zeros(len(s.n), dtype=PLACE)
                 where["key"], where["b0"], where["doc"], where["tag"], where["pos"] = s.key, s.bits[:, 0], doc[a:b][s.text], tag[a:b][s.text], s.pos
                 places.append(where)
                 prefix = s.n - (4 * s.n + 4) // 5 + 1
-                keep = (s.place < np.repeat(prefix, s.n)) & (s.seen > 1) & (s.n >= UNEQUAL)[s.row]
-                r = s.row[keep]
+                keep = np.flatnonzero((s.place < np.repeat(prefix, s.n)) & (s.seen > 1) & np.repeat(s.n >= UNEQUAL, s.n))
+                often = keep[s.seen[keep] > OFTEN]
+                r = s.row[np.concatenate([keep, often])]
                 post = np.zeros(len(r), dtype=POSTING)
-                post["tok"], post["i"], post["n"], post["b1"] = s.tok[keep], s.place[keep], s.n[r], s.bits[r, 1]
+                post["tok"] = np.concatenate([s.tok[keep], s.tok[often]])
+                own = np.concatenate([np.where(s.seen[keep] > OFTEN, band(s.n[s.row[keep]]), -1), band(s.n[s.row[often]]) + 1])
+                with np.errstate(over="ignore"):
+                    post["tok"] = np.where(own < 0, post["tok"], mix(post["tok"] * MIX_A + own.astype(U64)))
+                post["i"], post["n"], post["b1"] = s.place[np.concatenate([keep, often])], s.n[r], s.bits[r, 1]
                 for name in PLACE.names:
                     post[name] = where[name][r]
                 posts.append(post)
-                n += len(post)
+                row.append(r + lines)
+                n, lines = n + len(post), lines + len(where)
                 if n >= HELD:
-                    yield packed(np.concatenate(posts), np.concatenate(places), buckets)
-                    posts, places, n = [], [], 0
-        if places:
-            yield packed(np.concatenate(posts), np.concatenate(places), buckets)
+                    yield packed(np.concatenate(posts), np.concatenate(row), np.concatenate(places), buckets)
+                    posts, places, row, n, lines = [], [], [], 0, 0
+        if lines:
+            yield packed(np.concatenate(posts), np.concatenate(row), np.concatenate(places), buckets)
+        del posts, places, row
+        trim()
 
     return run
 
 
-def packed(post: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (kind, bucket, raw). Of a line that comes more than once here, the lists get the earliest."""
-    order = np.lexsort((post["pos"], post["tag"], post["doc"], post["key"], post["tok"]))
-    post = post[order]
-    new = np.concatenate([[True], (post["tok"][1:] != post["tok"][:-1]) | (post["key"][1:] != post["key"][:-1]) | (post["b0"][1:] != post["b0"][:-1])]) if len(post) else np.zeros(0, dtype=bool)
+def by_place(x: np.ndarray) -> np.ndarray:
+    """The order of rows by document, text and line number."""
+    doc, tag, pos = (np.ascontiguousarray(x[c]) for c in ("doc", "tag", "pos"))
+    order = np.argsort(doc)
+    same = doc[order[1:]] == doc[order[:-1]]
+    if (tag[order[1:]][same] != tag[order[:-1]][same]).any():
+        return np.lexsort((pos, tag, doc))
+    rank = np.empty(len(x), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], ~same])) if len(x) else 0
+    return np.argsort(rank << 32 | pos)
+
+
+def earliest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places are the first of their set, one for each set; which stand after it (a repeated row is no later place)."""
+    order = by_place(x)
+    kind = mix(x["key"][order]) ^ x["b0"][order]
+    _, at, of = np.unique(kind, return_index=True, return_inverse=True)
+    first, later = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+    first[order[at]] = True
+    lead = order[at[of]]
+    later[order] = (x["doc"][order] != x["doc"][lead]) | (x["tag"][order] != x["tag"][lead]) | (x["pos"][order] != x["pos"][lead])
+    return first, later
+
+
+def packed(post: np.ndarray, row: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (kind, bucket, raw): postings and places of different lines (kinds 0 and 1) and lines that go (kind 2)."""
+    first, later = earliest(place)
     kind, bucket, raw = [], [], []
-    for k, (x, by) in enumerate(((post[new], "tok"), (place, "key"))):
-        b = (mix(x[by]) % U64(buckets)).astype(np.int64)
+    for k, (x, by) in enumerate(((post[first[row]], "tok"), (place[first], "key"))):
+        b = (mix(x[by]) % U64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         x, b = x[order], b[order]
-        cut = np.searchsorted(b, np.arange(buckets + 1))
-        for j in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=False):
             kind.append(k)
-            bucket.append(j)
-            raw.append(x[cut[j] : cut[j + 1]].tobytes())
+            bucket.append(int(b[lo]))
+            raw.append(x[lo:hi].tobytes())
+    again = place[later]
+    if len(again):
+        kind.append(2)
+        bucket.append(int(mix(again["key"][:1])[0] % U64(buckets)))
+        raw.append(again.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(raw, pa.binary())], names=["kind", "bucket", "raw"])
 
 
-def near(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of postings pass the length, positional and bitmap filters; their differing bits."""
-    na, nb = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
-    common = need(na, nb)
-    ok = np.flatnonzero((np.minimum(na - x["i"][a], nb - x["i"][b]) >= common) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)))
-    a, b = a[ok], b[ok]
-    bits = np.bitwise_count(x["b0"][a] ^ x["b0"][b]).astype(np.int64) + np.bitwise_count(x["b1"][a] ^ x["b1"][b])
-    good = (bits <= (na + nb)[ok] - 2 * common[ok]) & ((x["key"][a] != x["key"][b]) | (x["b0"][a] != x["b0"][b]))
-    return ok[good], bits[good]
-
-
-def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Postings by list and length, each set once and at its earliest place; their rank by place."""
-    x = x[np.lexsort((x["pos"], x["tag"], x["doc"], x["b0"], x["key"], x["tok"]))]
-    x = x[np.concatenate([[True], (x["tok"][1:] != x["tok"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["b0"][1:] != x["b0"][:-1])])]
-    time = np.empty(len(x), dtype=np.int64)
-    time[np.lexsort((x["pos"], x["tag"], x["doc"]))] = np.arange(len(x))
-    order = np.lexsort((time, x["n"], x["tok"]))
-    return x[order], time[order]
+class Lists:
+    """Posting lists of one bucket as arrays, by list and length; each set once where its copies lie side by side.
+    Lists of one posting are left out. ``time`` is the postings' rank by place."""
+
+    def __init__(self, x: np.ndarray):
+        tok = np.ascontiguousarray(x["tok"])
+        order = np.argsort(tok)
+        new = np.concatenate([[True], tok[order[1:]] != tok[order[:-1]]]) if len(x) else np.zeros(0, dtype=bool)
+        number = np.cumsum(new) - 1
+        some = np.bincount(number)[number] > 1 if len(x) else new
+        x, number = x[order[some]], number[some]
+        order = by_place(x)
+        x, number = x[order], number[order]
+        n, key = np.ascontiguousarray(x["n"]).astype(np.int64), np.ascontiguousarray(x["key"])
+        if len(x) and (n.max() >= 1 << 21 or number[-1:].max() >= 1 << 20):
+            order = np.lexsort((np.arange(len(x)), key, n, number))
+        else:
+            order = np.argsort(number.astype(U64) << U64(44) | n.astype(U64) << U64(23) | key >> U64(41), kind="stable")
+        x, number, key = x[order], number[order], key[order]
+        keep = np.concatenate([[True], (number[1:] != number[:-1]) | (key[1:] != key[:-1]) | (x["b0"][1:] != x["b0"][:-1])]) if len(x) else np.zeros(0, dtype=bool)
+        self.rows, self.time, number = x[keep], order[keep], number[keep]
+        self.n, self.i = (np.ascontiguousarray(self.rows[c]).astype(np.int64) for c in ("n", "i"))
+        self.key, self.b0, self.b1 = (np.ascontiguousarray(self.rows[c]) for c in ("key", "b0", "b1"))
+        self.begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, dtype=np.int64)
+        self.ends = np.concatenate([self.begin, [len(number)]])
+        self.size = np.diff(self.ends)
+        self.number = np.repeat(np.arange(len(self.begin)), self.size)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs pass the length, positional and bitmap filters; their differing bits."""
+        na, nb = self.n[a], self.n[b]
+        common = need(na, nb)
+        ok = np.flatnonzero((np.minimum(na - self.i[a], nb - self.i[b]) >= common) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)))
+        a, b = a[ok], b[ok]
+        bits = np.bitwise_count(self.b0[a] ^ self.b0[b]).astype(np.int64) + np.bitwise_count(self.b1[a] ^ self.b1[b])
+        good = (bits <= (na + nb)[ok] - 2 * common[ok]) & ((self.key[a] != self.key[b]) | (self.b0[a] != self.b0[b]))
+        return ok[good], bits[good]
 
 
 def partners(x: np.ndarray):
     """The first turn over one bucket's lists: (earlier, later) of the pairs it offers, and postings of the lists in
     which a later line has more partners than those."""
-    x, time = in_order(x)
-    new = np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]])
-    list_of = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    size = np.diff(np.concatenate([begin, [len(x)]]))
+    lists = Lists(x)
+    x, time, begin = lists.rows, lists.time, lists.begin
     over = np.zeros(len(begin), dtype=bool)
-    # lists of common size: every posting with those after it whose length is near enough, some whole lists at a time
-    level = list_of.astype(np.int64) << 32
-    high = np.searchsorted(level | x["n"], level | (x["n"].astype(np.int64) * 5 // 4), side="right")
-    many = np.where(size[list_of] > LONG_LIST, 0, high - np.arange(len(x)) - 1)
+    # lists of common size: every posting with those after it that are not too long; the positional filter on the
+    # shorter of two lines alone bounds the other's length
+    most = np.minimum(lists.n * 5 // 4, (9 * (lists.n - lists.i)) // 4 - lists.n)
+    level = lists.number.astype(np.int64) << 32
+    high = np.searchsorted(level | lists.n, level | np.maximum(most, 0), side="right")
+    many = np.where((lists.size > LONG_LIST)[lists.number], 0, np.maximum(high - np.arange(len(x)) - 1, 0)) if len(x) else np.zeros(0, dtype=np.int64)
     cut = np.concatenate([[0], np.cumsum(many)])
-    at, ends = 0, np.concatenate([begin, [len(x)]])
+    at = 0
     while at < len(begin):
-        to = max(at + 1, int(np.searchsorted(cut[ends], cut[ends[at]] + PAIRS, side="right")) - 1)
-        lo, hi = ends[at], ends[to]
+        to = max(at + 1, int(np.searchsorted(cut[lists.ends], cut[lists.ends[at]] + PAIRS, side="right")) - 1)
+        lo, hi = lists.ends[at], lists.ends[to]
         if cut[hi] > cut[lo]:
             a = np.repeat(np.arange(lo, hi), many[lo:hi])
             b = a + 1 + np.arange(len(a)) - np.repeat(cut[lo:hi] - cut[lo], many[lo:hi])
-            ok, bits = near(x, a, b)
-            early, late, more = closest(time, a[ok], b[ok], bits)
-            over[list_of[more]] = True
-            yield x[early], x[late], None
+            ok, bits = lists.near(a, b)
+            if len(ok):
+                early, late, more = closest(time, a[ok], b[ok], bits)
+                over[lists.number[more]] = True
+                yield x[early], x[late], None
         at = to
-    for k in np.flatnonzero(size > LONG_LIST).tolist():
+    for k in np.flatnonzero(lists.size > LONG_LIST).tolist():
         # lines like one of the earliest are offered those; the others are compared with all
-        own = begin[k] + np.argsort(time[begin[k] : begin[k] + size[k]], kind="stable")
+        own = begin[k] + np.argsort(time[begin[k] : lists.ends[k + 1]], kind="stable")
         a, b = np.repeat(own[:PIVOTS], len(own)), np.tile(own, min(PIVOTS, len(own)))
         late = time[a] < time[b]
         a, b = a[late], b[late]
-        ok, bits = near(x, a, b)
+        ok, bits = lists.near(a, b)
         done = np.isin(own, b[ok])
         over[k] |= done.any()
         early, late, _ = closest(time, a[ok], b[ok], bits)
         yield x[early], x[late], None
-        for early, late, bits in against_all(x, own, np.flatnonzero(~done)):
+        for early, late, bits in against_all(lists, own, np.flatnonzero(~done)):
             early, late, more = closest(time, early, late, bits)
             over[k] |= len(more) > 0
             yield x[early], x[late], None
-    kept = over[list_of]
+    kept = over[lists.number]
     if kept.any():
         yield x[:0], x[:0], x[kept]
 
 
-def against_all(x: np.ndarray, own: np.ndarray, which: np.ndarray):
+def against_all(lists: Lists, own: np.ndarray, which: np.ndarray):
     """For some lines of a list in order of place, by their numbers: all pairs with earlier lines that pass the filters."""
     at = 0
     while at < len(which):
@@ -315,7 +391,7 @@ def against_all(x: np.ndarray, own: np.ndarray, which: np.ndarray):
         b = np.repeat(which[at:to], which[at:to])
         a = np.arange(len(b)) - np.repeat(np.cumsum(which[at:to]) - which[at:to], which[at:to])
         a, b = own[a], own[b]
-        ok, bits = near(x, a, b)
+        ok, bits = lists.near(a, b)
         yield a[ok], b[ok], bits
         at = to
 
@@ -334,14 +410,13 @@ def closest(time: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray):
 
 def all_partners(x: np.ndarray, targets: np.ndarray):
     """The second turn over kept lists: (earlier, later) of all pairs whose later line is a target."""
-    x, time = in_order(x)
-    begin = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]]))
-    wanted = targets[top_bits(x["key"])]
-    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(x)], strict=True):
+    lists = Lists(x)
+    wanted = among(targets, lists.key)
+    for lo, hi in zip(lists.ends[:-1].tolist(), lists.ends[1:].tolist(), strict=True):
         if wanted[lo:hi].any():
-            own = lo + np.argsort(time[lo:hi], kind="stable")
-            for early, late, _ in against_all(x, own, np.flatnonzero(wanted[own])):
-                yield x[early], x[late], None
+            own = lo + np.argsort(lists.time[lo:hi], kind="stable")
+            for early, late, _ in against_all(lists, own, np.flatnonzero(wanted[own])):
+                yield lists.rows[early], lists.rows[late], None
 
 
 def top_bits(x: np.ndarray) -> np.ndarray:
@@ -353,9 +428,10 @@ def place_hash(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.int64).view(U64) * MIX_A + tag.astype(np.int64).view(U64)) + pos.astype(U64) + U64(1))
 
 
-NAMES = {"kind": pa.int32(), "key": pa.int64(), "b0": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "other": pa.int64(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary()}
+NAMES = {"kind": pa.int32(), "key": pa.int64(), "other": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary(), "places": pa.binary()}
 ARROW = pa.schema(list(NAMES.items()))
-RESULT = "kind int, key long, b0 long, doc long, tag long, pos int, other long, place long, other_place long, raw binary"
+RESULT = "kind int, key long, other long, doc long, tag long, pos int, place long, other_place long, raw binary, places binary"
+PAIR, GONE, LIST = 0, 1, 2
 
 
 def result(kind: int, n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
@@ -366,35 +442,59 @@ def result(kind: int, n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
 
 
 def pairs_of(found) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 for pairs, of kind 2 for kept lists."""
+    """Rows of kind PAIR, with the later line's place, and of kind LIST for kept lists, with the places of their lines."""
     for early, late, kept in found:
         if len(early):
-            own = np.unique(np.stack([late["key"], early["key"]], axis=1), axis=0, return_index=True)[1]
+            with np.errstate(over="ignore"):
+                own = np.unique(mix(late["key"] * MIX_A + early["key"]), return_index=True)[1]
             early, late = early[own], late[own]
-            yield result(0, len(own), key=late["key"], other=early["key"], place=place_hash(late["doc"], late["tag"], late["pos"]), other_place=place_hash(early["doc"], early["tag"], early["pos"]))
+            yield result(PAIR, len(own), key=late["key"], other=early["key"], **{c: late[c].copy() for c in ("doc", "tag", "pos")}, place=place_hash(late["doc"], late["tag"], late["pos"]), other_place=place_hash(early["doc"], early["tag"], early["pos"]))
         if kept is not None:
             cut = np.flatnonzero(np.concatenate([[True], kept["tok"][1:] != kept["tok"][:-1]])).tolist()
             for lo, hi in zip(cut, [*cut[1:], len(kept)], strict=True):
-                yield result(2, 1, raw=[kept[lo:hi].tobytes()])
+                own = kept[lo:hi]
+                bits = np.unique(top_bits(place_hash(own["doc"], own["tag"], own["pos"]))).astype("<i4")
+                yield result(LIST, 1, raw=[own.tobytes()], places=[bits.tobytes()])
+
+
+def gone_of(x: np.ndarray) -> pa.RecordBatch:
+    return result(GONE, len(x), **{c: x[c].copy() for c in ("doc", "tag", "pos")})
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First turn, bucket after bucket: pairs (kind 0), places of lines (kind 1), lists for the second turn (kind 2)."""
+    """First turn, bucket after bucket: pairs, lists for the second turn, and lines that go, as their set stood before."""
     held: list[bytes] = []
-    bucket = None
+    size, now = 0, (None, None)
+
+    def flush(last: bool):
+        nonlocal held, size
+        if not held:
+            return
+        kind, raw = now[0], b"".join(held)
+        held, size = [], 0
+        if kind == 0:
+            yield from pairs_of(partners(np.frombuffer(raw, dtype=POSTING)))
+        else:  # the earliest place of each set waits for the rest of the bucket
+            x = np.frombuffer(raw, dtype=PLACE)
+            first, later = earliest(x)
+            yield gone_of(x[later])
+            if not last:
+                held = [x[first].tobytes()]
+
     for batch in batches:
         for kind, b, raw in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            if kind == 1:
-                x = np.frombuffer(raw, dtype=PLACE)
-                yield result(1, len(x), key=x["key"], b0=x["b0"], doc=x["doc"].copy(), tag=x["tag"].copy(), pos=x["pos"].copy())
+            if kind == 2:
+                yield gone_of(np.frombuffer(raw, dtype=PLACE))
                 continue
-            if b != bucket and held:
-                yield from pairs_of(partners(np.frombuffer(b"".join(held), dtype=POSTING)))
-                held = []
-            bucket = b
+            if (kind, b) != now:
+                yield from flush(True)
+                now = (kind, b)
             held.append(raw)
-    if held:
-        yield from pairs_of(partners(np.frombuffer(b"".join(held), dtype=POSTING)))
+            size += len(raw)
+            if kind == 1 and size > PLACES * PLACE.itemsize:
+                yield from flush(False)
+    yield from flush(True)
+    trim()
 
 
 def rejoined(targets: np.ndarray):
@@ -415,14 +515,28 @@ def first_turn(rows: DataFrame, counts: np.ndarray, lines: int, least: int, read
 
 def bit_table(values: DataFrame) -> np.ndarray:
     """Which values the first bits of the column ``v`` take: a table of fixed size."""
-    out = np.zeros(1 << FILTER_BITS, dtype=bool)
-    top = values.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t"))
-    words = top.groupBy(F.expr("t div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, t % 32)")).alias("x"))
-    for w, x in words.repartition(FEW).toLocalIterator():
-        out[w * 32 : w * 32 + 32] = (x >> np.arange(32)) & 1
+    return bits_set(values.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t")))
+
+
+def bits_set(top: DataFrame) -> np.ndarray:
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    words = top.groupBy(F.shiftright("t", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, t % 64)")).alias("x")).toArrow()
+    out[words["w"].to_numpy()] = words["x"].to_numpy()
     return out
 
 
+def among(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in a table of bits_set()."""
+    t = top_bits(values)
+    return (table[t >> 6] >> (t & 63)) & 1 > 0
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(x, dtype="<i4") for x in batch.column("places").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)) if own else np.zeros(0, dtype="<i4"), pa.int32())], names=["t"])
+
+
 def sets_of(involved: np.ndarray, reader: type):
     """The word sets of the lines whose place may be involved in a pair; other lines aren't taken apart."""
 
@@ -433,12 +547,12 @@ def sets_of(involved: np.ndarray, reader: type):
             text = np.repeat(np.arange(len(texts)), many)
             pos = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
             place = place_hash(batch.column("doc").to_numpy()[text], batch.column("tag").to_numpy()[text], pos)
-            hit = np.flatnonzero(involved[top_bits(place)])
+            hit = np.flatnonzero(among(involved, place))
             lines: list[str] = []
             for t, own in zip(*_grouped(text[hit], pos[hit]), strict=True):
                 parts = texts[t].split("\n") if reader is Words else [texts[t]]
                 lines += [parts[p] for p in own]
-            for a, b in slices(lines, 1_200_000):
+            for a, b in slices(lines, SLICE):
                 s = Sets(lines[a:b], None, UNEQUAL, reader)
                 size = np.concatenate([[0], np.cumsum(s.n)])
                 yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["id", "words"])
@@ -453,57 +567,68 @@ def _grouped(text: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[list[in
     return text[cut].tolist(), [x.tolist() for x in np.split(pos, cut[1:])]
 
 
-def verified(rows: DataFrame, pairs: DataFrame, reader: type) -> DataFrame:
-    """The keys with an earlier line of Jaccard similarity 0.8 or more among their candidate pairs."""
+def sets_in(rows: DataFrame, pairs: DataFrame, lists: DataFrame, reader: type) -> DataFrame:
+    """(id, words) of all lines that stand in a pair or in a kept list, and of a few others."""
     places = pairs.select(F.explode(F.array("place", "other_place")).alias("v"))
-    sets = rows.mapInArrow(sets_of(bit_table(places), reader), "id long, words array<long>")
-    sets = written(sets.groupBy("id").agg(F.any_value("words").alias("words")), "sets")
-    pairs = pairs.select("key", "other").distinct()
-    left = pairs.join(sets.select(F.col("id").alias("key"), F.col("words").alias("x")), "key")
+    top = places.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t")).union(lists.select("places").mapInArrow(unpacked, "t int"))
+    found = rows.mapInArrow(sets_of(bits_set(top), reader), "id long, words array<long>")
+    return written(found.groupBy("id").agg(F.any_value("words").alias("words")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, doc, tag, pos) of lines with an earlier line of Jaccard similarity 0.8 or more among their pairs."""
+    left = pairs.select("key", "other", "doc", "tag", "pos").distinct().join(sets.select(F.col("id").alias("key"), F.col("words").alias("x")), "key")
     both = left.join(sets.select(F.col("id").alias("other"), F.col("words").alias("y")), "other")
     enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return both.where(enough).select("key").distinct()
+    return both.where(enough).select("key", "doc", "tag", "pos").distinct()
 
 
-def removals(rows: DataFrame, least: int = MIN_WORDS, reader: type = Words) -> DataFrame:
-    """(doc, tag, removed): the numbers of the lines that go, for documents that lose any; ``rows`` as from tagged()."""
+def removals(rows: DataFrame, least: int = 1, reader: type = Words) -> DataFrame:
+    """(doc, tag, removed): the numbers of the lines that go, for documents that lose any; ``rows`` as from tagged().
+
+    A pair's postings are those of the earliest place of either set, so the later line's place is the one to remove;
+    a set's other places go because their set stood before."""
     counts, lines = rarity(rows, reader)
     found = first_turn(rows, counts, lines, least, reader)
-    pairs, places, lists = (found.where(F.col("kind") == k) for k in range(3))
-    gone = written(verified(rows, pairs, reader), "gone")
+    pairs, again, lists = (found.where(F.col("kind") == k) for k in (PAIR, GONE, LIST))
+    sets = sets_in(rows, pairs, lists, reader)
+    similar = written(verified(pairs, sets), "similar")
+    gone = again.select("doc", "tag", "pos").union(similar.select("doc", "tag", "pos"))
     # lines of kept lists that are still there, once their few partners have failed
-    left = written(pairs.select("key").distinct().join(gone, "key", "left_anti"), "left")
+    left = written(pairs.select("key").distinct().join(similar, "key", "left_anti"), "left")
     if not lists.isEmpty() and not left.isEmpty():
         rest = lists.select("raw").repartition(F.xxhash64("raw")).mapInArrow(rejoined(bit_table(left.select(F.col("key").alias("v")))), RESULT)
         rest = written(rest.join(left, "key", "left_semi").join(pairs.select("key", "other"), ["key", "other"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            gone = gone.union(verified(rows, rest, reader))
-    earliest = places.groupBy("key", "b0").agg(F.min(F.struct("doc", "tag", "pos")).alias("first"), F.max(F.struct("doc", "tag", "pos")).alias("last"))
-    marked = earliest.join(gone.withColumn("similar", F.lit(True)), "key", "left").where("similar or first < last")
-    hit = places.select("key", "b0", "doc", "tag", "pos").join(marked, ["key", "b0"]).where(F.coalesce("similar", F.lit(False)) | (F.struct("doc", "tag", "pos") > F.col("first")))
-    return hit.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+        gone = gone.union(verified(rest, sets).select("doc", "tag", "pos"))
+    return gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Column names that aren't among ``names``."""
+    low = {n.lower() for n in names}
+    while low & {w.lower() for w in wanted}:
+        wanted = tuple(f"_{w}" for w in wanted)
+    return list(wanted)
 
 
-def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_lines", id_col: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
-    """docs without the lines that go; ``removed``: their numbers, from 0. All other columns stay as they are."""
+def deduplicated(docs: DataFrame, text: str = "text", removed: str = "removed_lines", id_col: str = "doc_id", least: int = 1) -> DataFrame:
+    """docs without the lines that go; ``removed``: their numbers, from 0. All other columns stay as they are; a column
+    named as ``removed`` is replaced."""
     lost = written(removals(tagged(docs, id_col, text), least), "removals")
-    names = docs.columns
-    own = [f"_{c}" for c in ("doc", "tag")]
-    while set(own) & set(names):
-        own = [f"_{c}" for c in own]
-    tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumns({own[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), own[1]: tag})
-    lost = lost.select(F.col("doc").alias(own[0]), F.col("tag").alias(own[1]), F.col("removed").alias(f"{own[0]}_r"))
-    found = keyed.join(lost.hint("shuffle_hash"), own, "left")
-    gone = F.coalesce(F.col(f"{own[0]}_r"), F.array().cast("array<int>"))
-    return found.select(*[without(F.col(text), gone).alias(text) if c == text else F.col(c) for c in names], gone.alias(removed))
+    names = [c for c in docs.columns if c.lower() != removed.lower()]
+    doc, tag, numbers = unused(docs.columns, "_doc", "_tag", "_gone")
+    keyed = docs.select(*names).withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), tag: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    lost = lost.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("removed").alias(numbers))
+    gone = F.coalesce(F.col(numbers), F.array().cast("array<int>"))
+    return keyed.join(lost, [doc, tag], "left").select(*[without(F.col(text), gone).alias(text) if c == text else F.col(c) for c in names], gone.alias(removed))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text has no near copy before it by (doc_id, text): a Jaccard similarity of 0.8
     or more of the sets of runs of SHINGLE words, by the same exact join. Rows without an id stay."""
-    gone = removals(tagged(docs.where("doc_id is not null")), 1, Shingles).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"))
-    return docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left_anti")
+    doc, tag = unused(docs.columns, "_doc", "_tag")
+    gone = removals(tagged(docs.where("doc_id is not null")), 1, Shingles).select(F.col("doc").alias(doc), F.col("tag").alias(tag))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(tag)), "left_anti")
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -514,6 +639,6 @@ def without(text: Column, gone: Column) -> Column:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    found = deduplicated(docs.withColumn("n_lines", n_lines.cast("int")), least=1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    found = deduplicated(docs.withColumn("n_lines", n_lines.cast("int")))
     return found.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scribeframe.llm import counts, kernel, language, licenses, lines, pieces, quality, rules, simhash, tiling, unigram, urls
 
@@ -204,7 +205,7 @@ def test_url_filter(spark):
     assert urls.judge(pages.where("false"), listing).count() == 0 and urls.judge(pages, listing.where("false")).where("verdict = 'block'").count() == 2
     many = spark.range(20000).selectExpr("concat('k', id) as key")
     blocks, words = urls.bloom(many, "key")
-    block, places = urls.bit_places(__import__("pyspark.sql.functions", fromlist=["col"]).col("key"), blocks)
+    block, places = urls.bit_places(F.col("key"), blocks)
     assert many.where(urls.maybe(blocks, words)(block, places)).count() == 20000
     others = spark.range(20000).selectExpr("concat('other', id) as key")
     assert others.where(urls.maybe(blocks, words)(block, places)).count() < 1000
@@ -243,13 +244,12 @@ def test_licences_of_wrapped_notices_and_names(spark):
 
 def brute_removed(rows):
     own = [(d, p, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x.lower()))) for d, t in rows for p, x in enumerate((t or "").split("\n"))]
-    own = [x for x in own if len(x[2]) >= 5]
-    return {(d, p) for k, (d, p, s) in enumerate(own) if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for _, _, o in own[:k])}
+    return {(d, p) for k, (d, p, s) in enumerate(own) if s and any(9 * len(s & o) >= 4 * (len(s) + len(o)) for _, _, o in own[:k])}
 
 
-@pytest.mark.parametrize("long_list", [256, 3])
-def test_line_dedup(spark, monkeypatch, long_list):
-    """``long_list`` 3 sends most lists through the pivots and the second turn."""
+@pytest.mark.parametrize("long_list, often", [(256, 50_000), (3, 50_000), (256, 2), (3, 2)])
+def test_line_dedup(spark, monkeypatch, long_list, often):
+    """``long_list`` 3 sends most lists through the pivots and the second turn, ``often`` 2 splits them into bands."""
     rng = np.random.default_rng(6)
     base = [prose(i, 12).split() for i in range(6)]
     rows = []
@@ -264,6 +264,7 @@ def test_line_dedup(spark, monkeypatch, long_list):
     rows += [(60, None), (61, ""), (62, "\n\n")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, tag string").repartition(4)
     monkeypatch.setattr(lines, "LONG_LIST", long_list)
+    monkeypatch.setattr(lines, "OFTEN", often)
     got = lines.deduplicated(df).collect()
     assert {(r.doc_id, p) for r in got for p in r.removed_lines} == brute_removed(rows)
     for r in got:
@@ -272,6 +273,15 @@ def test_line_dedup(spark, monkeypatch, long_list):
     assert lines.deduplicated(df.where("false")).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2)], "doc_id long, text string, n int")
     assert all(r.removed_lines == [] for r in lines.deduplicated(twice).collect())
+    clash = twice.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("_doc", "_tag", "_gone", "removed_lines", "_doc_r", "key", "doc", "tag"))])
+    got = lines.deduplicated(clash)
+    assert sorted(got.columns) == sorted(clash.columns) and {(r._doc, r._tag, r._gone, r.key, r.doc) for r in got.collect()} == {(0, 1, 2, 5, 6)}
+
+
+def test_bands_of_lengths_that_can_match_are_neighbours():
+    n = np.arange(1, 3000)
+    low, high = lines.band(n), lines.band(n * 5 // 4)
+    assert (high - low <= 1).all() and (low[1:] >= low[:-1]).all()
 
 
 def test_line_dedup_of_short_lines(spark, tmp_path):
