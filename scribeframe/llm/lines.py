@@ -16,8 +16,8 @@ different words stay: with the default of 1, only lines without a word.
 4. Within a list, pairs pass the length filter, the positional filter and the bitmap's bound on the symmetric
    difference, none of which loses a match.
 5. Jaccard is verified on the whole sets of 64-bit word hashes. One earlier match removes a line, so every list first
-   offers a line's closest few partners. Lists with lines that had more are kept, and the lines among them that weren't
-   removed get all their partners in a second turn over those lists alone.
+   offers a line's closest few partners. The closest are verified first; lines that these don't remove have the others
+   verified, and all partners of lists where they had more, in a second turn over those lists alone.
 
 Cases: null and empty texts have no lines to remove; a null id counts as the least; rows with equal id and text are one
 document, so their lines aren't removed for each other; a word repeated in a line counts once; very long texts and
@@ -48,7 +48,7 @@ SLOTS, SHEET = 1 << 22, 1 << 16
 #: postings that a bucket of lists holds on average; those a task holds before it sends them; places it holds at once
 BUCKET, HELD, PLACES = 250_000, 250_000, 500_000
 #: the count from which a word's lists are split into bands of lengths
-OFTEN = 50_000
+OFTEN = 1_000_000
 #: partitions of a table of fixed size on its way to the driver, which runs a job for each
 FEW = 8
 #: partners that a list offers for a line in the first turn; lists that are first compared with their earliest lines
@@ -338,7 +338,7 @@ class Lists:
 
 
 def partners(x: np.ndarray):
-    """The first turn over one bucket's lists: (earlier, later) of the pairs it offers, and postings of the lists in
+    """The first turn over one bucket's lists: (earlier, later, rank) of the pairs it offers, and postings of the lists in
     which a later line has more partners than those."""
     lists = Lists(x)
     x, time, begin = lists.rows, lists.time, lists.begin
@@ -359,9 +359,9 @@ def partners(x: np.ndarray):
             b = a + 1 + np.arange(len(a)) - np.repeat(cut[lo:hi] - cut[lo], many[lo:hi])
             ok, bits = lists.near(a, b)
             if len(ok):
-                early, late, more = closest(time, a[ok], b[ok], bits)
+                early, late, nth, more = closest(time, a[ok], b[ok], bits)
                 over[lists.number[more]] = True
-                yield x[early], x[late], None
+                yield x[early], x[late], nth, None
         at = to
     for k in np.flatnonzero(lists.size > LONG_LIST).tolist():
         # lines like one of the earliest are offered those; the others are compared with all
@@ -372,15 +372,15 @@ def partners(x: np.ndarray):
         ok, bits = lists.near(a, b)
         done = np.isin(own, b[ok])
         over[k] |= done.any()
-        early, late, _ = closest(time, a[ok], b[ok], bits)
-        yield x[early], x[late], None
+        early, late, nth, _ = closest(time, a[ok], b[ok], bits)
+        yield x[early], x[late], nth, None
         for early, late, bits in against_all(lists, own, np.flatnonzero(~done)):
-            early, late, more = closest(time, early, late, bits)
+            early, late, nth, more = closest(time, early, late, bits)
             over[k] |= len(more) > 0
-            yield x[early], x[late], None
+            yield x[early], x[late], nth, None
     kept = over[lists.number]
     if kept.any():
-        yield x[:0], x[:0], x[kept]
+        yield x[:0], x[:0], np.zeros(0, dtype=np.int64), x[kept]
 
 
 def against_all(lists: Lists, own: np.ndarray, which: np.ndarray):
@@ -397,7 +397,7 @@ def against_all(lists: Lists, own: np.ndarray, which: np.ndarray):
 
 
 def closest(time: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray):
-    """The OFFERS closest earlier partners of each later line; the later lines that have more."""
+    """The OFFERS closest earlier partners of each later line and their rank; the later lines that have more."""
     swap = time[a] > time[b]
     early, late = np.where(swap, b, a), np.where(swap, a, b)
     order = np.lexsort((time[early], bits, late))
@@ -405,7 +405,8 @@ def closest(time: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray):
     start = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.concatenate([start, [len(late)]])) if len(late) else start
     nth = np.arange(len(late)) - np.repeat(start, count)
-    return early[nth < OFFERS], late[nth < OFFERS], late[start[count > OFFERS]]
+    near = nth < OFFERS
+    return early[near], late[near], nth[near], late[start[count > OFFERS]]
 
 
 def all_partners(x: np.ndarray, targets: np.ndarray):
@@ -416,7 +417,7 @@ def all_partners(x: np.ndarray, targets: np.ndarray):
         if wanted[lo:hi].any():
             own = lo + np.argsort(lists.time[lo:hi], kind="stable")
             for early, late, _ in against_all(lists, own, np.flatnonzero(wanted[own])):
-                yield lists.rows[early], lists.rows[late], None
+                yield lists.rows[early], lists.rows[late], np.zeros(len(late), dtype=np.int64), None
 
 
 def top_bits(x: np.ndarray) -> np.ndarray:
@@ -428,9 +429,9 @@ def place_hash(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.int64).view(U64) * MIX_A + tag.astype(np.int64).view(U64)) + pos.astype(U64) + U64(1))
 
 
-NAMES = {"kind": pa.int32(), "key": pa.int64(), "other": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary(), "places": pa.binary()}
+NAMES = {"kind": pa.int32(), "key": pa.int64(), "other": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "pos": pa.int32(), "nth": pa.int32(), "place": pa.int64(), "other_place": pa.int64(), "raw": pa.binary(), "places": pa.binary()}
 ARROW = pa.schema(list(NAMES.items()))
-RESULT = "kind int, key long, other long, doc long, tag long, pos int, place long, other_place long, raw binary, places binary"
+RESULT = "kind int, key long, other long, doc long, tag long, pos int, nth int, place long, other_place long, raw binary, places binary"
 PAIR, GONE, LIST = 0, 1, 2
 
 
@@ -443,12 +444,13 @@ def result(kind: int, n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
 
 def pairs_of(found) -> Iterator[pa.RecordBatch]:
     """Rows of kind PAIR, with the later line's place, and of kind LIST for kept lists, with the places of their lines."""
-    for early, late, kept in found:
+    for early, late, nth, kept in found:
         if len(early):
+            order = np.argsort(nth, kind="stable")
             with np.errstate(over="ignore"):
-                own = np.unique(mix(late["key"] * MIX_A + early["key"]), return_index=True)[1]
+                own = order[np.unique(mix(late["key"] * MIX_A + early["key"])[order], return_index=True)[1]]
             early, late = early[own], late[own]
-            yield result(PAIR, len(own), key=late["key"], other=early["key"], **{c: late[c].copy() for c in ("doc", "tag", "pos")}, place=place_hash(late["doc"], late["tag"], late["pos"]), other_place=place_hash(early["doc"], early["tag"], early["pos"]))
+            yield result(PAIR, len(own), key=late["key"], other=early["key"], nth=nth[own].astype(np.int32), **{c: late[c].copy() for c in ("doc", "tag", "pos")}, place=place_hash(late["doc"], late["tag"], late["pos"]), other_place=place_hash(early["doc"], early["tag"], early["pos"]))
         if kept is not None:
             cut = np.flatnonzero(np.concatenate([[True], kept["tok"][1:] != kept["tok"][:-1]])).tolist()
             for lo, hi in zip(cut, [*cut[1:], len(kept)], strict=True):
@@ -537,8 +539,9 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)) if own else np.zeros(0, dtype="<i4"), pa.int32())], names=["t"])
 
 
-def sets_of(involved: np.ndarray, reader: type):
-    """The word sets of the lines whose place may be involved in a pair; other lines aren't taken apart."""
+def sets_of(first: np.ndarray, second: np.ndarray, reader: type):
+    """The word sets of the lines whose place is in one of two tables, and whether it is in the first; other lines aren't
+    taken apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -547,7 +550,9 @@ def sets_of(involved: np.ndarray, reader: type):
             text = np.repeat(np.arange(len(texts)), many)
             pos = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
             place = place_hash(batch.column("doc").to_numpy()[text], batch.column("tag").to_numpy()[text], pos)
-            hit = np.flatnonzero(among(involved, place))
+            early = among(first, place)
+            hit = np.flatnonzero(early | among(second, place))
+            early = early[hit]
             lines: list[str] = []
             for t, own in zip(*_grouped(text[hit], pos[hit]), strict=True):
                 parts = texts[t].split("\n") if reader is Words else [texts[t]]
@@ -555,7 +560,8 @@ def sets_of(involved: np.ndarray, reader: type):
             for a, b in slices(lines, SLICE):
                 s = Sets(lines[a:b], None, UNEQUAL, reader)
                 size = np.concatenate([[0], np.cumsum(s.n)])
-                yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(early[a:b][s.text]), pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(s.tok.view(np.int64)))], names=["early", "id", "words"])
+        trim()
 
     return run
 
@@ -568,11 +574,22 @@ def _grouped(text: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[list[in
 
 
 def sets_in(rows: DataFrame, pairs: DataFrame, lists: DataFrame, reader: type) -> DataFrame:
-    """(id, words) of all lines that stand in a pair or in a kept list, and of a few others."""
-    places = pairs.select(F.explode(F.array("place", "other_place")).alias("v"))
-    top = places.select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t")).union(lists.select("places").mapInArrow(unpacked, "t int"))
-    found = rows.mapInArrow(sets_of(bits_set(top), reader), "id long, words array<long>")
-    return written(found.groupBy("id").agg(F.any_value("words").alias("words")), "sets")
+    """(early, id, words) of all lines that stand in a pair or in a kept list, and of a few others; early: those that the
+    pairs of rank 0 need. A line may come twice."""
+    top = lambda p: p.select(F.explode(F.array("place", "other_place")).alias("v")).select(F.shiftrightunsigned("v", 64 - FILTER_BITS).cast("int").alias("t"))
+    first = bits_set(top(pairs.where("nth = 0")))
+    second = bits_set(top(pairs.where("nth > 0")).union(lists.select("places").mapInArrow(unpacked, "t int")))
+    return written(rows.mapInArrow(sets_of(first, second, reader), "early boolean, id long, words array<long>"), "sets")
+
+
+def needed(ids: np.ndarray):
+    """The sets whose id is in a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(ids, batch.column("id").to_numpy().view(U64))))
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -592,14 +609,17 @@ def removals(rows: DataFrame, least: int = 1, reader: type = Words) -> DataFrame
     found = first_turn(rows, counts, lines, least, reader)
     pairs, again, lists = (found.where(F.col("kind") == k) for k in (PAIR, GONE, LIST))
     sets = sets_in(rows, pairs, lists, reader)
-    similar = written(verified(pairs, sets), "similar")
+    nearest, others = (pairs.where(c).select("key", "other", "doc", "tag", "pos") for c in ("nth = 0", "nth > 0"))
+    similar = written(verified(nearest, sets.where("early")), "similar")
     gone = again.select("doc", "tag", "pos").union(similar.select("doc", "tag", "pos"))
-    # lines of kept lists that are still there, once their few partners have failed
-    left = written(pairs.select("key").distinct().join(similar, "key", "left_anti"), "left")
-    if not lists.isEmpty() and not left.isEmpty():
+    # lines that are still there, once their closest partners have failed: their other partners, and all of kept lists
+    left = written(nearest.select("key").distinct().join(similar, "key", "left_anti"), "left")
+    if not left.isEmpty():
         rest = lists.select("raw").repartition(F.xxhash64("raw")).mapInArrow(rejoined(bit_table(left.select(F.col("key").alias("v")))), RESULT)
-        rest = written(rest.join(left, "key", "left_semi").join(pairs.select("key", "other"), ["key", "other"], "left_anti"), "pairs")
-        gone = gone.union(verified(rest, sets).select("doc", "tag", "pos"))
+        rest = others.union(rest.select(others.columns)).distinct().join(left, "key", "left_semi").join(nearest.select("key", "other"), ["key", "other"], "left_anti")
+        rest = written(rest, "pairs")
+        ids = bit_table(rest.select(F.explode(F.array("key", "other")).alias("v")))
+        gone = gone.union(verified(rest, sets.mapInArrow(needed(ids), sets.schema)).select("doc", "tag", "pos"))
     return gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
