@@ -1,11 +1,13 @@
 """Operator 6, SimHash near-dedup: a binary trie self-join of 64-bit fingerprints, pruned by the Hamming error budget.
 
-Two fingerprints with at most four differing bits agree in one of five blocks of bits, so the different fingerprints are
-dealt out by each block's value, and every part holds a binary trie over the bits that follow. Pairs of nodes are walked
+Two fingerprints with at most four differing bits agree in one of five blocks of bits, in two of six, in three of seven.
+The different fingerprints are dealt out by the values of each choice of blocks, of more of them the more fingerprints
+there are, so that a part stays small; every part holds a binary trie over its other bits. Pairs of nodes are walked
 together: a step takes both to their children and adds one error where the bits differ; pairs over the budget go no
-further. A part with very many fingerprints is split into pairs of chunks. Links become components of the least ids.
+further. A part that has very many fingerprints all the same is split into pairs of chunks. Links become components of
+the least ids.
 
-Cases: null and empty texts have fingerprint zero and are linked like any other; texts with fewer than four words hash
+Cases: very long texts are read whole (memory grows with the longest); null and empty texts have fingerprint zero and are linked like any other; texts with fewer than four words hash
 the whole sequence; equal fingerprints link, so repeated rows share a component; other input columns are not looked at;
 an empty table gives an empty result; rows without an id take part in no link but get their fingerprint's component.
 """
@@ -13,6 +15,7 @@ an empty table gives an empty result; rows without an id take part in no link bu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import labels
-from .kernel import table, text_udf, written
+from .kernel import table, text_udf, trim, written
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit from the top, bits
 #: fingerprints of one part that a task handles at once; more are split into pairs of chunks
 CHUNK = 20_000
+#: fingerprints of a part on average, from which parts are made by one more block
+PART = 5_000
 #: rows that a task gathers before it walks their tries; size of a node pair that is compared directly; pairs a step
 GATHER, DIRECT, STEP = 60_000, 64, 1_000_000
 
@@ -63,6 +67,33 @@ def fingerprints(texts: list[str | None]) -> dict[str, object]:
     return {"fp": out}
 
 
+def choices(agreeing: int) -> list[tuple[tuple[int, int], ...]]:
+    """All choices of ``agreeing`` of BUDGET + agreeing blocks of bits: (first bit from the top, bits) of each block."""
+    many = BUDGET + agreeing
+    edge = [64 * k // many for k in range(many + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True)], agreeing))
+
+
+def enough(n: int) -> int:
+    """How many blocks have to agree so that a part of n fingerprints holds PART on average."""
+    agreeing = 1
+    while agreeing < 4 and n >> min(sum(w for _, w in c) for c in choices(agreeing)) > PART:
+        agreeing += 1
+    return agreeing
+
+
+def arranged(fp: np.ndarray, choice: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Fingerprints with the bits of some blocks moved to the front, the others after them."""
+    edge = [0, *(x for a, w in choice for x in (a, a + w)), 64]
+    rest = [(a, b - a) for a, b in zip(edge[0::2], edge[1::2], strict=True) if b > a]
+    out, at = np.zeros_like(fp), 0
+    for a, w in (*choice, *rest):
+        at += w
+        part = (fp << np.uint64(a)) >> np.uint64(64 - w)
+        out |= part << np.uint64(64 - at)
+    return out
+
+
 def pairs(value: np.ndarray, group: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs with at most BUDGET differing bits among values with equal group, which agree in their first
     ``width`` bits. Input is sorted by group and value; ``value`` is unsigned."""
@@ -143,52 +174,63 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], rank: np.ndar
     return root
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(agreeing: int):
     """Links between ids of one partition's fingerprints, sorted by part; as many as join them, not all pairs."""
-    held: list[pa.RecordBatch] = []
 
     def solve(block, part, fp, rep):
-        for b, (shift, width) in enumerate(BLOCKS):
+        for b, choice in enumerate(choices(agreeing)):
             own = block == b
             if not own.any():
                 continue
-            v, g, r = fp[own].astype(np.int64).view(np.uint64), part[own], rep[own]
-            v = (v << np.uint64(shift)) | (v >> np.uint64((64 - shift) % 64)) if shift else v
+            v, g, r = arranged(fp[own].astype(np.int64).view(np.uint64), choice), part[own], rep[own]
             _, g = np.unique(g, return_inverse=True)
             order = np.lexsort((v, g))
             v, g, r = v[order], g[order], r[order]
-            root = forest(len(v), pairs(v, g, width), r)
+            root = forest(len(v), pairs(v, g, sum(w for _, w in choice)), r)
             moved = np.flatnonzero(r[root] < r)
             yield pa.RecordBatch.from_arrays([pa.array(r[moved]), pa.array(r[root][moved])], names=["a", "b"])
 
-    def flush(last: bool):
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        part = whole["part"].to_numpy()
-        keep = len(part) if last else int(np.searchsorted(part, part[-1]))  # sorted by part: the last may go on
-        held.clear()
-        if keep < len(part):
-            held.extend(whole.slice(keep).to_batches())
-        if keep:
-            yield from solve(*(whole.slice(0, keep)[c].to_numpy() for c in ("block", "part", "fp", "rep")))
-
-    waiting = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            waiting += batch.num_rows
-        if waiting >= GATHER:
-            yield from flush(False)
-            waiting = 0
-    yield from flush(True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool):
+            if not held:
+                return
+            whole = pa.Table.from_batches(held)
+            part = whole["part"].to_numpy()
+            keep = len(part) if last else int(np.searchsorted(part, part[-1]))  # sorted by part: the last may go on
+            held.clear()
+            if keep < len(part):
+                held.extend(whole.slice(keep).to_batches())
+            if keep:
+                yield from solve(*(whole.slice(0, keep)[c].to_numpy() for c in ("block", "part", "fp", "rep")))
+
+        waiting = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                waiting += batch.num_rows
+            if waiting >= GATHER:
+                yield from flush(False)
+                waiting = 0
+        yield from flush(True)
+        trim()
+
+    return run
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a > b) between representatives of fingerprints; ``prints``: (fp, rep), each fp once."""
-    n = len(BLOCKS)
-    value = lambda k: F.shiftrightunsigned("fp", 64 - BLOCKS[k][0] - BLOCKS[k][1]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
-    keyed = prints.where("rep is not null").select("fp", "rep", F.posexplode(F.array(*[value(k) for k in range(n)])).alias("block", "key"))
+    known = prints.where("rep is not null").select("fp", "rep")
+    agreeing = enough(known.count())
+
+    def key(choice):
+        out = F.lit(0).cast("long")
+        for a, w in choice:
+            out = F.shiftleft(out, w).bitwiseOR(F.shiftrightunsigned("fp", 64 - a - w).bitwiseAND(F.lit((1 << w) - 1)))
+        return out
+
+    keyed = known.select("fp", "rep", F.posexplode(F.array(*[key(c) for c in choices(agreeing)])).alias("block", "key"))
     large = keyed.groupBy("block", "key").agg(F.count("*").alias("many")).where(F.col("many") > CHUNK)
     large = large.select("block", "key", F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
     dealt = keyed.join(large, ["block", "key"], "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
@@ -197,12 +239,12 @@ def links(prints: DataFrame) -> DataFrame:
     part = F.xxhash64("block", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
     rows = spread.select("block", part.alias("part"), "fp", "rep")
     ready = rows.repartition("part").sortWithinPartitions("part")
-    return ready.mapInArrow(linked, "a long, b long")
+    return ready.mapInArrow(linked(agreeing), "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed 64-bit) and component_id of every row."""
-    found = text_udf("fp long", fingerprints, 2_000_000)
+    found = text_udf("fp long", fingerprints, 1_000_000)
     prints = written(docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col))["fp"].alias("fp")), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     label = labels(links(first))
@@ -216,7 +258,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     while mark in docs.columns:
         mark += "_"
     kept = components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,28 @@ def test_trie_join_equals_all_pairs():
     assert set(found) == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("part, agreeing", [(5000, 1), (0, 4)])
+def test_links_by_any_number_of_blocks(spark, monkeypatch, part, agreeing):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for k in rng.integers(1, 7, 160)]
+    value = np.unique(np.concatenate([base, np.repeat(base, 4) ^ np.array(flips, dtype=np.uint64)])).view(np.int64)
+    monkeypatch.setattr(simhash, "PART", part)
+    assert simhash.enough(1 << 40 if not part else len(value)) == agreeing
+    monkeypatch.setattr(simhash, "enough", lambda n: agreeing)
+    prints = spark.createDataFrame([(int(v), i) for i, v in enumerate(value)], "fp long, rep long").repartition(3)
+    least = {i: i for i in range(len(value))}
+    for i, j in itertools.combinations(range(len(value)), 2):
+        if ((int(value[i]) ^ int(value[j])) & ((1 << 64) - 1)).bit_count() <= 4:
+            a, b = sorted((least[i], least[j]))
+            least = {k: a if v == b else v for k, v in least.items()}
+    got = {r.node: r.label for r in simhash.labels(simhash.links(prints)).collect()}
+    assert got == {k: v for k, v in least.items() if list(least.values()).count(v) > 1}
+    for c in simhash.choices(agreeing):
+        moved = simhash.arranged(value.view(np.uint64), c)
+        assert all(int(a ^ b).bit_count() == int(x ^ y).bit_count() for a, b, x, y in zip(moved, moved[1:], value.view(np.uint64), value.view(np.uint64)[1:]))
+
+
 def test_quality_rules(docs):
     def brute(x):
         w = re.findall(r"[^\x20\x09-\x0D]+", x or "")
