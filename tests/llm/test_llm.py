@@ -132,6 +132,42 @@ def test_tiling(spark, docs):
     assert [[(h.item_id, h.coverage, h.tiles) for h in r.found] for r in found] == [[(1, 1.0, 2)], [], [(2, 1.0, 1)], [], []]
     assert sorted(r.doc_id for r in tiling.clean(table, bench).collect()) == [2, 4, 5]
     assert tiling.clean(docs, bench.where("false")).count() == docs.count() and tiling.clean(empty(docs), bench).count() == 0
+    named = [f"_doc{k}" for k in range(2)] + ["_doc", "_tag", "doc", "tag", "item_id"]
+    clash = table.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(named)])
+    assert tiling.with_hits(clash, bench, "doc").columns == [*[c for c in clash.columns if c != "doc"], "doc"] and tiling.clean(clash, bench).columns == clash.columns
+
+
+def test_tiling_of_other_scripts_items_without_an_id_and_repeats(spark):
+    item = "the old river\u00a0runs \u201cquietly\u201d past nine mills \u2013 and under two stone bridges at dawn"
+    plain = "the old river runs quietly past nine mills and under two stone bridges at dawn"
+    bench = spark.createDataFrame([(None, item), (None, item), (7, prose(20, 30)), (8, prose(20, 30))], "item_id long, text string")
+    rows = [(1, f"x {plain} y"), (1, f"x {plain} y"), (None, f"{item}!"), (2, "the old river"), (3, prose(20, 30).upper()), (3, None)]
+    found = sorted(((r.doc_id, h.item_id, h.coverage) for r in tiling.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench, "h").collect() for h in r.h), key=str)
+    assert found == sorted([(1, None, 1.0), (1, None, 1.0), (None, None, 1.0), (3, 7, 1.0), (3, 8, 1.0)], key=str)
+
+
+@pytest.mark.parametrize("period", [1, 7, 100])
+def test_tiling_of_long_repetitive_texts(period):
+    doc, item = np.tile(np.arange(period), 60_000 // period).astype(np.uint64), np.tile(np.arange(period), 280)[:280].astype(np.uint64)
+    assert tiling.tile(doc, item, 5) == (280, 1)
+
+
+def test_op5(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    items = [(k, prose(100 + k, 24)) for k in range(6)] + [(9, "two words")]
+    docs = []
+    for d in range(30):
+        w = prose(200 + d, 40).split()
+        own = items[d % 6][1].split()
+        if d % 3:
+            cut = int(rng.integers(4, 20))
+            w[20:20] = [*own[cut:], "between", *own[: cut - d % 4]]
+        docs.append((d, " ".join(w) + (" Two, Words" if d % 7 == 0 else "")))
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    cut = lambda x: re.findall(r"[a-z0-9]+", x.lower())
+    want = {(d, k, round(c, 6)) for d, t in docs for k, x in items if (c := brute_tiles(cut(t), cut(x), min(5, len(cut(x)))) / len(cut(x))) >= 0.6}
+    assert {(r.doc_id, r.item_id, r.coverage) for r in tiling.op5_decontamination(spark, str(tmp_path)).collect()} == want and len(want) > 10
 
 
 def brute_print(text):
