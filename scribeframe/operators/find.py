@@ -4,64 +4,65 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeframe.functions.text import fold, fold_plain
+from scribeframe.functions.text import KANA, LONG_VOWEL, fold, folding
+from scribeframe.operators.intervals import binned
+
+#: characters of a bin of the join of hits and units
+BIN = 64
+# The work that approximate matching may take for a transcript (characters x window lengths x phrase
+# length squared), the share by which a window's length may differ, its phrase's longest form.
+MOST_COST, SPAN, MOST_CHARS = 300_000_000, 0.2, 64
 
 
 def folded(units: DataFrame) -> DataFrame:
-    """units (doc, seg, pos, idx, text, ...) with the folded text ``f`` and its offset ``a`` in the transcript's stream."""
-    w = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return units.withColumn("f", fold_plain(F.col("text"))).withColumn("a", F.coalesce(F.sum(F.length("f")).over(w), F.lit(0)))
+    """units (doc, seg, pos, idx, text, ...) with the folded text ``f``, its offset ``a`` in the transcript's stream, and
+    ``after_kana``: whether the stream before ends in kana, which makes leading dashes long vowel marks."""
+    before = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    lead, body = folding(F.coalesce("text", F.lit("")))
+    rows = units.withColumns({"_lead": lead, "_body": body})
+    kana = F.last(F.when(F.col("_body") != "", F.col("_body").rlike(f"[{KANA}]\\z")), True).over(before)
+    rows = rows.withColumn("after_kana", F.coalesce(kana, F.lit(False)))
+    rows = rows.withColumn("f", F.when(F.col("after_kana"), F.concat(F.repeat(F.lit(LONG_VOWEL), F.col("_lead")), "_body")).otherwise(F.col("_body")))
+    return rows.drop("_lead", "_body").withColumn("a", F.coalesce(F.sum(F.length("f")).over(before), F.lit(0)))
 
 
-def folded_full(units: DataFrame) -> DataFrame:
-    """As folded(), with compatibility folding; a dash after kana looks back over unit borders, so a transcript's units
-    are folded in order, in one pass over the transcript."""
+def stream_of(units: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "f")))
+    return units.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["f"]), "").alias("stream"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        previous, at, out, offsets = "", 0, [], []
-        for text in part["text"]:
-            kept, _, previous = fold(text or "", previous)
-            out.append(kept)
-            offsets.append(at)
-            at += len(kept)
-        return part.assign(f=out, a=pd.Series(offsets, index=part.index, dtype="int64"))
 
-    return units.groupBy("doc").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema) + ", f string, a long")
+def spots(units: DataFrame, phrase: str) -> DataFrame:
+    """(doc, hit, p): offsets of the leftmost non-overlapping occurrences of a folded phrase."""
+    parts = F.split("stream", rf"\Q{phrase}\E", -1)
+    cut = stream_of(units).where(F.col("stream").contains(phrase)).select("doc", F.size(parts).alias("n"), F.posexplode(parts).alias("hit", "x"))
+    before = Window.partitionBy("doc").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("p", F.sum(F.length("x")).over(before) + F.col("hit") * len(phrase)).where("hit < n - 1").select("doc", "hit", "p")
 
 
-def places(stream: Column, phrase: str) -> Column:
-    """Offsets of the leftmost non-overlapping occurrences of a folded phrase."""
-    parts = F.split(stream, rf"\Q{phrase}\E", -1)
-    before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + F.length(x) + len(phrase)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(x))).alias("out")))
-    return F.slice(before["out"], 1, F.size(parts) - 1)
-
-
-def stream_of(units: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "f")))
-    return units.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["f"]), "").alias("stream"))
+def covered_by(spans: DataFrame, units: DataFrame) -> DataFrame:
+    """A row for each unit that a span (doc, p, q, ...) of the stream covers."""
+    u = units.where(F.length("f") > 0).withColumn("_z", F.col("a") + F.length("f"))
+    return binned(spans, u, ["doc"], ("p", "q"), ("a", "_z"), BIN).drop("_z")
 
 
 def hit_units(units: DataFrame, phrase: str) -> DataFrame:
     """A row for each unit that a hit covers: (doc, hit, unit columns)."""
     if not phrase:
         raise ValueError("the folded phrase is empty")
-    spots = stream_of(units).where(F.col("stream").contains(phrase)).select("doc", F.posexplode(places(F.col("stream"), phrase)).alias("hit", "p"))
-    u = units.where(F.length("f") > 0)
-    return spots.join(u, "doc").where((F.col("a") < F.col("p") + len(phrase)) & (F.col("a") + F.length("f") > F.col("p")))
+    return covered_by(spots(units, phrase).withColumn("q", F.col("p") + len(phrase)), units).drop("q")
 
 
-def find(units: DataFrame, phrase: str, fold_units=folded) -> DataFrame:
-    """Hits: times of the covered units, match and timing labels, word numbers, segments, speaker, text.
+def find(units: DataFrame, phrase: str) -> DataFrame:
+    """Hits: times of the covered units, match and timing labels, word numbers, segments, speaker, text of the units.
 
     ``units``: (doc, seg, pos, idx, s, e, text, role, timed); ``timed`` is false for segments without words.
     """
-    wanted = fold(phrase)[0]
-    covered = hit_units(fold_units(units), wanted)
+    covered = hit_units(folded(units), fold(phrase))
     bare = "".join(phrase.split())
     row = F.array_sort(F.collect_list(F.struct("idx", "text", "seg", "role")))
     out = covered.groupBy("doc", "hit", "p").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.every("timed").alias("timed"), row.alias("u"), F.count_distinct(F.coalesce("role", F.lit("\0"))).alias("speakers"), F.min("seg").alias("seg"), F.max("seg").alias("last_seg"))
@@ -81,54 +82,60 @@ def with_context(hits: DataFrame, segments: DataFrame, n: int = 1) -> DataFrame:
     ranked = segments.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("seg")))
     ends = ranked.select("doc", F.col("seg").alias("x"), F.col("rank").alias("r"))
     h = hits.join(ends.select("doc", F.col("x").alias("seg"), F.col("r").alias("r0")), ["doc", "seg"]).join(ends.select("doc", F.col("x").alias("last_seg"), F.col("r").alias("r1")), ["doc", "last_seg"])
-    near = ranked.select("doc", "rank", F.col("text").alias("around"))
+    wanted = h.select("doc", "hit", "r0", "r1", F.explode(F.concat(F.sequence(F.col("r0") - n, F.col("r0")), F.sequence(F.col("r1"), F.col("r1") + n))).alias("rank")).distinct()
     side = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("rank", "around")))), lambda x: x["around"]), " | ")
-    both = h.join(near, "doc").where(F.col("rank").between(F.col("r0") - n, F.col("r1") + n))
+    both = wanted.join(ranked.select("doc", "rank", F.col("text").alias("around")), ["doc", "rank"])
     return both.groupBy("doc", "hit").agg(side(F.col("rank") < F.col("r0")).alias("before"), side(F.col("rank") > F.col("r1")).alias("after"))
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+def lengths(m: int) -> range:
+    """Lengths of the windows that a phrase of m folded characters is compared with."""
+    low = max(1, round(m * (1 - SPAN)))
+    return range(low, max(low, round(m * (1 + SPAN))) + 1)
+
+
+def cost(characters: int, m: int) -> int:
+    """The work of approximate matching in a stream; a request refuses transcripts over MOST_COST."""
+    return characters * len(lengths(m)) * m * m
 
 
 def approximate(stream: str, phrase: str, threshold: float, exact: list[int]) -> list[tuple[int, int, float]]:
-    """(start, end, ratio) of windows within a fifth of the phrase's length: the best for each start, then the best
-    that don't overlap each other or an exact hit. Multisets of characters bound the ratio before it is computed."""
-    m = len(phrase)
-    low = max(1, round(0.8 * m))
-    high = max(low, round(1.2 * m))
-    taken = [False] * (len(stream) + 1)
+    """(start, end, ratio) of windows near the phrase's length: the best for each start, then the best that don't overlap
+    each other or an exact hit. A window that doesn't share enough characters with the phrase isn't compared: counts of
+    the phrase's characters in all windows of a length come from running sums and bound the ratio."""
+    n, m = len(stream), len(phrase)
+    free = np.ones(n, dtype=bool)
     for p in exact:
-        taken[p : p + m] = [True] * m
+        free[p : p + m] = False
+    limit = np.minimum.accumulate(np.where(free, n, np.arange(n))[::-1])[::-1] if n else np.zeros(0, dtype=np.int64)
+    code = np.frombuffer(stream.encode("utf-32-le"), dtype=np.uint32)
+    sums = [(phrase.count(c), np.concatenate([[0], np.cumsum(code == ord(c))])) for c in dict.fromkeys(phrase)]
+    best: dict[int, tuple[float, int]] = {}
     matcher = SequenceMatcher(None, "", phrase, autojunk=False)
-    found = []
-    for start in range(len(stream) - low + 1):
-        best = None
-        for n in range(low, high + 1):
-            end = start + n
-            if end > len(stream) or any(taken[start:end]):
-                break
-            matcher.set_seq1(stream[start:end])
-            if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold:
-                r = matcher.ratio()
-                if threshold <= r < 1 and (best is None or r > best[2]):
-                    best = (start, end, r)
-        if best:
-            found.append(best)
+    for size in lengths(m):
+        if size > n:
+            break
+        start = np.flatnonzero(np.arange(size, n + 1) <= limit[: n - size + 1])
+        shared = sum((np.minimum(k, run[start + size] - run[start]) for k, run in sums), np.zeros(len(start), dtype=np.int64))
+        for a in start[2.0 * shared / (size + m) >= threshold].tolist():
+            matcher.set_seq1(stream[a : a + size])
+            r = matcher.ratio()
+            if threshold <= r < 1 and (a not in best or r > best[a][0]):
+                best[a] = (r, a + size)
     out: list[tuple[int, int, float]] = []
-    for a, b, r in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-        if not any(taken[a:b]):
-            taken[a:b] = [True] * (b - a)
+    for a, (r, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
+        if free[a:b].all():
+            free[a:b] = False
             out.append((a, b, r))
     return sorted(out)
 
 
 def find_fuzzy(units: DataFrame, phrase: str, threshold: float) -> DataFrame:
     """Approximate hits (doc, p, q, ratio, start, end, first_word, last_word), transcript by transcript."""
-    wanted = fold(phrase)[0]
-    if not 0.5 <= threshold <= 1 or not 0 < len(wanted) <= 64:
-        raise ValueError("threshold 0.5 to 1, phrase of 1 to 64 folded characters")
-    streams = stream_of(folded(units))
+    wanted = fold(phrase)
+    if not 0.5 <= threshold <= 1 or not 0 < len(wanted) <= MOST_CHARS:
+        raise ValueError(f"threshold 0.5 to 1, phrase of 1 to {MOST_CHARS} folded characters")
+    u = folded(units)
 
     def run(batches):
         for part in batches:
@@ -141,10 +148,8 @@ def find_fuzzy(units: DataFrame, phrase: str, threshold: float) -> DataFrame:
                 rows += [(doc, a, b, round(r, 4)) for a, b, r in approximate(stream, wanted, threshold, exact)]
             yield pd.DataFrame(rows, columns=["doc", "p", "q", "ratio"])
 
-    spans = streams.mapInPandas(run, "doc long, p long, q long, ratio double")
-    u = folded(units).where(F.length("f") > 0)
-    hit = spans.join(u, "doc").where((F.col("a") < F.col("q")) & (F.col("a") + F.length("f") > F.col("p")))
-    return hit.groupBy("doc", "p", "q", "ratio").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first_word"), F.max("idx").alias("last_word"))
+    spans = stream_of(u).mapInPandas(run, "doc long, p long, q long, ratio double")
+    return covered_by(spans, u).groupBy("doc", "p", "q", "ratio").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first_word"), F.max("idx").alias("last_word"))
 
 
 def summary(units: DataFrame, hits: DataFrame) -> DataFrame:

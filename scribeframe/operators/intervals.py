@@ -35,16 +35,30 @@ def union(rows: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.groupBy(*keys, "_g").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("_g")
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that overlap strictly, with their common length; ``b`` has columns ts and te. A hash join on the keys with
-    the range as its residual; AQE splits skewed keys."""
-    return a.join(b, keys).where((F.col("ts") < F.col("e")) & (F.col("te") > F.col("s"))).withColumn("common", F.least("e", "te") - F.greatest("s", "ts"))
+#: time units of a bin of an interval join: ten seconds in milliseconds
+BIN = 10_000
 
 
-def touching(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def binned(a: DataFrame, b: DataFrame, keys: list[str], own: tuple[str, str] = ("s", "e"), other: tuple[str, str] = ("ts", "te"), width: int = BIN) -> DataFrame:
+    """Pairs of rows that overlap strictly, by an equality join: either side goes into all bins that it touches, and a
+    pair is kept in the first bin that both touch, so a key's rows aren't compared with each other at large. Rows with
+    a null limit match nothing."""
+    first = lambda span: F.floor(F.col(span[0]) / width)
+    into = lambda df, span: df.withColumn("_bin", F.explode(F.sequence(first(span), F.greatest(first(span), F.floor(F.col(span[1]) / width)))))
+    both = into(a, own).join(into(b, other), [*keys, "_bin"])
+    near = (F.col(other[0]) < F.col(own[1])) & (F.col(other[1]) > F.col(own[0]))
+    return both.where(near & (F.col("_bin") == F.greatest(first(own), first(other)))).drop("_bin")
+
+
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """Pairs that overlap strictly, with their common length; ``b`` has columns ts and te."""
+    return binned(a, b, keys, width=width).withColumn("common", F.least("e", "te") - F.greatest("s", "ts"))
+
+
+def touching(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """Rows of a that overlap any row of b (semi join)."""
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    return a.alias("a").join(b.alias("b"), [*cond, F.col("ts") < F.col("e"), F.col("te") > F.col("s")], "left_semi")
+    hit = binned(a.select(*keys, "s", "e").distinct(), b.select(*keys, "ts", "te"), keys, width=width).select(*keys, "s", "e").distinct()
+    return a.join(hit, [*keys, "s", "e"], "left_semi")
 
 
 def index_runs(rows: DataFrame, keys: list[str], index: str = "idx") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeframe.operators.intervals import index_runs
+from scribeframe.operators.intervals import binned, index_runs
 
 
 class Refused(ValueError):
@@ -58,30 +58,36 @@ def runs(units: DataFrame) -> DataFrame:
 def crossing(units: DataFrame) -> DataFrame:
     """Kept units that overlap a removed run in time."""
     spans = runs(units).groupBy("doc", "run").agg(F.min("s").alias("rs"), F.max("e").alias("re"))
-    return units.where("not removed").join(spans, "doc").where((F.col("s") < F.col("re")) & (F.col("rs") < F.col("e"))).select("doc", "idx").distinct()
+    return binned(units.where("not removed").select("doc", "idx", "s", "e"), spans, ["doc"], other=("rs", "re")).select("doc", "idx").distinct()
 
 
-def include_overlaps(units: DataFrame, most: int = 50) -> DataFrame:
-    """Adds kept units that overlap a removed run, until there are none: each turn goes through a table in the shared
-    folder (spark.checkpoint.dir), so the plan doesn't grow with the turns."""
-    for _ in range(most):
-        more = crossing(units)
-        if more.isEmpty():
-            return units
-        hit = F.col("_add").isNotNull()
-        units = units.join(more.withColumn("_add", F.lit(1)), ["doc", "idx"], "left").withColumn("removed", F.col("removed") | hit).drop("_add").checkpoint()
-    raise Refused("overlap")
+def include_overlaps(units: DataFrame) -> DataFrame:
+    """Adds kept units that overlap a removed run, then those that overlap what was added, to the end. A unit overlaps a
+    run if and only if it overlaps one of its units, since a kept unit that starts in between ends the run; so whole
+    groups of units that hang together by overlaps go, which one look along the time finds."""
+    w = Window.partitionBy("doc").orderBy("s", "e", "idx")
+    latest = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = units.withColumn("_new", F.coalesce((F.col("s") >= latest).cast("int"), F.lit(1))).withColumn("_group", F.sum("_new").over(w))
+    return grouped.withColumn("removed", F.some("removed").over(Window.partitionBy("doc", "_group"))).drop("_new", "_group")
+
+
+def neighbours(run: DataFrame, kept: DataFrame) -> DataFrame:
+    """run with ``lo``, the latest end of a kept unit up to its start, and ``hi``, the earliest start of one from its end:
+    either is one running look over units and runs by time, whatever the length of a transcript."""
+    none = F.lit(None).cast("long")
+    events = lambda own, at: kept.select("doc", F.col(own).alias("t"), F.lit(0).alias("kind"), none.alias("run"), F.col(own).cast("long").alias("v")).union(run.select("doc", F.col(at).alias("t"), F.lit(1).alias("kind"), F.col("run").cast("long"), none.alias("v")))
+    back = Window.partitionBy("doc").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("doc").orderBy(F.col("t").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    lo = events("e", "start").withColumn("lo", F.last("v", True).over(back)).where("kind = 1").select("doc", "run", "lo")
+    hi = events("s", "end").withColumn("hi", F.last("v", True).over(ahead)).where("kind = 1").select("doc", "run", "hi")
+    return run.join(lo, ["doc", "run"]).join(hi, ["doc", "run"])
 
 
 def spans(units: DataFrame, duration: DataFrame, mode: str) -> DataFrame:
     """A row for each removed run, and in keep mode for the silence at either end: times, the kept neighbours' limits,
     speech and most seconds (milliseconds here), words and segments."""
     run = runs(units).groupBy("doc", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.col("e") - F.col("s")).alias("speech"), F.count("*").alias("units"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.count_distinct("seg").alias("segments"))
-    # neighbours by time: the kept rows' latest end up to a run's start and earliest start from its end
-    kept = units.where("not removed").select("doc", F.col("s").alias("ks"), F.col("e").alias("ke"))
-    before = run.select("doc", "run", "start").join(kept, "doc").where("ke <= start").groupBy("doc", "run").agg(F.max("ke").alias("lo"))
-    after = run.select("doc", "run", "end").join(kept, "doc").where("ks >= end").groupBy("doc", "run").agg(F.min("ks").alias("hi"))
-    out = run.join(before, ["doc", "run"], "left").join(after, ["doc", "run"], "left").join(duration, "doc")
+    out = neighbours(run, units.where("not removed").select("doc", "s", "e")).join(duration, "doc")
     out = out.select("doc", "run", "start", "end", F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), F.col("lo").isNotNull().alias("after_kept"), F.coalesce("hi", "duration").cast("long").alias("hi"), F.col("hi").isNotNull().alias("before_kept"), "speech", "units", "first", "last", "segments")
     if mode == "keep":
         edge = units.groupBy("doc").agg(F.min(F.when(~F.col("removed"), F.col("s"))).alias("k0"), F.max(F.when(~F.col("removed"), F.col("e"))).alias("k1"), F.min(F.when(F.col("removed"), F.col("s"))).alias("r0"), F.max(F.when(F.col("removed"), F.col("e"))).alias("r1")).join(duration, "doc")

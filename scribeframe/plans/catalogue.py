@@ -47,11 +47,8 @@ def normalize(spark, d):
 
 
 def fold_text(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(T.fold_plain(F.col("text"))).alias("chars"), F.md5(T.fold_plain(F.col("text"))).alias("hash"))
-
-
-def fold_full(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.fold_full("text")).alias("hash"))
+    text = T.folded(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(text).alias("chars"), F.md5(text).alias("hash"))
 
 
 def find_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +296,7 @@ def follow_replay(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        words_index, segments_view, normalize, fold_text, fold_full, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
+        words_index, segments_view, normalize, fold_text, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
         interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
         select_index_runs, select_keep_segments, validate_segments, validate_words, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,

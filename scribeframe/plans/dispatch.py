@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scribeframe.functions.text import fold
+from scribeframe.functions.text import fold, folded_ranges
 from scribeframe.operators import engines, export, find, intervals, select, speakers, validate
 from scribeframe.sources import documents
 
@@ -25,7 +25,7 @@ CODES = (
     "TRANSCRIPTION_TIMEOUT", "BUDGET_EXCEEDED", "INVALID_RESULT", "CACHE_INVALID", "VERIFICATION_FAILED",
 )
 EXIT = {"INVALID_INPUT": 2, "FILE_NOT_FOUND": 2}
-MOST_TRANSCRIPTS, MOST_PHRASE, MOST_FUZZY, MOST_CONTEXT = 100, 500, 64, 10
+MOST_TRANSCRIPTS, MOST_PHRASE, MOST_CONTEXT = 100, 500, 10
 MICRO = 1_000_000
 
 
@@ -128,17 +128,20 @@ def find_tool(spark: SparkSession, params: dict) -> dict:
     phrase, fuzzy, context = params.get("phrase"), params.get("fuzzy"), params.get("context", 1)
     if not isinstance(phrase, str) or not phrase.strip() or len(phrase) > MOST_PHRASE:
         raise invalid(f"'phrase' must have 1..{MOST_PHRASE} characters")
-    wanted = fold(phrase)[0]
+    wanted = fold(phrase)
     if not wanted:
         raise invalid("'phrase' has nothing to match")
-    if fuzzy is not None and not (number(fuzzy) and 0.5 <= fuzzy <= 1 and len(wanted) <= MOST_FUZZY):
-        raise invalid(f"'fuzzy' must be null or 0.5 to 1, with a phrase of at most {MOST_FUZZY} folded characters")
+    if fuzzy is not None and not (number(fuzzy) and 0.5 <= fuzzy <= 1 and len(wanted) <= find.MOST_CHARS):
+        raise invalid(f"'fuzzy' must be null or 0.5 to 1, with a phrase of at most {find.MOST_CHARS} folded characters")
     if isinstance(context, bool) or not isinstance(context, int) or not 0 <= context <= MOST_CONTEXT:
         raise invalid(f"'context' must be an integer in [0, {MOST_CONTEXT}]")
     docs = valid(loaded(spark, items))
     units = numbered(docs).cache()
-    hits = find.find(units.drop("word"), phrase, find.folded_full).withColumn("ratio", F.lit(1.0))
+    hits = find.find(units.drop("word"), phrase).withColumn("ratio", F.lit(1.0))
     if fuzzy is not None:
+        longest = find.folded(units).groupBy("doc").agg(F.sum(F.length("f")).alias("n")).agg(F.max("n")).first()[0] or 0
+        if (work := find.cost(longest, len(wanted))) > find.MOST_COST:
+            raise Refusal("INVALID_INPUT", "too much work for approximate matching: search a shorter transcript or phrase", characters=longest, window_lengths=len(find.lengths(len(wanted))), cost=work, max_cost=find.MOST_COST)
         hits = hits.unionByName(described(find.find_fuzzy(units.drop("word"), phrase, float(fuzzy)), units), allowMissingColumns=True)
     first = units.select("doc", F.col("idx").alias("first_word"), F.col("word").alias("w0"))
     rows = hits.join(first, ["doc", "first_word"], "left").orderBy("doc", "start", "end", "hit").collect()
@@ -167,7 +170,7 @@ def described(spans: DataFrame, units: DataFrame) -> DataFrame:
     speaker = F.when(F.count_distinct(F.coalesce("role", F.lit("\0"))) == 1, F.min("role"))
     out = covered.groupBy("doc", F.col("p").alias("hit"), "ratio", "start", "end", "first_word", "last_word").agg(F.min("seg").alias("seg"), F.max("seg").alias("last_seg"), F.every("timed").alias("timed"), speaker.alias("speaker"), F.array_join(texts, " ").alias("text"))
     timing = F.when(F.col("timed"), "word").otherwise("segment")
-    return out.withColumns({"match": F.lit("fuzzy"), "timing": timing}).drop("timed")
+    return out.withColumns({"match": F.lit("approximate"), "timing": timing}).drop("timed")
 
 
 def word_ranges(value: Any, words: int) -> list[tuple[int, int]]:

@@ -22,7 +22,8 @@ assigned as (select w.*, case when r.nxt is null or r.score > r.nxt then r.speak
 votes as (select doc, seg, speaker, sum(e - s) as score from assigned where speaker is not null group by all),
 vranked as (select *, lead(score) over (partition by doc, seg order by score desc, speaker desc) as nxt, row_number() over (partition by doc, seg order by score desc, speaker desc) as rn from votes),
 spoken as (select g.*, case when v.nxt is null or v.score > v.nxt then v.speaker end as speaker from segments g left join vranked v on g.doc = v.doc and g.seg = v.seg and v.rn = 1)"""
-FOLD = r"regexp_replace(lower({}), '[\p{{Z}}\p{{P}}\p{{C}}\s]', '', 'g')"
+# the contract's folding for Latin letters: the case fold of sharp s, dashes that are symbols; no kana in the tables
+FOLD = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\p{{Z}}\p{{P}}\p{{C}}\s−─━]', '', 'g')"
 PHRASE, FOLDED = "then th", "thenth"
 HITS = (
     SEGMENTS

@@ -12,9 +12,9 @@ from scribeframe.plans import dispatch
 def transcript(**more):
     word = lambda n, s, e, text: {"index": n, "start": s, "end": e, "text": text}
     segments = [
-        {"id": "seg_0001", "start": 0.0, "end": 1.0, "text": "Sound design", "words": [word(0, 0.0, 0.4, "Sound"), word(1, 0.5, 1.0, "design")]},
+        {"id": "seg_0001", "start": 0.0, "end": 1.0, "text": "Quiet harbour", "words": [word(0, 0.0, 0.4, "Quiet"), word(1, 0.5, 1.0, "harbour")]},
         {"id": "seg_0002", "start": 1.5, "end": 2.0, "text": "no words here", "words": None},
-        {"id": "seg_0003", "start": 4.0, "end": 5.25, "text": "sound desing again", "words": [word(2, 4.0, 4.5, "sound"), word(3, 4.5, 5.0, "desing"), word(4, 5.0, 5.25, "again")]},
+        {"id": "seg_0003", "start": 4.0, "end": 5.25, "text": "quiet harbuor again", "words": [word(2, 4.0, 4.5, "quiet"), word(3, 4.5, 5.0, "harbuor"), word(4, 5.0, 5.25, "again")]},
     ]
     return {"schema": "transcript/0.1", "id": "t1", "asset_id": "a1", "duration": 6.0, "language": "en", "language_source": "requested", "segments": segments, "source": {"filename": "x.wav", "media_duration": 6.0}} | more
 
@@ -24,9 +24,9 @@ def ask(spark, tool, **params):
 
 
 def test_find_request(spark):
-    found, code = ask(spark, "find", transcript=transcript(), phrase="SOUND-design", fuzzy=0.8)
+    found, code = ask(spark, "find", transcript=transcript(), phrase="QUIET-harbour", fuzzy=0.8)
     hits = found["result"]["hits"]
-    assert code == 0 and [(h["match"], h["start"], h["end"], h["word_indices"], h["segment_ids"]) for h in hits] == [("normalized", 0.0, 1.0, [0, 1], ["seg_0001"]), ("fuzzy", 4.0, 5.0, [2, 3], ["seg_0003"])]
+    assert code == 0 and [(h["match"], h["start"], h["end"], h["word_indices"], h["segment_ids"]) for h in hits] == [("normalized", 0.0, 1.0, [0, 1], ["seg_0001"]), ("approximate", 4.0, 5.0, [2, 3], ["seg_0003"])]
     assert hits[0]["context"] == {"before": [], "after": ["no words here"]} and hits[1]["context"]["before"] == ["no words here"]
     assert found["result"]["transcripts"] == [{"transcript_id": "t1", "segments": 3, "words": 5, "word_timed": False, "hits": 2}]
 
@@ -47,7 +47,7 @@ def test_other_requests(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps(transcript()))
     found, _ = ask(spark, "export", transcript=str(path), format="srt", output=str(tmp_path / "t.srt"))
-    assert found["ok"] and (tmp_path / "t.srt").read_text().startswith("1\n00:00:00,000 --> 00:00:01,000\nSound design\n\n2\n")
+    assert found["ok"] and (tmp_path / "t.srt").read_text().startswith("1\n00:00:00,000 --> 00:00:01,000\nQuiet harbour\n\n2\n")
     assert ask(spark, "export", transcript=str(path), output=str(path))[1] == 2
     named, _ = ask(spark, "speakers", transcript=transcript(), turns={"turns": [{"start": 0, "end": 2, "speaker": "SPEAKER_00"}, {"start": 4, "end": 6, "speaker": "SPEAKER_01"}]})
     assert [s["speaker_id"] for s in named["result"]["transcript"]["segments"]] == ["SPEAKER_00", "SPEAKER_00", "SPEAKER_01"]

@@ -1,8 +1,12 @@
 """Operators on small documents with known results."""
 
 import json
+import unicodedata
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
 from scribeframe.operators import builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
@@ -19,15 +23,54 @@ def units(spark, segments, doc=1):
     return spark.createDataFrame(rows, "doc long, seg int, pos int, idx long, s long, e long, text string, role string, timed boolean")
 
 
-def test_folding():
-    assert T.fold("ｻｳﾝﾄﾞ")[0] == "サウンド" and T.fold("Straße-Weg!")[0] == "strasseweg"
-    assert T.fold("コ-ヒ—")[0] == "コーヒー" and T.fold("-a")[0] == "a"
-    assert T.fold("ー", previous="コ")[0] == "ー" and T.clusters("éa") == [(0, 2), (2, 3)]
+def brute_fold(text, before=""):
+    """Character after character, as the contract words it."""
+    out, ranges, i = "", [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and (unicodedata.category(text[j])[0] == "M" or text[j] in "ﾞﾟ"):
+            j += 1
+        for c in unicodedata.normalize("NFKC", text[i:j]).casefold():
+            last = (out or before)[-1:]
+            if c in "-‐‑‒–—―−─━ｰ":
+                c = "ー" if last and ("ぁ" <= last <= "ヿ" or "ㇰ" <= last <= "ㇿ") else ""
+            elif c != "ー" and (unicodedata.category(c)[0] in "ZPC" or c.isspace()):
+                c = ""
+            out += c
+            ranges += [(i, j)] * len(c)
+        i = j
+    return out, ranges
+
+
+FOLDED = ["ｻｳﾝﾄﾞ", "Straße-Weg!", "コ-ヒ—", "-a", "--", "―カ―", "e\u0301a-ｶ\uff9e−x", "\u0301x", "ＦＵＬＬ ﬁne", "\ue000カ\ue000", "10\u2044x ½", "カ\u3099-", "¿Qué?", "a\tb\x1c$+", "", "İI", "ー━", "x\u200dy"]
+
+
+def test_folding(spark):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*FOLDED, None])], "i int, x string")
+    got = {r.i: r.f for r in rows.select("i", T.folded(F.col("x")).alias("f")).collect()}
+    for i, x in enumerate(FOLDED):
+        for before in ("", "a", "カ"):
+            assert (T.fold(x, before == "カ"), T.folded_ranges(x, before == "カ")) == brute_fold(x, before)
+        assert got[i] == brute_fold(x)[0]
+    assert got[len(FOLDED)] is None
+
+
+def test_folding_across_units(spark):
+    rng = np.random.default_rng(0)
+    texts = [[FOLDED[k] for k in rng.integers(0, len(FOLDED), 30)] for _ in range(8)]
+    u = spark.createDataFrame([(d, i, x) for d, own in enumerate(texts) for i, x in enumerate(own)], "doc long, idx long, text string")
+    got = {(r.doc, r.idx): (r.f, r.a) for r in find.folded(u).collect()}
+    for d, own in enumerate(texts):
+        stream = ""
+        for i, x in enumerate(own):
+            f = brute_fold(x, stream)[0]
+            assert got[d, i] == (f, len(stream))
+            stream += f
 
 
 def test_find_across_words_and_segments(spark):
     u = units(spark, [[("Sound-", 0, 400, "A"), ("design", 500, 900, "A")], [("matters,", 1000, 1400, "B"), ("sound", 1500, 1900, "B"), ("Design!", 2000, 2400, "B")]])
-    hits = sorted(find.find(u, "sound design", find.folded_full).collect(), key=lambda r: r.start)
+    hits = sorted(find.find(u, "sound design").collect(), key=lambda r: r.start)
     assert [(r.start, r.end, r.match, r.first_word, r.last_word, r.speaker) for r in hits] == [(0, 900, "normalized", 0, 1, "A"), (1500, 2400, "normalized", 3, 4, "B")]
     crossing = find.find(u, "design matters").collect()
     assert [(r.seg, r.last_seg, r.speaker) for r in crossing] == [(0, 1, None)]
@@ -36,10 +79,58 @@ def test_find_across_words_and_segments(spark):
     assert find.find(units(spark, [[("aa", 0, 1), ("aa", 2, 3), ("a", 4, 5)]]), "aa").count() == 2
 
 
+def test_find_folds_units_and_phrase_alike(spark):
+    u = units(spark, [[("Hauptstraße", 0, 400), ("ＦＵＬＬ", 500, 900), ("コ−ヒ", 1000, 1400), ("━", 1500, 1900), ("FULL", 2000, 2400)]])
+    found = lambda phrase: sorted((r.first_word, r.last_word) for r in find.find(u, phrase).collect())
+    assert found("hauptSTRASSE") == [(0, 0)] and found("full") == [(1, 1), (4, 4)] and found("コーヒー") == [(2, 3)]
+    assert sorted((r.first_word, r.last_word) for r in find.find_fuzzy(u, "fulx", 0.7).collect()) == [(1, 1), (4, 4)]
+
+
+def brute_approximate(stream, phrase, threshold, exact):
+    """All windows of all starts by the library's ratio."""
+    taken, found = set(i for p in exact for i in range(p, p + len(phrase))), []
+    low = max(1, round(0.8 * len(phrase)))
+    for a in range(len(stream)):
+        own = []
+        for b in range(a + low, a + max(low, round(1.2 * len(phrase))) + 1):
+            if b <= len(stream) and not taken & set(range(a, b)):
+                own.append((-SequenceMatcher(None, stream[a:b], phrase, autojunk=False).ratio(), a, b))
+        found += [min(x for x in own if -1 < x[0] <= -threshold)] if any(-1 < x[0] <= -threshold for x in own) else []
+    out = []
+    for r, a, b in sorted(found):
+        if not taken & set(range(a, b)):
+            taken |= set(range(a, b))
+            out.append((a, b, -r))
+    return sorted(out)
+
+
 def test_fuzzy():
-    assert find.approximate("xxhelloworldxx", "helloworld", 0.9, []) == [(2, 11, pytest.approx(18 / 19))] or find.approximate("xxhelloworldxx", "helloworld", 0.9, [2]) == []
-    found = find.approximate("abcdexfghij", "abcdefghij", 0.9, [])
-    assert [(a, b) for a, b, _ in found] == [(0, 11)]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        stream, phrase = ("".join(rng.choice(list("abc"), n)) for n in (int(rng.integers(0, 40)), int(rng.integers(1, 9))))
+        exact = [stream.find(phrase)] if phrase in stream else []
+        assert find.approximate(stream, phrase, 0.7, exact) == brute_approximate(stream, phrase, 0.7, exact)
+    assert find.cost(100_000, 10) == 100_000 * 5 * 100
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_interval_join(spark, width):
+    rng = np.random.default_rng(6)
+    rows = lambda n: [(int(k), int(s), int(s + d)) for k, s, d in zip(rng.integers(0, 2, n), rng.integers(-20, 60, n), rng.integers(0, 15, n))]
+    a, b = rows(40), rows(30)
+    x = spark.createDataFrame([*a, (0, None, 3)], "k int, s long, e long")
+    y = spark.createDataFrame(b, "k int, ts long, te long")
+    want = sorted((*p, *q[1:]) for p in a for q in b if p[0] == q[0] and q[1] < p[2] and q[2] > p[1])
+    assert sorted(tuple(r) for r in intervals.binned(x, y, ["k"], width=width).select("k", "s", "e", "ts", "te").collect()) == want
+    assert sorted(tuple(r) for r in intervals.touching(x, y, ["k"], width).select("k", "s", "e").collect()) == sorted(p for p in a if any(p == w[:3] for w in want))
+
+
+def test_overlaps_are_included_to_the_end(spark):
+    n = 70  # a staircase: each unit overlaps the next
+    u = units(spark, [[(f"w{i}", 100 * i, 100 * i + 150) for i in range(n)], [("last", 100 * n + 500, 100 * n + 600)]])
+    duration = spark.createDataFrame([(1, 100 * n + 1000)], "doc long, duration long")
+    found = select.select(u, duration, "remove", ranges=spark.createDataFrame([(1, 0, 0)], "doc long, first long, last long"), overlap="include")
+    assert [(r.first, r.last) for r in found["ranges"].collect()] == [(0, n - 1)]
 
 
 def test_selection(spark):
