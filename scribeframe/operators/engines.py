@@ -38,6 +38,10 @@ class Registry:
         return spark.createDataFrame([self._rows[k] for k in sorted(self._rows)], SPEC)
 
 
+#: engines that a catalogue may have
+MOST_ENGINES = 1000
+
+
 def engines(spark: SparkSession) -> DataFrame:
     return Registry(ENGINES).table(spark)
 
@@ -50,7 +54,10 @@ def capabilities(specs: DataFrame) -> DataFrame:
 
 def rejected(requirements: DataFrame, specs: DataFrame) -> DataFrame:
     """(req, id, reasons) of every requirement (req, engine, language, offline, needs_words, needs_vocabulary) against
-    every engine; an empty list is a candidate. Both tables are catalogues of bounded size."""
+    every engine; an empty list is a candidate. Every requirement is answered for every engine, so the list of engines
+    must be short: MOST_ENGINES is checked."""
+    if specs.limit(MOST_ENGINES + 1).count() > MOST_ENGINES:
+        raise ValueError(f"a catalogue has at most {MOST_ENGINES} engines")
     both = requirements.crossJoin(F.broadcast(specs))
     c = F.col
     reasons = F.array_compact(

@@ -28,7 +28,7 @@ def vtt(segments: DataFrame) -> DataFrame:
 
 
 def tsv(segments: DataFrame) -> DataFrame:
-    return _texts(segments, F.concat_ws("\t", F.col("s").cast("string"), F.col("e").cast("string"), F.translate("text", "\t\n", "  ")), "start\tend\ttext\n", "\n", "\n")
+    return _texts(segments, F.concat_ws("\t", F.col("s").cast("string"), F.col("e").cast("string"), "text"), "start\tend\ttext\n", "\n", "\n")
 
 
 def txt(segments: DataFrame) -> DataFrame:

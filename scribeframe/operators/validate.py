@@ -13,9 +13,24 @@ LANGUAGE = r"^([a-z]{2,3}|unknown)$"
 FINGERPRINT = r"^sha256:[0-9a-f]{64}$"
 HASH = r"^[0-9a-f]{64}$"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-FORBIDDEN_KEYS = ("password", "secret", "token", "api_key", "authorization", "cookie", "command", "argv")
-SECRETS = (r"sk-[A-Za-z0-9]{16,}", r"ghp_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)bearer [a-z0-9._-]{16,}", r"(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+")
-PATHS = (r"(^|\s)/(home|Users|root|etc|var)/\S+", r"[A-Za-z]:\\\\\S+")
+MODES = ("local", "remote")
+REQUIRED = {
+    "document": ("schema", "id", "asset_id", "language", "language_source", "language_confidence", "duration", "segments", "source", "engine", "engine_version", "created_at", "provenance", "warnings"),
+    "segment": ("id", "start", "end", "text", "raw_text", "confidence", "words", "speaker_id"),
+    "word": ("start", "end", "text", "confidence"),
+    "source": ("filename", "fingerprint", "size_bytes", "media_duration"),
+    "provenance": ("engine", "engine_version", "execution_mode", "model", "model_version", "parameters", "parameters_hash", "cache_key", "created_at", "processing_seconds", "skill_version", "skill", "tool"),
+}
+# Keys that no document may have; values that look like credentials, commands and absolute paths; fields of
+# spoken text, which may sound like a command or a path.
+FORBIDDEN_KEYS = ("command", "argv", "cmd", "shell", "api_key", "apikey", "token", "secret", "password", "authorization", "access_key", "secret_key", "credential", "credentials")
+CREDENTIALS = (
+    r"\bsk-[A-Za-z0-9_\-]{16,}", r"\bsk-ant-[A-Za-z0-9_\-]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"\bhf_[A-Za-z0-9]{20,}", r"\bBearer\s+[A-Za-z0-9._\-]{16,}",
+    r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"\b[A-Z_]*(API_KEY|SECRET|TOKEN|PASSWORD)[A-Z_]*=\S+",
+)
+COMMANDS = (r"^\s*(ffmpeg|ffprobe|whisper|whisper-cli|whisper-cpp|python3?|sh|bash|cmd\.exe|powershell)\b\s+-", r"\$\(|`[^`]+`|\|\s*(sh|bash)\b")
+PATHS = (r"^(/|~/)[^\s]+/[^\s]*", r"^[A-Za-z]:\\[^\s]+")
+SPOKEN = ("text", "raw_text")
 
 
 def _violations(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -91,13 +106,44 @@ def report(violations: list[DataFrame], docs: DataFrame) -> DataFrame:
     return docs.select("doc").distinct().join(bad, "doc", "left").select("doc", F.col("errors").isNull().alias("ok"), F.coalesce("errors", F.lit(0)).cast("long").alias("errors"), F.coalesce("rules", F.lit("")).alias("rules"))
 
 
+def required_keys(docs: DataFrame, column: str = "json") -> DataFrame:
+    """(doc, place, key) of keys that JSON documents lack: in the document itself, its source and provenance, its segments
+    (place ``segments[3]``) and their words. A key with a null value is there."""
+    raw = docs.select("doc", F.col(column).alias("_j"))
+    inside = lambda rows, key, name: rows.select("doc", F.concat("_p", F.lit(name)).alias("_p"), F.posexplode(F.from_json(F.get_json_object("_j", f"$.{key}"), "array<string>")).alias("_i", "_j")).select("doc", F.format_string("%s[%d]", "_p", "_i").alias("_p"), "_j")
+    top = raw.withColumn("_p", F.lit(""))
+    segments = inside(top, "segments", "segments")
+    found = {"document": raw.select("doc", F.lit("document").alias("_p"), "_j"), "segment": segments, "word": inside(segments, "words", ".words")}
+    found |= {k: raw.select("doc", F.lit(k).alias("_p"), F.get_json_object("_j", f"$.{k}").alias("_j")).where("_j is not null") for k in ("source", "provenance")}
+    lack = lambda rows, kind: rows.select("doc", F.col("_p").alias("place"), F.explode(F.array_except(F.array(*map(F.lit, REQUIRED[kind])), F.coalesce(F.json_object_keys("_j"), F.array().cast("array<string>")))).alias("key"))
+    return reduce(lambda a, b: a.union(b), [lack(rows, kind) for kind, rows in found.items()])
+
+
+def provenance_rules(docs: DataFrame) -> DataFrame:
+    """(doc, rule) of transcripts with the provenance's fields as ``p_`` columns beside the document's own engine."""
+    c = F.col
+    empty = lambda name: c(name).isNull() | (c(name) == "")
+    return _violations(
+        docs,
+        {
+            "engine": ~(c("p_engine").eqNullSafe(c("engine")) & c("p_engine_version").eqNullSafe(c("engine_version"))), "execution_mode": c("p_execution_mode").isNull() | ~c("p_execution_mode").isin(*MODES),
+            "parameters_hash": c("p_parameters_hash").isNull() | ~c("p_parameters_hash").rlike(HASH), "cache_key": c("p_cache_key").isNull() | ~c("p_cache_key").rlike(HASH),
+            "processing_seconds": c("p_processing_seconds").isNull() | (c("p_processing_seconds") < 0) | F.isnan("p_processing_seconds"), "skill": empty("p_skill"), "tool": empty("p_tool") | ~c("p_tool").startswith("transcription/"),
+            "skill_version": empty("p_skill_version"), "model": empty("p_model"),
+        },
+        ["doc"],
+    )
+
+
 def leaks(strings: DataFrame) -> DataFrame:
-    """(keys, reason) of (doc, key, value) rows: a forbidden key, else a secret, else, outside spoken text, a path."""
+    """(doc, key, reason) of (doc, key, value) rows: a forbidden key, and of a value the first of: a credential, and
+    outside spoken text a command or an absolute path."""
     value = F.coalesce("value", F.lit(""))
-    secret, path = (reduce(lambda a, b: a | b, [value.rlike(p) for p in group]) for group in (SECRETS, PATHS))
-    spoken = F.col("key").isin("text", "raw_text")
-    reason = F.when(F.lower("key").isin(*FORBIDDEN_KEYS), "key").when(secret, "secret").when(~spoken & path, "path")
-    return strings.select("doc", "key", reason.alias("reason")).where("reason is not null")
+    secret, command, path = (reduce(lambda a, b: a | b, [value.rlike(p) for p in group]) for group in (CREDENTIALS, COMMANDS, PATHS))
+    spoken = F.coalesce(F.col("key").isin(*SPOKEN), F.lit(False))
+    of_value = F.when(secret, "secret").when(~spoken & command, "command").when(~spoken & path, "path")
+    reasons = F.array_compact(F.array(F.when(F.lower("key").isin(*FORBIDDEN_KEYS), "key"), of_value))
+    return strings.select("doc", "key", F.explode(reasons).alias("reason"))
 
 
 def json_strings(docs: DataFrame, column: str = "json") -> DataFrame:

@@ -170,6 +170,29 @@ def leakage_scan(spark, d):
     return validate.leaks(docs).select("doc", "reason")
 
 
+def required_keys(spark, d):
+    """Documents of one segment and one word each, some without a key here and there."""
+    turn, none = F.col("turn"), F.lit(None).cast("string")
+    some = lambda bad, x: F.when(~bad, x)
+    zero, text = F.lit(0.5), F.lit("x")
+    word = F.struct(zero.alias("start"), zero.alias("end"), text.alias("text"), some(turn % 4 == 1, zero).alias("confidence"))
+    segment = F.struct(*[x.alias(k) for k, x in (("id", text), ("start", zero), ("end", zero), ("text", text), ("raw_text", text), ("confidence", zero), ("words", some(turn % 3 == 0, F.array(word))), ("speaker_id", text))])
+    source = F.struct(text.alias("filename"), some(turn % 5 == 2, text).alias("fingerprint"), F.lit(1).alias("size_bytes"), zero.alias("media_duration"))
+    doc = F.struct(text.alias("schema"), text.alias("id"), zero.alias("duration"), F.array(segment).alias("segments"), source.alias("source"), some(turn % 2 == 1, F.array(text)).alias("warnings"), none.alias("language"))
+    return validate.required_keys(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc"), F.to_json(doc).alias("json")))
+
+
+def provenance_rules(spark, d):
+    n, digest = F.col("doc_id"), F.lit("0123456789abcdef" * 4)
+    wrong = lambda by, at, good, bad: F.when(n % by == at, bad).otherwise(good)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(
+        n.alias("doc"), F.lit("fast").alias("engine"), F.lit("1").alias("engine_version"), F.lit("fast").alias("p_engine"), wrong(3, 0, F.lit("1"), F.lit("2")).alias("p_engine_version"), wrong(4, 1, F.lit("local"), F.lit("cloud")).alias("p_execution_mode"),
+        wrong(5, 2, digest, F.lit("0123")).alias("p_parameters_hash"), digest.alias("p_cache_key"), wrong(7, 3, F.lit(1.5), F.lit(-1.0)).alias("p_processing_seconds"), F.lit("s").alias("p_skill"), F.lit("1").alias("p_skill_version"),
+        wrong(6, 5, F.lit("transcription/find"), F.lit("find")).alias("p_tool"), wrong(11, 4, F.lit("m"), F.lit("")).alias("p_model"),
+    )
+    return validate.provenance_rules(docs)
+
+
 def _export(form):
     def query(spark, d):
         return export.render(_segments(spark, d), form).select("doc", F.md5("content").alias("hash"), F.length("content").alias("chars"))
@@ -298,7 +321,7 @@ QUERIES = {
     for f in (
         words_index, segments_view, normalize, fold_text, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
         interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
-        select_index_runs, select_keep_segments, validate_segments, validate_words, leakage_scan, term_counts, terms, prompts, corrections,
+        select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay,
     )

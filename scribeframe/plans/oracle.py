@@ -127,9 +127,17 @@ SQL = {
     "validate_words": f"""with {FLAWED}, x as (select w.*, f.s as ss, f.e as se, lag(w.e) over (partition by w.doc, w.seg order by w.pos) as pe from words w join flawed f on w.doc = f.doc and w.seg = f.seg)
       select doc, seg, pos, 'outside' as rule from x where s < ss - 10 or e > se + 10 union all select doc, seg, pos, 'overlap' from x where s < pe - 10 union all select doc, seg, pos, 'times' from x where not (s >= 0 and e > s)""",
     "leakage_scan": r"""select doc_id as doc, reason from (select doc_id, case
-      when regexp_matches(text, 'sk-[A-Za-z0-9]{16,}') or regexp_matches(text, 'ghp_[A-Za-z0-9]{20,}') or regexp_matches(text, 'AKIA[0-9A-Z]{16}') or regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
-        or regexp_matches(text, '(?i)bearer [a-z0-9._-]{16,}') or regexp_matches(text, '(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+') then 'secret'
-      when regexp_matches(text, '(^|\s)/(home|Users|root|etc|var)/\S+') or regexp_matches(text, '[A-Za-z]:\\\\\S+') then 'path' end as reason from documents) where reason is not null""",
+      when regexp_matches(text, '\bsk-[A-Za-z0-9_\-]{16,}') or regexp_matches(text, '\bsk-ant-[A-Za-z0-9_\-]{16,}') or regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') or regexp_matches(text, '\bhf_[A-Za-z0-9]{20,}')
+        or regexp_matches(text, '\bBearer\s+[A-Za-z0-9._\-]{16,}') or regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{20,}') or regexp_matches(text, '\b[A-Z_]*(API_KEY|SECRET|TOKEN|PASSWORD)[A-Z_]*=\S+') then 'secret'
+      when regexp_matches(text, '^\s*(ffmpeg|ffprobe|whisper|whisper-cli|whisper-cpp|python3?|sh|bash|cmd\.exe|powershell)\b\s+-') or regexp_matches(text, '\$\(|`[^`]+`|\|\s*(sh|bash)\b') then 'command'
+      when regexp_matches(text, '^(/|~/)[^\s]+/[^\s]*') or regexp_matches(text, '^[A-Za-z]:\\[^\s]+') then 'path' end as reason from documents) where reason is not null""",
+    "required_keys": """with d as (select conv_id as doc, turn from conversations)
+      select doc, 'segments[0]' as place, 'words' as key from d where turn % 3 = 0 union all select doc, 'segments[0].words[0]', 'confidence' from d where turn % 3 <> 0 and turn % 4 = 1
+      union all select doc, 'source', 'fingerprint' from d where turn % 5 = 2 union all select doc, 'document', 'warnings' from d where turn % 2 = 1
+      union all select doc, 'document', k from d, (values ('asset_id'), ('created_at'), ('engine'), ('engine_version'), ('language'), ('language_confidence'), ('language_source'), ('provenance')) v(k)""",
+    "provenance_rules": """with d as (select doc_id as doc from documents)
+      select doc, 'engine' as rule from d where doc % 3 = 0 union all select doc, 'execution_mode' from d where doc % 4 = 1 union all select doc, 'parameters_hash' from d where doc % 5 = 2
+      union all select doc, 'processing_seconds' from d where doc % 7 = 3 union all select doc, 'tool' from d where doc % 6 = 5 union all select doc, 'model' from d where doc % 11 = 4""",
     "corrections_substring": f"""with {SEGMENTS} select doc, seg, ((length(text) - length(replace(lower(text), 'tion', ''))) // 4)::int as n, md5(regexp_replace(text, '(?i)tion', 'ción', 'g')) as hash from segments""",
     "segment_builder": f"""with {WORDS}, b as (select *, lag(e) over w as pe, lag(text) over w as pt from words window w as (partition by doc order by idx)),
       g as (select *, sum(case when pe is null or s - pe >= 90 or regexp_matches(pt, '[.!?。！？]["''”’)\\]」』]*$') then 1 else 0 end) over (partition by doc order by idx) as g from b)

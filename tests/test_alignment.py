@@ -26,22 +26,33 @@ def test_token_groups(spark):
     assert A.token_groups(spark.createDataFrame([], TOKENS)).count() == 0
 
 
-def test_items_in_text():
-    spans = A.item_spans("Oh, (my) word.", ["Oh", "my", "word"])
-    assert spans == [(0, 2), (5, 7), (9, 13)] and A.pieces("Oh, (my) word.", spans) == ["Oh,", " (my)", " word."]
+def test_items_in_text(spark):
+    assert A.standing("Oh, (my) word.", ["Oh", "my", "word"]) == [(0, 2), (5, 7), (9, 13)]
     # a half-width sound mark composes with its base, so the item covers both characters
-    assert A.item_spans("ｶﾞb", ["ガ", "b"]) == [(0, 2), (2, 3)] and A.item_spans("ＡＢ1", ["AB", "1"]) == [(0, 2), (2, 3)]
-    assert A.item_spans("㍿", ["株式", "会社"]) is None and A.item_spans("a", []) is None and A.item_spans("a", ["", "a"]) is None
+    assert A.standing("ｶﾞb", ["ガ", "b"]) == [(0, 2), (2, 3)] and A.standing("ＡＢ1", ["AB", "1"]) == [(0, 2), (2, 3)]
+    assert A.standing("㍿", ["株式", "会社"]) is None and A.standing("a", []) is None and A.standing("a", ["", "a"]) is None
+    assert A.standing("a-b", ["a-b"]) is None and A.standing("a_b", ["ab"]) == [(0, 3)] and A.standing("a b", ["a"]) is None
+    df = spark.createDataFrame([("Oh, (my) word.", ["Oh", "my", "word"]), ("x", ["y"]), (None, ["y"])], "t string, i array<string>")
+    rows = df.select("t", A.item_ranges("t", "i").alias("r")).select(A.parts_of(F.col("t"), F.col("r")).alias("p")).collect()
+    assert [r.p for r in rows] == [["Oh,", " (my)", " word."], None, None]
 
 
-def test_timed_groups():
-    assert A.timed_groups([0.0, 0.2, 0.2, 0.5], 1.0) == [(0, 0, 0.0, 0.2), (1, 1, 0.2, 0.5)]
-    assert A.timed_groups([0.0, 0.2, None, 0.5, 0.5, 0.9], 1.0) == [(0, 1, 0.0, 0.5), (2, 2, 0.5, 0.9)]
-    assert A.timed_groups([0.0, 0.2, 0.2, None, None, None], 1.0) == [(0, 2, 0.0, 0.2)]
-    assert A.timed_groups([None, None], 1.0) is None and A.timed_groups([0.3, 0.3], 1.0) is None and A.timed_groups([], 1.0) is None
-    assert A.timed_groups([0.1, 0.4, 0.4, 7.0], 1.0) == [(0, 1, 0.1, 0.4)]
-    assert A.split_group(["to", " the"], 0.0, 1.0) == [("to", 0.0, 0.4, "interpolated"), (" the", 0.4, 1.0, "interpolated")]
-    assert A.split_group(["東", "京"], 0.0, 1.0) == [("東京", 0.0, 1.0, None)]
+def spoken(spark, parts, times, duration=1.0):
+    """Words of one chunk whose items are the parts, with times of which None is not the aligner's own."""
+    items = [(x.strip(" ,."), times[2 * k] or 0.0, times[2 * k + 1] or 0.0, times[2 * k] is not None, times[2 * k + 1] is not None) for k, x in enumerate(parts)]
+    schema = "doc long, chunk long, text string, duration double, items array<struct<text: string, s: double, e: double, own_s: boolean, own_e: boolean>>"
+    return [tuple(r)[3:] for r in A.aligned_words(spark.createDataFrame([(1, 0, "".join(parts), duration, items)], schema)).orderBy("pos").collect()]
+
+
+def test_timed_groups(spark):
+    assert spoken(spark, ["a,", " b"], [0.0, 0.2, 0.2, 0.5]) == [("a,", 0.0, 0.2, None), (" b", 0.2, 0.5, None)]
+    assert spoken(spark, ["to", " the", " end"], [0.0, 0.2, None, 0.5, 0.5, 0.9]) == [("to", 0.0, 0.2, "interpolated"), (" the", 0.2, 0.5, "interpolated"), (" end", 0.5, 0.9, None)]
+    assert spoken(spark, ["aa", " aa", " a"], [0.0, 0.2, 0.2, None, None, None]) == [("aa", 0.0, 0.08, "interpolated"), (" aa", 0.08, 0.16, "interpolated"), (" a", 0.16, 0.2, "interpolated")]
+    assert spoken(spark, ["a"], [None, None]) == [] and spoken(spark, ["a"], [0.3, 0.3]) == []
+    assert spoken(spark, ["a", "b"], [0.1, 0.4, 0.4, 7.0]) == [("ab", 0.1, 0.4, None)]
+    assert spoken(spark, ["to", " the"], [0.0, None, None, 1.0]) == [("to", 0.0, 0.4, "interpolated"), (" the", 0.4, 1.0, "interpolated")]
+    assert spoken(spark, ["東", "京"], [0.0, None, None, 1.0]) == [("東京", 0.0, 1.0, None)]
+    assert spoken(spark, ["a", " b"], [0.2, 0.6, 0.6, 0.6]) == [("a", 0.2, 0.4, "interpolated"), (" b", 0.4, 0.6, "interpolated")]
 
 
 def test_aligned_words(spark):
@@ -55,13 +66,13 @@ def test_aligned_words(spark):
 
 def test_projection(spark):
     plain = [("he", 0.0, 0.2), (" said", 0.2, 0.5), (" aspirn", 0.5, 0.9)]
-    assert A.project_text(plain, "he said aspirin") == [("he", 0.0, 0.2), (" said", 0.2, 0.5), (" aspirin", 0.5, 0.9)]
-    assert A.project_text(plain, "he aspirn") == [("he", 0.0, 0.5), (" aspirn", 0.5, 0.9)]
-    assert A.project_text(plain, " said aspirn") == [(" said", 0.0, 0.5), (" aspirn", 0.5, 0.9)]
-    assert A.project_text(plain, "he said aspirn") is plain and A.project_text([], "x") == []
-    own = spark.createDataFrame([(d, i, s, e, x) for d in (1, 2) for i, (x, s, e) in enumerate(plain, 1)], "doc long, g long, s double, e double, text string")
-    found = A.projected(own, spark.createDataFrame([(1, "he aspirn")], "doc long, text string")).orderBy("doc", "g").collect()
-    assert [(r.doc, r.text) for r in found] == [(1, "he"), (1, " aspirn"), (2, "he"), (2, " said"), (2, " aspirn")]
+    finals = ["he said aspirin", "he aspirn", " said aspirn", "he said aspirn", None, "he said so aspirn"]
+    own = spark.createDataFrame([(d, i, s, e, x) for d in range(len(finals)) for i, (x, s, e) in enumerate(plain, 1)], "doc long, g long, s double, e double, text string")
+    rows = A.projected(own, spark.createDataFrame(list(enumerate(finals)), "doc long, text string")).orderBy("doc", "g").collect()
+    found = [[(r.text, r.s, r.e) for r in rows if r.doc == d] for d in range(len(finals))]
+    assert found[0] == [("he", 0.0, 0.2), (" said", 0.2, 0.5), (" aspirin", 0.5, 0.9)]
+    assert found[1] == [("he", 0.0, 0.5), (" aspirn", 0.5, 0.9)] and found[2] == [(" said", 0.0, 0.5), (" aspirn", 0.5, 0.9)]
+    assert found[3] == found[4] == plain and "".join(x for x, _, _ in found[5]) == finals[5] and len(found[5]) == 3
 
 
 def test_store(spark, tmp_path):

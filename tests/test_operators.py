@@ -190,7 +190,14 @@ def test_validation_and_leaks(spark):
     found = {(r.seg, r.rule) for r in validate.segment_rules(segs).collect()}
     assert found == {(0, "duplicate_id"), (1, "duplicate_id"), (1, "overlap"), (2, "times"), (3, "end"), (3, "overlap")}
     docs = spark.createDataFrame([(1, json.dumps({"a": {"password": 3, "text": "see /home/x/y"}, "note": "in /home/x/y", "k": ["ghp_" + "a" * 24]}))], "doc long, json string")
-    assert {(r.key, r.reason) for r in validate.leaks(validate.json_strings(docs)).collect()} == {("password", "key"), ("note", "path"), ("k", "secret")}
+    assert {(r.key, r.reason) for r in validate.leaks(validate.json_strings(docs)).collect()} == {("password", "key"), ("k", "secret")}
+    cases = {"C:\\Users\\x\\y": "path", "~/private/a": "path", "/data/in/x.wav": "path", "hf_" + "a" * 20: "secret", "gho_" + "a" * 20: "secret", "sk-ant-" + "a1" * 10: "secret", "ffmpeg -i a": "command", "x $(ls)": "command", "a | sh": "command", "plain /text": None, "MY_API_KEY=abc": "secret"}
+    rows = spark.createDataFrame([(i, k, v) for i, v in enumerate(cases) for k in ("note", "text")], "doc long, key string, value string")
+    got = {(r.doc, r.key): r.reason for r in validate.leaks(rows).collect()}
+    for i, (v, reason) in enumerate(cases.items()):
+        assert got.get((i, "note")) == reason and got.get((i, "text")) == (reason if reason == "secret" else None)
+    keys = spark.createDataFrame([(1, k, None) for k in ("CMD", "credentials", "ApiKey", "fine", None)], "doc long, key string, value string")
+    assert sorted(r.key for r in validate.leaks(keys).collect()) == ["ApiKey", "CMD", "credentials"]
 
 
 def test_corrections():
