@@ -1,20 +1,26 @@
 """Operator 9, licence scans: logistic regression on hashed word n-grams names the licence family of a paragraph.
 
-A paragraph is a line with one of the CUES or NAMES; its words' 1- and 2-grams, hashed into BUCKETS, carry the weights.
-The scores of the families and of the class ``unknown`` go through a softmax with a fitted temperature; below FLOOR the
-answer is ``unknown``. A family counts once a template of its own confirms it: enough of the template's words stand in
-the paragraph. A line that no template confirms is joined with its neighbours up to a blank line, as many words on
-either side as the longest template has; every stretch of a template's length that holds enough of its words is scored
-like a line, so a notice is found at any line wrapping. Scanning uses Spark's functions only; weights and templates
-travel as folded literals. Training, on the driver, sees templates with words dropped or added, and a bounded sample of
-the corpus's lines without cues.
-
-Cases: null and empty texts and texts without a cue have no paragraph: null family, confidence 0; ties go to the first
-family by name; repeated rows get equal answers; other columns are neither read nor returned; an empty table gives none.
+A paragraph is a run of lines up to a blank line. Its lines with a cue are scored one by one: their words' 1- and 2-grams,
+hashed into BUCKETS, carry the weights; the scores of the families and of the class ``unknown`` go through a softmax with
+a fitted temperature, and below FLOOR the answer is ``unknown``. A family counts once a template of its own confirms it:
+enough of the template's words stand there. A line that no template confirms is joined with its neighbours in the
+paragraph, as many words on either side as the longest template has; every stretch of a template's length that holds
+enough of its words is scored like a line, so a notice is found at any line wrapping.
+
+Cues are no list of their own: what misses over 0.3 of a template's words can't be confirmed by it, so of every template
+that many words, the rarest in the corpus's sample, are cues, and a line without any cue is never needed to confirm a
+family. Scanning uses Spark's functions only; weights, cues and templates travel as folded literals. Training, on the
+driver, sees templates with words dropped or added, and as ``unknown`` the lines of a bounded sample of texts, half of
+them texts with cues, that no template confirms.
+
+Cases: null and empty texts and texts without a cue have no licence paragraph: null family, confidence 0; ties go to the
+first family by name; repeated rows get equal answers; very long texts and lines are read whole; other columns are neither
+read nor returned; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -25,12 +31,9 @@ from pyspark.sql import functions as F
 from .kernel import table
 
 BUCKETS, FLOOR, CONFIRM = 4096, 0.6, 0.7
-#: bound of the sample of corpus lines without cues: slots, characters of a text
-SAMPLE_ROWS, SAMPLE_CHARS = 150, 1500
-# Words of licence notices, and notices by family.
-CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "free software", "creative commons", "public domain", "rights reserved")
-#: names of licences that are cues by themselves; MIT in capitals only, as "mit" is a word
-NAMES = r"(?i:\b(?:[al]?gpl(?:v?[0-9.]+)?|mpl|bsd|apache|mozilla|cc0|cc[ -]by|by-(?:sa|nc|nd))\b)|\bMIT\b"
+#: bound of the sample of corpus texts: rows of any text, and as many of texts with a cue
+SAMPLE_ROWS = 150
+# Notices of licences, by family.
 #: what ends a run of neighbouring lines
 BLANK = r"\n[ \t\x0B\f\r]*(?=\n)"
 TEMPLATES = {
@@ -58,9 +61,23 @@ def bucket(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram.encode(), 42) & (BUCKETS - 1)
 
 
+def confirmed_by(line: list[str]) -> bool:
+    """Whether any template has enough of its words in a line's words."""
+    there = set(line)
+    return any(len(there & own) >= CONFIRM * len(own) for texts in TEMPLATES.values() for own in (set(words(t)) for t in texts))
+
+
+def cues_of(texts: list[str]) -> tuple[str, ...]:
+    """Of each template as many words as it can't miss, those that stand in the fewest texts, the longest first."""
+    low = [x.lower() for x in texts]
+    rare = lambda w: (sum(w in x for x in low), -len(w), w)
+    own = [sorted(set(words(t)), key=rare) for family in TEMPLATES.values() for t in family]
+    return tuple(sorted({w for ws in own for w in ws[: len(ws) - math.ceil(CONFIRM * len(ws)) + 1]}))
+
+
 class Model:
-    def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.classes, self.weights, self.bias, self.temperature = classes, weights, bias, temperature
+    def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, cues: tuple[str, ...]):
+        self.classes, self.weights, self.bias, self.temperature, self.cues = classes, weights, bias, temperature, cues
 
     def scores(self, text: str) -> np.ndarray:
         z = (self.bias + sum((self.weights[bucket(g)] for g in grams(text)), np.zeros(len(self.classes)))) / self.temperature
@@ -86,7 +103,9 @@ def examples(lines: list[str], rng: np.random.Generator, copies: int = 40) -> li
     return out
 
 
-def train(lines: list[str], seed: int = 5, epochs: int = 60, rate: float = 0.3) -> Model:
+def train(texts: list[str], cues: tuple[str, ...] | None = None, seed: int = 5, epochs: int = 60, rate: float = 0.3) -> Model:
+    """From texts of the corpus, whose lines that no template confirms are the class unknown."""
+    lines = [x for t in texts for x in t.split("\n") if words(x) and not confirmed_by(words(x))]
     rng = np.random.default_rng(seed)
     classes = ["unknown", *sorted(TEMPLATES)]
     data = examples(lines, rng)
@@ -115,20 +134,25 @@ def train(lines: list[str], seed: int = 5, epochs: int = 60, rate: float = 0.3)
     z = margin()[held]
     nll = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean()
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=nll) if held.any() else 1.0
-    return Model(classes, np.round(w, 3), np.round(b, 3), temperature)
+    return Model(classes, np.round(w, 3), np.round(b, 3), temperature, cues_of(texts) if cues is None else cues)
+
+
+def sample(docs: DataFrame, cues: tuple[str, ...] = ()) -> list[str]:
+    """The text with the least hash in each of SAMPLE_ROWS slots; with cues, of texts that have one."""
+    own = docs.where(F.col("text").isNotNull() & (has_cue(F.col("text"), cues) if cues else F.lit(True)))
+    small = own.select("text", F.xxhash64("text").alias("h")).groupBy(F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x"))
+    return [r.text for r in small.select("x.text").orderBy("text").collect()]
 
 
-def sample(docs: DataFrame) -> list[str]:
-    """Lines without cues from the least hash in each of SAMPLE_ROWS slots."""
-    cut = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
-    small = cut.groupBy(F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x")).select("x.text").orderBy("text")
-    return [x for r in small.collect() for x in r.text.split("\n") if x.strip() and not any(c in x.lower() for c in CUES) and not re.search(NAMES, x)][: 4 * SAMPLE_ROWS]
+def fitted(docs: DataFrame) -> Model:
+    texts = sample(docs)
+    cues = cues_of(texts)
+    return train([*texts, *sample(docs, cues)], cues)
 
 
-def has_cue(x: Column) -> Column:
-    low = F.lower(x)
-    found = x.rlike(NAMES)
-    for c in CUES:
+def has_cue(x: Column, cues: tuple[str, ...]) -> Column:
+    low, found = F.lower(x), F.lit(False)
+    for c in cues:
         found = found | low.contains(c)
     return found
 
@@ -201,12 +225,12 @@ def paragraphs(model: Model, text: Column) -> Column:
         got = x["top"].isNotNull()
         return F.struct(F.when(got, x["top"]["family"]).otherwise(x["family"]).alias("family"), F.when(got, x["top"]["confidence"]).otherwise(x["confidence"]).alias("confidence"), (got | x["confirmed"]).alias("confirmed"))
 
-    runs = F.filter(F.split(text, BLANK, -1), lambda x: has_cue(x))
-    lines = F.transform(runs, lambda x: F.filter(F.transform(F.split(x, "\n", -1), lambda y: F.struct(tokens(y).alias("w"), has_cue(y).alias("cue"))), lambda u: F.size(u["w"]) > 0))
+    runs = F.filter(F.split(text, BLANK, -1), lambda x: has_cue(x, model.cues))
+    lines = F.transform(runs, lambda x: F.filter(F.transform(F.split(x, "\n", -1), lambda y: F.struct(tokens(y).alias("w"), has_cue(y, model.cues).alias("cue"))), lambda u: F.size(u["w"]) > 0))
     found = F.flatten(F.transform(lines, cued))
     for step in (alone, confirmed, joined, settled):
         found = F.transform(found, step)
-    return F.when(has_cue(F.coalesce(text, F.lit(""))), found)
+    return F.when(has_cue(F.coalesce(text, F.lit("")), model.cues), found)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -222,4 +246,4 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, train(sample(docs)))
+    return scan(docs, fitted(docs))

@@ -262,26 +262,64 @@ def test_url_filter(spark):
     assert got == dict(enumerate(cases.values()))
     assert urls.judge(pages.where("false"), listing).count() == 0 and urls.judge(pages, listing.where("false")).where("verdict = 'block'").count() == 2
     many = spark.range(20000).selectExpr("concat('k', id) as key")
-    blocks, words = urls.bloom(many, "key")
+    blocks = 20000 * urls.BITS_A_KEY // urls.BLOCK_BITS
+    words = urls.bloom(many, "key", blocks)
     block, places = urls.bit_places(F.col("key"), blocks)
-    assert many.where(urls.maybe(blocks, words)(block, places)).count() == 20000
+    assert many.where(urls.maybe(words)(block, places)).count() == 20000
     others = spark.range(20000).selectExpr("concat('other', id) as key")
-    assert others.where(urls.maybe(blocks, words)(block, places)).count() < 1000
+    assert others.where(urls.maybe(words)(block, places)).count() < 1000
+
+
+@pytest.mark.parametrize("most", [32 << 20, 64])
+def test_listed_urls(spark, monkeypatch, most):
+    """``most`` 64 makes the filter a table of blocks."""
+    monkeypatch.setattr(urls, "MOST_BYTES", most)
+    listing = spark.range(0, 3000, 3).selectExpr("concat('k', id) as key")
+    pages = spark.range(3000).selectExpr("id", "concat('k', id) as _key", "1 as _maybe", "2 as _entry", "3 as _w0", "4 as _block", "5 as block").union(spark.createDataFrame([(-1, None, 1, 2, 3, 4, 5)], "id long, _key string, a int, b int, c int, d int, e int"))
+    got = urls.listed(pages, listing)
+    assert got.columns == [*pages.columns, "_listed"] and {r.id for r in got.where("_listed").collect()} == set(range(0, 3000, 3)) and got.count() == 3001
+
+
+def test_op8_equals_its_sql_where_hosts_do_not_decide(spark, tmp_path):
+    import duckdb
+
+    hosts = ["www.casino-win.example.org", "casino-win.example.org", "m.spam-farm.example.net", "fine.example.org", "a.net", "www.example.com"]
+    found = [f"http{'s' * (i % 2)}://{hosts[i % 6]}/{('en', 'es', 'fr')[i % 3]}/{i % 20}{('', '.html', '?a=1', '#t', '/')[i % 5]}" for i in range(300)] + [None, "x", "HTTP://CASINO-WIN.example.org"]
+    spark.createDataFrame(list(enumerate(found)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(urls.OP8_SQL).fetchall()
+    got = urls.op8_url_filter(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    open_ = [r.verdict for r in got if r.rule is None and "casino-win" in r.host]
+    assert "block" in open_ and "allow" in open_
 
 
 def test_licences(spark, docs):
     model = licenses.train([prose(i, 10) for i in range(60)])
-    texts = [None, "", "plain", "a line\nReleased under the MIT License.\nend", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "He lost his driving licence last year.", "licen"]
+    texts = [None, "", "plain", "a line\nReleased under the MIT License.\nend", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "He lost his license last year.", "license"]
     table = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, family string")
     rows = sorted(licenses.scan(table, model).collect(), key=lambda r: r.doc_id)
     assert [r.family for r in rows[:5]] == [None, None, None, "mit", "gpl"] and rows[5].families == "apache,cc" and rows[6].family == rows[7].family == "unknown"
     for r, t in zip(rows, texts):
         if r.n_paragraphs == 1:
-            line = next(x for x in t.split("\n") if any(c in x.lower() for c in licenses.CUES))
+            line = next(x for x in t.split("\n") if any(c in x.lower() for c in model.cues))
             assert r.confidence == pytest.approx(model.scores(line).max(), abs=1e-5)
     assert licenses.scan(empty(docs), model).count() == 0
 
 
+def test_no_confirmed_stretch_is_without_a_cue():
+    rng = np.random.default_rng(2)
+    cues = licenses.cues_of([prose(i, 50) for i in range(20)] + ["mit mit der license"])
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            own = sorted(set(licenses.words(t)))
+            least = int(np.ceil(licenses.CONFIRM * len(own)))
+            for _ in range(20):
+                part = rng.choice(own, int(rng.integers(least, len(own) + 1)), replace=False).tolist()
+                assert licenses.confirmed_by(part) and any(c in " ".join(part) for c in cues)
+
+
 NOTICES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
     "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
