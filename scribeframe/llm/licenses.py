@@ -41,7 +41,7 @@ TEMPLATES = {
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "BSD License", "BSD-3-Clause", "BSD-2-Clause"),
     "cc": ("Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY 4.0"),
     "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU GPL, version 2 or later.", "GPLv3", "GPLv2", "GNU GPL", "GPL-3.0", "GPL-2.0"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License", "SPDX-License-Identifier: MIT"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "Mozilla Public License", "MPL 2.0"),
 }
 STRANGERS = ("All rights reserved.", "Copyright by the authors.", "He lost his driving licence last year.", "A fishing licence is required here.", "Licence number on request.", "With the kind permission of the museum.", "The warranty ends after two years.", "Licensed to sell alcohol on these premises.", "Ask for permission before entering.", "This text is in the public domain.", "The licence fee was raised again.")

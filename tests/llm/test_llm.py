@@ -3,6 +3,7 @@
 import itertools
 import os
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -58,6 +59,119 @@ def test_language(spark, docs):
     assert language.train([]).score(["abc"])["lang_pred"] == ["und"]
 
 
+def test_features_of_words():
+    """Hashed n-grams and affixes of each word, against their definition letter by letter."""
+    texts = ["Der Hund\nläuft 3x", None, "", "a ñb-cd é"]
+    spans = language.Spans(texts)
+    flat = [(i, k, w) for i, t in enumerate(texts) for k, line in enumerate((t or "").lower().split("\n")) for w in re.findall(r"[^\W\d_]+", line)]
+    assert spans.text.tolist() == [i for i, _, _ in flat] and spans.size.tolist() == [len(w) for _, _, w in flat]
+    assert spans.length.tolist() == [len(list(g)) for _, g in itertools.groupby(flat, key=lambda x: x[:2])]
+    by_place, begin, by_word = spans.features(np.arange(len(flat)))
+
+    def gram(x, tag, order=1):
+        h = 0
+        for c in x[::order]:
+            h = (h * 0x100000001B3 + (ord(c) + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+        return int(kernel.mix(np.array([(h + tag) % (1 << 64)], dtype=np.uint64))[0]) & (language.BUCKETS - 1)
+
+    for j, (_, _, w) in enumerate(flat):
+        for n, at in zip(language.GRAMS, by_place):
+            assert at[begin[j] : begin[j] + len(w)].tolist() == [gram(w[i : i + n], n) if i + n <= len(w) else language.BUCKETS for i in range(len(w))]
+        for k, n in enumerate(language.AFFIX):
+            assert by_word[2 * k][j] == (gram(w[:n], 11_000 + n) if len(w) >= n else language.BUCKETS)
+            assert by_word[2 * k + 1][j] == (gram(w[-n:], 23_000 + n, -1) if len(w) >= n else language.BUCKETS)
+
+
+def test_statistics_of_lines():
+    texts = ["Ab ab ab! 12\n\nab #x", None, "x y z\nx y z\nq"]
+    found, line_text, weight = quality.bins(texts)
+    lines_ = [(i, line) for i, t in enumerate(texts) for line in (t or "").split("\n")]
+    assert line_text.tolist() == [i for i, _ in lines_]
+    for at, (row, (i, line), n) in enumerate(zip(found, lines_, weight)):
+        own, seen = line.split(), [w for j, x in lines_[:at] if j == i for w in x.split()]
+        chars = sum(map(len, own))
+        share = lambda test: sum(map(test, "".join(own))) / max(chars, 1)
+        before = [w in seen or w in own[:k] for k, w in enumerate(own)]
+        stats = [len(own), chars / max(len(own), 1), share(lambda c: c.isascii() and not c.isalnum() and c not in "#*$%&|<>!?"), share(str.isupper), share(str.isdigit), share(lambda c: c in "#*$%&|<>"), share(lambda c: c in "!?"), 0.0,
+                 (len(own) - len(set(own))) / max(len(own), 1), sum(before) / max(len(own), 1), sum(len(w) <= 3 for w in own) / max(len(own), 1), bool(own) and [x for j, x in lines_ if j == i].count(line) > 1]
+        assert n == max(chars, 1) and row.tolist() == [int(np.searchsorted(e, x, side="right")) for e, x in zip(quality.EDGES, stats)]
+    numbers = quality.columns(found, line_text)
+    k = found.shape[1]
+    for j in range(len(lines_)):
+        for side, other in ((1, j - 1), (2, j + 1)):
+            there = 0 <= other < len(lines_) and line_text[other] == line_text[j]
+            assert (numbers[j, side * k : (side + 1) * k] - np.arange(k) * quality.BINS - side * k * quality.BINS).tolist() == ((found[other] + 1).tolist() if there else [0] * k)
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Tables with good and bad texts in two languages, nulls and repeats."""
+    rng, pools, rows, marks = np.random.default_rng(3), (WORDS[:6], WORDS[6:12]), [], []
+    for d in range(160):
+        bad = d % 3 == 0
+        own = [" ".join(rng.choice(pools[d % 2], 9)) for _ in range(8)]
+        text = "\n".join(x.upper() + " !! ## |" if bad else x.capitalize() + "." for x in own)
+        rows.append((d, text if d % 20 else [None, "", "7 !", text][d // 20 % 4], ["de", "en"][d % 2] if d % 7 else None))
+        marks.append((d, int(not bad), 0))
+    rows += [(None, rows[5][1], "en"), (5, rows[5][1], "en")]
+    out = tmp_path_factory.mktemp("small")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    return str(out), rows
+
+
+def fold_of(doc_id, of):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % of
+
+
+def test_op1_op2_op7(spark, small):
+    path, rows = small
+    got = language.op1_language(spark, path).collect()
+    text, lang = {r[0]: r[1] for r in rows}, {r[0]: ["de", "en"][(r[0] or 1) % 2] for r in rows}
+    assert len(got) == len(rows) and all(r.held_out == (fold_of(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in got)
+    assert all(r.lang_pred == (lang[r.doc_id] if re.search(r"[^\W\d_]", text[r.doc_id] or "") else "und") for r in got)
+    got = quality.op2_quality(spark, path).collect()
+    assert len(got) == len(rows) and all(r.held_out == (fold_of(r.doc_id, 5) == 0) and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.predicted == int(r.doc_id % 3 != 0) for r in got if r.doc_id is not None and len(text[r.doc_id] or "") > 9)
+    fit = quality.sample(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    whole = {(t, int(d % 3 != 0)) for d, t, _ in rows[:160] if t is not None}
+    assert set(fit) <= whole and len(fit) > 120  # two ids may share a slot
+    got = rules.op7_quality_rules(spark, path).collect()
+    assert len(got) == len(rows) and all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.n_words == len((text[r.doc_id] or "").split()) for r in got)
+
+
+def test_trees_are_walked_node_by_node():
+    rng = np.random.default_rng(4)
+    x = rng.random((300, len(rules.FEATURES)))
+    forest = rules.grow(x, (x[:, 0] + x[:, 5] > 1).astype(float), trees=8)
+    for row, margin in zip(x[:50], forest.margin(x[:50])):
+        total = forest.base
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = (forest.left if row[forest.feature[at]] <= forest.threshold[at] else forest.right)[at]
+            total += forest.value[at]
+        assert margin == pytest.approx(total)
+
+
+def test_op6(spark, small):
+    path, rows = small
+    prints = [brute_print(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {g: min(d for (d, _, _), x in zip(rows, group) if x == g and d is not None) for g in group}
+    got = sorted(map(repr, map(tuple, simhash.op6_simhash(spark, path).collect())))
+    assert got == sorted(repr((d, f"{p:016x}", least[g])) for (d, _, _), p, g in zip(rows, prints, group))
+
+
+def test_op3_and_op4_of_long_unspaced_texts(spark, vocabulary):
+    encoder, counter = unigram.Encoder(vocabulary), counts.Counter(vocabulary)
+    texts = ["日本語" * 7000, "ab" * 9000, "x" * 20_000 + " y"]
+    ids, n = encoder.encode(texts)
+    assert encoder.decode(ids, n) == texts and counter.counts(texts)["n_tokens"].tolist() == n.tolist()
+
+
 def test_quality(docs):
     good, bad = [prose(i, 60).capitalize() + "." for i in range(40)], [" ".join(w.upper() + "!!" for w in prose(i, 60).split()) for i in range(40)]
     model = quality.train([(x, 1) for x in good[:30]] + [(x, 0) for x in bad[:30]])
