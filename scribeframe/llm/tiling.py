@@ -28,8 +28,8 @@ from .lines import LOWEST, bits_set, unused
 
 #: words of a seed and least words of a tile; share of an item's words under tiles that makes a leak
 LEAST, COVERAGE = 5, 0.6
-#: bits of a window's hash that the filter goes by, as bits_set() has them; characters of a slice of texts
-TOP, SLICE = 24, 600_000
+#: bits of a window's hash that the filter goes by, as bits_set() has them, at two places; characters of a slice of texts
+TOP, SECOND, SLICE = 24, 16, 600_000
 #: everything but ASCII and Unicode's letters and digits; ASCII is sorted out by its bytes
 OTHER = re.compile(r"[^\w\x00-\x7f]+")
 
@@ -156,9 +156,15 @@ def seeds_of(items: DataFrame) -> DataFrame:
     return written(items.mapInArrow(run, "seed long, item long, place int, n int"), "seeds")
 
 
-def candidates(passes: np.ndarray, sizes: list[int]):
+def candidates(passes: tuple[np.ndarray, np.ndarray], sizes: list[int]):
     """(doc, tag, seeds, words) of the documents with a window that may be an item's."""
 
+    def may_be(window: np.ndarray) -> np.ndarray:
+        top, low = ((window >> U64(64 - TOP)).astype(np.int64), (window >> U64(SECOND) & U64((1 << TOP) - 1)).astype(np.int64))
+        hit = np.flatnonzero((passes[0][top >> 6] >> (top & 63)) & 1 > 0)
+        low = low[hit]
+        return hit[(passes[1][low >> 6] >> (low & 63)) & 1 > 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -171,8 +177,7 @@ def candidates(passes: np.ndarray, sizes: list[int]):
                     if len(h) < size:
                         continue
                     window = windows(h, size)
-                    top = (window >> U64(64 - TOP)).astype(np.int64)
-                    hit = np.flatnonzero((passes[top >> 6] >> (top & 63)) & 1 > 0)
+                    hit = may_be(window)
                     hit = hit[of[hit] == of[hit + size - 1]]
                     text.append(of[hit])
                     seed.append(window[hit])
@@ -216,7 +221,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_c
     """(doc, tag, item_id, coverage, tiles): the leaked items of each text; doc and tag as key() gives them."""
     items = items_of(benchmark)
     seeds = seeds_of(items)
-    passes = bits_set(seeds.select(F.shiftrightunsigned("seed", 64 - TOP).cast("int").alias("t")))
+    bits = (F.shiftrightunsigned("seed", 64 - TOP), F.shiftrightunsigned("seed", SECOND).bitwiseAND(F.lit((1 << TOP) - 1)))
+    passes = tuple(bits_set(seeds.select(x.cast("int").alias("t"))) for x in bits)
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # LEAST values at most
     doc, tag = key(id_col, text_col)
     texts = docs.select(doc.alias("doc"), tag.alias("tag"), F.col(text_col).alias("text")).where("text is not null")
