@@ -7,7 +7,7 @@ enough of the template's words stand there. A line that no template confirms is
 paragraph, as many words on either side as the longest template has; every stretch of a template's length that holds
 enough of its words is scored like a line, so a notice is found at any line wrapping.
 
-Cues are no list of their own: what misses over 0.3 of a template's words can't be confirmed by it, so of every template
+Cues are no list of their own: what misses over 0.25 of a template's words can't be confirmed by it, so of every template
 that many words, the rarest in the corpus's sample, are cues, and a line without any cue is never needed to confirm a
 family. Scanning uses Spark's functions only; weights, cues and templates travel as folded literals. Training, on the
 driver, sees templates with words dropped or added, and as ``unknown`` the lines of a bounded sample of texts, half of
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import table
+from .kernel import table, written
 
-BUCKETS, FLOOR, CONFIRM = 4096, 0.6, 0.7
-#: bound of the sample of corpus texts: rows of any text, and as many of texts with a cue
-SAMPLE_ROWS = 150
+BUCKETS, FLOOR, CONFIRM = 4096, 0.6, 0.75
+#: bound of the sample of corpus texts, and of what training takes of it: rows of any text, and as many with a cue
+POOL, SAMPLE_ROWS = 2000, 150
 # Notices of licences, by family.
 #: what ends a run of neighbouring lines
 BLANK = r"\n[ \t\x0B\f\r]*(?=\n)"
@@ -68,11 +68,14 @@ def confirmed_by(line: list[str]) -> bool:
 
 
 def cues_of(texts: list[str]) -> tuple[str, ...]:
-    """Of each template as many words as it can't miss, those that stand in the fewest texts, the longest first."""
+    """Of each template as many words as it can't miss: those that are cues of another already, then those that stand in
+    the fewest texts, the longest first. Templates of few words, which leave no choice, come first."""
     low = [x.lower() for x in texts]
-    rare = lambda w: (sum(w in x for x in low), -len(w), w)
-    own = [sorted(set(words(t)), key=rare) for family in TEMPLATES.values() for t in family]
-    return tuple(sorted({w for ws in own for w in ws[: len(ws) - math.ceil(CONFIRM * len(ws)) + 1]}))
+    rare = {w: (sum(w in x for x in low), -len(w), w) for family in TEMPLATES.values() for t in family for w in words(t)}
+    out: set[str] = set()
+    for own in sorted((sorted(set(words(t))) for family in TEMPLATES.values() for t in family), key=lambda ws: (len(ws), ws)):
+        out.update(sorted(own, key=lambda w: (w not in out, rare[w]))[: len(own) - math.ceil(CONFIRM * len(own)) + 1])
+    return tuple(sorted(out, key=lambda w: rare[w], reverse=True))
 
 
 class Model:
@@ -137,24 +140,26 @@ def train(texts: list[str], cues: tuple[str, ...] | None = None, seed: int = 5,
     return Model(classes, np.round(w, 3), np.round(b, 3), temperature, cues_of(texts) if cues is None else cues)
 
 
-def sample(docs: DataFrame, cues: tuple[str, ...] = ()) -> list[str]:
-    """The text with the least hash in each of SAMPLE_ROWS slots; with cues, of texts that have one."""
-    own = docs.where(F.col("text").isNotNull() & (has_cue(F.col("text"), cues) if cues else F.lit(True)))
-    small = own.select("text", F.xxhash64("text").alias("h")).groupBy(F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x"))
-    return [r.text for r in small.select("x.text").orderBy("text").collect()]
+def sample(docs: DataFrame) -> DataFrame:
+    """The text with the least hash in each of POOL slots: a bounded sample of whole texts, in the shared folder."""
+    hashed = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    small = hashed.groupBy(F.pmod("h", F.lit(POOL)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("x"))
+    return written(small.select("slot", "x.text"), "licence-sample")
 
 
 def fitted(docs: DataFrame) -> Model:
-    texts = sample(docs)
+    """Learned from SAMPLE_ROWS texts of the sample, and as many that have a cue."""
+    pool = sample(docs)
+    first = lambda rows: [r.text for r in rows.orderBy("slot").limit(SAMPLE_ROWS).collect()]
+    texts = first(pool)
     cues = cues_of(texts)
-    return train([*texts, *sample(docs, cues)], cues)
+    return train([*texts, *first(pool.where(has_cue(F.col("text"), cues)))], cues)
 
 
 def has_cue(x: Column, cues: tuple[str, ...]) -> Column:
-    low, found = F.lower(x), F.lit(False)
-    for c in cues:
-        found = found | low.contains(c)
-    return found
+    """Whether a text holds a cue; the outer transform lowers it once for all cues."""
+    own = F.array(*[F.lit(c) for c in cues])
+    return F.transform(F.array(F.lower(x)), lambda low: F.exists(own, lambda c: low.contains(c)))[0]
 
 
 def literal(values: np.ndarray) -> Column:

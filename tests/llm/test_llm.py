@@ -446,6 +446,7 @@ def test_licences_of_wrapped_notices_and_names(spark):
     model = licenses.train([prose(i, 10) for i in range(60)])
     narrow = {f: "\n".join(re.sub(r"[*#/\s]+", " ", t).split()) for f, t in NOTICES.items()}
     cases = [(f, f"{prose(70)}\n{t}\n{prose(71)}") for f, t in NOTICES.items()] + [(f, f"{prose(72)}\n\n{t}") for f, t in narrow.items()]
+    cases += [("unknown", "Licensed under the Foo Public License."), ("mit", "The MIT License (MIT)"), ("mit", "SPDX-License-Identifier: MIT")]
     cases += [("gpl", "Released under GPLv3."), ("cc", "CC BY-SA 4.0"), (None, "for example a simple word\nkommt mit"), ("unknown", NOTICES["mit"].replace("\n", "\n\n").replace("of this software", "x"))]
     table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
     rows = sorted(licenses.scan(table, model).collect(), key=lambda r: r.doc_id)
