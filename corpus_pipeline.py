@@ -48,7 +48,7 @@ STAGES = [
     ("SentencePiece encoding", sentencepiece_encoding),
 ]
 
-#: stages with trained models can't be written in SQL; tests hold each stage against a brute-force version
+#: stages with trained models can't be written in SQL; tests hold their operators, and the near-copy stage, against brute force
 ORACLE_SQL = None
 
 
