@@ -29,20 +29,26 @@ def dropped_segments(raw: DataFrame) -> DataFrame:
     return raw.select("doc", "n", reason.alias("reason")).where("reason is not null")
 
 
-def widen(words: list[tuple[float, float]], segment_end: float) -> list[tuple[float, float]] | None:
-    """Words shorter than nothing get LEAST_WORD, at the cost of the gap to the next one; None if there is no room."""
-    out: list[tuple[float, float]] = []
-    for i, (s, e) in enumerate(words):
-        if e <= s:
-            if s - e >= LEAST_WORD:
-                return None
-            limit = words[i + 1][0] if i + 1 < len(words) else segment_end
-            e = round(min(s + LEAST_WORD, limit), 6)
-            s = round(min(s, e - LEAST_WORD), 6) if e - s < LEAST_WORD else s
-            if e <= s or s < 0 or (out and s < out[-1][1]):
-                return None
-        out.append((s, e))
-    return out
+def widen(words: DataFrame, segments: DataFrame) -> DataFrame:
+    """words (doc, seg, pos, s, e, ...) in which a word that lacks less than LEAST_WORD to a duration gets LEAST_WORD: it
+    ends at the next word or the segment's end at the latest and reaches back into the gap before it, but not into the
+    word before, as that one is now, nor before the segment. A word without room, or outside the segment, stays as it is."""
+    ends = segments.select("doc", "seg", F.col("s").alias("_ss"), F.col("e").alias("_se"))
+    lists = words.join(ends, ["doc", "seg"]).groupBy("doc", "seg", "_ss", "_se").agg(F.array_sort(F.collect_list(F.struct("pos", "s", "e"))).alias("w"))
+    start = F.array().cast("array<struct<pos: bigint, s: double, e: double>>")
+
+    def step(out, x):
+        i, ss, se = F.size(out), F.col("_ss"), F.col("_se")
+        near = (x["e"] <= x["s"]) & (x["s"] - x["e"] < LEAST_WORD) & x["s"].between(ss - TOLERANCE, se + TOLERANCE)
+        low = F.when(i > 0, F.greatest(ss, F.element_at(out, -1)["e"])).otherwise(ss)
+        high = F.when(i + 1 < F.size("w"), F.least(se, F.get(F.col("w"), i + 1)["s"])).otherwise(se)
+        e = F.round(F.least(x["s"] + LEAST_WORD, high), 6)
+        s = F.round(e - LEAST_WORD, 6)
+        fits = near & (s >= low - 1e-9)
+        return F.concat(out, F.array(F.struct(x["pos"].cast("long").alias("pos"), F.when(fits, s).otherwise(x["s"]).cast("double").alias("s"), F.when(fits, e).otherwise(x["e"]).cast("double").alias("e"))))
+
+    new = lists.select("doc", "seg", F.explode(F.aggregate("w", start, step)).alias("x")).select("doc", "seg", "x.pos", F.col("x.s").alias("_s"), F.col("x.e").alias("_e"))
+    return words.join(new, ["doc", "seg", "pos"]).withColumns({"s": F.col("_s"), "e": F.col("_e")}).drop("_s", "_e")
 
 
 def accept_words(words: DataFrame, segments: DataFrame) -> DataFrame:

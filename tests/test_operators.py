@@ -218,8 +218,6 @@ def test_terms(spark):
 
 
 def test_builder():
-    assert builder.widen([(0.0, 0.5), (0.5, 0.5), (0.6, 0.9)], 1.0) == [(0.0, 0.5), (0.5, 0.51), (0.6, 0.9)]
-    assert builder.widen([(0.0, 0.5), (0.5, 0.5), (0.5, 0.9)], 1.0) is None
     found = builder.dictionary_words([("ab", 0.0, 1.0, 0.9), ("cd", 1.0, 2.0, None)], ["a", "bc", "d"])
     assert [(w["s"], w["e"], w["timing"]) for w in found] == [(0.0, 0.5, "interpolated"), (0.5, 1.5, "interpolated"), (1.5, 2.0, "interpolated")]
     assert found[0]["confidence"] == 0.9 and found[1]["confidence"] is None
