@@ -71,23 +71,17 @@ def include_overlaps(units: DataFrame) -> DataFrame:
     return grouped.withColumn("removed", F.some("removed").over(Window.partitionBy("doc", "_group"))).drop("_new", "_group")
 
 
-def neighbours(run: DataFrame, kept: DataFrame) -> DataFrame:
-    """run with ``lo``, the latest end of a kept unit up to its start, and ``hi``, the earliest start of one from its end:
-    either is one running look over units and runs by time, whatever the length of a transcript."""
-    none = F.lit(None).cast("long")
-    events = lambda own, at: kept.select("doc", F.col(own).alias("t"), F.lit(0).alias("kind"), none.alias("run"), F.col(own).cast("long").alias("v")).union(run.select("doc", F.col(at).alias("t"), F.lit(1).alias("kind"), F.col("run").cast("long"), none.alias("v")))
-    back = Window.partitionBy("doc").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("doc").orderBy(F.col("t").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    lo = events("e", "start").withColumn("lo", F.last("v", True).over(back)).where("kind = 1").select("doc", "run", "lo")
-    hi = events("s", "end").withColumn("hi", F.last("v", True).over(ahead)).where("kind = 1").select("doc", "run", "hi")
-    return run.join(lo, ["doc", "run"]).join(hi, ["doc", "run"])
-
-
 def spans(units: DataFrame, duration: DataFrame, mode: str) -> DataFrame:
-    """A row for each removed run, and in keep mode for the silence at either end: times, the kept neighbours' limits,
+    """A row for each removed run of transcripts where no kept unit overlaps one, and in keep mode for the silence at either end: times, the kept neighbours' limits,
     speech and most seconds (milliseconds here), words and segments."""
-    run = runs(units).groupBy("doc", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.col("e") - F.col("s")).alias("speech"), F.count("*").alias("units"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.count_distinct("seg").alias("segments"))
-    out = neighbours(run, units.where("not removed").select("doc", "s", "e")).join(duration, "doc")
+    # no kept unit overlaps a run, so the kept ones before it in the order of time end by its start, and the later ones
+    # start from its end: one look back and one ahead over the units give its neighbours
+    w = Window.partitionBy("doc").orderBy("s", "e", "idx")
+    lo = F.max(F.when(~F.col("removed"), F.col("e"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    hi = F.min(F.when(~F.col("removed"), F.col("s"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    limits = [F.min("_lo").alias("lo"), F.max("_hi").alias("hi")]
+    run = runs(units.withColumns({"_lo": lo, "_hi": hi})).groupBy("doc", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.col("e") - F.col("s")).alias("speech"), F.count("*").alias("units"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.count_distinct("seg").alias("segments"), *limits)
+    out = run.join(duration, "doc")
     out = out.select("doc", "run", "start", "end", F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), F.col("lo").isNotNull().alias("after_kept"), F.coalesce("hi", "duration").cast("long").alias("hi"), F.col("hi").isNotNull().alias("before_kept"), "speech", "units", "first", "last", "segments")
     if mode == "keep":
         edge = units.groupBy("doc").agg(F.min(F.when(~F.col("removed"), F.col("s"))).alias("k0"), F.max(F.when(~F.col("removed"), F.col("e"))).alias("k1"), F.min(F.when(F.col("removed"), F.col("s"))).alias("r0"), F.max(F.when(F.col("removed"), F.col("e"))).alias("r1")).join(duration, "doc")
