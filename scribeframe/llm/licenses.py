@@ -121,8 +121,11 @@ def train(texts: list[str], cues: tuple[str, ...] | None = None, seed: int = 5,
     fit = ~held / max(1, (~held).sum())
     squares = np.full_like(w, 1e-8)
 
+    begin, order = np.cumsum(size) - size, np.argsort(at, kind="stable")
+    used, edge = np.unique(at[order], return_index=True)
+
     def margin():
-        return b + np.stack([np.bincount(of, weights=w[at, j], minlength=len(rows)) for j in range(k)], axis=1)
+        return b + np.add.reduceat(w[at], begin, axis=0)
 
     def softmax(z):
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -130,7 +133,8 @@ def train(texts: list[str], cues: tuple[str, ...] | None = None, seed: int = 5,
 
     for _ in range(epochs):
         error = (goal - softmax(margin())) * fit[:, None]
-        g = np.stack([np.bincount(at, weights=error[of, j], minlength=BUCKETS) for j in range(k)], axis=1) - 1e-5 * w
+        g = -1e-5 * w
+        g[used] += np.add.reduceat(error[of[order]], edge, axis=0)
         squares += g * g
         w += rate * g / np.sqrt(squares)
         b += rate * error.sum(axis=0)
