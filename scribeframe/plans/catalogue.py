@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
+from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, runs, select, speakers, validate, vocabulary
 from scribeframe.plans.oracle import SQL  # noqa: F401
 from scribeframe.sources import conversations as C
+from scribeframe.sources import scans
 from scribeframe.streaming import follow
 
 PHRASE = "then th"
@@ -193,6 +194,31 @@ def provenance_rules(spark, d):
     return validate.provenance_rules(docs)
 
 
+def turn_rules(spark, d):
+    n = F.col("doc_id")
+    s = (n % 10 * 10).cast("double")
+    speaker = F.when(n % 13 == 0, "Bob").otherwise(F.concat(F.lit("SPEAKER_0"), (n % 3).cast("string")))
+    return scans.turn_rules(spark.read.parquet(f"{d}/documents.parquet").select(F.expr("doc_id div 10").alias("doc"), n.alias("n"), s.alias("s"), (s + n * 7 % 13 - 1).alias("e"), speaker.alias("speaker")))
+
+
+def chunk_rules(spark, d):
+    n = F.col("o_orderkey")
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(n.alias("req"), F.when(n % 3 > 0, (n % 4000).cast("double")).alias("chunk_seconds"), (n % 10).cast("int").alias("parallel"), F.when(n % 5 > 0, "en").alias("language"), (n % 7 == 0).alias("regions"))
+    return runs.chunk_rules(asked)
+
+
+def _run_chunks(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("chunk"), (F.col("l_returnflag") == "R").alias("from_cache"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber") / 8).alias("engine_seconds"))
+
+
+def chunk_totals(spark, d):
+    return runs.chunk_totals(_run_chunks(spark, d))
+
+
+def chunk_languages(spark, d):
+    return runs.languages(spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 60).alias("doc"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")).when(F.col("doc_id") % 60 > 20, "en").alias("language")))
+
+
 def _export(form):
     def query(spark, d):
         return export.render(_segments(spark, d), form).select("doc", F.md5("content").alias("hash"), F.length("content").alias("chars"))
@@ -321,7 +347,7 @@ QUERIES = {
     for f in (
         words_index, segments_view, normalize, fold_text, find_exact, find_summary, find_context, find_fuzzy, speech_events, speech_events_gap,
         interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
-        select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, leakage_scan, term_counts, terms, prompts, corrections,
+        select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, turn_rules, chunk_rules, chunk_totals, chunk_languages, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay,
     )

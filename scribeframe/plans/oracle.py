@@ -126,6 +126,17 @@ SQL = {
       union all select doc, seg, 'order' from before where ok and s < ps union all select doc, seg, 'overlap' from before where ok and s < pe - 10 union all select doc, seg, 'duplicate_id' from before where n > 1""",
     "validate_words": f"""with {FLAWED}, x as (select w.*, f.s as ss, f.e as se, lag(w.e) over (partition by w.doc, w.seg order by w.pos) as pe from words w join flawed f on w.doc = f.doc and w.seg = f.seg)
       select doc, seg, pos, 'outside' as rule from x where s < ss - 10 or e > se + 10 union all select doc, seg, pos, 'overlap' from x where s < pe - 10 union all select doc, seg, pos, 'times' from x where not (s >= 0 and e > s)""",
+    "turn_rules": r"""with t as (select doc_id // 10 as doc, doc_id as n, (doc_id % 10 * 10)::double as s, (doc_id % 10 * 10 + doc_id * 7 % 13 - 1)::double as e, case when doc_id % 13 = 0 then 'Bob' else 'SPEAKER_0' || doc_id % 3 end as speaker from documents),
+      l as (select *, lag(e) over (partition by doc order by n) as pe from t)
+      select distinct doc, 'times' as rule from l where not (s >= 0 and e > s) union select doc, 'order' from l where s < pe - 0.01 union select doc, 'speaker' from l where not regexp_matches(speaker, '^SPEAKER_\d{2,}$')""",
+    "chunk_rules": """with r as (select o_orderkey as req, case when o_orderkey % 3 > 0 then o_orderkey % 4000 end as cs, o_orderkey % 10 as p, o_orderkey % 5 = 0 as anylang, o_orderkey % 7 = 0 as regions from orders)
+      select * from (select req, case when cs is not null and cs not between 30 and 3600 then 'chunk_seconds' when cs is not null and anylang then 'language_required_for_chunking' when p not between 1 and 8 then 'parallel'
+        when cs is null and (p <> 1 or regions) then 'chunk_seconds_required' end as reason from r) where reason is not null""",
+    "chunk_totals": """select l_suppkey as doc, count(*)::bigint as chunks, count(*) filter (l_returnflag = 'R')::bigint as from_cache, count(*) filter (l_returnflag <> 'R')::bigint as recognized,
+      round(coalesce(sum(case when l_returnflag <> 'R' then l_linenumber / 8.0::double end), 0), 3)::double as engine_seconds from lineitem group by l_suppkey""",
+    "chunk_languages": """with c as (select doc_id % 60 as doc, case when doc_id % 4 = 0 then lang when doc_id % 60 > 20 then 'en' end as language from documents),
+      l as (select doc, list_sort(list(distinct language)) as l from c where language is not null group by doc)
+      select doc, case when len(l) = 1 then l[1] end as language, case when len(l) > 1 then array_to_string(l, ', ') end as several from l""",
     "leakage_scan": r"""select doc_id as doc, reason from (select doc_id, case
       when regexp_matches(text, '\bsk-[A-Za-z0-9_\-]{16,}') or regexp_matches(text, '\bsk-ant-[A-Za-z0-9_\-]{16,}') or regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') or regexp_matches(text, '\bhf_[A-Za-z0-9]{20,}')
         or regexp_matches(text, '\bBearer\s+[A-Za-z0-9._\-]{16,}') or regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{20,}') or regexp_matches(text, '\b[A-Z_]*(API_KEY|SECRET|TOKEN|PASSWORD)[A-Z_]*=\S+') then 'secret'
