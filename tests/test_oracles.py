@@ -1,10 +1,15 @@
 """Every query of the catalogue against its SQL, over the smallest driver tables."""
 
+import hashlib
+import json
 import os
+import re
 
 import pytest
 from oracles import same
 
+from scribeframe.functions import text as T
+from scribeframe.operators import export
 from scribeframe.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +23,43 @@ def test_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def distance(a, b):
+    """Edits from one list to another, by the definition's recursion over all pairs of prefixes."""
+    row = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            row[i, j] = min(row[i - 1, j] + 1, row[i, j - 1] + 1, row[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+    return row[len(a), len(b)]
+
+
+def test_wer_by_brute_force(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    cut = lambda x: [w for w in (T.fold(y) for y in x.split()) if w]
+    for r in catalogue.wer(spark, SF).limit(60).collect():
+        a, b = cut(texts[r.item_id]), cut(texts[r.item_id].replace("tion", "sion"))
+        assert r.wer == round(distance(a, b) / max(1, len(a)) * 1_000_000)
+
+
+def test_corrections_by_brute_force(spark):
+    rules = [(r"(?<!\w)and the(?!\w)", "et le"), (r"(?<!\w)the(?!\w)", "le"), ("tion", "ción")]
+    texts = {(r.doc, r.seg): r.text for r in catalogue._segments(spark, SF).collect()}
+    rows = catalogue.corrections(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, pick = 0, lambda m: next(to for p, to in rules if re.fullmatch(p.split("(?!")[0].split(")")[-1], m.group(), re.I))
+        new, n = re.subn("|".join(p for p, _ in rules), pick, texts[r.doc, r.seg], flags=re.I)
+        assert (r.n, r.hash) == (n, hashlib.md5(new.encode()).hexdigest())
+
+
+def test_json_export_by_reading_it(spark):
+    own = {}
+    for r in catalogue._segments(spark, SF).orderBy("doc", "seg").collect():
+        own.setdefault(r.doc, []).append((r.seg, r.s, r.e, r.text))
+    for r in export.render(catalogue._segments(spark, SF), "json").collect():
+        assert [(x["seg"], x["s"], x["e"], x["text"]) for x in json.loads(r.content)["segments"]] == own[r.doc]
 
 
 def test_entry(spark):
