@@ -48,6 +48,15 @@ def invalid(message: str, reason: str | None = None) -> Refusal:
     return Refusal("INVALID_INPUT", message, **({"reason": reason} if reason else {}))
 
 
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows, kept until the request is answered."""
+    _held.append(df.cache())
+    return _held[-1]
+
+
 def loaded(spark: SparkSession, items: list[Any]) -> DataFrame:
     """The transcripts of a request, documents or paths, by their number in it: column ``id`` is that number."""
     rows, paths = [], []
@@ -64,7 +73,7 @@ def loaded(spark: SparkSession, items: list[Any]) -> DataFrame:
             read = documents.transcripts(spark, path)
         except AnalysisException as e:
             raise Refusal("FILE_NOT_FOUND", f"transcript not found: {path}") from e
-        if not read.cache().where("_corrupt_record is not null or segments is null").isEmpty():
+        if not held(read).where("_corrupt_record is not null or segments is null").isEmpty():
             raise Refusal("VERIFICATION_FAILED", f"not a transcript: {path}")
         given = given.unionByName(read.drop("_corrupt_record").withColumn("n", F.lit(n).cast("long")))
     return given.withColumn("title", F.col("id")).withColumn("id", F.col("n")).drop("n")
@@ -136,7 +145,7 @@ def find_tool(spark: SparkSession, params: dict) -> dict:
     if isinstance(context, bool) or not isinstance(context, int) or not 0 <= context <= MOST_CONTEXT:
         raise invalid(f"'context' must be an integer in [0, {MOST_CONTEXT}]")
     docs = valid(loaded(spark, items))
-    units = numbered(docs).cache()
+    units = held(numbered(docs))
     hits = find.find(units.drop("word"), phrase).withColumn("ratio", F.lit(1.0))
     if fuzzy is not None:
         longest = find.folded(units).groupBy("doc").agg(F.sum(F.length("f")).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -194,7 +203,7 @@ def select_tool(spark: SparkSession, params: dict) -> dict:
         raise invalid("give 'words' and / or 'segments'", "empty_selection")
     docs = valid(one(spark, params))
     scaled = lambda c: F.bround(F.col(c) * MICRO, 0).cast("long")
-    units = numbered(docs).withColumns({"s": scaled("s"), "e": scaled("e")}).cache()
+    units = held(numbered(docs).withColumns({"s": scaled("s"), "e": scaled("e")}))
     ranges, chosen, ids = None, None, {r["id"]: r["seg"] for r in documents.segments(docs).select("id", "seg").collect()}
     if params.get("words") is not None:
         pairs = word_ranges(params["words"], units.where("timed").count())
@@ -315,7 +324,11 @@ def run(spark: SparkSession, request: Any) -> dict:
     name, params = request.get("tool"), request.get("params", {})
     if not isinstance(name, str) or name not in TOOLS or not isinstance(params, dict):
         raise Refusal("INVALID_INPUT", "'tool' must be known and 'params' an object", tools=list(TOOLS))
-    return {"ok": True, "tool": name, "result": TOOLS[name](spark, params)}
+    try:
+        return {"ok": True, "tool": name, "result": TOOLS[name](spark, params)}
+    finally:
+        while _held:
+            _held.pop().unpersist()
 
 
 def respond(spark: SparkSession, raw: str) -> tuple[dict, int]:
