@@ -61,10 +61,13 @@ def bucket(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram.encode(), 42) & (BUCKETS - 1)
 
 
+TEMPLATE_WORDS = [set(words(t)) for texts in TEMPLATES.values() for t in texts]
+
+
 def confirmed_by(line: list[str]) -> bool:
     """Whether any template has enough of its words in a line's words."""
     there = set(line)
-    return any(len(there & own) >= CONFIRM * len(own) for texts in TEMPLATES.values() for own in (set(words(t)) for t in texts))
+    return any(len(there & own) >= CONFIRM * len(own) for own in TEMPLATE_WORDS)
 
 
 def cues_of(texts: list[str]) -> tuple[str, ...]:
@@ -90,7 +93,7 @@ class Model:
 
 def examples(lines: list[str], rng: np.random.Generator, copies: int = 40) -> list[tuple[str, int]]:
     """Templates in variations, by class number; class 0 is unknown."""
-    extra = [w for x in lines for w in x.split()] or ["note"]
+    extra = np.array([w for x in lines for w in x.split()] or ["note"], dtype=object)
     out = [(x, 0) for x in (*STRANGERS, *lines)]
     for k, family in enumerate(sorted(TEMPLATES), 1):
         for text in TEMPLATES[family]:
