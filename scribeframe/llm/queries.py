@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, language, licenses, lines, quality, rules, simhash, tiling, unigram, urls
+from . import bpe, counts, divergence, language, licenses, lines, quality, rules, simhash, tiling, unigram, urls, whitening
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +15,9 @@ QUERIES = {
     "op10_line_dedup": lines.op10_line_dedup,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-SQL = {"op8_url_filter": urls.OP8_SQL}
+SQL = {"op8_url_filter": urls.OP8_SQL, "op12_source_divergence": divergence.OP12_SQL}
