@@ -1,20 +1,22 @@
 """Operator 9, licence scans: logistic regression on hashed word n-grams names the licence family of a paragraph.
 
-A paragraph is a run of lines up to a blank line. Its lines with a cue are scored one by one: their words' 1- and 2-grams,
-hashed into BUCKETS, carry the weights; the scores of the families and of the class ``unknown`` go through a softmax with
-a fitted temperature, and below FLOOR the answer is ``unknown``. A family counts once a template of its own confirms it:
-enough of the template's words stand there. A line that no template confirms is joined with its neighbours in the
-paragraph, as many words on either side as the longest template has; every stretch of a template's length that holds
-enough of its words is scored like a line, so a notice is found at any line wrapping.
+A paragraph is a run of lines up to a blank line. Each of its lines with a cue is looked at together with its neighbours
+in the paragraph, as many words on either side as the longest template has, so a notice is found at any line wrapping and
+anywhere in a long line. Every stretch of a template's length is compared with the template: it must hold enough of its
+words, all of the words that name the licence, and in templates of up to three words just these words in their order. The
+best stretch of each template is scored: its words' 1- and 2-grams, hashed into BUCKETS, carry the weights; the scores of
+the families and of the class ``unknown`` go through a softmax with a fitted temperature, and below FLOOR the answer is
+``unknown``. Every family counts of which a stretch of its own template gets its name; the surest is the document's. A line without such a stretch is scored as a
+whole, for the confidence of ``unknown``.
 
 Cues are no list of their own: what misses over 0.25 of a template's words can't be confirmed by it, so of every template
 that many words, the rarest in the corpus's sample, are cues, and a line without any cue is never needed to confirm a
 family. Scanning uses Spark's functions only; weights, cues and templates travel as folded literals. Training, on the
-driver, sees templates with words dropped or added, and as ``unknown`` the lines of a bounded sample of texts, half of
-them texts with cues, that no template confirms.
+driver, sees templates with words dropped or added, and as ``unknown`` notices of other licences in the same phrases, and
+the lines of a bounded sample of texts, half of them texts with cues, that no template confirms.
 
 Cases: null and empty texts and texts without a cue have no licence paragraph: null family, confidence 0; ties go to the
-first family by name; repeated rows get equal answers; very long texts and lines are read whole; other columns are neither
+last family by name; repeated rows get equal answers; very long texts and lines are read whole; other columns are neither
 read nor returned; an empty table gives none.
 """
 
@@ -45,6 +47,13 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "Mozilla Public License", "MPL 2.0"),
 }
 STRANGERS = ("All rights reserved.", "Copyright by the authors.", "He lost his driving licence last year.", "A fishing licence is required here.", "Licence number on request.", "With the kind permission of the museum.", "The warranty ends after two years.", "Licensed to sell alcohol on these premises.", "Ask for permission before entering.", "This text is in the public domain.", "The licence fee was raised again.")
+#: words that name a family; a template's own ones can't be missing
+NAMES = {"apache": {"apache"}, "bsd": {"bsd"}, "cc": {"cc", "creative", "commons"}, "gpl": {"gnu", "gpl", "gplv2", "gplv3"}, "mit": {"mit"}, "mpl": {"mozilla", "mpl"}}
+#: names of licences outside the families, and phrases that they stand in, for the class unknown
+OTHERS = ("Academic Free", "Artistic", "Boost Software", "Common Development and Distribution", "Eclipse Public", "European Union Public", "ISC", "JSON", "Microsoft Public", "NCSA", "Open Font", "OpenSSL", "PostgreSQL", "Python Software Foundation", "Sleepycat", "Unlicense", "University of Illinois", "WTFPL", "Zlib", "Zope Public")
+PHRASES = ("Licensed under the {} License.", "Released under the {} License.", "This work is licensed under the {} License, version 3.", "Licensed under the {} License 2.0.", "{} License", "SPDX-License-Identifier: {}")
+#: templates of up to so many words count only word by word
+SHORT = 3
 WORD = r"[^a-z0-9.]+"
 
 
@@ -61,13 +70,17 @@ def bucket(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram.encode(), 42) & (BUCKETS - 1)
 
 
-TEMPLATE_WORDS = [set(words(t)) for texts in TEMPLATES.values() for t in texts]
+def naming(family: str, text: str) -> set[str]:
+    return set(words(text)) & NAMES[family]
+
+
+TEMPLATE_WORDS = [(set(words(t)), naming(family, t)) for family, texts in TEMPLATES.items() for t in texts]
 
 
 def confirmed_by(line: list[str]) -> bool:
-    """Whether any template has enough of its words in a line's words."""
+    """Whether any template has enough of its words, and those that name it, in a line's words."""
     there = set(line)
-    return any(len(there & own) >= CONFIRM * len(own) for own in TEMPLATE_WORDS)
+    return any(len(there & own) >= CONFIRM * len(own) and name <= there for own, name in TEMPLATE_WORDS)
 
 
 def cues_of(texts: list[str]) -> tuple[str, ...]:
@@ -94,7 +107,7 @@ class Model:
 def examples(lines: list[str], rng: np.random.Generator, copies: int = 40) -> list[tuple[str, int]]:
     """Templates in variations, by class number; class 0 is unknown."""
     extra = np.array([w for x in lines for w in x.split()] or ["note"], dtype=object)
-    out = [(x, 0) for x in (*STRANGERS, *lines)]
+    out = [(x, 0) for x in (*STRANGERS, *lines)] + [(p.format(name), 0) for p in PHRASES for name in OTHERS]
     for k, family in enumerate(sorted(TEMPLATES), 1):
         for text in TEMPLATES[family]:
             for i in range(copies):
@@ -175,7 +188,8 @@ def literal(values: np.ndarray) -> Column:
 
 
 def paragraphs(model: Model, text: Column) -> Column:
-    """An array of (family, confidence, confirmed) of the text's paragraphs, by Spark functions alone."""
+    """An array of the text's cued lines, each with its own confidence and the confirmed (confidence, family) around it, by
+    Spark functions alone."""
     k = len(model.classes)
     weights, bias = literal(model.weights), literal(model.bias)
     names = F.array(*[F.lit(c) for c in model.classes])
@@ -188,7 +202,7 @@ def paragraphs(model: Model, text: Column) -> Column:
         seen = F.array_distinct(F.concat(w, pairs))
         at = lambda g: (F.xxhash64(g).bitwiseAND(F.lit(BUCKETS - 1)) * k + 1).cast("int")
         z = F.aggregate(seen, bias, lambda acc, g: F.zip_with(acc, F.slice(weights, at(g), k), lambda a, b: a + b))
-        e = F.transform(z, lambda x: F.exp(F.least(F.lit(500.0), x / model.temperature)))
+        e = F.transform(F.array(z), lambda own: F.transform(own, lambda x: F.exp((x - F.array_max(own)) / model.temperature)))[0]
         total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
         return F.struct(w.alias("w"), e.alias("e"), total.alias("total"))
 
@@ -198,12 +212,13 @@ def paragraphs(model: Model, text: Column) -> Column:
         name = F.when(p >= FLOOR, F.element_at(names, F.array_position(x["e"], top).cast("int"))).otherwise("unknown")
         return F.struct(name.alias("family"), p.alias("confidence"), x["w"].alias("w"))
 
-    own = [(family, list(dict.fromkeys(words(t))), len(words(t))) for family, texts in sorted(TEMPLATES.items()) for t in texts]
-    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(x) for x in w]).alias("words"), F.lit(n).alias("span")) for f, w, n in own])
-    reach = max(n for _, _, n in own)
+    own = [(family, list(dict.fromkeys(words(t))), sorted(naming(family, t)), words(t)) for family, texts in sorted(TEMPLATES.items()) for t in texts]
+    strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), strings(w).alias("words"), strings(n).alias("names"), F.lit(len(t)).alias("span"), F.lit(" ".join(t) if len(t) <= SHORT else None).cast("string").alias("exact")) for f, w, n, t in own])
+    reach = max(len(t) for *_, t in own)
 
     def holds(w, t):
-        return F.size(F.array_intersect(w, t["words"])) >= CONFIRM * F.size(t["words"])
+        return (F.size(F.array_intersect(w, t["names"])) == F.size(t["names"])) & (F.size(F.array_intersect(w, t["words"])) >= CONFIRM * F.size(t["words"]))
 
     def cued(units):
         """The words of a run's lines with a cue, and those words with their neighbours."""
@@ -215,32 +230,27 @@ def paragraphs(model: Model, text: Column) -> Column:
     def alone(x):
         return F.struct(answer(judged(x["w"])).alias("a"), x["near"].alias("near"))
 
-    def confirmed(x):
-        fits = F.exists(templates, lambda t: (t["family"] == x["a"]["family"]) & holds(x["a"]["w"], t))
-        return F.struct(x["a"]["family"].alias("family"), x["a"]["confidence"].alias("confidence"), fits.alias("confirmed"), F.when(~fits & (F.size(x["near"]) > F.size(x["a"]["w"])), x["near"]).alias("near"))
-
     def stretches(near):
         """For each template whose words are near, the stretch of its length that holds most of them."""
-        hits = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - t["span"] + 1, F.lit(1))), lambda p: F.struct(F.size(F.array_intersect(F.slice(near, p, t["span"]), t["words"])).alias("hit"), (-p).alias("p")))
-        best = F.transform(F.filter(templates, lambda t: holds(near, t)), lambda t: F.struct(t.alias("t"), F.array_max(hits(t)).alias("best")))
-        return F.transform(best, lambda x: F.struct(x["t"].alias("t"), F.slice(near, -x["best"]["p"], x["t"]["span"]).alias("w")))
+
+        def hits(t):
+            at = F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - t["span"] + 1, F.lit(1))), lambda p: F.struct(F.slice(near, p, t["span"]).alias("w"), (-p).alias("p")))
+            fits = F.filter(at, lambda s: holds(s["w"], t) & (t["exact"].isNull() | (F.array_join(s["w"], " ") == t["exact"])))
+            return F.transform(fits, lambda s: F.struct(F.size(F.array_intersect(s["w"], t["words"])).alias("hit"), s["p"].alias("p"), s["w"].alias("w")))
+
+        best = F.transform(F.filter(templates, lambda t: holds(near, t)), lambda t: F.struct(t["family"].alias("own"), F.array_max(hits(t)).alias("best")))
+        return F.filter(best, lambda x: x["best"].isNotNull())
 
     def joined(x):
-        """The surest family that a stretch around the line confirms, else the line's own answer."""
-        held = F.filter(stretches(x["near"]), lambda s: holds(s["w"], s["t"]))
-        scored = F.transform(F.transform(held, lambda s: F.struct(s["t"]["family"].alias("own"), judged(s["w"]).alias("j"))), lambda s: F.struct(s["own"].alias("own"), answer(s["j"]).alias("a")))
+        """The families that stretches around the line confirm."""
+        scored = F.transform(F.transform(stretches(x["near"]), lambda s: F.struct(s["own"].alias("own"), judged(s["best"]["w"]).alias("j"))), lambda s: F.struct(s["own"].alias("own"), answer(s["j"]).alias("a")))
         sure = F.transform(F.filter(scored, lambda s: s["a"]["family"] == s["own"]), lambda s: F.struct(s["a"]["confidence"].alias("confidence"), s["own"].alias("family")))
-        top = F.when(x["near"].isNotNull(), F.array_max(sure))
-        return F.struct(x["family"].alias("family"), x["confidence"].alias("confidence"), x["confirmed"].alias("confirmed"), top.alias("top"))
-
-    def settled(x):
-        got = x["top"].isNotNull()
-        return F.struct(F.when(got, x["top"]["family"]).otherwise(x["family"]).alias("family"), F.when(got, x["top"]["confidence"]).otherwise(x["confidence"]).alias("confidence"), (got | x["confirmed"]).alias("confirmed"))
+        return F.struct(x["a"]["confidence"].alias("confidence"), sure.alias("sure"))
 
     runs = F.filter(F.split(text, BLANK, -1), lambda x: has_cue(x, model.cues))
     lines = F.transform(runs, lambda x: F.filter(F.transform(F.split(x, "\n", -1), lambda y: F.struct(tokens(y).alias("w"), has_cue(y, model.cues).alias("cue"))), lambda u: F.size(u["w"]) > 0))
     found = F.flatten(F.transform(lines, cued))
-    for step in (alone, confirmed, joined, settled):
+    for step in (alone, joined):
         found = F.transform(found, step)
     return F.when(has_cue(F.coalesce(text, F.lit("")), model.cues), found)
 
@@ -248,12 +258,12 @@ def paragraphs(model: Model, text: Column) -> Column:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, n_paragraphs, family (confirmed by a template, else unknown; null without a paragraph), its
     confidence, and all confirmed families."""
-    found = docs.select("doc_id", paragraphs(model, F.col("text")).alias("p")).withColumn("p", F.coalesce("p", F.array().cast("array<struct<family: string, confidence: double, confirmed: boolean>>")))
-    sure = F.filter("p", lambda x: x["confirmed"])
-    best = F.array_max(F.transform(sure, lambda x: F.struct(x["confidence"].alias("c"), x["family"].alias("f"))))
-    family = F.when(F.size("p") == 0, F.lit(None)).when(F.size(sure) == 0, "unknown").otherwise(best["f"])
-    confidence = F.when(F.size("p") == 0, 0.0).when(F.size(sure) == 0, F.array_max(F.transform("p", lambda x: x["confidence"]))).otherwise(best["c"])
-    return found.select("doc_id", F.size("p").alias("n_paragraphs"), family.alias("family"), F.round(confidence, 6).alias("confidence"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"))
+    found = docs.select("doc_id", paragraphs(model, F.col("text")).alias("p")).withColumn("p", F.coalesce("p", F.array().cast("array<struct<confidence: double, sure: array<struct<confidence: double, family: string>>>>")))
+    found = found.withColumn("sure", F.flatten(F.transform("p", lambda x: x["sure"])))
+    best = F.array_max("sure")
+    family = F.when(F.size("p") == 0, F.lit(None)).when(F.size("sure") == 0, "unknown").otherwise(best["family"])
+    confidence = F.when(F.size("p") == 0, 0.0).when(F.size("sure") == 0, F.array_max(F.transform("p", lambda x: x["confidence"]))).otherwise(best["confidence"])
+    return found.select("doc_id", F.size("p").alias("n_paragraphs"), family.alias("family"), F.round(confidence, 6).alias("confidence"), F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda x: x["family"]))), ",").alias("families"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
