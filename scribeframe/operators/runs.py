@@ -9,10 +9,10 @@ from scribeframe.operators.validate import CREDENTIALS
 
 # Fixed values of the contract: chunk lengths in seconds, chunks side by side, the level of a pause, a term's length.
 CHUNK_SECONDS, MOST_PARALLEL, PAUSE_LEVEL, MOST_TERM = (30.0, 3600.0), 8, -40.0, 100
-# A dictionary's parts of speech by the coarse name that stands for them.
+# The coarse names of a dictionary's parts of speech.
 COARSE = {
-    "noun": ("名詞",), "pronoun": ("代名詞",), "verb": ("動詞",), "adjective": ("形容詞", "形状詞"), "adverb": ("副詞",), "particle": ("助詞",), "auxiliary": ("助動詞",),
-    "conjunction": ("接続詞",), "interjection": ("感動詞",), "prefix": ("接頭辞",), "suffix": ("接尾辞",), "symbol": ("補助記号", "記号", "空白"),
+    "名詞": "noun", "代名詞": "pronoun", "動詞": "verb", "形容詞": "adjective", "形状詞": "adjective", "副詞": "adverb", "助詞": "particle", "助動詞": "auxiliary",
+    "接続詞": "conjunction", "感動詞": "interjection", "接頭辞": "prefix", "接尾辞": "suffix", "補助記号": "symbol", "記号": "symbol", "空白": "symbol",
 }
 
 
@@ -60,7 +60,7 @@ def lacks_indices(words: DataFrame) -> DataFrame:
 
 def coarse_pos(part_of_speech: Column) -> Column:
     """The coarse name of the first of a dictionary's parts of speech; ``other`` for none and unknown ones."""
-    names = F.create_map(*[F.lit(x) for name, own in COARSE.items() for part in own for x in (part, name)])
+    names = F.create_map(*[F.lit(x) for pair in COARSE.items() for x in pair])
     return F.coalesce(F.element_at(names, F.get(part_of_speech, 0)), F.lit("other"))
 
 

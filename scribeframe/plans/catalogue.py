@@ -333,13 +333,28 @@ def batch_outcomes(spark, d):
     return engines.outcomes(items, results)
 
 
+def _rounds(spark, d) -> DataFrame:
+    """Rounds that have heard a transcript's first r + 1 segments, each once more 0.7 s later; the last of them ends the
+    recording."""
+    base = _segments(spark, d).select("doc", "seg", "s", "e", "text")
+    order = Window.partitionBy("doc").orderBy("seg")
+    ranked = base.withColumn("k", F.row_number().over(order) - 1).withColumn("m", F.count("*").over(Window.partitionBy("doc")) - 1)
+    ends = ranked.select("doc", F.col("k").alias("r"), "m", F.col("e").alias("heard"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    heard = ends.join(ranked.drop("m"), "doc").where("k <= r")
+    return heard.select("doc", (F.col("r") * 2 + F.col("half")).alias("round"), (F.col("heard") + F.col("half") * 700).alias("audio_end"), "seg", "s", "e", "text", ((F.col("r") == F.col("m")) & (F.col("half") == 1)).alias("last"))
+
+
+def follow_events(spark, d):
+    """All events of followed transcripts: finals, partials, ends."""
+    out = follow.replay(_rounds(spark, d))
+    ms = lambda x: F.round(x * 1000).cast("long")
+    texts = F.array_join(F.transform("segments", lambda x: x["text"]), " ")
+    committed = F.when(F.col("type") != "final", F.round(F.col("committed") * 16000).cast("long"))
+    return out.select("doc", "event", "type", F.size("segments").cast("long").alias("segments"), F.get("segments", 0)["id"].alias("first"), ms(F.get("segments", 0)["start"]).alias("start"), ms(F.try_element_at("segments", F.lit(-1))["end"]).alias("end"), F.md5(texts).alias("hash"), committed.alias("committed"))
+
+
 def follow_replay(spark, d):
-    base = _segments(spark, d)
-    rounds = base.groupBy("doc").agg(F.max("e").alias("end"), F.max("seg").alias("m")).select("doc", "end", "m", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("round"))
-    # round r has heard the first r + 1 segments; the last one ends the recording
-    tail = rounds.join(base.select("doc", "seg", "s", "e", "text"), "doc").where("seg <= round")
-    heard = tail.withColumn("audio_end", F.max("e").over(Window.partitionBy("doc", "round")))
-    return follow.replay(heard.select("doc", "round", "audio_end", "seg", "s", "e", "text", (F.col("round") == F.col("m")).alias("last"))).where("kind = 'final'").select("doc", "n", "s", "e", F.md5("text").alias("hash"))
+    return follow.finals(follow.replay(_rounds(spark, d))).select("doc", "n", "s", "e", F.md5("text").alias("hash"))
 
 
 QUERIES = {
@@ -349,6 +364,6 @@ QUERIES = {
         interval_union, event_gaps, speaker_words, speaker_segments, speaker_counts, speaker_totals, overlap_semi, select_remove_words, select_sentences,
         select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, turn_rules, chunk_rules, chunk_totals, chunk_languages, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
-        batch_outcomes, follow_replay,
+        batch_outcomes, follow_replay, follow_events,
     )
 } | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

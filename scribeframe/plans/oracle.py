@@ -39,6 +39,28 @@ hits as (select doc, hit, min(s)::bigint as start, max(e)::bigint as "end", case
 )
 
 
+# rounds 2 r and 2 r + 1 have heard a transcript's first r + 1 segments, the second 0.7 s later; times in ms, samples are
+# 16 a ms; k of the segments are final after a round, cut is the commit point
+FOLLOWED = (
+    SEGMENTS
+    + """,
+lists as (select doc, list(s order by seg) as ss, list(e order by seg) as es, list(text order by seg) as ts, count(*) - 1 as m from segments group by doc),
+steps as (
+  select doc, -1 as t, 0 as k0, 0 as k, 0::bigint as cut, 0::bigint as heard, false as last, m, ss, es, ts from lists
+  union all
+  select doc, t, k0, k, case when k = k0 then (case when none and tail > 400000 then greatest(cut, heard - 24000) else cut end) when last then heard
+      else (case when stop > begin then (begin + stop) // 2 else begin end) end, heard, last, m, ss, es, ts
+  from (select *, greatest(16 * es[k], cut) as begin, least(greatest(case when k < r1 then 16 * ss[k + 1] else heard - 24000 end, 16 * es[k]), heard) as stop from (
+    select *, k0 >= r1 as none, case when last then r1 when n > 0 then k0 + n when tail > 400000 and r1 - k0 > 1 then r1 - 1 when tail > 400000 and r1 - k0 = 1 then r1 else k0 end::int as k from (
+      select *, len(list_filter(es[k0 + 1 : r1], lambda x: x / 1000.0 <= heard / 16000.0 - 1.5)) as n, heard - cut as tail from (
+        select doc, t + 1 as t, k as k0, cut, (t + 1) // 2 + 1 as r1, 16 * (es[(t + 1) // 2 + 1] + (t + 1) % 2 * 700) as heard, t + 1 = 2 * m + 1 as last, m, ss, es, ts from steps where t < 2 * m + 1))))),
+final as (select doc, t, 0 as kind, i, i as first, ss[i] as start, es[i] as "end", 1 as segments, ts[i] as text, null::bigint as cut from (select *, unnest(range(k0 + 1, k + 1)) as i from steps)),
+part as (select doc, t, 1 as kind, 0 as i, k + 1 as first, ss[k + 1] as start, es[t // 2 + 1] as "end", t // 2 + 1 - k as segments, array_to_string(ts[k + 1 : t // 2 + 1], ' ') as text, cut from steps where t >= 0 and not last and (k > k0 or t % 2 = 0)),
+closed as (select doc, t, 2 as kind, 0 as i, null as first, null as start, null as "end", 0 as segments, '' as text, cut from steps where last),
+events as (select * from final union all select * from part union all select * from closed)"""
+)
+
+
 def _runs(chosen: str, mode: str) -> str:
     """Selection of the words that satisfy ``chosen`` within transcripts that have any."""
     flag = "coalesce(c.hit, 0) = 1" if mode == "remove" else "coalesce(c.hit, 0) = 0"
@@ -204,3 +226,7 @@ select doc, g, min(case when not attached and not joins then s end)::bigint as s
   string_agg(text, '' order by n) as text, count(*)::bigint as tokens
 from ranked group by doc, g"""
 )
+
+SQL["follow_events"] = f"""with recursive {FOLLOWED} select doc, row_number() over (partition by doc order by t, kind, i) as event, ['final', 'partial', 'end'][kind + 1] as type, segments::bigint as segments,
+  case when segments > 0 then printf('seg_%04d', first::bigint) end as first, case when segments > 0 then start end::bigint as start, case when segments > 0 then "end" end::bigint as "end", md5(coalesce(text, '')) as hash, cut as committed from events"""
+SQL["follow_replay"] = f"""with recursive {FOLLOWED} select doc, row_number() over (partition by doc order by t, i) as n, start::bigint as s, "end"::bigint as e, md5(text) as hash from final"""

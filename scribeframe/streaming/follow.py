@@ -1,81 +1,353 @@
-"""Following growing recordings: hypotheses become final segments that never change, and a partial rest.
+"""Following recordings while they grow: segments become final once and never change; the rest is a partial hypothesis.
 
-Input rows are hypotheses of a recording's tail: (doc, round, audio_end, seg, s, e, text, last), times in milliseconds on
-the recording's timeline. State, by recording: the commit point, the number of finals and the last partial text.
+A round looks at the tail, the audio after the last commit point. Its leading segments that end before the hold-back become
+final, and the commit point moves to the quietest place between the last of them and what comes next. A tail that has grown
+too long without a final gives up all segments but the last; one long segment is cut between its words. What stays open
+is a partial event that replaces the one before. When nothing has come for a while, the rest becomes final, and the
+recording ends.
+
+``follow_audio`` takes rows of samples, as ``sources.wav`` streams them, and a function that recognises a tail;
+``follow`` takes hypotheses that come from elsewhere; ``replay`` gives the events of a table of all rounds. State lives in
+the state store: samples or open segments as lists, and one row of counters; the end comes from a timer.
+
+Events: (doc, event, type, segments, committed, audio, message); ``type`` is final, partial, end or error, ``event`` numbers
+a recording's events, segments have ids, times in seconds, texts and words. A recording that has ended ignores what
+comes later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import math
+import unicodedata
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-# Fixed values in milliseconds: hold-back before the audio's end, longest tail without a final.
-HOLD, TAIL = 1500, 25_000
-OUT = "doc long, kind string, n long, s long, e long, text string, committed long"
-STATE = "committed long, finals long, partial string, round long"
-
-
-def step(rows: list[tuple[int, int, str]], audio_end: int, committed: int, finals: int, partial: str, last: bool):
-    """One round: (events, committed, finals, partial). ``rows``: (s, e, text) of the tail."""
-    rows = sorted((max(s, committed), e, t) for s, e, t in rows if t.strip() and e > max(s, committed))
-    if last:
-        n = len(rows)
-    else:
-        n = 0
-        while n < len(rows) and rows[n][1] <= audio_end - HOLD:
-            n += 1
-        if n == 0 and rows and audio_end - committed > TAIL:
-            n = max(1, len(rows) - 1) if len(rows) > 1 else 0
-    cut = committed
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from scribeframe.operators.chunking import quiet_cut
+
+# Fixed values in seconds: hold-back before the audio's end, longest tail without a final.
+HOLD, TAIL = 1.5, 25.0
+RATE, IDLE = 16_000, 30.0
+WORD = "struct<start: double, end: double, text: string>"
+SEGMENTS = f"array<struct<id: string, start: double, end: double, text: string, words: array<{WORD}>>>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def events_schema(kind: str) -> str:
+    return f"doc {kind}, event long, type string, segments {SEGMENTS}, committed double, audio double, message string"
+
+
+@dataclass(frozen=True)
+class Segment:
+    start: float
+    end: float
+    text: str
+    words: tuple[tuple[float, float, str], ...] | None = None
+
+    def until(self, limit: float) -> Segment:
+        """Without what lies past a time."""
+        words = None if self.words is None else tuple((s, min(e, limit), t) for s, e, t in self.words if s < limit)
+        return replace(self, end=min(self.end, limit), words=words)
+
+
+@dataclass
+class Spot:
+    """Where following a recording stands; times in samples. ``partial`` is what the last partial event said, if no final
+    came after it."""
+
+    committed: int = 0
+    heard: int = 0
+    finals: int = 0
+    events: int = 0
+    partial: str | None = None
+    done: bool = False
+
+
+@dataclass
+class Round:
+    spot: Spot
+    rate: int = RATE
+    out: list[dict] = field(default_factory=list)
+
+    def event(self, kind: str, segments: list[Segment], first: int = 0, message: str | None = None) -> None:
+        self.spot.events += 1
+        own = [asdict(s) | {"id": f"seg_{first + i:04d}", "text": tidy(s.text), "words": None if s.words is None else [dict(zip(("start", "end", "text"), w, strict=True)) for w in s.words]} for i, s in enumerate(segments)]
+        self.out.append({"event": self.spot.events, "type": kind, "segments": own, "committed": round(self.spot.committed / self.rate, 6), "audio": round(self.spot.heard / self.rate, 6), "message": message})
+
+
+def tidy(text: str) -> str:
+    """The text without control and format characters, with single spaces."""
+    if not (text.isascii() and text.isprintable()):
+        text = "".join(c for c in text if c in "\t\n\r" or unicodedata.category(c) not in ("Cc", "Cf"))
+    return " ".join(text.split())
+
+
+def split_long(s: Segment, limit: float) -> tuple[list[Segment], str | None]:
+    """A segment that fills a whole tail: cut after the last of its leading words that end by ``limit``; without such a
+    place it stays whole, and a message says that a word may be cut. Words bring their own spaces."""
+    words = s.words or ()
+    k = next((i for i, w in enumerate(words) if w[1] > limit), len(words))
+    if 0 < k < len(words):
+        text = lambda ws: "".join(t for _, _, t in ws)
+        return [Segment(s.start, words[k - 1][1], text(words[:k]), words[:k]), Segment(words[k][0], s.end, text(words[k:]), words[k:])], None
+    return [s], f"no pause in {TAIL:g} s of speech; the segment at {s.start:.2f} s was made final whole, a word at {s.end:.2f} s may be split"
+
+
+def advance(spot: Spot, segments: list[Segment], heard: int, quiet: Callable[[int, int], int], last: bool = False, rate: int = RATE) -> list[dict]:
+    """One round over the tail's segments, on the recording's timeline; moves ``spot`` on and returns the events."""
+    turn = Round(spot, rate)
+    spot.heard = heard
+    rows = sorted((s for s in segments if tidy(s.text) and s.end > s.start), key=lambda s: (s.start, s.end))
+    limit, message = heard / rate - HOLD, None
+    held = next((i for i, s in enumerate(rows) if s.end > limit), len(rows))
+    n = len(rows) if last else held
+    if not n and not last and heard - spot.committed > TAIL * rate:
+        if len(rows) == 1:
+            rows, message = split_long(rows[0], limit)
+            n = 1
+        elif rows:
+            n = len(rows) - 1
+        else:
+            spot.committed = max(spot.committed, heard - int(HOLD * rate))
     if n:
-        ahead = rows[n][0] if n < len(rows) else max(audio_end - HOLD, rows[n - 1][1]) if not last else audio_end
-        cut = max(rows[n - 1][1], min(ahead, rows[n - 1][1])) if n < len(rows) else rows[n - 1][1]
-    elif not rows and audio_end - committed > TAIL:
-        cut = audio_end - HOLD
-    events = []
-    for s, e, t in rows[:n]:
-        finals += 1
-        events.append(("final", finals, s, min(e, max(cut, s + 1)) if not last else e, t, cut))
-    rest = " ".join(t for _, _, t in rows[n:])
-    if rest and rest != partial:
-        events.append(("partial", finals + 1, rows[n][0], rows[-1][1], rest, cut))
-    if last:
-        events.append(("end", finals, committed, audio_end, "", cut))
-    return events, cut, finals, rest
-
-
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    committed, finals, partial, done = state.get if state.exists else (0, 0, "", -1)
-    rows = pd.concat(list(batches), ignore_index=True)
-    out = []
-    for number, part in rows.groupby("round", sort=True):
-        if number <= done:  # late: this round's audio has been decided on
+        if last:
+            cut = heard
+        else:
+            begin = max(round(rows[n - 1].end * rate), spot.committed)
+            ahead = round(rows[n].start * rate) if n < len(rows) else heard - int(HOLD * rate)
+            end = min(max(ahead, round(rows[n - 1].end * rate)), heard)
+            cut = min(max(quiet(begin, end), begin), end) if end > begin else begin
+        for i, s in enumerate(rows[:n]):
+            spot.finals += 1
+            if i == n - 1:
+                spot.committed = cut
+            turn.event("final", [s.until(cut / rate)], spot.finals, message if i == n - 1 else None)
+        spot.partial = None
+    if not last:
+        rest = rows[n:]
+        key = json.dumps([(s.start, s.end, s.text) for s in rest])
+        if key != spot.partial:
+            spot.partial = key
+            turn.event("partial", rest, spot.finals + 1)
+    return turn.out
+
+
+def ended(spot: Spot, rate: int = RATE) -> list[dict]:
+    turn = Round(spot, rate)
+    spot.done = True
+    turn.event("end", [])
+    return turn.out
+
+
+def failed(spot: Spot, error: Exception, rate: int = RATE) -> list[dict]:
+    turn = Round(spot, rate)
+    spot.done = True
+    turn.event("error", [], message=f"TRANSCRIPTION_FAILED: {error}")
+    return turn.out
+
+
+def shifted(found: list[Segment], offset: float, length: float) -> list[Segment]:
+    """A tail's segments on the recording's timeline, without what lies past the tail."""
+    at = lambda t: round(offset + t, 6)
+    words = lambda ws: None if ws is None else tuple((at(max(0.0, s)), at(min(e, length)), t) for s, e, t in ws if s < length)
+    return [Segment(at(max(0.0, s.start)), at(min(s.end, length)), s.text, words(s.words)) for s in found if s.start < length]
+
+
+def middle(low: int, high: int) -> int:
+    return (low + high) // 2
+
+
+COUNTERS = "committed long, heard long, finals long, events long, partial string, done boolean"
+
+
+class Following(StatefulProcessor):
+    """What both kinds of following share: counters in the state store, a timer for the end, rows of events."""
+
+    def __init__(self, idle: float):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("spot", COUNTERS)
+
+    def spot(self) -> Spot:
+        found = self.counters.get()
+        return Spot(*found) if found else Spot()
+
+    def keep(self, spot: Spot) -> None:
+        self.counters.update((spot.committed, spot.heard, spot.finals, spot.events, spot.partial, spot.done))
+
+    def wait(self, timers, spot: Spot) -> None:
+        """The end is due when nothing more has come for the idle time."""
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if not spot.done:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + math.ceil(self.idle * 1000))
+
+    def rows(self, key: tuple, events: list[dict]) -> Iterator[pd.DataFrame]:
+        if events:
+            yield pd.DataFrame([{"doc": key[0], **e} for e in events])[["doc", "event", "type", "segments", "committed", "audio", "message"]]
+
+    def close(self) -> None:
+        pass
+
+
+class Audio(Following):
+    """The samples after the commit point are state, in rows as they came; ``recognize`` gets them as int16 with their rate."""
+
+    def __init__(self, recognize: Callable[[np.ndarray, int], list[Segment]], idle: float, window: float):
+        super().__init__(idle)
+        self.recognize, self.window = recognize, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.tail = handle.getListState("tail", "start long, rate int, pcm binary")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803
+        new = sorted({(int(s), int(r), bytes(p)) for part in rows for s, r, p in zip(part["start"], part["rate"], part["pcm"], strict=True)})
+        spot = self.spot()
+        if spot.done:
+            return iter(())
+        kept = [tuple(x) for x in self.tail.get()] if self.tail.exists() else []
+        events = self.step(spot, kept, new, False)
+        self.wait(timerValues, spot)
+        return self.rows(key, events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        spot = self.spot()
+        if spot.done:
+            return iter(())
+        kept = [tuple(x) for x in self.tail.get()] if self.tail.exists() else []
+        events = self.step(spot, kept, [], True)
+        if not spot.done:
+            events += ended(spot, kept[0][1] if kept else RATE)
+        self.tail.clear()
+        self.keep(spot)
+        return self.rows(key, events)
+
+    def step(self, spot: Spot, kept: list[tuple], new: list[tuple], last: bool) -> list[dict]:
+        parts = sorted(kept + new)
+        rate = parts[0][1] if parts else RATE
+        parts = [(s + max(0, spot.committed - s), p[2 * max(0, spot.committed - s) :]) for s, _, p in parts if s + len(p) // 2 > spot.committed]
+        sound = np.frombuffer(b"".join(p for _, p in parts), dtype="<i2")
+        heard, events = spot.committed + len(sound), []
+        if last or heard - spot.heard >= self.window * rate:
+            try:
+                if len(sound):
+                    found = shifted(self.recognize(sound, rate), spot.committed / rate, len(sound) / rate)
+                    begin = spot.committed
+                    quiet = lambda a, b: quiet_cut(sound[a - begin : b - begin], a, (a + b) // 2, rate)[0]
+                    events = advance(spot, found, heard, quiet, last, rate)
+            except Exception as error:  # whatever recognition raises ends this recording, not the query
+                events = failed(spot, error, rate)
+        self.tail.clear()
+        if not spot.done and not last:
+            left = [(s + max(0, spot.committed - s), rate, p[2 * max(0, spot.committed - s) :]) for s, p in parts if s + len(p) // 2 > spot.committed]
+            if left:
+                self.tail.put(left)
+        self.keep(spot)
+        return events
+
+
+class Hypotheses(Following):
+    """The open segments of the last round are state, with their words."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getListState("open", f"start double, end double, text string, words array<{WORD}>")
+        self.round = handle.getValueState("round", "round long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803
+        table, spot = pd.concat(list(rows), ignore_index=True), self.spot()
+        before = self.round.get()
+        events, done = rounds(spot, table, int(before[0]) if before else None, self.store)
+        if done is not None:
+            self.round.update((done,))
+        self.keep(spot)
+        self.wait(timerValues, spot)
+        return self.rows(key, events)
+
+    def store(self, segments: list[Segment]) -> None:
+        self.open.clear()
+        if segments:
+            self.open.put([(s.start, s.end, s.text, None if s.words is None else [tuple(w) for w in s.words]) for s in segments])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        spot = self.spot()
+        if spot.done:
+            return iter(())
+        held = [Segment(s, e, t, None if w is None else tuple(tuple(x) for x in w)) for s, e, t, w in self.open.get()] if self.open.exists() else []
+        events = advance(spot, held, spot.heard, middle, True) + ended(spot)
+        self.open.clear()
+        self.keep(spot)
+        return self.rows(key, events)
+
+
+def rounds(spot: Spot, table: pd.DataFrame, before: int | None, store: Callable[[list[Segment]], None]) -> tuple[list[dict], int | None]:
+    """The events of a recording's rounds (round, audio_end, s, e, text, last, and perhaps words), times in milliseconds; rounds
+    up to ``before`` are late and pass. ``store`` gets what is open after the last round."""
+    events, done = [], before
+    for number, own in table.groupby("round", sort=True):
+        if spot.done or (before is not None and number <= before):
             continue
-        own = [(int(s), int(e), t or "") for s, e, t in zip(part["s"], part["e"], part["text"], strict=True)]
-        events, committed, finals, partial = step(own, int(part["audio_end"].max()), committed, finals, partial, bool(part["last"].any()))
-        out += [(key[0], *e) for e in events]
+        words = own["words"] if "words" in own else [None] * len(own)
+        found = [Segment(s / 1000, e / 1000, t or "", None if w is None else tuple((x["s"] / 1000, x["e"] / 1000, x["text"]) for x in w)) for s, e, t, w in zip(own["s"], own["e"], own["text"], words, strict=True) if pd.notna(s) and pd.notna(e)]
+        begin = spot.committed / RATE
+        found = [replace(s, start=max(s.start, begin)) for s in found]
+        last = bool(own["last"].any())
+        heard = max(spot.heard, round(int(own["audio_end"].max()) * RATE / 1000))
+        events += advance(spot, found, heard, middle, last)
+        store([] if last else [s for s in found if s.end > spot.committed / RATE])
+        if last:
+            events += ended(spot)
         done = int(number)
-    state.update((committed, finals, partial, done))
-    yield pd.DataFrame(out, columns=["doc", "kind", "n", "s", "e", "text", "committed"])
+    return events, done
+
+
+def _stateful(rows: DataFrame, processor: Following, kind: str) -> DataFrame:
+    """Lists and timers need the RocksDB store: the session's provider is set to it where another one stands."""
+    spark = rows.sparkSession
+    if spark.conf.get(PROVIDER) != ROCKS:
+        spark.conf.set(PROVIDER, ROCKS)
+    return rows.groupBy("doc").transformWithStateInPandas(statefulProcessor=processor, outputStructType=events_schema(kind), outputMode="Append", timeMode="ProcessingTime")
+
 
+def follow_audio(rows: DataFrame, recognize: Callable[[np.ndarray, int], list[Segment]], idle_seconds: float = IDLE, window_seconds: float = 0.0) -> DataFrame:
+    """A stream of events of a stream of samples (path, start, rate, pcm). ``recognize(samples, rate)`` returns the segments of a
+    tail with times from its begin; it runs where the state is. ``window_seconds``: a round waits for so much more audio, for
+    sources that don't wait themselves."""
+    if not idle_seconds > 0 or not window_seconds >= 0:
+        raise ValueError("follow_options")
+    return _stateful(rows.select(F.col("path").alias("doc"), "start", "rate", "pcm"), Audio(recognize, idle_seconds, window_seconds), "string")
 
-def follow(hypotheses: DataFrame) -> DataFrame:
-    """A stream of events (final, partial, end); finals are append-only and numbered in order."""
-    return hypotheses.groupBy("doc").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def follow(hypotheses: DataFrame, idle_seconds: float = IDLE) -> DataFrame:
+    """A stream of events of a stream of hypotheses (see ``rounds``). A round with ``last`` ends the recording, else the timer
+    does."""
+    if not idle_seconds > 0:
+        raise ValueError("follow_options")
+    return _stateful(hypotheses, Hypotheses(idle_seconds), hypotheses.schema["doc"].dataType.simpleString())
 
 
 def replay(hypotheses: DataFrame) -> DataFrame:
     """The same events from a table of all rounds, one recording after the other."""
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        committed, finals, partial, out = 0, 0, "", []
-        for _, rows in part.groupby("round", sort=True):
-            own = [(int(s), int(e), t or "") for s, e, t in zip(rows["s"], rows["e"], rows["text"], strict=True)]
-            events, committed, finals, partial = step(own, int(rows["audio_end"].max()), committed, finals, partial, bool(rows["last"].any()))
-            out += [(key[0], *e) for e in events]
-        return pd.DataFrame(out, columns=["doc", "kind", "n", "s", "e", "text", "committed"])
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        events, _ = rounds(Spot(), part, None, lambda _: None)
+        return pd.DataFrame([{"doc": key[0], **e} for e in events], columns=["doc", "event", "type", "segments", "committed", "audio", "message"])
+
+    return hypotheses.groupBy("doc").applyInPandas(run, events_schema(hypotheses.schema["doc"].dataType.simpleString()))
+
 
-    return hypotheses.groupBy("doc").applyInPandas(run, OUT)
+def finals(events: DataFrame) -> DataFrame:
+    """(doc, n, s, e, text, words) of the final segments, in order, times in milliseconds: a followed recording's result."""
+    x = F.col("segments")[0]
+    ms = lambda c: F.round(c * 1000).cast("long")
+    return events.where("type = 'final'").select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("event")).cast("long").alias("n"), ms(x["start"]).alias("s"), ms(x["end"]).alias("e"), x["text"].alias("text"), x["words"].alias("words"))

@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators import builder, chunking, engines, export, find, intervals, select, speakers, validate, vocabulary
+from scribeframe.operators import builder, engines, export, find, intervals, select, speakers, validate, vocabulary
 from scribeframe.sources import documents
-from scribeframe.streaming import follow
 
 
 def units(spark, segments, doc=1):
@@ -224,12 +223,6 @@ def test_builder():
     assert builder.dictionary_words([("ab", 0.0, 1.0, None)], ["ax"]) is None
 
 
-def test_chunk_plan():
-    cuts = chunking.plan_cuts(97.0, 30.0, [(28.0, 29.0), (31.0, 33.0), (61.0, 61.2)], lambda lo, hi, t: t)
-    assert cuts == [(32.0, "region"), (61.1, "region")]
-    assert chunking.plan_cuts(66.0, 30.0, [], lambda lo, hi, t: t + 1) == [(31.0, "level")]
-
-
 def test_engines(spark):
     req = spark.createDataFrame([(1, None, "fr", True, True, False), (2, "aligner", "en", False, False, False)], "req long, engine string, language string, offline boolean, needs_words boolean, needs_vocabulary boolean")
     got = {(r.req, r.id): r.reasons for r in engines.rejected(req, engines.engines(spark)).collect()}
@@ -252,18 +245,3 @@ def test_documents(spark, tmp_path):
     assert [(r.text, r.timed, r.idx) for r in documents.units(good).orderBy("idx").collect()] == [("a", True, 0), ("b", True, 1), ("no words", False, 2)]
     back = documents.rebuilt(documents.segments(good)).collect()[0]
     assert [s.id for s in back.segments] == ["s1", "s2"] and back.segments[0].words[1].text == "b"
-
-
-def test_following(spark, tmp_path):
-    schema = "doc long, round int, audio_end long, seg int, s long, e long, text string, last boolean"
-    rounds = [(1, 0, 5000, 0, 0, 2000, "one", False), (1, 0, 5000, 1, 2100, 4800, "tw", False), (1, 1, 9000, 0, 2100, 5200, "two", False), (1, 1, 9000, 1, 6000, 8800, "three", False), (1, 2, 9500, 0, 6000, 9000, "three!", True)]
-    table = spark.createDataFrame(rounds, schema)
-    want = [(r.n, r.s, r.e, r.text) for r in follow.replay(table).where("kind = 'final'").orderBy("n").collect()]
-    assert want == [(1, 0, 2000, "one"), (2, 2100, 5200, "two"), (3, 6000, 9000, "three!")]
-    for k in range(3):
-        table.where(f"round = {k}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = follow.follow(stream).writeStream.format("memory").queryName("followed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = [(r.n, r.s, r.e, r.text) for r in spark.sql("select * from followed where kind = 'final' order by n").collect()]
-    assert got == want
