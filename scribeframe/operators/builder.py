@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeframe.functions.text import normalize_text, segment_id
+from scribeframe.functions.text import clip_confidence, normalize_text, segment_id, strip_ws
 
 # Fixed values in seconds: overrun that is cut, least word, tolerance around a segment, pause between segments.
 OVERRUN, LEAST_WORD, TOLERANCE, PAUSE = 2.0, 0.01, 0.01, 1.0
 DETECTED = 0.5
+# Languages that an aligner joins without spaces; seconds of a frame of token offsets.
+ALIGNED_BY_CHARACTER, FRAME_SECONDS = ("ja",), 0.08
 
 
 def clean_segments(raw: DataFrame) -> DataFrame:
@@ -93,47 +94,89 @@ def merge_zero_length(words: DataFrame) -> DataFrame:
     return words.withColumn("g", g.cast("long")).groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_join(F.transform(row, lambda x: x["text"]), "").alias("text"))
 
 
-def dictionary_words(units: list[tuple[str, float, float, float | None]], tokens: list[str]) -> list[dict] | None:
-    """Times for dictionary tokens of one segment from its recognised words (text, start, end, confidence). A boundary
-    on a word's edge is measured, one inside is interpolated by characters; None if the texts differ or time stands still."""
-    if "".join("".join(u[0].split()) for u in units) != "".join("".join(t.split()) for t in tokens):
-        return None
-    edges, at = [], 0
-    for text, s, e, conf in units:
-        n = len("".join(text.split()))
-        edges.append((at, at + n, s, e, conf))
-        at += n
-    out, pos = [], 0
-    for token in tokens:
-        n = len("".join(token.split()))
-        if not n:
-            continue
-        a, b = pos, pos + n
-        pos = b
-        first = next(u for u in edges if u[0] <= a < u[1])
-        last = next(u for u in edges if u[0] < b <= u[1])
-        at_time = lambda u, k: round(u[2] + (u[3] - u[2]) * (k - u[0]) / (u[1] - u[0]), 6)
-        s = first[2] if a == first[0] else at_time(first, a)
-        e = last[3] if b == last[1] else at_time(last, b)
-        if e <= s:
-            return None
-        conf = [u[4] for u in edges if u[0] < b and a < u[1]]
-        out.append({"text": token, "s": s, "e": e, "timing": "measured" if a == first[0] and b == last[1] else "interpolated", "confidence": None if None in conf else min(conf)})
-    return out
-
-
-def dictionary(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Segment by segment: words (doc, seg, pos, text, s, e, confidence) and tokens (doc, seg, pos, text) to new words;
-    segments that don't fit keep their own. Both sides of a segment come together, nothing else does."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("pos"), right.sort_values("pos")
-        units = [(t, s, e, None if pd.isna(c) else c) for t, s, e, c in zip(left["text"], left["s"], left["e"], left["confidence"], strict=True)]
-        found = dictionary_words(units, right["text"].tolist()) if len(right) and len(left) else None
-        rows = found or [{"text": t, "s": s, "e": e, "timing": None, "confidence": c} for t, s, e, c in units]
-        return pd.DataFrame([{"doc": key[0], "seg": key[1], "pos": i, **r} for i, r in enumerate(rows)], columns=["doc", "seg", "pos", "text", "s", "e", "timing", "confidence"])
-
-    return words.groupBy("doc", "seg").cogroup(tokens.groupBy("doc", "seg")).applyInPandas(run, "doc long, seg long, pos long, text string, s double, e double, timing string, confidence double")
+def dictionary_words(segments: DataFrame, words: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Times for a dictionary's tokens from recognised words: (doc, seg, pos, text, s, e, confidence, timing, tag) of segments
+    that fit, and (doc, seg, reason) of those that don't and keep their own words.
+
+    ``segments``: (doc, seg, text); ``words``: (doc, seg, pos, text, s, e, confidence, timing), times in seconds; ``tokens``: (doc, seg,
+    pos, text, tag), in the text's order. Both sides are laid over the segment's characters without white space. The
+    begins of words and tokens cut a segment into pieces, and a running last value tells each piece's word and token. A
+    token's limit on a word's own edge is measured, unless that word's time is an estimate; inside a word it is
+    interpolated by characters. A segment is refused if a word is empty, if either side doesn't give its text, without
+    tokens, or if a token would have no duration."""
+    keys = ["doc", "seg"]
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def laid(rows: DataFrame, *columns: str) -> DataFrame:
+        own = rows.withColumn("t", strip_ws(F.col("text"))).select(*keys, "pos", "t", *columns)
+        return own.withColumn("a", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)).cast("long")).withColumn("n", F.length("t").cast("long"))
+
+    units, pieces = laid(words, "s", "e", "confidence", "timing"), laid(tokens.withColumnRenamed("tag", "_tag"), "_tag").where("n > 0")
+    spelled = lambda rows, name: rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias(name), F.min("n").alias(f"{name}_least"))
+    texts = segments.select(*keys, strip_ws(F.col("text")).alias("target")).join(spelled(units, "heard"), keys).join(spelled(pieces, "read"), keys, "left")
+    reason = (
+        F.when(F.col("heard_least") == 0, "empty_word").when(F.col("heard") != F.col("target"), "words_differ").when(F.coalesce("read", F.lit("")) != F.col("target"), "tokens_differ").when(F.col("read").isNull(), "no_tokens")
+    )
+    checked = texts.select(*keys, reason.alias("reason"))
+
+    good = checked.where("reason is null").select(*keys)
+    word = F.struct("pos", "a", "n", "s", "e", "confidence", (F.coalesce("timing", F.lit("")) == "interpolated").alias("guess"))
+    token = F.struct("pos", "a", "n", F.col("t").alias("text"), F.col("_tag").alias("tag"))
+    kind = lambda df, name: df.schema[name].dataType
+    left, right = units.select(*keys, "a", word.alias("word")), pieces.select(*keys, "a", token.alias("token"))
+    starts = left.withColumn("token", F.lit(None).cast(kind(right, "token"))).unionByName(right.withColumn("word", F.lit(None).cast(kind(left, "word")))).join(good, keys, "left_semi")
+    upto = Window.partitionBy(*keys).orderBy("a").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = starts.select(*keys, "a", F.last("word", True).over(upto).alias("word"), F.last("token", True).over(upto).alias("token"))
+    conf = F.when(F.count("word.confidence") == F.count(F.lit(1)), F.min("word.confidence"))
+    timed = cut.groupBy(*keys, "token").agg(F.min_by("word", "a").alias("first"), F.max_by("word", "a").alias("last"), conf.alias("confidence"))
+    t = F.col("token")
+    inside = lambda w, at: F.round(w["s"] + (w["e"] - w["s"]) * (at - w["a"]) / w["n"], 6)
+    first, last, end = F.col("first"), F.col("last"), t["a"] + t["n"]
+    s = F.when(t["a"] == first["a"], first["s"]).otherwise(inside(first, t["a"]))
+    e = F.when(end == last["a"] + last["n"], last["e"]).otherwise(inside(last, end))
+    sure = (t["a"] == first["a"]) & ~first["guess"] & (end == last["a"] + last["n"]) & ~last["guess"]
+    new = timed.select(*keys, t["pos"].alias("pos"), t["text"].alias("text"), s.alias("s"), e.alias("e"), "confidence", F.when(sure, "measured").otherwise("interpolated").alias("timing"), t["tag"].alias("tag"))
+    still = new.groupBy(*keys).agg(F.every(F.col("e") > F.col("s")).alias("moves"))
+    refused = checked.where("reason is not null").unionByName(still.where("not coalesce(moves, false)").select(*keys, F.lit("no_duration").alias("reason")))
+    return new.join(still.where("moves").select(*keys), keys, "left_semi"), refused
+
+
+def merge_untimed(words: DataFrame) -> DataFrame:
+    """(doc, seg, pos, text, s, e, confidence, merged): words (doc, seg, pos, text, s, e, score, language) of which an aligner
+    couldn't time some, those without both times as numbers: they join the timed word before, or at the start the next, with
+    a space if the language has spaces; no time is made up. Segments without any timed word give none."""
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    w = Window.partitionBy("doc", "seg").orderBy("pos")
+    own = words.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))).where("text <> ''").withColumn("timed", real("s") & real("e"))
+    g = F.greatest(F.sum(F.col("timed").cast("int")).over(w), F.lit(1))
+    grouped = own.withColumn("g", g).groupBy("doc", "seg", "g").agg(
+        F.min(F.when(F.col("timed"), F.col("pos"))).alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("w"), F.max(F.when(F.col("timed"), F.col("s"))).alias("s"), F.max(F.when(F.col("timed"), F.col("e"))).alias("e"),
+        F.max(F.when(F.col("timed"), F.col("score"))).alias("score"), F.max("language").alias("language"), F.count(F.when(~F.col("timed"), 1)).alias("merged"),
+    )
+    text = F.array_join(F.transform("w", lambda x: x["text"]), "\0")
+    joined = F.when(F.col("language").isin(*ALIGNED_BY_CHARACTER), F.replace(text, F.lit("\0"), F.lit(""))).otherwise(F.replace(text, F.lit("\0"), F.lit(" ")))
+    return grouped.where("s is not null").select("doc", "seg", "pos", joined.alias("text"), "s", "e", clip_confidence(F.col("score")).alias("confidence"), "merged")
+
+
+def hypothesis_tokens(hypotheses: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+    """(doc, n, text, s, e, id, piece) of the timed entries of hypotheses (doc, json). An entry's text is a string, a list of
+    strings, or missing; its times are seconds, or offsets in frames. Ids belong to entries only if there are as many;
+    ``pieces`` (id, piece) names them, and a hypothesis with an unknown id gets no pieces. Without a list of entries, or
+    with broken JSON, a hypothesis gives no row."""
+    v = F.try_parse_json("json")
+    got = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    rows = hypotheses.select("doc", v.alias("v")).select("doc", got(F.col("v"), "$.timestamp.char", "array<variant>").alias("entries"), got(F.col("v"), "$.y_sequence", "array<long>").alias("ids"))
+    flat = rows.select("doc", "ids", F.size("entries").alias("many"), F.posexplode("entries").alias("n", "x"))
+    listed = got(F.col("x"), "$.char", "array<string>")
+    text = F.when(listed.isNotNull(), F.array_join(listed, "")).otherwise(F.coalesce(got(F.col("x"), "$.char", "string"), F.lit("")))
+    seconds = got(F.col("x"), "$.start", "double").isNotNull() & got(F.col("x"), "$.end", "double").isNotNull()
+    time = lambda name: F.when(seconds, got(F.col("x"), f"$.{name}", "double")).otherwise(got(F.col("x"), f"$.{name}_offset", "double") * FRAME_SECONDS)
+    out = flat.select("doc", F.col("n").cast("long").alias("n"), text.alias("text"), time("start").alias("s"), time("end").alias("e"), F.when(F.size("ids") == F.col("many"), F.get("ids", F.col("n"))).alias("id"))
+    if pieces is None:
+        return out.withColumn("piece", F.lit(None).cast("string"))
+    named = out.join(pieces.select("id", "piece"), "id", "left")
+    known = F.every(F.col("piece").isNotNull()).over(Window.partitionBy("doc"))
+    return named.select("doc", "n", "text", "s", "e", F.when(known, F.col("id")).alias("id"), F.when(known, F.col("piece")).alias("piece"))
 
 
 def number_words(words: DataFrame) -> DataFrame:

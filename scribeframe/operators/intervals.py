@@ -35,19 +35,34 @@ def union(rows: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.groupBy(*keys, "_g").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("_g")
 
 
-#: time units of a bin of an interval join: ten seconds in milliseconds
-BIN = 10_000
+#: time units of a bin of an interval join: ten seconds in milliseconds; bins that one interval goes into at most
+BIN, MOST_BINS = 10_000, 64
+LONG_OWN, LONG_OTHER = 1, 2
 
 
 def binned(a: DataFrame, b: DataFrame, keys: list[str], own: tuple[str, str] = ("s", "e"), other: tuple[str, str] = ("ts", "te"), width: int = BIN) -> DataFrame:
     """Pairs of rows that overlap strictly, by an equality join: either side goes into all bins that it touches, and a
-    pair is kept in the first bin that both touch, so a key's rows aren't compared with each other at large. Rows with
-    a null limit match nothing."""
+    pair is kept in the first bin that both touch, so a key's rows aren't compared with each other at large. Intervals that
+    touch more than MOST_BINS bins go into none; every row also stands in a place where it meets the other side's long
+    intervals alone. So no interval, however long, becomes more than MOST_BINS + 1 rows. Rows with a null limit match
+    nothing."""
     first = lambda span: F.floor(F.col(span[0]) / width)
-    into = lambda df, span: df.withColumn("_bin", F.explode(F.sequence(first(span), F.greatest(first(span), F.floor(F.col(span[1]) / width)))))
-    both = into(a, own).join(into(b, other), [*keys, "_bin"])
+    last = lambda span: F.greatest(first(span), F.floor(F.col(span[1]) / width))
+    long = lambda span: last(span) - first(span) >= MOST_BINS
+    place = lambda kind, bin: F.struct(F.lit(kind).alias("kind"), bin.cast("long").alias("bin"))
+
+    def into(df: DataFrame, span: tuple[str, str], mine: int, others: int) -> DataFrame:
+        bins = F.transform(F.sequence(first(span), F.when(long(span), first(span)).otherwise(last(span))), lambda x: place(0, x))
+        far = F.array(place(others, F.lit(0)))
+        # a long interval of the left side meets all of the right, one of the right the left's short ones
+        alone = F.array(*[place(k, F.lit(0)) for k in ((LONG_OTHER, LONG_OWN) if mine == LONG_OTHER else (LONG_OWN,))])
+        places = F.when(long(span), alone).otherwise(F.concat(bins, far))
+        return df.where(F.col(span[0]).isNotNull() & F.col(span[1]).isNotNull()).withColumn("_bin", F.explode(places))
+
+    both = into(a, own, LONG_OWN, LONG_OTHER).join(into(b, other, LONG_OTHER, LONG_OWN), [*keys, "_bin"])
     near = (F.col(other[0]) < F.col(own[1])) & (F.col(other[1]) > F.col(own[0]))
-    return both.where(near & (F.col("_bin") == F.greatest(first(own), first(other)))).drop("_bin")
+    once = (F.col("_bin.kind") > 0) | (F.col("_bin.bin") == F.greatest(first(own), first(other)))
+    return both.where(near & once).drop("_bin")
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:

@@ -3,64 +3,121 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribeframe.functions import text as T
+from scribeframe.operators.intervals import binned
+from scribeframe.operators.validate import CREDENTIALS
+
 #: at most so many terms, and characters of a prompt
 MOST_TERMS, PROMPT_CHARS = 50, 600
-COMMON = ("about", "after", "because", "before", "between", "different", "however", "important", "something", "therefore", "through", "together", "without")
-
-
-def tokens(texts: DataFrame) -> DataFrame:
-    """(doc, form, at, initial): Latin tokens with their number in the text, and whether they begin a sentence or line."""
-    # split keeps the separators' side: a token is initial at the text's start or after . ! ? or a line feed
-    marked = F.regexp_replace(F.col("text"), r"([.!?]\s+|\n\s*)", "$1\u0001")
-    words = F.regexp_extract_all(F.concat(F.lit("\u0001"), marked), F.lit(r"(\x01?[A-Za-z0-9](?:[A-Za-z0-9_'’-]*[A-Za-z0-9])?)"), F.lit(1))
-    flat = texts.select("doc", F.posexplode(words).alias("at", "raw"))
-    return flat.select("doc", "at", F.col("raw").startswith("\u0001").alias("initial"), F.regexp_replace("raw", "\u0001", "").alias("form")).where(F.col("form").rlike("[A-Za-z]"))
-
-
-def term_counts(found: DataFrame) -> DataFrame:
-    """(doc, term, class, n): class 0 names and abbreviations, class 1 long words; the commonest spelling of each key,
-    where a sentence's first word counts half; ties go to the smaller spelling."""
+# The shortest plain word and the shortest name that are terms; what ends a sentence or a line before a token.
+PLAIN, NAME, SENTENCE_END = 7, 4, ".!?:;。！？\t\"'(‘“"
+# Words that are never terms by themselves, as far as they stand here; ``common`` takes another list.
+COMMON = tuple(
+    """
+about above across after again against along already also although always among another answer around because become
+been before behind being below best better between beyond both bring call came case change come comes compare compared
+could data days different does doing done down during each early effect either else even every example first five follow
+following from further general give given good great group half have help here high however important include included
+including increase instead into itself just keep know large last later least left less level like little long made main
+make many maybe mean meeting might more most much must need never next none note nothing often only open other others
+over part people perhaps point possible problem question quite rather really report result right same second section
+see seen several should show shown since small some something still such sure than thank that their them then there
+therefore these they thing think third this those three through time times today together topic total toward towards
+under until upon used using very view want welcome well were what when where whether which while whole will with within
+without work would year years
+""".split()
+)
+ALNUM = r"[\p{L}\p{N}]"
+TOKEN = rf"([^\p{{L}}\p{{N}}]*)({ALNUM}(?:[\p{{L}}\p{{N}}_'’-]*{ALNUM})?)"
+LATIN, UNSPACED_SCRIPT = r"[A-Za-zÀ-ɏſK]", r"[぀-鿿]"
+#: katakana words and kanji compounds: kind of a token, its run, its class
+RUNS = ((1, r"[ァ-ヺー]{3,}", 0), (2, r"[一-鿿々]{4,}", 1))
+
+
+def tokens(texts: DataFrame, japanese: bool = False) -> DataFrame:
+    """(doc, form, at, initial, kind): tokens of texts (doc, text) with their place, and whether a capital is what any word
+    gets there: at the start of a sentence, or with no letter before it on its line. ``kind`` is 0, with ``japanese`` also 1 for
+    runs of katakana and 2 for runs of kanji, which come after the text's other tokens. A column ``part`` orders the texts
+    of a document."""
+    part = F.col("part") if "part" in texts.columns else F.lit(0)
+    own = texts.select("doc", part.cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    line = own.select("doc", "part", F.posexplode(F.split("text", r"[\n\r]")).alias("line", "x"))
+    found = line.select("doc", "part", "line", F.regexp_extract_all("x", F.lit(TOKEN), F.lit(1)).alias("gaps"), F.regexp_extract_all("x", F.lit(TOKEN), F.lit(2)).alias("forms"))
+    lettered = F.array_position(F.transform("forms", lambda t: t.rlike(r"\p{L}")), True)  # the line's first token with a letter
+    flat = found.select("doc", "part", "line", lettered.alias("first"), F.posexplode(F.arrays_zip("gaps", "forms")).alias("j", "t"))
+    before = F.rtrim(F.col("t.gaps"))
+    initial = (F.col("first") == 0) | (F.col("j") < F.col("first")) | F.coalesce(F.instr(F.lit(SENTENCE_END), F.substring(before, -1, 1)) > 0, F.lit(False)) & (before != "")
+    at = lambda kind, line, j: F.struct("part", F.lit(kind).alias("kind"), line.cast("long").alias("line"), j.cast("long").alias("j"))
+    out = flat.select("doc", F.col("t.forms").alias("form"), at(0, F.col("line"), F.col("j")).alias("at"), initial.alias("initial"), F.lit(0).alias("kind"))
+    for kind, run, _ in RUNS if japanese else ():
+        found = own.select("doc", "part", F.posexplode(F.regexp_extract_all("text", F.lit(run), F.lit(0))).alias("j", "form"))
+        out = out.unionByName(found.select("doc", "form", at(kind, F.lit(0), F.col("j")).alias("at"), F.lit(False).alias("initial"), F.lit(kind).alias("kind")))
+    return out
+
+
+def term_counts(found: DataFrame, common: DataFrame | None = None) -> DataFrame:
+    """(doc, key, term, kind, n, at): candidates by folded key. Class 0: names, abbreviations, codes and katakana words; class
+    1: long plain words and kanji compounds. A key's term is its commonest spelling, where a token at the start of a
+    sentence counts half, the smaller of equals. A name that is also written in lower case is a plain word, and plain words
+    of few letters are none. ``common`` (word): words that are no terms, folded; the fixed ones without it."""
     c = F.col("form")
-    capitals = F.length(F.regexp_replace(c, "[^A-Z]", ""))
-    name = c.rlike("[0-9-]") | (capitals >= 2) | ((capitals == 1) & c.rlike("^[A-Z]") & ~F.col("initial"))
-    kind = F.when((F.length(c) >= 4) & name, 0).when((c == F.upper(c)) & (capitals >= 3), 0).when((F.length(c) >= 7) & c.rlike("^[A-Za-z]+$"), 1)
-    rows = found.withColumn("kind", kind).withColumn("key", F.lower("form")).where(~F.col("key").isin(*COMMON))
-    seen_low = (F.col("form") == F.col("key")) & ~F.col("form").rlike("[0-9-]")
-    forms = rows.groupBy("doc", "key", "form").agg(F.min("kind").alias("kind"), F.count("kind").alias("n"), F.sum(F.when(F.col("kind").isNotNull(), F.when(F.col("initial"), 1).otherwise(2))).alias("w"), F.min("at").alias("at"), F.max(seen_low.cast("int")).alias("low"))
-    keys = forms.groupBy("doc", "key").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"), F.min("at").alias("at"), F.max("low").alias("low"), F.max("w").alias("w"))
-    top = forms.join(keys.select("doc", "key", F.col("w").alias("_w")), ["doc", "key"]).where("w = _w").groupBy("doc", "key").agg(F.min("form").alias("term"))
-    out = keys.where("kind is not null").join(top, ["doc", "key"])
-    demoted = F.when((F.col("kind") == 0) & (F.col("low") == 1) & ~F.col("key").rlike("[0-9-]"), 1).otherwise(F.col("kind"))
-    return out.withColumn("kind", demoted).where((F.col("kind") == 0) | (F.length("term") >= 7)).select("doc", "key", "term", F.col("kind").cast("long").alias("kind"), F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
-
-
-def terms(texts: DataFrame, given: DataFrame | None = None, most: int = MOST_TERMS) -> DataFrame:
-    """The first ``most`` terms of each document (doc, rank, term): given ones (doc, term) first, then by class, count,
-    length and first place; keys that are given already or parts of given ones are left out."""
-    counted = term_counts(tokens(texts))
-    order = [F.lit(1).alias("g"), "kind", (-F.col("n")).alias("c"), (-F.length("term")).alias("l"), "at"]
-    rows = counted.select("doc", "key", "term", F.struct(*order).alias("o"))
+    capitals, letters = F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    name = c.rlike(r"[\p{Nd}-]") | (capitals >= 2) | ((capitals == 1) & c.rlike(r"^[^\p{L}]*\p{Lu}") & ~F.col("initial"))
+    loud = (capitals > 0) & ~c.rlike(r"[\p{Ll}\p{Lt}]") & (letters >= 3)
+    kind = F.when(F.col("kind") > 0, F.col("kind") - 1).when((F.length(c) >= NAME) & name | loud, 0).when((F.length(c) >= PLAIN) & (letters == F.length(c)), 1)
+    latin = c.rlike(LATIN) & ~c.rlike(UNSPACED_SCRIPT)
+    rows = found.where((F.col("kind") > 0) | latin).withColumn("class", kind).where("class is not null").withColumn("key", T.casefold(c))
+    rows = rows.join(F.broadcast(common.select(T.casefold(F.col("word")).alias("key")).distinct()), "key", "left_anti") if common is not None else rows.where(~F.col("key").isin(*COMMON))
+    forms = rows.groupBy("doc", "key", "form").agg(F.min("class").alias("class"), F.max("kind").alias("script"), F.count("*").alias("n"), F.sum(F.when(F.col("initial"), 1).otherwise(2)).alias("w"), F.min("at").alias("at"))
+    low = F.max((F.col("form") == F.col("key")).cast("int"))
+    best = F.min(F.struct((-F.col("w")).alias("w"), "form"))["form"]
+    keys = forms.groupBy("doc", "key").agg(F.min("class").alias("class"), F.max("script").alias("script"), F.sum("n").alias("n"), F.min("at").alias("at"), low.alias("low"), best.alias("term"))
+    plain = (F.col("script") == 0) & (F.col("class") == 0) & (F.col("low") == 1) & ~F.col("key").rlike(r"[\p{Nd}-]")
+    out = keys.withColumn("class", F.when(plain, 1).otherwise(F.col("class"))).where((F.col("script") > 0) | (F.col("class") == 0) | (F.length("term") >= PLAIN))
+    return out.select("doc", "key", "term", F.col("class").cast("long").alias("kind"), F.col("n").cast("long").alias("n"), "at")
+
+
+def terms(texts: DataFrame, given: DataFrame | None = None, most: int = MOST_TERMS, japanese: bool = False, common: DataFrame | None = None) -> DataFrame:
+    """The first ``most`` terms of each document (doc, rank, term): given ones (doc, n, term) in their order, then those of the
+    texts by class, count, length and place. A given term stands once; of the texts none is taken that is a word of a given
+    one or looks like a credential."""
+    secret = F.lit(False)
+    for p in CREDENTIALS:
+        secret = secret | F.col("term").rlike(p)
+    counted = term_counts(tokens(texts, japanese), common).where(~secret)
+    order = lambda g, n, count, length, at: F.struct(F.lit(g).alias("g"), n.cast("long").alias("class"), count.cast("long").alias("c"), length.cast("long").alias("l"), at.alias("at"))
+    rows = counted.select("doc", "term", order(1, F.col("kind"), -F.col("n"), -F.length("term"), F.col("at")).alias("o"), "key")
     if given is not None:
-        own = given.select("doc", "term", F.lower("term").alias("key")).distinct()
-        parts = own.select("doc", F.explode(F.split("key", r"[^\p{L}\p{N}]+")).alias("key")).union(own.select("doc", "key")).distinct()
-        rows = rows.join(parts, ["doc", "key"], "left_anti")
-        first = own.withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("key"))).select("doc", "key", "term", F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("c"), (F.lit(0) - 0).alias("l"), F.col("at").cast("long").alias("at")).alias("o"))
-        rows = rows.union(first)
+        own = given.select("doc", "n", "term", T.casefold(F.col("term")).alias("key")).groupBy("doc", "key").agg(F.min(F.struct("n", "term")).alias("x")).select("doc", "key", "x.n", "x.term")
+        every = given.select("doc", T.casefold(F.col("term")).alias("key"))
+        parts = every.select("doc", F.explode(F.split("key", r"(?U)\s+")).alias("key")).union(every).distinct()
+        none = F.lit(None).cast(rows.schema["o"].dataType["at"].dataType)
+        zero = F.lit(0)
+        rows = rows.join(parts, ["doc", "key"], "left_anti").unionByName(own.select("doc", "term", order(0, F.col("n"), zero, zero, none).alias("o"), "key"))
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("o", "key"))
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("doc", "rank", "term")
 
 
-def prompts(ranked: DataFrame, most: int = PROMPT_CHARS) -> DataFrame:
-    """(doc, prompt): as many leading terms as fit, stopping at the first that doesn't."""
+def prompts(ranked: DataFrame, most: int = PROMPT_CHARS, japanese: bool = False, given: DataFrame | None = None) -> DataFrame:
+    """(doc, prompt, used): a caller's own prompt (doc, prompt), if any, then as many leading terms as fit into ``most``
+    characters with it, up to the first that doesn't, as a list with a full stop. Where none fits, the caller's prompt alone."""
+    comma, stop = ("、", "。") if japanese else (", ", ".")
+    rows = ranked.withColumn("_given", F.lit(None).cast("string"))
+    if given is not None:
+        rows = ranked.join(given.select("doc", F.col("prompt").alias("_given")), "doc", "full")
+    head = F.when(F.coalesce("_given", F.lit("")) != "", F.concat(F.trim("_given"), F.lit(" "))).otherwise("")
     w = Window.partitionBy("doc").orderBy("rank")
-    used = F.sum(F.length("term") + F.when(F.col("rank") > 1, 2).otherwise(0)).over(w)
-    row = F.array_sort(F.collect_list(F.struct("rank", "term")))
-    return ranked.withColumn("_u", used).where(F.col("_u") <= most).groupBy("doc").agg(F.array_join(F.transform(row, lambda x: x["term"]), ", ").alias("prompt"))
+    used = F.length(head) + F.sum(F.length("term") + F.when(F.col("rank") > 1, len(comma)).otherwise(0)).over(w) + len(stop)
+    row = F.array_sort(F.collect_list(F.when(F.col("_u") <= most, F.struct("rank", "term"))))
+    out = rows.withColumn("_head", head).withColumn("_u", used).groupBy("doc").agg(row.alias("t"), F.max("_head").alias("h"), F.max("_given").alias("g"))
+    listed = F.concat("h", F.array_join(F.transform("t", lambda x: x["term"]), comma), F.lit(stop))
+    return out.select("doc", F.when(F.size("t") > 0, listed).otherwise(F.col("g")).alias("prompt"), F.size("t").cast("long").alias("used")).where("prompt is not null")
 
 
 class Rules:
@@ -96,38 +153,74 @@ def corrected(segments: DataFrame, rules: list[tuple[str, str, str]]) -> DataFra
     return segments.withColumn("_c", run("text")).select(*segments.columns, "_c.corrected", "_c.applied")
 
 
-def merge_words(words: list[dict], text: str, edits: list[tuple[int, int, int, str]]) -> tuple[list[dict], bool]:
-    """Words of a segment after edits of its text: words that an edit touches become one, with the first start, the last
-    end, the least confidence (null if any is null) and ``timing`` interpolated. False if a word isn't in the text."""
-    spans, at = [], 0
-    for w in words:
-        p = text.find(w["text"].strip(), at)
-        if p < 0:
-            return words, False
-        spans.append((p, p + len(w["text"].strip())))
-        at = spans[-1][1]
-    runs: list[list[int]] = []
-    for a, b, _, _ in edits:
-        hit = [i for i, (p, q) in enumerate(spans) if a < q and p < b]
-        if hit and runs and hit[0] <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hit[-1])
-        elif hit:
-            runs.append([hit[0], hit[-1]])
-    out, i = [], 0
-    for first, last in [*runs, [len(words), len(words)]]:
-        out += words[i:first]
-        if first < len(words):
-            lo, hi = spans[first][0], spans[last][1]
-            own = [e for e in edits if e[0] < hi and lo < e[1]]
-            lo, hi = min([lo, *(e[0] for e in own)]), max([hi, *(e[1] for e in own)])
-            new, p = "", lo
-            for a, b, _, to in own:
-                new, p = new + text[p:a] + to, b
-            new = " ".join((new + text[p:hi]).split())
-            part = words[first : last + 1]
-            conf = [w.get("confidence") for w in part]
-            timing = "interpolated" if last > first or any(w.get("timing") == "interpolated" for w in part) else part[0].get("timing")
-            if new:
-                out.append({"text": new, "s": part[0]["s"], "e": part[-1]["e"], "confidence": None if None in conf else min(conf), "timing": timing})
-        i = last + 1
-    return out, True
+@dataclass
+class Corrected:
+    """``segments`` with their new text; ``words`` with new texts and times; ``applied``: every replacement with the time of the
+    words that it touches, or of the segment; ``unplaced``: segments whose words don't stand in the text and stay as they are."""
+
+    segments: DataFrame
+    words: DataFrame
+    applied: DataFrame
+    unplaced: DataFrame
+
+
+def placed(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """words with ``p`` and ``q``, where each stands in its segment's text, looked for from the word before on; null from the
+    first word on that isn't there."""
+    keys = ["doc", "seg"]
+    lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("t")))).alias("w")).join(segments.select(*keys, F.col("text").alias("_text")), keys)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(out, x):
+        hit = F.when(out["at"] > 0, F.call_function("locate", x["t"], F.col("_text"), out["at"])).otherwise(0)
+        return F.struct(F.when(hit > 0, hit + F.length(x["t"])).otherwise(0).alias("at"), F.concat(out["found"], F.array(hit)).alias("found"))
+
+    spots = lists.select(*keys, F.explode(F.arrays_zip("w", F.aggregate("w", start, step)["found"].alias("f"))).alias("x")).select(*keys, F.col("x.w.pos").alias("pos"), F.when(F.col("x.f") > 0, F.col("x.f") - 1).cast("long").alias("p"), F.length("x.w.t").alias("_n"))
+    return words.join(spots.select(*keys, "pos", "p", (F.col("p") + F.col("_n")).alias("q")), [*keys, "pos"])
+
+
+def corrected_transcripts(segments: DataFrame, words: DataFrame, rules: list[tuple[str, str, str]]) -> Corrected:
+    """Corrections of segments (doc, seg, s, e, text) and of their words (doc, seg, pos, text, s, e, confidence, timing).
+
+    The words that a replacement touches become one, from the first's start to the last's end, with the least confidence
+    (null if any has none); replacements that share a word go together. A word made of any with an estimated time has an
+    estimated time."""
+    keys = ["doc", "seg"]
+    found = corrected(segments, rules)
+    targets = F.array(*[F.lit(to) for _, to, _ in rules])
+    edits = found.select(*keys, F.col("s").alias("_ss"), F.col("e").alias("_se"), F.col("text").alias("_text"), F.posexplode("applied").alias("k", "x"))
+    edits = edits.select(*keys, "k", "_ss", "_se", "_text", F.col("x.rule").alias("rule"), F.col("x.a").cast("long").alias("a"), F.col("x.b").cast("long").alias("b"), F.element_at(targets, F.col("x.rule") + 1).alias("to"))
+    spots = placed(segments, words)
+    bad = spots.where("p is null").select(*keys).distinct()
+    good = spots.join(bad, keys, "left_anti")
+    touched = binned(good, edits.select(*keys, "k", "a", "b"), keys, ("p", "q"), ("a", "b"), 256)
+    reach = touched.groupBy(*keys, "k", "a").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    w = Window.partitionBy(*keys).orderBy("a")
+    apart = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    grouped = reach.withColumn("_new", apart).withColumn("g", F.sum("_new").over(w))
+    groups = touched.select(*keys, "pos", "k").join(grouped.select(*keys, "k", "g"), [*keys, "k"])
+    member = groups.select(*keys, "pos", "g").distinct()
+
+    conf = F.when(F.count("confidence") == F.count(F.lit(1)), F.min("confidence"))
+    guess = F.max((F.coalesce("timing", F.lit("")) == "interpolated").cast("int")) == 1
+    one = good.join(member, [*keys, "pos"]).groupBy(*keys, "g").agg(
+        F.min("pos").alias("pos"), F.min_by("s", "pos").alias("s"), F.max_by("e", "pos").alias("e"), conf.alias("confidence"), F.when(guess, "interpolated").otherwise(F.min_by("timing", "pos")).alias("timing"), F.min("p").alias("lo"), F.max("q").alias("hi"),
+    )
+    changes = grouped.select(*keys, "k", "g").join(edits, [*keys, "k"]).groupBy(*keys, "g").agg(F.max("_text").alias("_text"), F.array_sort(F.collect_list(F.struct("a", "b", "to"))).alias("edits"))
+    both = one.join(changes, [*keys, "g"])
+    start = F.struct(F.col("lo").alias("at"), F.lit("").alias("out"))
+    piece = lambda a, b: F.substring(F.col("_text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    done = F.aggregate("edits", start, lambda acc, x: F.struct(F.least(x["b"], F.col("hi")).alias("at"), F.concat(acc["out"], piece(acc["at"], F.greatest(x["a"], F.col("lo"))), x["to"]).alias("out")))
+    text = F.trim(F.regexp_replace(F.concat(done["out"], piece(done["at"], F.col("hi"))), r"(?U)\s+", " "))
+    columns = [*keys, "pos", "text", "s", "e", "confidence", "timing"]
+    changed = both.withColumn("text", text).select(*columns)
+    rest = good.join(member, [*keys, "pos"], "left_anti").select(*columns)
+    own = words.join(bad, keys, "left_semi").select(*columns)
+
+    times = touched.groupBy(*keys, "k").agg(F.min_by("s", "pos").alias("_ws"), F.max_by("e", "pos").alias("_we"))
+    applied = edits.join(times, [*keys, "k"], "left").select(
+        *keys, F.col("k").cast("long").alias("k"), "rule", F.substring("_text", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("from"), "to", F.coalesce("_ws", "_ss").alias("s"), F.coalesce("_we", "_se").alias("e"),
+        F.when(F.col("_ws").isNotNull(), "word").otherwise("segment").alias("timing"),
+    )
+    unplaced = bad.join(edits.select(*keys).distinct(), keys, "left_semi")
+    return Corrected(found.withColumn("text", F.col("corrected")).drop("corrected", "applied"), rest.unionByName(changed).unionByName(own), applied, unplaced)

@@ -227,7 +227,8 @@ def _export(form):
 
 
 def term_counts(spark, d):
-    return vocabulary.term_counts(vocabulary.tokens(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc"), "text")))
+    found = vocabulary.term_counts(vocabulary.tokens(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")))
+    return found.select("doc", "key", "term", "kind", "n")
 
 
 def terms(spark, d):
@@ -251,6 +252,71 @@ def corrections_substring(spark, d):
     return found.select("doc", "seg", F.size("applied").alias("n"), F.md5("corrected").alias("hash"))
 
 
+CROSSING = [("e th", "e-t", "substring"), ("tion", "ción", "substring"), ("n a", "n-a", "substring")]
+
+
+def _judged_words(spark, d) -> DataFrame:
+    """Words with confidences, of which some are missing, and estimated times here and there."""
+    conf = F.when(F.col("idx") % 13 != 0, (F.col("idx") % 10) / 10)
+    return _words(spark, d).select("doc", "seg", "pos", "idx", "text", "s", "e", conf.alias("confidence"), F.when(F.col("idx") % 5 == 0, "interpolated").otherwise("measured").alias("timing"))
+
+
+def _corrected(spark, d):
+    segments = _segments(spark, d).select("doc", "seg", "s", "e", "text")
+    return vocabulary.corrected_transcripts(segments, _judged_words(spark, d), CROSSING)
+
+
+def corrected_words(spark, d):
+    """Words after corrections that reach over white space, with their new times."""
+    return _corrected(spark, d).words.select("doc", "seg", "pos", "text", "s", "e", F.round(F.col("confidence") * 10).cast("long").alias("confidence"), "timing")
+
+
+def corrections_applied(spark, d):
+    return _corrected(spark, d).applied.select("doc", "seg", "k", "rule", "from", "to", "s", "e", "timing")
+
+
+def _dictionary(spark, d):
+    """Every four characters of a segment are a token; some segments lack their last one, in some words have no duration."""
+    words = _judged_words(spark, d).withColumns({"s": F.col("s") / 1000, "e": F.when(F.col("seg") % 11 == 5, F.col("s")).otherwise(F.col("e")) / 1000})
+    segments = _segments(spark, d).select("doc", "seg", "text")
+    cut = F.regexp_extract_all(T.strip_ws(F.col("text")), F.lit(".{1,4}"), F.lit(0))
+    tokens = segments.withColumn("l", cut).withColumn("l", F.when((F.col("seg") % 7 == 3) & (F.size("l") > 0), F.slice("l", F.lit(1), F.size("l") - 1)).otherwise(F.col("l")))
+    rows = tokens.select("doc", "seg", F.posexplode("l").alias("pos", "text")).withColumn("tag", F.when(F.col("pos") % 2 == 0, "noun").otherwise("other"))
+    return builder.dictionary_words(segments, words, rows)
+
+
+def dictionary_words(spark, d):
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return _dictionary(spark, d)[0].select("doc", "seg", "pos", "text", micro("s").alias("s"), micro("e").alias("e"), F.round(F.col("confidence") * 10).cast("long").alias("confidence"), "timing", "tag")
+
+
+def dictionary_refused(spark, d):
+    return _dictionary(spark, d)[1]
+
+
+def untimed_words(spark, d):
+    """Every fourth word without times, and whole segments; a third of the transcripts in a language without spaces."""
+    words = _words(spark, d)
+    lost = (F.col("idx") % 4 == 1) | (F.col("seg") % 5 == 2)
+    rows = words.select("doc", "seg", "pos", "text", F.when(~lost, F.col("s") / 1000).alias("s"), F.when(F.col("idx") % 8 != 3, F.col("e") / 1000).otherwise(float("nan")).alias("e"), (F.col("idx") % 7 / 4 - 0.25).alias("score"), F.when(F.col("doc") % 3 == 0, "ja").otherwise("en").alias("language"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return builder.merge_untimed(rows).select("doc", "seg", "pos", "text", ms("s").alias("s"), ms("e").alias("e"), F.round(F.col("confidence") * 100).cast("long").alias("confidence"), "merged")
+
+
+def hypothesis_tokens(spark, d):
+    """Words as entries of three shapes; some hypotheses lack times or an id."""
+    words = _words(spark, d)
+    kind, n = F.col("idx") % 3, F.col("idx")
+    seconds, offsets = [(F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end")], [n.alias("start_offset"), (n + 2).alias("end_offset")]
+    entry = F.when(kind == 0, F.to_json(F.struct(F.col("text").alias("char"), *seconds))).when(kind == 1, F.to_json(F.struct(F.array(F.substring("text", 1, 1), F.expr("substring(text, 2)")).alias("char"), *offsets))).otherwise(F.to_json(F.struct(*offsets)))
+    lists = words.select("doc", "idx", entry.alias("x")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("l"))
+    entries = F.array_join(F.transform("l", lambda x: x["x"]), ",")
+    ids = F.array_join(F.transform(F.when(F.col("doc") % 5 == 3, F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")), lambda x: (x["idx"] * 7 + 1).cast("string")), ",")
+    json = F.when(F.col("doc") % 5 == 4, F.lit('{"timestamp": null}')).when(F.col("doc") % 7 == 6, F.lit("{broken")).otherwise(F.concat(F.lit('{"timestamp":{"char":['), entries, F.lit(']},"y_sequence":['), ids, F.lit("]}")))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return builder.hypothesis_tokens(lists.select("doc", json.alias("json"))).select("doc", "n", "text", ms("s").alias("s"), ms("e").alias("e"), "id")
+
+
 def segment_builder(spark, d):
     out = builder.build_segments(_words(spark, d), 90)
     return out.groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("words"))
@@ -365,5 +431,6 @@ QUERIES = {
         select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, turn_rules, chunk_rules, chunk_totals, chunk_languages, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay, follow_events,
+        corrected_words, corrections_applied, dictionary_words, dictionary_refused, untimed_words, hypothesis_tokens,
     )
 } | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

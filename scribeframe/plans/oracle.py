@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from scribeframe.operators.validate import CREDENTIALS
+from scribeframe.operators.vocabulary import COMMON
+
 WORDS = r"""
 parts as (select conv_id as doc, turn as seg, role, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as l from conversations),
 toks as (select doc, seg, role, unnest(l) as text, unnest(range(len(l)))::int as pos from parts),
@@ -230,3 +233,78 @@ from ranked group by doc, g"""
 SQL["follow_events"] = f"""with recursive {FOLLOWED} select doc, row_number() over (partition by doc order by t, kind, i) as event, ['final', 'partial', 'end'][kind + 1] as type, segments::bigint as segments,
   case when segments > 0 then printf('seg_%04d', first::bigint) end as first, case when segments > 0 then start end::bigint as start, case when segments > 0 then "end" end::bigint as "end", md5(coalesce(text, '')) as hash, cut as committed from events"""
 SQL["follow_replay"] = f"""with recursive {FOLLOWED} select doc, row_number() over (partition by doc order by t, i) as n, start::bigint as s, "end"::bigint as e, md5(text) as hash from final"""
+
+JUDGED = SEGMENTS + """,
+judged as (select *, case when idx % 13 <> 0 then idx % 10 end as confidence, case when idx % 5 = 0 then 'interpolated' else 'measured' end as timing from words)"""
+# places of the alternation's matches: cut the text at them and add up lengths
+EDITED = (
+    JUDGED
+    + """,
+cut as (select doc, seg, s as ss, e as se, text, regexp_extract_all(text, '(?i)e th|tion|n a') as hits, string_split_regex(text, '(?i)e th|tion|n a') as parts from segments),
+edits as (select doc, seg, ss, se, text, k, hits[k + 1] as hit, list_sum(list_transform(parts[1 : k + 1], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hits[1 : k], lambda x: length(x))), 0)::bigint as a from (select *, unnest(range(len(hits))) as k from cut)),
+ruled as (select *, a + length(hit) as b, case lower(hit) when 'e th' then 0 when 'tion' then 1 else 2 end as rule, ['e-t', 'ción', 'n-a'][case lower(hit) when 'e th' then 1 when 'tion' then 2 else 3 end] as t from edits),
+spots as (select *, (sum(length(text) + 1) over (partition by doc, seg order by pos) - length(text) - 1)::bigint as p from judged),
+touched as (select r.doc, r.seg, r.k, r.a, r.b, r.t, w.pos, w.s, w.e from ruled r join spots w on w.doc = r.doc and w.seg = r.seg and w.p < r.b and w.p + length(w.text) > r.a),
+reach as (select doc, seg, k, a, min(pos) as lo, max(pos) as hi from touched group by all),
+apart as (select *, coalesce(lo > max(hi) over (partition by doc, seg order by a rows between unbounded preceding and 1 preceding), true) as fresh from reach),
+grp as (select *, sum(case when fresh then 1 else 0 end) over (partition by doc, seg order by a) as g from apart),
+spans as (select doc, seg, g, min(lo) as lo, max(hi) as hi from grp group by all),
+merged as (select x.doc, x.seg, x.g, min(w.pos) as pos, min(w.s) as s, max(w.e) as e, case when count(w.confidence) = count(*) then min(w.confidence) end as confidence, case when bool_or(w.timing = 'interpolated') then 'interpolated' else 'measured' end as timing, min(w.p) as lo, max(w.p + length(w.text)) as hi from spans x join spots w on w.doc = x.doc and w.seg = x.seg and w.pos between x.lo and x.hi group by x.doc, x.seg, x.g),
+pieces as (select m.doc, m.seg, m.g, r.a, r.b, r.t, r.text, m.lo, m.hi, coalesce(lag(r.b) over (partition by m.doc, m.seg, m.g order by r.a), m.lo) as since, row_number() over (partition by m.doc, m.seg, m.g order by r.a desc) = 1 as last from merged m join grp g on g.doc = m.doc and g.seg = m.seg and g.g = m.g join ruled r on r.doc = g.doc and r.seg = g.seg and r.k = g.k),
+renewed as (select doc, seg, g, string_agg(substr(text, since + 1, greatest(greatest(a, lo) - since, 0)) || t || case when last then substr(text, least(b, hi) + 1, greatest(hi - b, 0)) else '' end, '' order by a) as text from pieces group by all)"""
+)
+SQL["corrected_words"] = f"""with {EDITED.lstrip()} select m.doc, m.seg, m.pos, trim(regexp_replace(r.text, '\\s+', ' ', 'g')) as text, m.s, m.e, m.confidence, m.timing from merged m join renewed r on r.doc = m.doc and r.seg = m.seg and r.g = m.g
+  union all select w.doc, w.seg, w.pos, w.text, w.s, w.e, w.confidence, w.timing from spots w where not exists (select 1 from spans x where x.doc = w.doc and x.seg = w.seg and w.pos between x.lo and x.hi)"""
+SQL["corrections_applied"] = f"""with {EDITED.lstrip()} select r.doc, r.seg, r.k, r.rule, r.hit as "from", r.t as "to", coalesce(t.s, r.ss) as s, coalesce(t.e, r.se) as e, case when t.s is null then 'segment' else 'word' end as timing
+  from ruled r left join (select doc, seg, k, min(s) as s, max(e) as e from touched group by all) t on t.doc = r.doc and t.seg = r.seg and t.k = r.k"""
+
+DICTIONARY = (
+    JUDGED
+    + """,
+units as (select *, s / 1000.0 as us, case when seg % 11 = 5 then s else e end / 1000.0 as ue, (sum(length(text)) over (partition by doc, seg order by pos) - length(text))::bigint as a from judged),
+listed as (select doc, seg, replace(text, ' ', '') as target, regexp_extract_all(replace(text, ' ', ''), '.{1,4}') as l from segments),
+kept as (select doc, seg, target, case when seg % 7 = 3 then l[1 : len(l) - 1] else l end as l from listed),
+tokens as (select doc, seg, unnest(range(len(l)))::int as pos, unnest(l) as text from kept),
+places as (select *, (sum(length(text)) over (partition by doc, seg order by pos) - length(text))::bigint as a from tokens),
+met as (select t.doc, t.seg, t.pos, t.text, t.a, t.a + length(t.text) as b, u.a as ua, u.a + length(u.text) as ub, u.us, u.ue, u.confidence, u.timing from places t join units u on u.doc = t.doc and u.seg = t.seg and u.a < t.a + length(t.text) and u.a + length(u.text) > t.a),
+timed as (select doc, seg, pos, text, a, b,
+  min_by(case when a = ua then us else round(us + (ue - us) * (a - ua) / (ub - ua), 6) end, ua) as s, max_by(case when b = ub then ue else round(us + (ue - us) * (b - ua) / (ub - ua), 6) end, ua) as e,
+  case when count(confidence) = count(*) then min(confidence) end as confidence, min_by(a = ua and timing = 'measured', ua) and max_by(b = ub and timing = 'measured', ua) as sure from met group by doc, seg, pos, text, a, b),
+judgement as (select k.doc, k.seg, case when array_to_string(l, '') <> target then 'tokens_differ' when not (select bool_and(e > s) from timed t where t.doc = k.doc and t.seg = k.seg) then 'no_duration' end as reason from kept k)"""
+)
+SQL["dictionary_words"] = f"""with {DICTIONARY.lstrip()} select doc, seg, pos, text, round(s * 1000000)::bigint as s, round(e * 1000000)::bigint as e, confidence, case when sure then 'measured' else 'interpolated' end as timing, case when pos % 2 = 0 then 'noun' else 'other' end as tag
+  from timed join judgement using (doc, seg) where reason is null"""
+SQL["dictionary_refused"] = f"with {DICTIONARY.lstrip()} select doc, seg, reason from judgement where reason is not null"
+
+SQL["untimed_words"] = f"""with {WORDS.lstrip()}, u as (select *, not (idx % 4 = 1 or seg % 5 = 2 or idx % 8 = 3) as timed from words),
+  g as (select *, greatest(sum(case when timed then 1 else 0 end) over (partition by doc, seg order by pos), 1) as g from u)
+  select doc, seg, min(case when timed then pos end) as pos, case when doc % 3 = 0 then string_agg(text, '' order by pos) else string_agg(text, ' ' order by pos) end as text, max(case when timed then s end) as s, max(case when timed then e end) as e,
+    round(greatest(0, least(1, max(case when timed then idx % 7 / 4.0 - 0.25 end))) * 100)::bigint as confidence, count(*) filter (not timed) as merged from g group by doc, seg, g having bool_or(timed)"""
+SQL["hypothesis_tokens"] = f"""with {WORDS.lstrip()} select doc, idx as n, case idx % 3 when 2 then '' else text end as text, case idx % 3 when 0 then s else idx * 80 end as s, case idx % 3 when 0 then e else (idx + 2) * 80 end as e,
+    case when doc % 5 <> 3 then idx * 7 + 1 end as id from words where doc % 5 <> 4 and doc % 7 <> 6"""
+
+TERMS = (
+    r"""
+lines as (select doc_id as doc, unnest(range(len(l))) as line, unnest(l) as x from (select doc_id, regexp_split_to_array(coalesce(text, ''), '[\n\r]') as l from documents)),
+cut as (select doc, line, regexp_extract_all(x, '([^\p{L}\p{N}]*)([\p{L}\p{N}](?:[\p{L}\p{N}_''’-]*[\p{L}\p{N}])?)', 1) as gaps, regexp_extract_all(x, '([^\p{L}\p{N}]*)([\p{L}\p{N}](?:[\p{L}\p{N}_''’-]*[\p{L}\p{N}])?)', 2) as forms from lines),
+flat as (select doc, line, unnest(range(len(forms))) as j, unnest(gaps) as gap, unnest(forms) as form from cut),
+placed as (select *, coalesce(bool_or(regexp_matches(form, '\p{L}')) over (partition by doc, line order by j rows between unbounded preceding and 1 preceding), false) as lettered, right(rtrim(gap, ' '), 1) as mark from flat),
+marked as (select *, not lettered or (mark <> '' and contains('.!?:;。！？"''(‘“' || chr(9), mark)) as initial, length(regexp_replace(form, '[^\p{Lu}]', '', 'g')) as caps, length(regexp_replace(form, '[^\p{L}]', '', 'g')) as letters, replace(lower(form), 'ß', 'ss') as key from placed),
+classed as (select *, case when length(form) >= 4 and (regexp_matches(form, '[\p{Nd}-]') or caps >= 2 or (caps = 1 and regexp_matches(form, '^[^\p{L}]*\p{Lu}') and not initial)) or (caps > 0 and not regexp_matches(form, '\p{Ll}') and letters >= 3) then 0
+  when length(form) >= 7 and letters = length(form) then 1 end as class from marked where regexp_matches(form, '[A-Za-zÀ-ɏ]')),
+taken as (select * from classed where class is not null and key not in ("""
+    + ", ".join(f"'{w}'" for w in COMMON)
+    + r""")),
+spelt as (select doc, key, form, sum(case when initial then 1 else 2 end) as w from taken group by all),
+best as (select doc, key, min_by(form, (-w, form)) as term, bool_or(form = key) as low from spelt group by doc, key),
+keyed as (select doc, key, min(class) as class, count(*) as n, min((line, j)) as spot from taken group by doc, key),
+counted as (select k.doc, k.key, b.term, case when class = 0 and low and not regexp_matches(k.key, '[\p{Nd}-]') then 1 else class end as kind, n, spot from keyed k join best b on b.doc = k.doc and b.key = k.key),
+found as (select * from counted where kind = 0 or length(term) >= 7),
+ranked as (select doc, term, row_number() over (partition by doc order by kind, -n, -length(term), spot, key) as rank from found where not ("""
+    + " or ".join("regexp_matches(term, '" + p.replace("'", "''") + "')" for p in CREDENTIALS)
+    + """) qualify rank <= 50)"""
+)
+SQL["term_counts"] = f"with {TERMS.lstrip()} select doc, key, term, kind::bigint as kind, n from found"
+SQL["terms"] = f"with {TERMS.lstrip()} select doc, rank, term from ranked"
+SQL["prompts"] = f"""with {TERMS.lstrip()}, u as (select *, sum(length(term) + case when rank > 1 then 2 else 0 end) over (partition by doc order by rank) + 1 as used from ranked)
+  select doc, string_agg(term, ', ' order by rank) || '.' as prompt, count(*)::bigint as used from u where used <= 600 group by doc"""

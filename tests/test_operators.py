@@ -202,27 +202,10 @@ def test_validation_and_leaks(spark):
 def test_corrections():
     rules = vocabulary.Rules([("open ai", "OpenAI", "word"), ("open", "closed", "word")])
     assert rules.apply("Open AI is open, opener") == "OpenAI is closed, opener"
-    words = [{"text": "open", "s": 0, "e": 1, "confidence": 0.5}, {"text": "ai", "s": 1, "e": 2, "confidence": None}, {"text": "now", "s": 2, "e": 3, "confidence": 1.0}]
-    merged, ok = vocabulary.merge_words(words, "open ai now", rules.edits("open ai now"))
-    assert ok and [(w["text"], w["s"], w["e"]) for w in merged] == [("OpenAI", 0, 2), ("now", 2, 3)] and merged[0]["confidence"] is None
     with pytest.raises(ValueError):
         vocabulary.Rules([("a", "b", "word"), ("A", "c", "word")])
 
 
-def test_terms(spark):
-    texts = spark.createDataFrame([(1, "The drug Metformin and metoprolol. Metformin helps NSAID users, NSAID-X too.")], "doc long, text string")
-    ranked = [r.term for r in vocabulary.terms(texts).orderBy("rank").collect()]
-    assert ranked[0] == "Metformin" and "NSAID" in ranked and "metoprolol" in ranked and "drug" not in ranked
-    assert vocabulary.prompts(vocabulary.terms(texts), 12).collect()[0].prompt == "Metformin"
-
-
-def test_builder():
-    found = builder.dictionary_words([("ab", 0.0, 1.0, 0.9), ("cd", 1.0, 2.0, None)], ["a", "bc", "d"])
-    assert [(w["s"], w["e"], w["timing"]) for w in found] == [(0.0, 0.5, "interpolated"), (0.5, 1.5, "interpolated"), (1.5, 2.0, "interpolated")]
-    assert found[0]["confidence"] == 0.9 and found[1]["confidence"] is None
-    assert builder.dictionary_words([("ab", 0.0, 1.0, None)], ["ax"]) is None
-
-
 def test_engines(spark):
     req = spark.createDataFrame([(1, None, "fr", True, True, False), (2, "aligner", "en", False, False, False)], "req long, engine string, language string, offline boolean, needs_words boolean, needs_vocabulary boolean")
     got = {(r.req, r.id): r.reasons for r in engines.rejected(req, engines.engines(spark)).collect()}
