@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, runs, select, speakers, validate, vocabulary
+from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, requests, runs, select, speakers, validate, vocabulary
 from scribeframe.plans.oracle import SQL  # noqa: F401
 from scribeframe.sources import conversations as C
 from scribeframe.sources import scans
@@ -317,6 +317,36 @@ def hypothesis_tokens(spark, d):
     return builder.hypothesis_tokens(lists.select("doc", json.alias("json"))).select("doc", "n", "text", ms("s").alias("s"), ms("e").alias("e"), "id")
 
 
+def _requests(spark, d) -> DataFrame:
+    """A request for each document, some of them with a broken rule."""
+    n = F.col("doc_id")
+    some = lambda by, at, x: F.when(n % by == at, x)
+    fields = {
+        "cmd": some(29, 6, F.lit("ls")), "input": F.when(n % 17 == 3, F.lit(" ")).otherwise(F.concat(F.lit("talk_"), n.cast("string"), F.lit(".wav"))), "language": F.when(n % 19 == 4, "english").when(n % 6 > 0, F.col("lang")), "temperature": F.when(n % 23 == 5, 1.5).otherwise(n % 10 / 10),
+        "beam_size": (n % 12).cast("int"), "chunk_seconds": some(5, 0, (30 + n % 40).cast("double")), "initial_prompt": some(7, 1, F.substring("text", 1, 60)), "budget": some(13, 2, F.struct(F.lit(50).alias("max_audio_seconds"))),
+    }
+    return spark.read.parquet(f"{d}/documents.parquet").select(n.alias("req"), F.to_json(F.struct(*[x.alias(k) for k, x in fields.items()])).alias("json"))
+
+
+def request_rules(spark, d):
+    return requests.first_broken(_requests(spark, d))
+
+
+def request_parameters(spark, d):
+    return requests.normalised(_requests(spark, d)).select("req", "input", "language", "parameters_hash")
+
+
+def dry_run(spark, d):
+    """A third of the results are there already; some recordings are missing or too long."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("talk_"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    media = docs.where("doc_id % 11 > 0").select(name.alias("input"), F.concat(F.lit("sha256:"), F.col("doc_id").cast("string")).alias("fingerprint"), (F.col("n_chars") / 100).alias("duration"))
+    specs = spark.createDataFrame([(requests.ENGINE, "1.2", "local")], "engine string, version string, mode string")
+    asked = _requests(spark, d)
+    done = requests.normalised(asked.where("req % 3 = 0")).join(media, "input").select(requests.identity(F.col("fingerprint"), F.col("engine"), F.lit("1.2"), F.lit("local"), F.col("model"), F.lit(None).cast("string"), F.col("parameters")).alias("key"))
+    return requests.dry_run(asked, media, specs, done)
+
+
 def segment_builder(spark, d):
     out = builder.build_segments(_words(spark, d), 90)
     return out.groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("words"))
@@ -431,6 +461,6 @@ QUERIES = {
         select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, turn_rules, chunk_rules, chunk_totals, chunk_languages, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay, follow_events,
-        corrected_words, corrections_applied, dictionary_words, dictionary_refused, untimed_words, hypothesis_tokens,
+        corrected_words, corrections_applied, dictionary_words, dictionary_refused, untimed_words, hypothesis_tokens, request_rules, request_parameters, dry_run,
     )
 } | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

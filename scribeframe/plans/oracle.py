@@ -308,3 +308,21 @@ SQL["term_counts"] = f"with {TERMS.lstrip()} select doc, key, term, kind::bigint
 SQL["terms"] = f"with {TERMS.lstrip()} select doc, rank, term from ranked"
 SQL["prompts"] = f"""with {TERMS.lstrip()}, u as (select *, sum(length(term) + case when rank > 1 then 2 else 0 end) over (partition by doc order by rank) + 1 as used from ranked)
   select doc, string_agg(term, ', ' order by rank) || '.' as prompt, count(*)::bigint as used from u where used <= 600 group by doc"""
+
+ASKED = (
+    """
+asked as (select doc_id as n, case when doc_id % 19 = 4 then 'english' when doc_id % 6 > 0 then lang end as language, case when doc_id % 23 = 5 then 1.5 else doc_id % 10 / 10.0 end as temperature, doc_id % 12 as beam,
+  case when doc_id % 5 = 0 then (30 + doc_id % 40)::double end as chunk, case when doc_id % 7 = 1 then substr(text, 1, 60) end as prompt, n_chars from documents),
+judged as (select *, case when n % 29 = 6 then '/forbidden_key' when n % 17 = 3 then 'input/missing' when n % 19 = 4 then 'language/code' when temperature > 1 then 'temperature/range' when beam not between 1 and 10 then 'beam_size/range'
+  when """
+    + " or ".join("regexp_matches(prompt, '" + p.replace("'", "''") + "')" for p in CREDENTIALS)
+    + """ then 'initial_prompt/credential' when chunk is not null and language is null then 'chunk_seconds/language_required_for_chunking' end as broken from asked),
+sound as (select *, '{"audio_stream": 0, "beam_size": ' || beam || case when chunk is not null then ', "chunking": {"chunk_seconds": ' || chunk || ', "speech_regions": null}' else '' end || ', "initial_prompt": ' || case when trim(coalesce(prompt, ''), chr(9) || chr(10) || chr(13) || ' ') = '' then 'null' else to_json(prompt) end
+  || ', "language": ' || coalesce('"' || language || '"', 'null') || ', "temperature": ' || temperature::double || ', "vad_filter": false, "word_timestamps": false}' as parameters from judged where broken is null)"""
+)
+SQL["request_rules"] = f"with {ASKED.lstrip()} select n as req, split_part(broken, '/', 1) as key, split_part(broken, '/', 2) as reason from judged where broken is not null"
+SQL["request_parameters"] = f"with {ASKED.lstrip()} select n as req, 'talk_' || n || '.wav' as input, language, sha256(parameters) as parameters_hash from sound"
+SQL["dry_run"] = f"""with {ASKED.lstrip()}, j as (select *, case when n % 11 = 0 then 'FILE_NOT_FOUND' when n % 13 = 2 and n_chars / 100 > 50 or n_chars / 100 > 14400 then 'BUDGET_EXCEEDED' end as reason,
+    sha256('{{"engine": {{"execution_mode": "local", "id": "faster_whisper", "version": "1.2"}}, "input": "sha256:' || n || '", "model": {{"name": "base", "version": null}}, "parameters": ' || parameters || '}}') as k from sound)
+  select n as req, case when reason is null then case when n % 3 = 0 then 'hit' else 'miss' end end as status, case when reason is null then k end as key, case when reason is null then n % 3 > 0 end as would_run, case when chunk is not null then 'level' end as cuts_from,
+    case when chunk is not null and n % 11 > 0 then greatest(1, round_even(n_chars / 100 / chunk, 0))::bigint end as chunks, reason from j"""
