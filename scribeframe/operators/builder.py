@@ -53,12 +53,13 @@ def widen(words: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def accept_words(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """(doc, seg, reason): segments whose whole word list is refused, with the first reason in word order."""
+    """(doc, seg, reason, at): segments whose whole word list is refused, with the first reason in word order and its word's
+    start."""
     ends = segments.select("doc", "seg", F.col("s").alias("ss"), F.col("e").alias("se"))
     rows = words.join(ends, ["doc", "seg"]).withColumn("_p", F.lag("e").over(Window.partitionBy("doc", "seg").orderBy("pos")))
     reason = F.when(F.trim("text") == "", "empty").when(~(F.col("e") > F.col("s")), "not_positive").when((F.col("s") < F.col("ss") - TOLERANCE) | (F.col("e") > F.col("se") + TOLERANCE), "outside").when(F.col("s") < F.col("_p") - TOLERANCE, "order")
     bad = rows.withColumn("reason", reason).where("reason is not null")
-    return bad.groupBy("doc", "seg").agg(F.min_by("reason", "pos").alias("reason"))
+    return bad.groupBy("doc", "seg").agg(F.min_by(F.struct("reason", F.col("s").alias("at")), "pos").alias("x")).select("doc", "seg", "x.*")
 
 
 def language_decision(requested: Column, detected: Column, probability: Column) -> tuple[Column, Column]:

@@ -6,10 +6,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scribeframe.functions.text import KANA, LONG_VOWEL, fold, folding
+from scribeframe.functions.text import KANA, LONG_VOWEL, fold, folded_ranges, folding
 from scribeframe.operators.intervals import binned
 
 #: characters of a bin of the join of hits and units
@@ -57,14 +58,40 @@ def hit_units(units: DataFrame, phrase: str) -> DataFrame:
     return covered_by(spots(units, phrase).withColumn("q", F.col("p") + len(phrase)), units).drop("q")
 
 
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, after_kana: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """The text from where its folded character ``first`` begins to where ``last`` ends; a null goes to that end of it."""
+
+    def cut(text, kana, a, b):
+        at = folded_ranges(text, bool(kana))
+        return text[None if pd.isna(a) else at[int(a)][0] : None if pd.isna(b) else at[int(b)][1]]
+
+    return pd.Series([cut(*x) for x in zip(texts, after_kana, first, last, strict=True)], dtype=object)
+
+
+def stretch(u: Column, p: Column, q: Column) -> Column:
+    """The raw text that the folded characters p to q of the stream come from: ``u`` holds the units in order, each with its
+    text, its offset ``a``, and whether a space stands before it."""
+    n, first, last = F.size(u), F.get(u, F.lit(0)), F.element_at(u, -1)
+    none = F.lit(None).cast("long")
+    head = _cut(first["text"], first["after_kana"], p - first["a"], F.when(n == 1, q - 1 - first["a"]))
+    tail = _cut(last["text"], last["after_kana"], none, q - 1 - last["a"])
+    space = lambda x: F.when(x["space"], " ").otherwise("")
+    between = F.array_join(F.transform(F.slice(u, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x: F.concat(space(x), x["text"])), "")
+    return F.when(n == 1, head).otherwise(F.concat(head, between, space(last), tail))
+
+
 def find(units: DataFrame, phrase: str) -> DataFrame:
-    """Hits: times of the covered units, match and timing labels, word numbers, segments, speaker, text of the units.
+    """Hits: times of the covered units, match and timing labels, word numbers, segments, speaker, the exact stretch of text.
 
-    ``units``: (doc, seg, pos, idx, s, e, text, role, timed); ``timed`` is false for segments without words.
+    ``units``: (doc, seg, pos, idx, s, e, text, role, timed) and perhaps ``space``, whether white space stands before a unit,
+    which holds for all but the first without that column; ``timed`` is false for segments without words.
     """
+    if "space" not in units.columns:
+        units = units.withColumn("space", F.lit(True))
     covered = hit_units(folded(units), fold(phrase))
     bare = "".join(phrase.split())
-    row = F.array_sort(F.collect_list(F.struct("idx", "text", "seg", "role")))
+    row = F.array_sort(F.collect_list(F.struct("idx", "text", "seg", "role", "space", "a", "after_kana")))
     out = covered.groupBy("doc", "hit", "p").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.every("timed").alias("timed"), row.alias("u"), F.count_distinct(F.coalesce("role", F.lit("\0"))).alias("speakers"), F.min("seg").alias("seg"), F.max("seg").alias("last_seg"))
     joined = F.array_join(F.transform("u", lambda x: x["text"]), "")
     return out.select(
@@ -73,19 +100,19 @@ def find(units: DataFrame, phrase: str) -> DataFrame:
         F.when(F.col("timed"), "word").otherwise("segment").alias("timing"),
         F.when(F.col("timed"), F.col("first")).alias("first_word"), F.when(F.col("timed"), F.col("last")).alias("last_word"),
         "seg", "last_seg", F.when(F.col("speakers") == 1, F.col("u")[0]["role"]).alias("speaker"),
-        F.array_join(F.transform("u", lambda x: x["text"]), " ").alias("text"),
+        stretch(F.col("u"), F.col("p"), F.col("p") + len(fold(phrase))).alias("text"),
     )
 
 
 def with_context(hits: DataFrame, segments: DataFrame, n: int = 1) -> DataFrame:
-    """Texts of the ``n`` segments before a hit's first and after its last segment, in order."""
-    ranked = segments.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("seg")))
-    ends = ranked.select("doc", F.col("seg").alias("x"), F.col("rank").alias("r"))
-    h = hits.join(ends.select("doc", F.col("x").alias("seg"), F.col("r").alias("r0")), ["doc", "seg"]).join(ends.select("doc", F.col("x").alias("last_seg"), F.col("r").alias("r1")), ["doc", "last_seg"])
-    wanted = h.select("doc", "hit", "r0", "r1", F.explode(F.concat(F.sequence(F.col("r0") - n, F.col("r0")), F.sequence(F.col("r1"), F.col("r1") + n))).alias("rank")).distinct()
-    side = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("rank", "around")))), lambda x: x["around"]), " | ")
-    both = wanted.join(ranked.select("doc", "rank", F.col("text").alias("around")), ["doc", "rank"])
-    return both.groupBy("doc", "hit").agg(side(F.col("rank") < F.col("r0")).alias("before"), side(F.col("rank") > F.col("r1")).alias("after"))
+    """Texts of the ``n`` segments before a hit's first and after its last segment, in order. One look over the segments
+    gives each its neighbours; a hit meets its first and its last segment."""
+    w = Window.partitionBy("doc").orderBy("seg")
+    listed = lambda frame: F.array_join(F.collect_list("text").over(frame), " | ")
+    near = segments.select("doc", "seg", listed(w.rowsBetween(-n, -1)).alias("before"), listed(w.rowsBetween(1, n)).alias("after"))
+    ends = hits.select("doc", "hit", F.explode(F.array(F.struct(F.col("seg"), F.lit(0).alias("side")), F.struct(F.col("last_seg").alias("seg"), F.lit(1).alias("side")))).alias("x")).select("doc", "hit", "x.seg", "x.side")
+    both = ends.join(near, ["doc", "seg"])
+    return both.groupBy("doc", "hit").agg(F.max(F.when(F.col("side") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("side") == 1, F.col("after"))).alias("after"))
 
 
 def lengths(m: int) -> range:
@@ -131,11 +158,12 @@ def approximate(stream: str, phrase: str, threshold: float, exact: list[int]) ->
 
 
 def find_fuzzy(units: DataFrame, phrase: str, threshold: float) -> DataFrame:
-    """Approximate hits (doc, p, q, ratio, start, end, first_word, last_word), transcript by transcript."""
+    """Approximate hits (doc, p, q, ratio, start, end, first_word, last_word, seg, last_seg, speaker, timing, text), transcript by
+    transcript."""
     wanted = fold(phrase)
     if not 0.5 <= threshold <= 1 or not 0 < len(wanted) <= MOST_CHARS:
         raise ValueError(f"threshold 0.5 to 1, phrase of 1 to {MOST_CHARS} folded characters")
-    u = folded(units)
+    u = folded(units if "space" in units.columns else units.withColumn("space", F.lit(True)))
 
     def run(batches):
         for part in batches:
@@ -149,7 +177,12 @@ def find_fuzzy(units: DataFrame, phrase: str, threshold: float) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "p", "q", "ratio"])
 
     spans = stream_of(u).mapInPandas(run, "doc long, p long, q long, ratio double")
-    return covered_by(spans, u).groupBy("doc", "p", "q", "ratio").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first_word"), F.max("idx").alias("last_word"))
+    row = F.array_sort(F.collect_list(F.struct("idx", "text", "space", "a", "after_kana")))
+    speaker = F.when(F.count_distinct(F.coalesce("role", F.lit("\0"))) == 1, F.min("role"))
+    found = covered_by(spans, u).groupBy("doc", "p", "q", "ratio").agg(
+        F.min("s").alias("start"), F.max("e").alias("end"), F.min("idx").alias("first_word"), F.max("idx").alias("last_word"), F.min("seg").alias("seg"), F.max("seg").alias("last_seg"), F.every("timed").alias("_timed"), speaker.alias("speaker"), row.alias("_u"),
+    )
+    return found.withColumns({"timing": F.when(F.col("_timed"), "word").otherwise("segment"), "text": stretch(F.col("_u"), F.col("p"), F.col("q"))}).drop("_u", "_timed")
 
 
 def summary(units: DataFrame, hits: DataFrame) -> DataFrame:

@@ -123,13 +123,14 @@ def provenance_rules(docs: DataFrame) -> DataFrame:
     """(doc, rule) of transcripts with the provenance's fields as ``p_`` columns beside the document's own engine."""
     c = F.col
     empty = lambda name: c(name).isNull() | (c(name) == "")
+    no_object = F.coalesce(~c("p_parameters").rlike(r"^\s*\{") | F.json_object_keys("p_parameters").isNull(), F.lit(True))
     return _violations(
         docs,
         {
             "engine": ~(c("p_engine").eqNullSafe(c("engine")) & c("p_engine_version").eqNullSafe(c("engine_version"))), "execution_mode": c("p_execution_mode").isNull() | ~c("p_execution_mode").isin(*MODES),
             "parameters_hash": c("p_parameters_hash").isNull() | ~c("p_parameters_hash").rlike(HASH), "cache_key": c("p_cache_key").isNull() | ~c("p_cache_key").rlike(HASH),
             "processing_seconds": c("p_processing_seconds").isNull() | (c("p_processing_seconds") < 0) | F.isnan("p_processing_seconds"), "skill": empty("p_skill"), "tool": empty("p_tool") | ~c("p_tool").startswith("transcription/"),
-            "skill_version": empty("p_skill_version"), "model": empty("p_model"),
+            "skill_version": empty("p_skill_version"), "model": empty("p_model"), "parameters": no_object,
         },
         ["doc"],
     )

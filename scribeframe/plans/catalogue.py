@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, requests, runs, select, speakers, validate, vocabulary
+from scribeframe.operators import alignment, builder, chunking, engines, export, find, intervals, requests, runs, select, speakers, transcripts, validate, vocabulary
 from scribeframe.plans.oracle import SQL  # noqa: F401
 from scribeframe.sources import conversations as C
-from scribeframe.sources import scans
+from scribeframe.sources import documents, scans
 from scribeframe.streaming import follow
 
 PHRASE = "then th"
@@ -189,7 +189,7 @@ def provenance_rules(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(
         n.alias("doc"), F.lit("fast").alias("engine"), F.lit("1").alias("engine_version"), F.lit("fast").alias("p_engine"), wrong(3, 0, F.lit("1"), F.lit("2")).alias("p_engine_version"), wrong(4, 1, F.lit("local"), F.lit("cloud")).alias("p_execution_mode"),
         wrong(5, 2, digest, F.lit("0123")).alias("p_parameters_hash"), digest.alias("p_cache_key"), wrong(7, 3, F.lit(1.5), F.lit(-1.0)).alias("p_processing_seconds"), F.lit("s").alias("p_skill"), F.lit("1").alias("p_skill_version"),
-        wrong(6, 5, F.lit("transcription/find"), F.lit("find")).alias("p_tool"), wrong(11, 4, F.lit("m"), F.lit("")).alias("p_model"),
+        wrong(6, 5, F.lit("transcription/find"), F.lit("find")).alias("p_tool"), wrong(11, 4, F.lit("m"), F.lit("")).alias("p_model"), wrong(8, 6, F.lit("{}"), F.lit("[1]")).alias("p_parameters"),
     )
     return validate.provenance_rules(docs)
 
@@ -347,6 +347,29 @@ def dry_run(spark, d):
     return requests.dry_run(asked, media, specs, done)
 
 
+def _built(spark, d) -> DataFrame:
+    """Whole transcripts of conversations: some segments without a duration, some with words outside of them."""
+    doc, digest = F.col("doc"), F.lit("0123456789abcdef" * 4)
+    segments = _segments(spark, d)
+    fields = {
+        "id": F.concat(F.lit("tr_"), doc.cast("string")), "filename": F.lit("talk.wav"), "fingerprint": F.concat(F.lit("sha256:"), digest), "size_bytes": F.lit(1000), "audio_channels": F.lit(1), "sample_rate": F.lit(16000), "container": F.lit("wav"), "has_video": F.lit(False), "engine": F.lit("fast-local"),
+        "engine_version": F.lit("1"), "mode": F.lit("local"), "model": F.lit("tiny"), "model_version": F.lit(None).cast("string"), "parameters": F.lit('{"beam_size": 5}'), "parameters_hash": digest, "cache_key": digest, "created_at": F.lit("2026-01-01T00:00:00Z"), "processing_seconds": F.lit(1.5), "skill_version": F.lit("1"),
+        "requested": F.when(doc % 3 > 0, "en"), "detected": F.lit("en"), "probability": F.when(doc % 2 == 1, 0.75).otherwise(0.25), "warnings": F.array().cast("array<string>"),
+    }
+    recordings = segments.groupBy("doc").agg((F.max("e") / 1000).alias("duration")).select("doc", "duration", *[x.alias(k) for k, x in fields.items()])
+    raw = segments.select("doc", F.col("seg").alias("n"), (F.col("s") / 1000).alias("s"), F.when(F.col("seg") % 4 == 2, F.col("s")).otherwise(F.col("e")).alias("e"), F.concat(F.lit(" "), "text").alias("text"), F.lit(0.5).alias("confidence")).withColumn("e", F.col("e") / 1000)
+    away = F.when(F.col("seg") % 5 == 3, 500).otherwise(0)
+    words = _words(spark, d).select("doc", F.col("seg").alias("n"), "pos", (F.col("s") / 1000 + away).alias("s"), (F.col("e") / 1000 + away).alias("e"), "text", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("timing"))
+    return transcripts.documents(recordings, raw, words)
+
+
+def transcripts_built(spark, d):
+    """What whole transcripts hold, read back from their JSON."""
+    read = _built(spark, d).withColumn("t", F.from_json("json", documents.TRANSCRIPT))
+    words = F.aggregate("t.segments", F.lit(0), lambda n, x: n + F.coalesce(F.size(x["words"]), F.lit(0)))
+    return read.select("doc", F.size("t.segments").cast("long").alias("segments"), words.cast("long").alias("words"), F.array_join("t.warnings", "|").alias("warnings"), F.md5(F.array_join(F.transform("t.segments", lambda x: x["text"]), "|")).alias("hash"), F.col("t.language_source").alias("language_source"))
+
+
 def segment_builder(spark, d):
     out = builder.build_segments(_words(spark, d), 90)
     return out.groupBy("doc", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("words"))
@@ -461,6 +484,6 @@ QUERIES = {
         select_index_runs, select_keep_segments, validate_segments, validate_words, required_keys, provenance_rules, turn_rules, chunk_rules, chunk_totals, chunk_languages, leakage_scan, term_counts, terms, prompts, corrections,
         corrections_substring, segment_builder, token_groups, aligned_words, clamp_clean, language_decision, engine_filter, cache_antijoin, chunk_join, quiet_window, cer, wer,
         batch_outcomes, follow_replay, follow_events,
-        corrected_words, corrections_applied, dictionary_words, dictionary_refused, untimed_words, hypothesis_tokens, request_rules, request_parameters, dry_run,
+        corrected_words, corrections_applied, dictionary_words, dictionary_refused, untimed_words, hypothesis_tokens, request_rules, request_parameters, dry_run, transcripts_built,
     )
 } | {f"export_{k}": _export(k) for k in ("srt", "vtt", "tsv", "txt", "json")}

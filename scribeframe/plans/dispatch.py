@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions.text import fold, folded_ranges
-from scribeframe.operators import engines, export, find, intervals, select, speakers, validate
+from scribeframe.operators import engines, export, find, intervals, select, speakers, transcripts, validate
 from scribeframe.sources import documents
 
 # Fixed values of the contract: error codes, exit codes, limits.
@@ -79,29 +79,37 @@ def loaded(spark: SparkSession, items: list[Any]) -> DataFrame:
     return given.withColumn("title", F.col("id")).withColumn("id", F.col("n")).drop("n")
 
 
-def violations(docs: DataFrame) -> DataFrame:
-    """(doc, seg, rule) of all rules that transcripts break."""
+def as_given(spark: SparkSession, items: list[Any]) -> DataFrame:
+    """(doc, json): the transcripts of a request as they are, by their number in it."""
+    given = spark.createDataFrame([(n, json.dumps(x)) for n, x in enumerate(items) if isinstance(x, dict)], "doc long, json string")
+    for n, path in enumerate(items):
+        if isinstance(path, str):
+            given = given.union(spark.read.text(path, wholetext=True).select(F.lit(n).cast("long"), "value"))
+    return given
+
+
+def violations(docs: DataFrame, raw: DataFrame) -> DataFrame:
+    """(doc, seg, rule) of all rules that transcripts break, typed and as they are."""
     flat = documents.segments(docs)
     words = flat.select("doc", "seg", F.posexplode("words").alias("pos", "w")).select("doc", "seg", "pos", F.col("w.start").alias("s"), F.col("w.end").alias("e"), "w.text", F.col("w.index").alias("idx"))
-    top = docs.select(F.col("id").alias("doc"), "language", "language_source", "language_confidence", "duration", "created_at", "source.fingerprint", "source.filename", "source.size_bytes", "source.media_duration", F.col("title").alias("id"), F.lit("transcript/0.1").alias("schema"), F.lit(None).cast("string").alias("cache_key"), F.lit(None).cast("double").alias("processing_seconds"))
+    top = docs.select(F.col("id").alias("doc"), "language", "language_source", "language_confidence", "duration", "created_at", "source.fingerprint", "source.filename", "source.size_bytes", "source.media_duration", F.col("title").alias("id"), "schema", F.lit(None).cast("string").alias("cache_key"), F.lit(None).cast("double").alias("processing_seconds"))
     none = F.lit(None).cast("int").alias("seg")
     found = [validate.document_rules(top).select("doc", none, "rule"), validate.segment_rules(flat).select("doc", "seg", "rule"), validate.word_rules(words, flat).select("doc", "seg", F.concat(F.lit("word_"), "rule").alias("rule")), validate.index_rules(words).select("doc", none, "rule")]
-    strings = docs.select(F.col("id").alias("doc"), F.explode("warnings").alias("value")).select("doc", F.lit("warnings").alias("key"), "value")
-    leaked = validate.leaks(strings.union(flat.select("doc", F.lit("text"), "text"))).select("doc", none, F.concat(F.lit("leak_"), "reason").alias("rule"))
+    found.append(transcripts.broken(raw).select("doc", none, F.concat_ws(": ", "rule", "place").alias("rule")))
     out = found[0]
-    for x in [*found[1:], leaked]:
+    for x in found[1:]:
         out = out.union(x)
     return out
 
 
-def report(docs: DataFrame) -> dict:
-    rows = violations(docs).groupBy("seg", "rule").count().orderBy("seg", "rule").collect()
+def report(docs: DataFrame, raw: DataFrame) -> dict:
+    rows = violations(docs, raw).groupBy("seg", "rule").count().orderBy("seg", "rule").collect()
     errors = [r["rule"] if r["seg"] is None else f"segments[{r['seg']}]: {r['rule']}" for r in rows]
     return {"ok": not errors, "errors": errors, "warnings": []}
 
 
-def valid(docs: DataFrame) -> DataFrame:
-    if errors := report(docs)["errors"]:
+def valid(docs: DataFrame, raw: DataFrame) -> DataFrame:
+    if errors := report(docs, raw)["errors"]:
         raise Refusal("VERIFICATION_FAILED", "transcript is not valid", errors=errors[:10])
     return docs
 
@@ -144,14 +152,14 @@ def find_tool(spark: SparkSession, params: dict) -> dict:
         raise invalid(f"'fuzzy' must be null or 0.5 to 1, with a phrase of at most {find.MOST_CHARS} folded characters")
     if isinstance(context, bool) or not isinstance(context, int) or not 0 <= context <= MOST_CONTEXT:
         raise invalid(f"'context' must be an integer in [0, {MOST_CONTEXT}]")
-    docs = valid(loaded(spark, items))
+    docs = valid(loaded(spark, items), as_given(spark, items))
     units = held(numbered(docs))
     hits = find.find(units.drop("word"), phrase).withColumn("ratio", F.lit(1.0))
     if fuzzy is not None:
         longest = find.folded(units).groupBy("doc").agg(F.sum(F.length("f")).alias("n")).agg(F.max("n")).first()[0] or 0
         if (work := find.cost(longest, len(wanted))) > find.MOST_COST:
             raise Refusal("INVALID_INPUT", "too much work for approximate matching: search a shorter transcript or phrase", characters=longest, window_lengths=len(find.lengths(len(wanted))), cost=work, max_cost=find.MOST_COST)
-        hits = hits.unionByName(described(find.find_fuzzy(units.drop("word"), phrase, float(fuzzy)), units), allowMissingColumns=True)
+        hits = hits.unionByName(find.find_fuzzy(units.drop("word"), phrase, float(fuzzy)).select(F.col("p").alias("hit"), "*").withColumn("match", F.lit("approximate")).drop("p", "q"), allowMissingColumns=True)
     first = units.select("doc", F.col("idx").alias("first_word"), F.col("word").alias("w0"))
     rows = hits.join(first, ["doc", "first_word"], "left").orderBy("doc", "start", "end", "hit").collect()
     per_doc = {r["doc"]: r for r in docs.select(F.col("id").alias("doc"), "title", "source.filename", F.transform("segments", lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"))).alias("segments")).collect()}
@@ -171,17 +179,6 @@ def find_tool(spark: SparkSession, params: dict) -> dict:
     return {"phrase": phrase, "normalized_phrase": wanted, "fuzzy": fuzzy, "context": context, "count": len(out), "hits": out, "transcripts": totals}
 
 
-def described(spans: DataFrame, units: DataFrame) -> DataFrame:
-    """Approximate hits with the columns of exact ones."""
-    u = units.select("doc", "idx", "seg", "text", "role", "timed")
-    covered = spans.join(u, "doc").where("idx between first_word and last_word")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
-    speaker = F.when(F.count_distinct(F.coalesce("role", F.lit("\0"))) == 1, F.min("role"))
-    out = covered.groupBy("doc", F.col("p").alias("hit"), "ratio", "start", "end", "first_word", "last_word").agg(F.min("seg").alias("seg"), F.max("seg").alias("last_seg"), F.every("timed").alias("timed"), speaker.alias("speaker"), F.array_join(texts, " ").alias("text"))
-    timing = F.when(F.col("timed"), "word").otherwise("segment")
-    return out.withColumns({"match": F.lit("approximate"), "timing": timing}).drop("timed")
-
-
 def word_ranges(value: Any, words: int) -> list[tuple[int, int]]:
     whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
     if not isinstance(value, list) or not all(isinstance(r, list) and len(r) == 2 and all(map(whole, r)) for r in value):
@@ -201,7 +198,7 @@ def select_tool(spark: SparkSession, params: dict) -> dict:
         raise invalid("'mode' must be remove or keep, 'overlap' refuse or include")
     if params.get("words") is None and params.get("segments") is None:
         raise invalid("give 'words' and / or 'segments'", "empty_selection")
-    docs = valid(one(spark, params))
+    docs = valid(one(spark, params), as_given(spark, [params["transcript"]]))
     scaled = lambda c: F.bround(F.col(c) * MICRO, 0).cast("long")
     units = held(numbered(docs).withColumns({"s": scaled("s"), "e": scaled("e")}))
     ranges, chosen, ids = None, None, {r["id"]: r["seg"] for r in documents.segments(docs).select("id", "seg").collect()}
@@ -235,7 +232,7 @@ def segments_tool(spark: SparkSession, params: dict) -> dict:
     gap = params.get("merge_gap", 0.0)
     if not number(gap) or gap < 0:
         raise invalid("'merge_gap' must be a number of seconds, 0 at least")
-    docs = valid(one(spark, params))
+    docs = valid(one(spark, params), as_given(spark, [params["transcript"]]))
     grouped = intervals.gap_groups(documents.segments(docs), ["doc"], ["seg"], gap)
     row = F.array_sort(F.collect_list(F.struct("seg", "id", "text", "e")))
     named = docs.select(F.col("id").alias("doc"), "title", "asset_id", "language")
@@ -251,7 +248,7 @@ def export_tool(spark: SparkSession, params: dict) -> dict:
         raise invalid(f"'output' is required and 'format' must be one of {sorted(export.FORMATS)}")
     if isinstance(params.get("transcript"), str) and os.path.realpath(out) == os.path.realpath(params["transcript"]):
         raise invalid("'output' is the input")
-    docs = valid(one(spark, params))
+    docs = valid(one(spark, params), as_given(spark, [params["transcript"]]))
     scaled = lambda c: F.bround(F.col(c) * 1000, 0).cast("long")
     rows = export.render(documents.segments(docs).withColumns({"s": scaled("s"), "e": scaled("e")}), form).collect()
     with open(f"{out}.part", "w", encoding="utf-8", newline="") as f:
@@ -273,7 +270,7 @@ def speakers_tool(spark: SparkSession, params: dict) -> dict:
         raise invalid("transcript and turns come from different files", "SOURCE_MISMATCH")
     if not params.get("replace") and any(s.get("speaker_id") is not None for s in given.get("segments", [])):
         raise invalid("the transcript has speakers", "SPEAKERS_ALREADY_SET")
-    docs = valid(loaded(spark, [given]))
+    docs = valid(loaded(spark, [given]), as_given(spark, [given]))
     who = spark.createDataFrame(rows, "doc long, s double, e double, speaker string")
     words, segments = speakers.merge(documents.units(docs).where("timed"), documents.segments(docs), who)
     of_word = {(r["seg"], r["pos"]): r["speaker"] for r in words.select("seg", "pos", "speaker").collect()}
@@ -284,7 +281,7 @@ def speakers_tool(spark: SparkSession, params: dict) -> dict:
 
 def check_tool(spark: SparkSession, params: dict) -> dict:
     only(params, "transcript")
-    return report(one(spark, params))
+    return report(one(spark, params), as_given(spark, [params["transcript"]]))
 
 
 def engines_tool(spark: SparkSession, params: dict) -> dict:

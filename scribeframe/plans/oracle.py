@@ -35,9 +35,11 @@ folded as (select *, {FOLD.format("text")} as f from words),
 placed as (select *, coalesce(sum(length(f)) over (partition by doc order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as a from folded),
 streams as (select doc, string_split(string_agg(f, '' order by idx), '{FOLDED}') as p from folded group by doc),
 spots as (select doc, unnest(range(len(p) - 1))::int as hit, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::bigint + (i - 1) * {len(FOLDED)})) as p from streams where len(p) > 1),
-covered as (select h.doc, h.hit, h.p, w.seg, w.idx, w.s, w.e, w.text, w.role from spots h join placed w on w.doc = h.doc and length(w.f) > 0 and w.a < h.p + {len(FOLDED)} and w.a + length(w.f) > h.p),
+covered0 as (select h.doc, h.hit, h.p, w.seg, w.idx, w.s, w.e, w.text, w.role, w.a, min(w.idx) over (partition by h.doc, h.hit) = w.idx as leads, max(w.idx) over (partition by h.doc, h.hit) = w.idx as trails from spots h join placed w on w.doc = h.doc and length(w.f) > 0 and w.a < h.p + {len(FOLDED)} and w.a + length(w.f) > h.p),
+raws as (select *, flatten(list_transform(range(1, length(text) + 1), lambda i: list_transform(range(length({FOLD.format("text[i]")})), lambda j: i))) as raw from covered0),
+covered as (select *, substr(text, case when leads then raw[p - a + 1] else 1 end, case when trails then raw[p + {len(FOLDED)} - a] else length(text) end - case when leads then raw[p - a + 1] else 1 end + 1) as piece from raws),
 hits as (select doc, hit, min(s)::bigint as start, max(e)::bigint as "end", case when contains(string_agg(text, '' order by idx), '{PHRASE.replace(" ", "")}') then 'exact' else 'normalized' end as match,
-  'word' as timing, min(idx)::bigint as first_word, max(idx)::bigint as last_word, min(seg)::bigint as seg, max(seg)::bigint as last_seg, case when count(distinct role) = 1 then min(role) end as speaker, string_agg(text, ' ' order by idx) as text
+  'word' as timing, min(idx)::bigint as first_word, max(idx)::bigint as last_word, min(seg)::bigint as seg, max(seg)::bigint as last_seg, case when count(distinct role) = 1 then min(role) end as speaker, string_agg(piece, ' ' order by idx) as text
   from covered group by doc, hit, p)"""
 )
 
@@ -173,7 +175,7 @@ SQL = {
       union all select doc, 'document', k from d, (values ('asset_id'), ('created_at'), ('engine'), ('engine_version'), ('language'), ('language_confidence'), ('language_source'), ('provenance')) v(k)""",
     "provenance_rules": """with d as (select doc_id as doc from documents)
       select doc, 'engine' as rule from d where doc % 3 = 0 union all select doc, 'execution_mode' from d where doc % 4 = 1 union all select doc, 'parameters_hash' from d where doc % 5 = 2
-      union all select doc, 'processing_seconds' from d where doc % 7 = 3 union all select doc, 'tool' from d where doc % 6 = 5 union all select doc, 'model' from d where doc % 11 = 4""",
+      union all select doc, 'processing_seconds' from d where doc % 7 = 3 union all select doc, 'tool' from d where doc % 6 = 5 union all select doc, 'model' from d where doc % 11 = 4 union all select doc, 'parameters' from d where doc % 8 = 6""",
     "corrections_substring": f"""with {SEGMENTS} select doc, seg, ((length(text) - length(replace(lower(text), 'tion', ''))) // 4)::int as n, md5(regexp_replace(text, '(?i)tion', 'ción', 'g')) as hash from segments""",
     "segment_builder": f"""with {WORDS}, b as (select *, lag(e) over w as pe, lag(text) over w as pt from words window w as (partition by doc order by idx)),
       g as (select *, sum(case when pe is null or s - pe >= 90 or regexp_matches(pt, '[.!?。！？]["''”’)\\]」』]*$') then 1 else 0 end) over (partition by doc order by idx) as g from b)
@@ -326,3 +328,12 @@ SQL["dry_run"] = f"""with {ASKED.lstrip()}, j as (select *, case when n % 11 = 0
     sha256('{{"engine": {{"execution_mode": "local", "id": "faster_whisper", "version": "1.2"}}, "input": "sha256:' || n || '", "model": {{"name": "base", "version": null}}, "parameters": ' || parameters || '}}') as k from sound)
   select n as req, case when reason is null then case when n % 3 = 0 then 'hit' else 'miss' end end as status, case when reason is null then k end as key, case when reason is null then n % 3 > 0 end as would_run, case when chunk is not null then 'level' end as cuts_from,
     case when chunk is not null and n % 11 > 0 then greatest(1, round_even(n_chars / 100 / chunk, 0))::bigint end as chunks, reason from j"""
+
+SQL["transcripts_built"] = f"""with {SEGMENTS.lstrip()}, ends as (select doc, max(e) as duration from segments group by doc), marked as (select g.*, row_number() over (partition by g.doc order by g.seg) as place, g.e > g.s and seg % 4 <> 2 as stays, d.duration from segments g join ends d using (doc)),
+    numbered_segments as (select *, sum(case when stays then 1 else 0 end) over (partition by doc order by seg) as k from marked),
+    said as (select doc, -1 as place, 'language could not be detected with confidence; recorded as unknown' as t from ends where doc % 3 = 0 and doc % 2 = 0
+      union all select doc, place * 4, printf('dropped zero-length segment at %.2f', s / 1000.0) from numbered_segments where not stays
+      union all select doc, place * 4 + 3, printf('seg_%04d: word timestamps discarded (outside at %.2f)', k::bigint, s / 1000.0 + 500) from numbered_segments where stays and seg % 5 = 3)
+  select g.doc, count(*) filter (stays) as segments, coalesce(sum(words) filter (stays and seg % 5 <> 3), 0)::bigint as words, coalesce(any_value(w.t), '') as warnings, md5(coalesce(string_agg(text, '|' order by seg) filter (stays), '')) as hash,
+    case when g.doc % 3 > 0 then 'requested' when g.doc % 2 = 1 then 'detected' else 'unknown' end as language_source
+  from numbered_segments g left join (select doc, string_agg(t, '|' order by place) as t from said group by doc) w on w.doc = g.doc group by g.doc"""

@@ -22,12 +22,28 @@ def segments(docs: DataFrame) -> DataFrame:
     return flat.select("doc", "duration", "seg", "x.id", F.col("x.start").alias("s"), F.col("x.end").alias("e"), "x.text", "x.raw_text", "x.words", F.col("x.speaker_id").alias("role"))
 
 
+def spaces(text, words):
+    """For each of a segment's words, whether white space stands before it in the segment's text, where the words are
+    looked for one after the other."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<boolean>").alias("found"))
+
+    def step(out, w):
+        hit = F.call_function("locate", w["text"], text, out["at"])
+        gap = F.substring(text, out["at"], hit - out["at"])
+        before = (hit > out["at"]) & (F.regexp_replace(gap, r"(?U)[\s\x1C-\x1F]", "") == "")
+        return F.struct(F.when(hit > 0, hit + F.length(w["text"])).otherwise(out["at"]).alias("at"), F.concat(out["found"], F.array(F.coalesce(before, F.lit(False)))).alias("found"))
+
+    return F.aggregate(words, start, step)["found"]
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """Words, and whole segments where there are none, numbered in order."""
+    """Words, and whole segments where there are none, numbered in order. ``space``: white space stands before a unit, as it
+    does between segments."""
     flat = segments(docs)
-    word = flat.where(F.size(F.coalesce("words", F.array().cast(f"array<{WORD}>"))) > 0).select("doc", "seg", F.posexplode("words").alias("pos", "w"), "role")
-    rows = word.select("doc", "seg", "pos", F.col("w.start").alias("s"), F.col("w.end").alias("e"), "w.text", F.coalesce("w.speaker_id", "role").alias("role"), F.lit(True).alias("timed"))
-    bare = flat.where(F.size(F.coalesce("words", F.array().cast(f"array<{WORD}>"))) <= 0).select("doc", "seg", F.lit(0).alias("pos"), "s", "e", "text", "role", F.lit(False).alias("timed"))
+    none = F.coalesce("words", F.array().cast(f"array<{WORD}>"))
+    word = flat.where(F.size(none) > 0).select("doc", "seg", F.posexplode(F.arrays_zip(F.col("words").alias("w"), spaces(F.col("text"), F.col("words")).alias("space"))).alias("pos", "x"), "role").select("doc", "seg", "pos", "role", F.col("x.w").alias("w"), F.col("x.space").alias("space"))
+    rows = word.select("doc", "seg", "pos", F.col("w.start").alias("s"), F.col("w.end").alias("e"), "w.text", F.coalesce("w.speaker_id", "role").alias("role"), F.lit(True).alias("timed"), ((F.col("pos") == 0) | F.col("space")).alias("space"))
+    bare = flat.where(F.size(none) <= 0).select("doc", "seg", F.lit(0).alias("pos"), "s", "e", "text", "role", F.lit(False).alias("timed"), F.lit(True).alias("space"))
     return rows.union(bare).withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("seg", "pos")).cast("long") - 1)
 
 

@@ -10,13 +10,18 @@ from scribeframe.plans import dispatch
 
 
 def transcript(**more):
-    word = lambda n, s, e, text: {"index": n, "start": s, "end": e, "text": text}
+    word = lambda n, s, e, text: {"index": n, "start": s, "end": e, "text": text, "confidence": None}
     segments = [
         {"id": "seg_0001", "start": 0.0, "end": 1.0, "text": "Quiet harbour", "words": [word(0, 0.0, 0.4, "Quiet"), word(1, 0.5, 1.0, "harbour")]},
         {"id": "seg_0002", "start": 1.5, "end": 2.0, "text": "no words here", "words": None},
         {"id": "seg_0003", "start": 4.0, "end": 5.25, "text": "quiet harbuor again", "words": [word(2, 4.0, 4.5, "quiet"), word(3, 4.5, 5.0, "harbuor"), word(4, 5.0, 5.25, "again")]},
     ]
-    return {"schema": "transcript/0.1", "id": "t1", "asset_id": "a1", "duration": 6.0, "language": "en", "language_source": "requested", "segments": segments, "source": {"filename": "x.wav", "media_duration": 6.0}} | more
+    for s in segments:
+        s |= {"raw_text": s["text"], "confidence": None, "speaker_id": None}
+    digest = "0123456789abcdef" * 4
+    origin = {"engine": "fast", "engine_version": "1", "execution_mode": "local", "model": "base", "model_version": None, "parameters": {"beam_size": 5}, "parameters_hash": digest, "cache_key": digest, "created_at": "2026-01-01T00:00:00Z", "processing_seconds": 1.5, "skill_version": "1", "skill": "transcription", "tool": "transcription/transcribe"}
+    top = {"schema": "transcript/0.1", "id": "t1", "asset_id": "a1", "duration": 6.0, "language": "en", "language_source": "requested", "language_confidence": None, "engine": "fast", "engine_version": "1", "created_at": "2026-01-01T00:00:00Z", "provenance": origin, "warnings": []}
+    return top | {"segments": segments, "source": {"filename": "x.wav", "fingerprint": f"sha256:{digest}", "size_bytes": 9, "media_duration": 6.0}} | more
 
 
 def ask(spark, tool, **params):
@@ -28,9 +33,25 @@ def test_find_request(spark):
     hits = found["result"]["hits"]
     assert code == 0 and [(h["match"], h["start"], h["end"], h["word_indices"], h["segment_ids"]) for h in hits] == [("normalized", 0.0, 1.0, [0, 1], ["seg_0001"]), ("approximate", 4.0, 5.0, [2, 3], ["seg_0003"])]
     assert hits[0]["context"] == {"before": [], "after": ["no words here"]} and hits[1]["context"]["before"] == ["no words here"]
+    assert [h["text"] for h in hits] == ["Quiet harbour", "quiet harbuor"]
     assert found["result"]["transcripts"] == [{"transcript_id": "t1", "segments": 3, "words": 5, "word_timed": False, "hits": 2}]
 
 
+def test_exact_stretch_of_hits(spark):
+    """The text between the first and the last matched character, with spaces only where the transcript has them."""
+    word = lambda n, text: {"index": n, "start": n / 4, "end": n / 4 + 0.25, "text": text, "confidence": None}
+    texts = ["「音楽の、話」です", "(Sound-design) matters!"]
+    cut = [["「音楽", "の、話」", "です"], ["(Sound-", "design)", "matters!"]]
+    segments, n = [], 0
+    for i, (t, ws) in enumerate(zip(texts, cut)):
+        words = [word(n + k, w) for k, w in enumerate(ws)]
+        n += len(ws)
+        segments.append({"id": f"seg_{i + 1:04d}", "start": words[0]["start"], "end": words[-1]["end"], "text": t, "raw_text": t, "confidence": None, "words": words, "speaker_id": None})
+    own = transcript(segments=segments, language="ja")
+    text = lambda phrase: [h["text"] for h in ask(spark, "find", transcript=own, phrase=phrase)[0]["result"]["hits"]]
+    assert text("音楽の話") == ["音楽の、話"] and text("楽の") == ["楽の"] and text("sound design") == ["Sound-design"] and text("design matter") == ["design) matter"] and text("話です sound") == ["話」です (Sound"]
+
+
 def test_select_request(spark):
     found, code = ask(spark, "select", transcript=transcript(), mode="remove", words=[[2, 3]])
     (span,) = found["result"]["spans"]
@@ -49,11 +70,16 @@ def test_other_requests(spark, tmp_path):
     found, _ = ask(spark, "export", transcript=str(path), format="srt", output=str(tmp_path / "t.srt"))
     assert found["ok"] and (tmp_path / "t.srt").read_text().startswith("1\n00:00:00,000 --> 00:00:01,000\nQuiet harbour\n\n2\n")
     assert ask(spark, "export", transcript=str(path), output=str(path))[1] == 2
-    named, _ = ask(spark, "speakers", transcript=transcript(), turns={"turns": [{"start": 0, "end": 2, "speaker": "SPEAKER_00"}, {"start": 4, "end": 6, "speaker": "SPEAKER_01"}]})
+    named, _ = ask(spark, "speakers", transcript=transcript(), turns={"source": {"fingerprint": transcript()["source"]["fingerprint"]}, "turns": [{"start": 0, "end": 2, "speaker": "SPEAKER_00"}, {"start": 4, "end": 6, "speaker": "SPEAKER_01"}]})
     assert [s["speaker_id"] for s in named["result"]["transcript"]["segments"]] == ["SPEAKER_00", "SPEAKER_00", "SPEAKER_01"]
     assert ask(spark, "check", transcript=transcript())[0]["result"]["ok"]
     found, _ = ask(spark, "check", transcript=transcript(duration=5.0))
     assert found["result"]["errors"] == ["media_duration"]
+    odd = transcript(notes={"deep": [{"Password": 1, "path": "see"}, "/home/x/y"]})
+    del odd["warnings"], odd["segments"][1]["raw_text"], odd["provenance"]["skill"]
+    odd["provenance"] |= {"engine": "other", "parameters": [1]}
+    found, _ = ask(spark, "check", transcript=odd)
+    assert found["result"]["errors"] == ["leak_key: Password", "leak_path: deep", "missing: document.warnings", "missing: provenance.skill", "missing: segments[1].raw_text", "provenance_engine: provenance", "provenance_parameters: provenance", "provenance_skill: provenance"]
     assert ask(spark, "segments", transcript=transcript(duration=-1.0))[0]["error"]["code"] == "VERIFICATION_FAILED"
 
 

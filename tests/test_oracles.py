@@ -7,10 +7,12 @@ import re
 
 import pytest
 from oracles import same
+from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
 from scribeframe.operators import export
-from scribeframe.plans import catalogue
+from scribeframe.plans import catalogue, dispatch
+from scribeframe.sources import documents
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -62,6 +64,16 @@ def test_json_export_by_reading_it(spark):
         assert [(x["seg"], x["s"], x["e"], x["text"]) for x in json.loads(r.content)["segments"]] == own[r.doc]
 
 
+def test_whole_transcripts_break_no_rule(spark, tmp_path):
+    """Every rule, on the documents as they are and typed."""
+    catalogue._built(spark, SF).write.parquet(str(tmp_path / "t"))
+    raw = spark.read.parquet(str(tmp_path / "t"))
+    docs = raw.select("doc", F.from_json("json", documents.TRANSCRIPT).alias("d")).select("doc", "d.*").withColumn("title", F.col("id")).withColumn("id", F.col("doc"))
+    assert docs.count() > 0 and dispatch.violations(docs, raw).collect() == []
+    first = json.loads(raw.orderBy("doc").first().json)
+    assert list(first["segments"][0]["words"][0]) == ["index", "start", "end", "text", "confidence", "speaker_id", "timing"] and first["provenance"]["parameters"] == {"beam_size": 5}
+
+
 def test_entry(spark):
     import __spark_entry__
 
