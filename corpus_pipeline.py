@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages that each call one operator of scribeframe.llm on all rows the stage before kept."""
+"""The corpus pipeline: stages that each call one operator of scribeframe.llm on all rows the stage before kept.
+
+Cases, in every stage: an empty table gives an empty one; null and empty texts are texts without words, which the classifier
+scores like any other, line dedup leaves as they are, near-dedup links with each other (the least id stays), decontamination
+keeps, and encoding gives no ids; very long texts and lines are read whole; null languages, sources and counts are carried
+along; n_chars follows the text where lines went, and stays as it was elsewhere. Rows that repeat an id: of a group of near
+copies all rows with its least id stay, with the lines that line dedup left in each; rows without an id take part in no
+link and stay. All stages but the last return the columns of documents, in their order; they look at doc_id and text only.
+"""
 
 from __future__ import annotations
 
