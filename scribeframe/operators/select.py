@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from scribeframe.operators.intervals import binned, index_runs
 
 
+#: word numbers of a bin of the join of words and ranges
+RANGE = 64
+
+
 class Refused(ValueError):
     """A selection that can't be done; ``reason`` says why."""
 
@@ -20,8 +24,9 @@ def selected(units: DataFrame, ranges: DataFrame | None = None, segments: DataFr
     """(doc, idx) of units in a word range (doc, first, last) or of a listed segment (doc, seg)."""
     parts = []
     if ranges is not None:
-        r = ranges.select("doc", F.col("first").alias("_a"), F.col("last").alias("_b"))
-        parts.append(units.join(r, "doc").where(F.col("idx").between(F.col("_a"), F.col("_b"))).select("doc", "idx"))
+        r = ranges.select("doc", F.col("first").alias("_a"), (F.col("last") + 1).alias("_b"))
+        own = units.select("doc", "idx", (F.col("idx") + 1).alias("_z"))
+        parts.append(binned(own, r, ["doc"], ("idx", "_z"), ("_a", "_b"), RANGE).select("doc", "idx"))
     if segments is not None:
         parts.append(units.join(segments.select("doc", "seg").distinct(), ["doc", "seg"], "left_semi").select("doc", "idx"))
     if not parts:
