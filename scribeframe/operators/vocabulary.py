@@ -33,31 +33,37 @@ under until upon used using very view want welcome well were what when where whe
 without work would year years
 """.split()
 )
-ALNUM = r"[\p{L}\p{N}]"
-TOKEN = rf"([^\p{{L}}\p{{N}}]*)({ALNUM}(?:[\p{{L}}\p{{N}}_'’-]*{ALNUM})?)"
+ALNUM, GAP = r"[a-zA-Z0-9\p{L}\p{N}]", r"[^a-zA-Z0-9\p{L}\p{N}]*+"
+FORM = rf"{ALNUM}++(?:[_'’-]++{ALNUM}++)*+"
+#: a token of small letters, shorter than any term; what stands before a longer token or one with other characters, and that
+BRIEF = rf"[a-zß-öø-ÿ]{{1,{PLAIN - 1}}}+(?!{ALNUM}|[_'’-]++{ALNUM})"
+TOKEN = rf"\G((?:{GAP}{BRIEF})*+{GAP})({FORM})"
 LATIN, UNSPACED_SCRIPT = r"[A-Za-zÀ-ɏſK]", r"[぀-鿿]"
 #: katakana words and kanji compounds: kind of a token, its run, its class
 RUNS = ((1, r"[ァ-ヺー]{3,}", 0), (2, r"[一-鿿々]{4,}", 1))
 
 
 def tokens(texts: DataFrame, japanese: bool = False) -> DataFrame:
-    """(doc, form, at, initial, kind): tokens of texts (doc, text) with their place, and whether a capital is what any word
-    gets there: at the start of a sentence, or with no letter before it on its line. ``kind`` is 0, with ``japanese`` also 1 for
-    runs of katakana and 2 for runs of kanji, which come after the text's other tokens. A column ``part`` orders the texts
-    of a document."""
-    part = F.col("part") if "part" in texts.columns else F.lit(0)
-    own = texts.select("doc", part.cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    line = own.select("doc", "part", F.posexplode(F.split("text", r"[\n\r]")).alias("line", "x"))
-    found = line.select("doc", "part", "line", F.regexp_extract_all("x", F.lit(TOKEN), F.lit(1)).alias("gaps"), F.regexp_extract_all("x", F.lit(TOKEN), F.lit(2)).alias("forms"))
-    lettered = F.array_position(F.transform("forms", lambda t: t.rlike(r"\p{L}")), True)  # the line's first token with a letter
-    flat = found.select("doc", "part", "line", lettered.alias("first"), F.posexplode(F.arrays_zip("gaps", "forms")).alias("j", "t"))
-    before = F.rtrim(F.col("t.gaps"))
-    initial = (F.col("first") == 0) | (F.col("j") < F.col("first")) | F.coalesce(F.instr(F.lit(SENTENCE_END), F.substring(before, -1, 1)) > 0, F.lit(False)) & (before != "")
-    at = lambda kind, line, j: F.struct("part", F.lit(kind).alias("kind"), line.cast("long").alias("line"), j.cast("long").alias("j"))
-    out = flat.select("doc", F.col("t.forms").alias("form"), at(0, F.col("line"), F.col("j")).alias("at"), initial.alias("initial"), F.lit(0).alias("kind"))
+    """(doc, form, kind, spot, initial): tokens of texts with their place, and whether a capital is what any word gets there:
+    at the start of a sentence, or with no letter before it on its line. Words of up to six small letters, which are never
+    terms, are left out. ``kind`` is 0, with ``japanese`` also 1 for runs of katakana and 2 for runs of kanji, which come
+    after the text's other tokens. A column ``part`` orders the texts of a document and stays."""
+    keys = ["doc", *(["part"] if "part" in texts.columns else [])]
+    own = texts.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    line = own.select(*keys, F.posexplode(F.split("text", r"[\n\r]")).alias("line", "x"))
+    found = line.select(*keys, "line", F.regexp_extract_all("x", F.lit(TOKEN), F.lit(1)).alias("before"), F.regexp_extract_all("x", F.lit(TOKEN), F.lit(2)).alias("form"))
+    letter = lambda x: x.rlike(r"\p{L}")
+    # the line's first token that has a letter or comes after one; it goes along with every token, since as a column
+    # beside them it would be looked for again at each of them
+    lettered = F.when(letter(F.get("form", F.lit(0))), 1).otherwise(F.array_position(F.transform(F.arrays_zip("before", "form"), lambda t: letter(t["form"]) | letter(t["before"])), True))
+    flat = found.select(*keys, "line", F.posexplode(F.arrays_zip("before", "form", F.array_repeat(lettered, F.size("form")).alias("first"))).alias("j", "t")).select(*keys, "line", "j", "t.*")
+    alone = (F.col("first") == 0) | (F.col("j") + 1 < F.col("first")) | (F.col("j") + 1 == F.col("first")) & ~letter(F.col("before"))
+    last = F.substring(F.rtrim("before"), -1, 1)
+    spot = lambda line, j: (F.shiftleft(line.cast("long"), 32) + j).alias("spot")
+    out = flat.select(*keys, "form", F.lit(0).alias("kind"), spot(F.col("line"), F.col("j")), (alone | (last != "") & (F.instr(F.lit(SENTENCE_END), last) > 0)).alias("initial"))
     for kind, run, _ in RUNS if japanese else ():
-        found = own.select("doc", "part", F.posexplode(F.regexp_extract_all("text", F.lit(run), F.lit(0))).alias("j", "form"))
-        out = out.unionByName(found.select("doc", "form", at(kind, F.lit(0), F.col("j")).alias("at"), F.lit(False).alias("initial"), F.lit(kind).alias("kind")))
+        found = own.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(run), F.lit(0))).alias("j", "form"))
+        out = out.unionByName(found.select(*keys, "form", F.lit(kind).alias("kind"), spot(F.lit(0), F.col("j")), F.lit(False).alias("initial")))
     return out
 
 
@@ -66,15 +72,31 @@ def term_counts(found: DataFrame, common: DataFrame | None = None) -> DataFrame:
     1: long plain words and kanji compounds. A key's term is its commonest spelling, where a token at the start of a
     sentence counts half, the smaller of equals. A name that is also written in lower case is a plain word, and plain words
     of few letters are none. ``common`` (word): words that are no terms, folded; the fixed ones without it."""
-    c = F.col("form")
+    c, place = F.col("form"), [x for x in ("part", "kind", "spot") if x in found.columns]
+    # equal tokens of a text become one row before they are looked at
+    first = lambda flag: F.min(F.when(flag, F.col("spot")))
+    start = F.col("initial")
+    rows = found.where(F.length(c) >= 3).groupBy("doc", *place[:-1], "form").agg(F.count(F.when(start, 1)).alias("n1"), F.count(F.when(~start, 1)).alias("n2"), first(start).alias("s1"), first(~start).alias("s2"))
+    # small letters alone, which most forms are, need none of the looks at the others
+    small = c.rlike(r"\A[a-zß-öø-ÿ]+\z")
     capitals, letters = F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    name = c.rlike(r"[\p{Nd}-]") | (capitals >= 2) | ((capitals == 1) & c.rlike(r"^[^\p{L}]*\p{Lu}") & ~F.col("initial"))
+    capital = (capitals == 1) & c.rlike(r"^[^\p{L}]*\p{Lu}")
     loud = (capitals > 0) & ~c.rlike(r"[\p{Ll}\p{Lt}]") & (letters >= 3)
-    kind = F.when(F.col("kind") > 0, F.col("kind") - 1).when((F.length(c) >= NAME) & name | loud, 0).when((F.length(c) >= PLAIN) & (letters == F.length(c)), 1)
-    latin = c.rlike(LATIN) & ~c.rlike(UNSPACED_SCRIPT)
-    rows = found.where((F.col("kind") > 0) | latin).withColumn("class", kind).where("class is not null").withColumn("key", T.casefold(c))
-    rows = rows.join(F.broadcast(common.select(T.casefold(F.col("word")).alias("key")).distinct()), "key", "left_anti") if common is not None else rows.where(~F.col("key").isin(*COMMON))
-    forms = rows.groupBy("doc", "key", "form").agg(F.min("class").alias("class"), F.max("kind").alias("script"), F.count("*").alias("n"), F.sum(F.when(F.col("initial"), 1).otherwise(2)).alias("w"), F.min("at").alias("at"))
+    long = F.when(F.length(c) >= PLAIN, 1)
+    other = ~(c.rlike(LATIN) & ~c.rlike(UNSPACED_SCRIPT))
+    kind = lambda lone: (
+        F.when(F.col("kind") > 0, F.col("kind") - 1).when(small, long).when(other, None).when((F.length(c) >= NAME) & (c.rlike(r"[\p{Nd}-]") | (capitals >= 2) | lone) | loud, 0).when(letters == F.length(c), long)
+    )
+    rows = rows.select("*", F.when(F.col("n1") > 0, kind(F.lit(False))).alias("k1"), F.when(F.col("n2") > 0, kind(capital)).alias("k2"))
+    key = F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(T.casefold(c))
+    rows = rows.select("*", F.explode(F.when(F.col("k1").isNotNull() | F.col("k2").isNotNull(), F.array(key))).alias("key"))
+    taken = lambda k, x: F.when(F.col(k).isNotNull(), F.col(x))
+    at = F.struct(*place[:-1], F.least(taken("k1", "s1"), taken("k2", "s2")).alias("spot"))
+    n1, n2 = F.coalesce(taken("k1", "n1"), F.lit(0)), F.coalesce(taken("k2", "n2"), F.lit(0))
+    forms = rows.select("doc", "key", "form", F.least("k1", "k2").alias("class"), F.col("kind").alias("script"), (n1 + n2).alias("n"), (n1 + 2 * n2).alias("w"), at.alias("at"))
+    forms = forms.join(F.broadcast(common.select(T.casefold(F.col("word")).alias("key")).distinct()), "key", "left_anti") if common is not None else forms.where(~F.col("key").isin(*COMMON))
+    if "part" in place:
+        forms = forms.groupBy("doc", "key", "form").agg(F.min("class").alias("class"), F.max("script").alias("script"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("at").alias("at"))
     low = F.max((F.col("form") == F.col("key")).cast("int"))
     best = F.min(F.struct((-F.col("w")).alias("w"), "form"))["form"]
     keys = forms.groupBy("doc", "key").agg(F.min("class").alias("class"), F.max("script").alias("script"), F.sum("n").alias("n"), F.min("at").alias("at"), low.alias("low"), best.alias("term"))

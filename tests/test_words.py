@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,31 @@ def test_casefold(spark):
     words = ["Straße", "STRASSE", "ſet", "ΣΟΦΟΣ", "ﬁn", "Ünï", "Привет", "µ"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.casefold(F.col("w")).alias("f")).collect()
     assert all(r.f == r.w.casefold() for r in got)
+
+
+def test_tokens_by_brute_force(spark):
+    """Odd lines: every token that may be a term, in order, and whether a capital means nothing there."""
+    rng = random.Random(8)
+    bits = ["abc", "Abc", "abcdef", "abcdefg", "été", "Ünder_score", "x-y", "12", "7-", "'tis", " ", "  ", ". ", "-", "_", "\n", "\t", "é", "(", "東京", "a'b"]
+    texts = {i: "".join(rng.choice(bits) for _ in range(rng.randrange(30))) for i in range(300)} | {999: "12 " * 5 + "abc " * 30_000 + "Ending"}
+    word = re.compile(r"([^\W_](?:[\w'’-]*[^\W_])?)")
+    want = {}
+    for doc, text in texts.items():
+        for line in re.split(r"[\n\r]", text):
+            lettered = end = 0
+            for m in word.finditer(line):
+                mark = line[end : m.start()].rstrip(" ")[-1:]
+                if not re.fullmatch("[a-zà-öø-ÿ]{1,6}", m.group()):
+                    want.setdefault(doc, []).append((m.group(), not lettered or bool(mark) and mark in vocabulary.SENTENCE_END))
+                lettered, end = lettered or any(map(str.isalpha, m.group())), m.end()
+    got = {}
+    for r in vocabulary.tokens(spark.createDataFrame(list(texts.items()), "doc long, text string")).orderBy("doc", "spot").collect():
+        got.setdefault(r.doc, []).append((r.form, r.initial))
+    assert got == want
+
+
+def test_long_lines_cost_no_more_a_token(spark):
+    """One line of 120,000 names: the line's first lettered token is looked for once, not at each of them."""
+    began = time.time()
+    out = vocabulary.term_counts(vocabulary.tokens(spark.createDataFrame([(1, "1 2 " + "Abcde Fghij " * 60_000)], "doc long, text string")))
+    assert {(r.term, r.n) for r in out.collect()} == {("Abcde", 59_999), ("Fghij", 60_000)} and time.time() - began < 60
