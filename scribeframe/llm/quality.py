@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, chain_marginals, fold, mix, table, text_udf
+from .kernel import Words, chain_marginals, fold, mix, slices, table, text_udf, trim
 
 #: bound of the sample of labelled rows that training reads: rows a label, whole texts
 SAMPLE_ROWS = 1200
@@ -110,13 +110,21 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def sliced_bins(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bins() of many texts, slice by slice: it needs some hundred bytes for each of a slice's characters."""
+    parts = [(a, bins(texts[a:b])) for a, b in slices(texts)]
+    found, line_text, weight = zip(*((x, at + a, w) for a, (x, at, w) in parts), strict=True)
+    return np.concatenate(found), np.concatenate(line_text), np.concatenate(weight)
+
+
 def train(rows: list[tuple[str, int]], epochs: int = 40, rate: float = 0.1, seed: int = 3) -> Model:
     """From (text, label) rows; a text's lines take its label."""
     model = Model()
     if len({y for _, y in rows}) < 2:
         return model
     rng = np.random.default_rng(seed)
-    found, line_text, weight = bins([x for x, _ in rows])
+    texts = [x for x, _ in rows]
+    found, line_text, weight = sliced_bins(texts)
     first, length = chains(line_text)
     feature = columns(found, line_text)
     truth = np.array([y for _, y in rows])
@@ -143,7 +151,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 40, rate: float = 0.1, seed
                 g = g / len(picked) - 1e-3 * w
                 s += g * g
                 w += rate * g / np.sqrt(s)
-    x = logit(model.share([t for t, _ in rows]))
+    x = logit(np.concatenate([model.share(texts[a:b]) for a, b in slices(texts)]))
     a, b = 1.0, 0.0
     for _ in range(60):  # Newton's method, slightly shrunk
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -152,6 +160,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 40, rate: float = 0.1, seed
         step = np.linalg.solve(np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]]), g)
         a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -1, 1)
     model.curve = (max(a, 0.0), b)
+    trim()
     return model
 
 

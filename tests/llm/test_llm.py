@@ -172,6 +172,20 @@ def test_op3_and_op4_of_long_unspaced_texts(spark, vocabulary):
     assert encoder.decode(ids, n) == texts and counter.counts(texts)["n_tokens"].tolist() == n.tolist()
 
 
+def test_quality_trains_by_slices(monkeypatch):
+    """Training in the driver never works on more characters at once than a slice's, and learns what it learns from all at once."""
+    rows = [(f"some line {k} of words\n" * 400 + "\n\n" + "x" * (k % 7), k % 2) for k in range(150)]
+    whole, sizes = quality.bins([x for x, _ in rows]), []
+    bins = quality.bins
+    monkeypatch.setattr(quality, "bins", lambda texts: sizes.append(sum(map(len, texts))) or bins(texts))
+    model = quality.train(rows, epochs=1)
+    assert sum(sizes) == 2 * sum(len(x) for x, _ in rows) and max(sizes) <= kernel.SLICE + max(len(x) for x, _ in rows)
+    assert all((a == b).all() for a, b in zip(whole, quality.sliced_bins([x for x, _ in rows]), strict=True))
+    monkeypatch.setattr(quality, "slices", lambda texts: [(0, len(texts))])
+    again = quality.train(rows, epochs=1)
+    assert (model.weights == again.weights).all() and np.allclose(model.curve, again.curve)
+
+
 def test_quality(docs):
     good, bad = [prose(i, 60).capitalize() + "." for i in range(40)], [" ".join(w.upper() + "!!" for w in prose(i, 60).split()) for i in range(40)]
     model = quality.train([(x, 1) for x in good[:30]] + [(x, 0) for x in bad[:30]])
