@@ -15,6 +15,8 @@ from scribeframe.operators.validate import CREDENTIALS
 
 #: at most so many terms, and characters of a prompt
 MOST_TERMS, PROMPT_CHARS = 50, 600
+#: characters of the shortest credential that has no equals sign
+SECRET_CHARS = 19
 # The shortest plain word and the shortest name that are terms; what ends a sentence or a line before a token.
 PLAIN, NAME, SENTENCE_END = 7, 4, ".!?:;。！？\t\"'(‘“"
 # Words that are never terms by themselves, as far as they stand here; ``common`` takes another list.
@@ -73,13 +75,14 @@ def term_counts(found: DataFrame, common: DataFrame | None = None) -> DataFrame:
     sentence counts half, the smaller of equals. A name that is also written in lower case is a plain word, and plain words
     of few letters are none. ``common`` (word): words that are no terms, folded; the fixed ones without it."""
     c, place = F.col("form"), [x for x in ("part", "kind", "spot") if x in found.columns]
-    # equal tokens of a text become one row before they are looked at
+    # equal tokens of a text become one row before they are looked at; few of a text's are equal, so they go to their document's
+    # partition as they are, where all that follows finds its groups without dealing rows out again
     first = lambda flag: F.min(F.when(flag, F.col("spot")))
     start = F.col("initial")
-    rows = found.where(F.length(c) >= 3).groupBy("doc", *place[:-1], "form").agg(F.count(F.when(start, 1)).alias("n1"), F.count(F.when(~start, 1)).alias("n2"), first(start).alias("s1"), first(~start).alias("s2"))
+    rows = found.where(F.length(c) >= 3).repartition("doc").groupBy("doc", *place[:-1], "form").agg(F.count(F.when(start, 1)).alias("n1"), F.count(F.when(~start, 1)).alias("n2"), first(start).alias("s1"), first(~start).alias("s2"))
     # small letters alone, which most forms are, need none of the looks at the others
     small = c.rlike(r"\A[a-zß-öø-ÿ]+\z")
-    capitals, letters = F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    capitals, letters = F.length(F.regexp_replace(c, r"[^\p{Lu}]+", "")), F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
     capital = (capitals == 1) & c.rlike(r"^[^\p{L}]*\p{Lu}")
     loud = (capitals > 0) & ~c.rlike(r"[\p{Ll}\p{Lt}]") & (letters >= 3)
     long = F.when(F.length(c) >= PLAIN, 1)
@@ -112,6 +115,8 @@ def terms(texts: DataFrame, given: DataFrame | None = None, most: int = MOST_TER
     secret = F.lit(False)
     for p in CREDENTIALS:
         secret = secret | F.col("term").rlike(p)
+    # the shortest credential without an equals sign has 19 characters; hardly a term needs the patterns
+    secret = ((F.length("term") >= SECRET_CHARS) | F.col("term").contains("=")) & secret
     counted = term_counts(tokens(texts, japanese), common).where(~secret)
     order = lambda g, n, count, length, at: F.struct(F.lit(g).alias("g"), n.cast("long").alias("class"), count.cast("long").alias("c"), length.cast("long").alias("l"), at.alias("at"))
     rows = counted.select("doc", "term", order(1, F.col("kind"), -F.col("n"), -F.length("term"), F.col("at")).alias("o"), "key")
