@@ -262,3 +262,16 @@ def test_terms_are_dealt_out_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     got = {(r.doc, r.rank): r.term for r in vocabulary.terms(texts).collect()}
     assert got == {(1, 1): "Kubernetes", (1, 2): "sk-abcdefghijklmno", (1, 3): "GraphQL", (None, 1): "Kubernetes"}
+
+
+def test_words_fold_once(monkeypatch):
+    """A word that comes again is looked up; spaces with marks, long words and words in odd places fold as the whole text does."""
+    signs = " ab-ーｰカﾞ́ ̈　éß\nК　½ﬁ—"
+    rng = random.Random(5)
+    for n in range(3000):
+        x = "".join(rng.choice(signs) for _ in range(rng.randrange(14))) + "é" * 40 * (n % 9 == 0)
+        assert T._raw(x) == "".join(p for p, _, _ in T._pieces(x))
+    seen, pieces = [], T._pieces
+    monkeypatch.setattr(T, "_pieces", lambda t: seen.append(t) or pieces(t))
+    T._word.cache_clear()
+    assert T.fold_parts("déjà vu " * 1000) == (0, "déjàvu" * 1000) and seen == ["déjà"]
