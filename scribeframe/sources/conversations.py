@@ -14,7 +14,11 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(turns: DataFrame) -> DataFrame:
-    """(doc, seg, pos, role, text, idx, s, e): words with their number in the transcript and their times."""
+    """(doc, seg, pos, role, text, idx, s, e): words with their number in the transcript and their times.
+
+    Turns are dealt out by transcript before they become words, which take ten times the room; the number of partitions
+    is the session's, since partitions put together by the size of turns would be too large as words."""
+    turns = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
     parts = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     flat = turns.select("doc", "seg", "role", F.posexplode(parts).alias("pos", "text")).where("text <> ''")
     idx = F.row_number().over(Window.partitionBy("doc").orderBy("seg", "pos")).cast("long") - 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
 from scribeframe.operators import builder, intervals, vocabulary
+from scribeframe.sources import conversations as C
 
 WORDS = "doc long, seg int, pos int, text string, s double, e double, confidence double, timing string"
 
@@ -275,3 +276,11 @@ def test_words_fold_once(monkeypatch):
     monkeypatch.setattr(T, "_pieces", lambda t: seen.append(t) or pieces(t))
     T._word.cache_clear()
     assert T.fold_parts("déjà vu " * 1000) == (0, "déjàvu" * 1000) and seen == ["déjà"]
+
+
+def test_turns_are_dealt_out_before_they_become_words(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "user", " c  d "), (2, 0, "user", ""), (2, 1, "user", None), (None, 0, "user", "x")], "doc long, seg int, role string, text string")
+    found = C.words(turns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    assert sorted((r.doc or 0, r.seg, r.pos, r.idx, r.text) for r in found.collect()) == [(0, 0, 0, 0, "x"), (1, 0, 0, 0, "a"), (1, 0, 1, 1, "b"), (1, 1, 0, 2, "c"), (1, 1, 1, 3, "d")]
