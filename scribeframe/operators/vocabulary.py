@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
-from scribeframe.operators.intervals import binned
 from scribeframe.operators.validate import CREDENTIALS
 
 #: at most so many terms, and characters of a prompt
@@ -191,63 +191,104 @@ class Corrected:
     unplaced: DataFrame
 
 
-def placed(segments: DataFrame, words: DataFrame) -> DataFrame:
-    """words with ``p`` and ``q``, where each stands in its segment's text, looked for from the word before on; null from the
-    first word on that isn't there."""
-    keys = ["doc", "seg"]
-    lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("t")))).alias("w")).join(segments.select(*keys, F.col("text").alias("_text")), keys)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+def places(text: str, words: list[str]) -> list[tuple[int, int]] | None:
+    """Where each word stands in the text, looked for from the word before on; None if one isn't there."""
+    out, at = [], 0
+    for x in words:
+        p = -1 if x is None else text.find(x, at)
+        if p < 0:
+            return None
+        at = p + len(x)
+        out.append((p, at))
+    return out
 
-    def step(out, x):
-        hit = F.when(out["at"] > 0, F.call_function("locate", x["t"], F.col("_text"), out["at"])).otherwise(0)
-        return F.struct(F.when(hit > 0, hit + F.length(x["t"])).otherwise(0).alias("at"), F.concat(out["found"], F.array(hit)).alias("found"))
 
-    spots = lists.select(*keys, F.explode(F.arrays_zip("w", F.aggregate("w", start, step)["found"].alias("f"))).alias("x")).select(*keys, F.col("x.w.pos").alias("pos"), F.when(F.col("x.f") > 0, F.col("x.f") - 1).cast("long").alias("p"), F.length("x.w.t").alias("_n"))
-    return words.join(spots.select(*keys, "pos", "p", (F.col("p") + F.col("_n")).alias("q")), [*keys, "pos"])
+def regrouped(text: str, spots: list[tuple[int, int]], edits: list[tuple[int, int, int, str]]) -> tuple[list, list]:
+    """(first, last, text) of runs of words that stay (no text) and of words that replacements make one, in order; and
+    (first, last) of the words that each replacement touches, or None."""
+    starts, ends = [p for p, _ in spots], [q for _, q in spots]
+    touched, groups = [], []
+    for a, b, _, to in edits:
+        first, last = bisect_right(ends, a), bisect_left(starts, b) - 1
+        touched.append((first, last) if first <= last else None)
+        if first <= last and groups and first <= groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], last)
+            groups[-1][2].append((a, b, to))
+        elif first <= last:
+            groups.append([first, last, [(a, b, to)]])
+    runs, next_word = [], 0
+    for first, last, own in groups:
+        if first > next_word:
+            runs.append((next_word, first - 1, None))
+        at, out = starts[first], []
+        for a, b, to in own:
+            out += [text[at : max(a, starts[first])], to]
+            at = min(b, ends[last])
+        runs.append((first, last, "".join([*out, text[at : ends[last]]])))
+        next_word = last + 1
+    if next_word < len(spots):
+        runs.append((next_word, len(spots) - 1, None))
+    return runs, touched
+
+
+def listed(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Segments (doc, seg, s, e, text) with their ``words`` (pos, text, s, e, confidence, timing) in order; words without a
+    segment have a row of their own."""
+    row = F.array_sort(F.collect_list(F.struct("pos", "text", "s", "e", "confidence", "timing")))
+    return segments.select("doc", "seg", "s", "e", "text").join(words.groupBy("doc", "seg").agg(row.alias("words")), ["doc", "seg"], "full")
 
 
 def corrected_transcripts(segments: DataFrame, words: DataFrame, rules: list[tuple[str, str, str]]) -> Corrected:
-    """Corrections of segments (doc, seg, s, e, text) and of their words (doc, seg, pos, text, s, e, confidence, timing).
+    """Corrections of segments (doc, seg, s, e, text) and of their words (doc, seg, pos, text, s, e, confidence, timing), as
+    corrected_lists() has them."""
+    out = corrected_lists(listed(segments, words), rules)
+    return Corrected(corrected(segments, rules).withColumn("text", F.col("corrected")).drop("corrected", "applied"), out.words, out.applied, out.unplaced)
+
+
+def corrected_lists(rows: DataFrame, rules: list[tuple[str, str, str]]) -> Corrected:
+    """Corrections of segments with their words, as listed() gives them.
 
     The words that a replacement touches become one, from the first's start to the last's end, with the least confidence
     (null if any has none); replacements that share a word go together. A word made of any with an estimated time has an
-    estimated time."""
-    keys = ["doc", "seg"]
-    found = corrected(segments, rules)
+    estimated time. A segment's words stay in its row until they are done, so nothing is sorted, joined or dealt out by
+    word; a segment without doc or seg meets no words."""
+    keys, plan = ["doc", "seg"], Rules(rules)
+
+    @F.pandas_udf("runs array<struct<first: int, last: int, text: string>>, applied array<struct<rule: int, from: string, first: int, last: int>>, placed boolean")
+    def run(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, own in zip(texts, words, strict=True):
+            edits = plan.edits(text)
+            spots = None if text is None or own is None else places(text, list(own))
+            runs, touched = (None, [None] * len(edits)) if spots is None else regrouped(text, spots, edits)
+            applied = [{"rule": r, "from": text[a:b], "first": t and t[0], "last": t and t[1]} for (a, b, r, _), t in zip(edits, touched, strict=True)]
+            out.append((runs and [{"first": a, "last": b, "text": x} for a, b, x in runs], applied, None if own is None else spots is not None))
+        return pd.DataFrame(out, columns=["runs", "applied", "placed"], dtype=object)
+
+    run = run.asNondeterministic()  # evaluated once, however often its columns are used
+    own = F.when(F.col("doc").isNotNull() & F.col("seg").isNotNull(), F.transform("words", lambda x: x["text"]))
+    found = rows.select(*keys, "s", "e", "text", "words", run("text", own).alias("c"))
+
+    at = lambda i: F.get("words", i)
+    fields = ("pos", "text", "s", "e", "confidence", "timing")
+
+    def one(x):
+        of = lambda field: F.transform(F.sequence(x["first"], x["last"]), lambda i: at(i)[field])
+        conf = F.when(F.forall(of("confidence"), lambda c: c.isNotNull()), F.array_min(of("confidence")))
+        timing = F.when(F.array_contains(F.array_compact(of("timing")), "interpolated"), "interpolated").otherwise(at(x["first"])["timing"])
+        text = F.trim(F.regexp_replace(x["text"], r"(?U)\s+", " "))
+        return F.struct(at(x["first"])["pos"].alias("pos"), text.alias("text"), at(x["first"])["s"].alias("s"), at(x["last"])["e"].alias("e"), conf.alias("confidence"), timing.alias("timing"))
+
+    same = lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(*[at(i)[k].alias(k) for k in fields]))
+    done = F.flatten(F.transform("c.runs", lambda x: F.when(x["text"].isNull(), same(x)).otherwise(F.array(one(x)))))
+    words = found.select(*keys, F.explode(F.coalesce(done, "words")).alias("x")).select(*keys, *[F.col(f"x.{k}").alias(k) for k in fields])
+
     targets = F.array(*[F.lit(to) for _, to, _ in rules])
-    edits = found.select(*keys, F.col("s").alias("_ss"), F.col("e").alias("_se"), F.col("text").alias("_text"), F.posexplode("applied").alias("k", "x"))
-    edits = edits.select(*keys, "k", "_ss", "_se", "_text", F.col("x.rule").alias("rule"), F.col("x.a").cast("long").alias("a"), F.col("x.b").cast("long").alias("b"), F.element_at(targets, F.col("x.rule") + 1).alias("to"))
-    spots = placed(segments, words)
-    bad = spots.where("p is null").select(*keys).distinct()
-    good = spots.join(bad, keys, "left_anti")
-    touched = binned(good, edits.select(*keys, "k", "a", "b"), keys, ("p", "q"), ("a", "b"), 256)
-    reach = touched.groupBy(*keys, "k", "a").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    w = Window.partitionBy(*keys).orderBy("a")
-    apart = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    grouped = reach.withColumn("_new", apart).withColumn("g", F.sum("_new").over(w))
-    groups = touched.select(*keys, "pos", "k").join(grouped.select(*keys, "k", "g"), [*keys, "k"])
-    member = groups.select(*keys, "pos", "g").distinct()
-
-    conf = F.when(F.count("confidence") == F.count(F.lit(1)), F.min("confidence"))
-    guess = F.max((F.coalesce("timing", F.lit("")) == "interpolated").cast("int")) == 1
-    one = good.join(member, [*keys, "pos"]).groupBy(*keys, "g").agg(
-        F.min("pos").alias("pos"), F.min_by("s", "pos").alias("s"), F.max_by("e", "pos").alias("e"), conf.alias("confidence"), F.when(guess, "interpolated").otherwise(F.min_by("timing", "pos")).alias("timing"), F.min("p").alias("lo"), F.max("q").alias("hi"),
-    )
-    changes = grouped.select(*keys, "k", "g").join(edits, [*keys, "k"]).groupBy(*keys, "g").agg(F.max("_text").alias("_text"), F.array_sort(F.collect_list(F.struct("a", "b", "to"))).alias("edits"))
-    both = one.join(changes, [*keys, "g"])
-    start = F.struct(F.col("lo").alias("at"), F.lit("").alias("out"))
-    piece = lambda a, b: F.substring(F.col("_text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    done = F.aggregate("edits", start, lambda acc, x: F.struct(F.least(x["b"], F.col("hi")).alias("at"), F.concat(acc["out"], piece(acc["at"], F.greatest(x["a"], F.col("lo"))), x["to"]).alias("out")))
-    text = F.trim(F.regexp_replace(F.concat(done["out"], piece(done["at"], F.col("hi"))), r"(?U)\s+", " "))
-    columns = [*keys, "pos", "text", "s", "e", "confidence", "timing"]
-    changed = both.withColumn("text", text).select(*columns)
-    rest = good.join(member, [*keys, "pos"], "left_anti").select(*columns)
-    own = words.join(bad, keys, "left_semi").select(*columns)
-
-    times = touched.groupBy(*keys, "k").agg(F.min_by("s", "pos").alias("_ws"), F.max_by("e", "pos").alias("_we"))
-    applied = edits.join(times, [*keys, "k"], "left").select(
-        *keys, F.col("k").cast("long").alias("k"), "rule", F.substring("_text", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("from"), "to", F.coalesce("_ws", "_ss").alias("s"), F.coalesce("_we", "_se").alias("e"),
-        F.when(F.col("_ws").isNotNull(), "word").otherwise("segment").alias("timing"),
+    edit = lambda x, k: F.struct(
+        k.cast("long").alias("k"), x["rule"].alias("rule"), x["from"].alias("from"), F.get(targets, x["rule"]).alias("to"), F.coalesce(at(x["first"])["s"], "s").alias("s"), F.coalesce(at(x["last"])["e"], "e").alias("e"),
+        F.when(at(x["first"])["s"].isNotNull(), "word").otherwise("segment").alias("timing"),
     )
-    unplaced = bad.join(edits.select(*keys).distinct(), keys, "left_semi")
-    return Corrected(found.withColumn("text", F.col("corrected")).drop("corrected", "applied"), rest.unionByName(changed).unionByName(own), applied, unplaced)
+    applied = found.select(*keys, F.explode(F.transform("c.applied", edit)).alias("x")).select(*keys, "x.*")
+    unplaced = found.where(~F.col("c.placed") & (F.size("c.applied") > 0)).select(*keys).distinct()
+    texts = corrected(rows.select(*keys, "s", "e", "text"), rules).withColumn("text", F.col("corrected")).drop("corrected", "applied")
+    return Corrected(texts, words, applied, unplaced)

@@ -255,15 +255,19 @@ def corrections_substring(spark, d):
 CROSSING = [("e th", "e-t", "substring"), ("tion", "ción", "substring"), ("n a", "n-a", "substring")]
 
 
+def _judged(idx):
+    """A word's confidence, which some don't have, and the kind of its time, estimated here and there."""
+    conf = F.when(idx % 13 != 0, (idx % 10) / 10)
+    return conf.alias("confidence"), F.when(idx % 5 == 0, "interpolated").otherwise("measured").alias("timing")
+
+
 def _judged_words(spark, d) -> DataFrame:
-    """Words with confidences, of which some are missing, and estimated times here and there."""
-    conf = F.when(F.col("idx") % 13 != 0, (F.col("idx") % 10) / 10)
-    return _words(spark, d).select("doc", "seg", "pos", "idx", "text", "s", "e", conf.alias("confidence"), F.when(F.col("idx") % 5 == 0, "interpolated").otherwise("measured").alias("timing"))
+    return _words(spark, d).select("doc", "seg", "pos", "idx", "text", "s", "e", *_judged(F.col("idx")))
 
 
 def _corrected(spark, d):
-    segments = _segments(spark, d).select("doc", "seg", "s", "e", "text")
-    return vocabulary.corrected_transcripts(segments, _judged_words(spark, d), CROSSING)
+    words = F.transform("words", lambda x: F.struct(*[x[k].alias(k) for k in ("pos", "text", "s", "e")], *_judged(x["idx"])))
+    return vocabulary.corrected_lists(C.lists(C.load(spark, d)).withColumn("words", words), CROSSING)
 
 
 def corrected_words(spark, d):

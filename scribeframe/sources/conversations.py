@@ -26,6 +26,28 @@ def words(turns: DataFrame) -> DataFrame:
     return flat.withColumn("idx", idx).withColumn("s", s).withColumn("e", F.col("s") + 300 + 20 * (F.length("text") % 4))
 
 
+def lists(turns: DataFrame) -> DataFrame:
+    """(doc, seg, s, e, text, words): a row for each segment with its words (pos, text, idx, s, e) in order, as words() and
+    segments() have them. Words are numbered by the counts of the segments before, so only turns are dealt out and sorted.
+    Turns of one number are one segment, whose words stand by place."""
+    turns = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").groupBy("doc", "seg").agg(F.sort_array(F.collect_list("text")).alias("t"))
+    parts = lambda t: F.filter(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), lambda x: x != "")
+    count = F.aggregate("t", F.lit(0), lambda n, t: n + F.size(parts(t)))
+    before = Window.partitionBy("doc").orderBy(F.asc_nulls_last("seg")).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("n", count).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    placed = lambda t: F.transform(parts(t), lambda x, i: F.struct(i.alias("pos"), x.alias("text")))
+    listed = turns.withColumn("w", F.when(F.size("t") == 1, placed(F.get("t", 0))).otherwise(F.array_sort(F.flatten(F.transform("t", placed)))))
+
+    def word(x, i):
+        idx = F.col("first") + i
+        s = idx * 400 + F.col("seg") * 1000
+        return F.struct(x["pos"].alias("pos"), x["text"].alias("text"), idx.alias("idx"), s.alias("s"), (s + 300 + 20 * (F.length(x["text"]) % 4)).alias("e"))
+
+    text = F.array_join(F.transform("w", lambda x: x["text"]), " ")
+    out = listed.select("doc", "seg", text.alias("text"), F.transform("w", word).alias("words"))
+    return out.select("doc", "seg", F.get("words", 0)["s"].alias("s"), F.element_at("words", -1)["e"].alias("e"), "text", "words")
+
+
 def segments(words: DataFrame) -> DataFrame:
     """(doc, seg, role, s, e, text, words): a row for each segment, its words in order."""
     row = F.array_sort(F.collect_list(F.struct("pos", "text")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribeframe.functions import text as T
 from scribeframe.operators import builder, intervals, vocabulary
+from scribeframe.plans import catalogue
 from scribeframe.sources import conversations as C
 
 WORDS = "doc long, seg int, pos int, text string, s double, e double, confidence double, timing string"
@@ -284,3 +285,38 @@ def test_turns_are_dealt_out_before_they_become_words(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
     assert sorted((r.doc or 0, r.seg, r.pos, r.idx, r.text) for r in found.collect()) == [(0, 0, 0, 0, "x"), (1, 0, 0, 0, "a"), (1, 0, 1, 1, "b"), (1, 1, 0, 2, "c"), (1, 1, 1, 3, "d")]
+
+
+def test_corrections_deal_out_turns_once(spark, tmp_path):
+    """No join and no sort by word: a segment's words stay in its row until they are done."""
+    spark.createDataFrame([(1, 0, "user", "e thn")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for query in (catalogue.corrected_words, catalogue.corrections_applied):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("Sort [") == 1
+
+
+def test_corrections_of_odd_rows_lose_no_word(spark):
+    """Without a segment, a text or a key words stay as they are; an empty word doesn't lead the search back; a hit between two
+    words touches none."""
+    segments = [(1, 0, "ab b", 0), (1, 1, None, 0), (None, 2, "ab b", 0), (1, 4, "x  ab b", 0), (1, 5, "ab b", 0), (1, 6, "b a a", 0), (1, 7, "ab b", 0)]
+    words = [(1, 0, 0, "ab"), (1, 0, 1, "b"), (1, 1, 0, "ab"), (None, 2, 0, "ab"), (None, 2, 1, "b"), (1, 3, 0, "ab b"), (1, 4, 0, "x"), (1, 4, 1, ""), (1, 4, 2, "ab"), (1, 4, 3, "b"), (1, 6, 0, "b"), (1, 6, 1, ""), (1, 6, 2, "a"), (1, 6, 3, "a"), (1, 7, 0, None), (1, 7, 1, "b")]
+    make = spark.createDataFrame
+    out = vocabulary.corrected_transcripts(
+        make([(d, s, float(s), s + 9.0, t) for d, s, t, _ in segments], "doc long, seg int, s double, e double, text string"), make([(*w, w[2] + 0.0, w[2] + 0.5, None, None) for w in words], WORDS), RULES
+    )
+    got = sorted((r.doc or 0, r.seg, r.pos, r.text, r.s, r.e) for r in out.words.collect() if r.text is not None)
+    assert got == [(0, 2, 0, "ab", 0.0, 0.5), (0, 2, 1, "b", 1.0, 1.5), (1, 0, 0, "X", 0.0, 1.5), (1, 1, 0, "ab", 0.0, 0.5), (1, 3, 0, "ab b", 0.0, 0.5), (1, 4, 0, "x", 0.0, 0.5), (1, 4, 1, "", 1.0, 1.5), (1, 4, 2, "X", 2.0, 3.5), (1, 6, 0, "Y Z", 0.0, 2.5), (1, 6, 3, "a", 3.0, 3.5), (1, 7, 1, "b", 1.0, 1.5)]
+    assert sorted((r.doc or 0, r.seg, r["from"], r.s, r.e, r.timing) for r in out.applied.collect()) == [(0, 2, "ab b", 2.0, 11.0, "segment"), (1, 0, "ab b", 0.0, 1.5, "word"), (1, 4, "ab b", 2.0, 3.5, "word"), (1, 5, "ab b", 5.0, 14.0, "segment"), (1, 6, "b a", 0.0, 2.5, "word"), (1, 7, "ab b", 7.0, 16.0, "segment")]
+    assert [(r.doc, r.seg) for r in out.unplaced.collect()] == [(1, 7)]
+
+
+def test_lists_hold_the_same_words(spark):
+    """Words and segments as words() and segments() have them; turns of one number are one segment."""
+    turns = spark.createDataFrame([(1, 3, "user", " a  b\n"), (1, 0, "user", "cc"), (1, 1, "user", " "), (1, 2, "user", None), (2, 0, "user", "d e"), (2, 0, "user", "d e f"), (2, 1, "user", "g"), (None, 0, "user", "x y")], "doc long, seg long, role string, text string")
+    words = C.words(turns)
+    found = C.lists(turns)
+    flat = found.select("doc", "seg", F.inline("words"))
+    key = lambda df, *names: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+    assert key(flat, "doc", "seg", "pos", "text", "idx", "s", "e") == key(words, "doc", "seg", "pos", "text", "idx", "s", "e")
+    assert key(found, "doc", "seg", "s", "e", "text") == key(C.segments(words), "doc", "seg", "s", "e", "text")
+    assert dict(flat.select("pos", "idx", "s", "e").dtypes) == dict(words.select("pos", "idx", "s", "e").dtypes)
